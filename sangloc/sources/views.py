@@ -50,6 +50,39 @@ POSTING_COLUMNS = """
 """
 
 
+BUSY_TITLE = """concat(title, CASE post_id % 8
+        WHEN 0 THEN concat(' tại Quận ', CAST(1 + post_id % 12 AS STRING), ', ', n_name)
+        WHEN 1 THEN ' LH 0912 345 678' WHEN 2 THEN ' Chi nhánh 2' WHEN 3 THEN ' lương cứng 10 triệu/tháng'
+        WHEN 4 THEN ' part-time 25k/h' WHEN 5 THEN concat(' Thưởng nóng ', lower(n_name))
+        WHEN 6 THEN ' 0912345678 !!!' ELSE '' END)"""
+
+BUSY_BENEFITS = """concat(benefits, CASE post_id % 5
+        WHEN 0 THEN concat('<p>Nơi làm việc: Quận ', CAST(1 + post_id % 12 AS STRING), ' hoặc Quận ',
+                           CAST(1 + (post_id * 7) % 12 AS STRING), ', ', n_name, '.</p>')
+        WHEN 1 THEN concat('<p>Quận 1, quận 2, ', n_name, '</p>') ELSE '' END)"""
+
+SUPPLIER_ADDRESSES = """SELECT s.s_suppkey, n.n_name AS province,
+             concat('Quận ', CAST(1 + s.s_suppkey % 12 AS STRING)) AS district,
+             CASE s.s_suppkey % 8
+               WHEN 0 THEN concat(s.s_name, ', Phường 5, Quận ', CAST(1 + s.s_suppkey % 12 AS STRING), ', ', n.n_name)
+               WHEN 1 THEN concat(s.s_name, ' đường lớn, q', CAST(1 + s.s_suppkey % 12 AS STRING), ' – TP. ', n.n_name)
+               WHEN 2 THEN concat(s.s_name, ', Q.', CAST(1 + (s.s_suppkey + 3) % 12 AS STRING), ', tp ', n.n_name, ', Việt Nam')
+               WHEN 3 THEN concat('Khu ', r.r_name, ' quận ', CAST(1 + (s.s_suppkey + 5) % 12 AS STRING))
+               WHEN 4 THEN concat('Số ', CAST(s.s_suppkey AS STRING), ' phố ', n.n_name)
+               WHEN 5 THEN concat('Tầng 2, tòa nhà ', s.s_name, ', Thành phố ', r.r_name)
+               WHEN 6 THEN concat(s.s_name, ', Quận ', CAST(1 + s.s_suppkey % 12 AS STRING), ', Tỉnh NATION_',
+                                  CAST((n.n_nationkey + 1) % 25 AS STRING))
+               ELSE '' END AS address
+           FROM {s} s JOIN {n} n ON n.n_nationkey = s.s_nationkey JOIN {r} r ON r.r_regionkey = n.n_regionkey"""
+
+ANSWER_TEXT = """CASE conv_id % 5
+             WHEN 0 THEN concat('**Tiêu đề:** ', role, ' ', CAST(conv_id AS STRING), '\n\nMô tả công việc:** ', text)
+             WHEN 1 THEN concat('Mô tả: ', text, '\nYÊU CẦU: ', role, '\nYêu cầu: chăm chỉ (', role, ')\n---\nghi chú')
+             WHEN 2 THEN concat('Mở đầu. Yêu cầu ứng viên** ', role, ' !\n**Quyền lợi**\n', text, '\n\nCảm ơn')
+             WHEN 3 THEN concat('Quyền lợi: cũ\nMô tả công việc: ', text, '\nMô tả: ', role, '\nQuyền lợi: mới')
+             ELSE text END AS text"""
+
+
 def _postings(spark: SparkSession, folder: str) -> DataFrame:
     columns = POSTING_COLUMNS.format(TITLE=_words(1, 12), REQ=_words(13, 52), BEN=_words(53, 92))
     return spark.sql(
@@ -65,18 +98,9 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
 
 def busy_postings(spark: SparkSession, folder: str) -> DataFrame:
     """Postings whose titles and benefits also hold places, phones, branch and pay words."""
-    title = """concat(title, CASE post_id % 8
-        WHEN 0 THEN concat(' tại Quận ', CAST(1 + post_id % 12 AS STRING), ', ', n_name)
-        WHEN 1 THEN ' LH 0912 345 678' WHEN 2 THEN ' Chi nhánh 2' WHEN 3 THEN ' lương cứng 10 triệu/tháng'
-        WHEN 4 THEN ' part-time 25k/h' WHEN 5 THEN concat(' Thưởng nóng ', lower(n_name))
-        WHEN 6 THEN ' 0912345678 !!!' ELSE '' END)"""
-    benefits = """concat(benefits, CASE post_id % 5
-        WHEN 0 THEN concat('<p>Nơi làm việc: Quận ', CAST(1 + post_id % 12 AS STRING), ' hoặc Quận ',
-                           CAST(1 + (post_id * 7) % 12 AS STRING), ', ', n_name, '.</p>')
-        WHEN 1 THEN concat('<p>Quận 1, quận 2, ', n_name, '</p>') ELSE '' END)"""
     return (
         _postings(spark, folder)
-        .withColumns({"title": F.expr(title), "benefits": F.expr(benefits)})
+        .withColumns({"title": F.expr(BUSY_TITLE), "benefits": F.expr(BUSY_BENEFITS)})
         .drop("n_name", "n_regionkey")
     )
 
@@ -149,19 +173,7 @@ def word_pairs(benchmark: DataFrame) -> DataFrame:
 def supplier_addresses(spark: SparkSession, folder: str) -> DataFrame:
     """(s_suppkey, address, province, district): suppliers with addresses of every shape."""
     return spark.sql(
-        """SELECT s.s_suppkey, n.n_name AS province,
-             concat('Quận ', CAST(1 + s.s_suppkey % 12 AS STRING)) AS district,
-             CASE s.s_suppkey % 8
-               WHEN 0 THEN concat(s.s_name, ', Phường 5, Quận ', CAST(1 + s.s_suppkey % 12 AS STRING), ', ', n.n_name)
-               WHEN 1 THEN concat(s.s_name, ' đường lớn, q', CAST(1 + s.s_suppkey % 12 AS STRING), ' – TP. ', n.n_name)
-               WHEN 2 THEN concat(s.s_name, ', Q.', CAST(1 + (s.s_suppkey + 3) % 12 AS STRING), ', tp ', n.n_name, ', Việt Nam')
-               WHEN 3 THEN concat('Khu ', r.r_name, ' quận ', CAST(1 + (s.s_suppkey + 5) % 12 AS STRING))
-               WHEN 4 THEN concat('Số ', CAST(s.s_suppkey AS STRING), ' phố ', n.n_name)
-               WHEN 5 THEN concat('Tầng 2, tòa nhà ', s.s_name, ', Thành phố ', r.r_name)
-               WHEN 6 THEN concat(s.s_name, ', Quận ', CAST(1 + s.s_suppkey % 12 AS STRING), ', Tỉnh NATION_',
-                                  CAST((n.n_nationkey + 1) % 25 AS STRING))
-               ELSE '' END AS address
-           FROM {s} s JOIN {n} n ON n.n_nationkey = s.s_nationkey JOIN {r} r ON r.r_regionkey = n.n_regionkey""",
+        SUPPLIER_ADDRESSES,
         s=table(spark, folder, "supplier"),
         n=table(spark, folder, "nation"),
         r=table(spark, folder, "region"),
@@ -173,10 +185,5 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").selectExpr(
         "conv_id",
         "turn",
-        """CASE conv_id % 5
-             WHEN 0 THEN concat('**Tiêu đề:** ', role, ' ', CAST(conv_id AS STRING), '\n\nMô tả công việc:** ', text)
-             WHEN 1 THEN concat('Mô tả: ', text, '\nYÊU CẦU: ', role, '\nYêu cầu: chăm chỉ (', role, ')\n---\nghi chú')
-             WHEN 2 THEN concat('Mở đầu. Yêu cầu ứng viên** ', role, ' !\n**Quyền lợi**\n', text, '\n\nCảm ơn')
-             WHEN 3 THEN concat('Quyền lợi: cũ\nMô tả công việc: ', text, '\nMô tả: ', role, '\nQuyền lợi: mới')
-             ELSE text END AS text""",
+        ANSWER_TEXT,
     )
