@@ -312,9 +312,9 @@ def title_rule(name: str, title: str, source: str) -> None:
         ctes = f"""{f.PLACES}, town AS (SELECT * FROM places WHERE kind <> 'workplace'),
         {mentions(title, source, 'h', 'town')},
         h_names AS (SELECT id, count(DISTINCT words) AS n, bool_or(kind = 'province') AS np, bool_or(kind = 'district') AS nd FROM h_walk GROUP BY id),
-        h_tok AS (SELECT post_id AS id, unnest({f.tokens(title)}) AS tok, unnest(range(1, len({f.tokens(title)}) + 1)) AS pos FROM {source}),
+        h_all AS (SELECT post_id AS id, unnest({f.tokens(title)}) AS tok, unnest(range(1, len({f.tokens(title)}) + 1)) AS pos FROM {source}),
         h_cov AS (SELECT id, unnest(range(pos, pos + n)) AS pos FROM h_walk),
-        h_left AS (SELECT id, string_agg(tok, ' ' ORDER BY pos) AS rest FROM h_tok ANTI JOIN h_cov USING (id, pos) GROUP BY id)"""
+        h_left AS (SELECT id, string_agg(tok, ' ' ORDER BY pos) AS rest FROM h_all ANTI JOIN h_cov USING (id, pos) GROUP BY id)"""
         RULE[name] = (
             ctes, f"{source} LEFT JOIN h_names hn ON hn.id = {source}.post_id LEFT JOIN h_left hl ON hl.id = {source}.post_id",
             "CAST(coalesce(n, 0) AS INTEGER)",

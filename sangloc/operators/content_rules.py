@@ -30,6 +30,7 @@ from sangloc.operators.quality import corpus_perplexity, fit_corpus, unknown_wor
 from sangloc.operators.rules import Dictionaries, rule, with_violation
 from sangloc.operators.similarity import match_score
 from sangloc.operators.verdict import short_circuit
+from sangloc.sources.sinks import staged
 
 # Ratio limit, votes, stop words, punctuation and messages of the content rules.
 MAX_SPECIAL_RATIO = 0.05
@@ -159,7 +160,8 @@ def poor_text(
     same as with all six checks everywhere.
     """
     corpus = corpus or fit_corpus(texts, corpus_words(F.col(text)))
-    checked = texts.withColumn("_checks", row_checks(F.col(text)))
+    # written once: both branches below filter on the checks
+    checked = staged(texts.withColumn("_checks", row_checks(F.col(text))), "checked")
 
     def costly(rows: DataFrame) -> DataFrame:
         votes = corpus_votes(rows, key, text, corpus, max_perplexity, min_docs)

@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sangloc.operators.generate import explode_rows, inline_rows
 from sangloc.operators.joins import MAX_SET_ROWS, dim_join, rows_if_small
 
 MAX_PHRASE_WORDS = 5
@@ -76,7 +77,7 @@ def phrase_hits(
 
         known = F.filter(_grams("_w", max_words, firsts), lambda g: g["words"].isin(list(kinds)))
         return df.withColumn(out, F.coalesce(F.transform(known, with_kind), empty)).drop("_w")
-    grams = df.select(key, F.explode(_grams("_w", max_words)).alias("g")).select(key, "g.*")
+    grams = inline_rows(df, [key], _grams("_w", max_words), "pos")
     found = (
         dim_join(grams, phrases, "words", "inner")
         .groupBy(key)
@@ -162,7 +163,8 @@ def remove_stopwords(
     listed = rows_if_small(stop, max_rows)
     if listed is not None:
         return df.withColumn(out, F.filter(words, lambda w: ~w.isin([r.word for r in listed])))
-    exploded = df.select(key, F.posexplode(words).alias("pos", "word"))
+    placed = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    exploded = inline_rows(df, [key], placed, "pos")
     kept = (
         dim_join(exploded, stop, "word", "left_anti")
         .groupBy(key)
@@ -218,11 +220,11 @@ def topic_overlap(
             lambda t: F.arrays_overlap(F.coalesce(F.try_element_at(mapping, t), F.array(t)), F.col(body_words)),
         )
         return df.withColumn(out, F.size(hit))
-    terms = df.select(key, F.explode(F.array_distinct(title_words)).alias("term"))
+    terms = explode_rows(df, [key], F.array_distinct(title_words), "term")
     wanted = dim_join(terms, topics, "term", "left").select(
         key, "term", F.coalesce("related_term", "term").alias("word")
     )
-    body = df.select(key, F.explode(F.array_distinct(body_words)).alias("word"))
+    body = explode_rows(df, [key], F.array_distinct(body_words), "word")
     hits = (
         wanted.join(body, [key, "word"], "left_semi")
         .groupBy(key)

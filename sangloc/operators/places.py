@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sangloc.functions.address import UNIT_WORDS, bare_name, unit_code
 from sangloc.functions.text import tokens
+from sangloc.operators.generate import explode_rows
 from sangloc.operators.joins import MAX_SET_ROWS, dim_join, is_small
 from sangloc.operators.lexicon import MAX_PHRASE_WORDS, _grams, phrase_hits
 
@@ -68,10 +69,10 @@ def match_district_of_province(
         listed = F.when(F.col("_form"), F.col("_coded")).otherwise(F.col("_bare"))
         df = df.withColumn(out, F.coalesce(F.array_intersect(candidates, listed), F.array().cast("array<string>")))
         return df.drop("_words", "_p", "_form", "_coded", "_bare")
-    named = dim.select("_p", F.explode(F.array(F.struct(F.lit(True).alias("_form"), F.col("coded").alias("name")),
-                                               F.struct(F.lit(False).alias("_form"), F.col("bare").alias("name")))).alias("x"))
-    named = named.select("_p", "x.*").distinct()
-    exploded = df.select(key, "_p", "_form", F.explode(F.array_distinct(candidates)).alias("name"))
+    coded = dim.select("_p", F.lit(True).alias("_form"), F.col("coded").alias("name"))
+    bare = dim.select("_p", F.lit(False).alias("_form"), F.col("bare").alias("name"))
+    named = coded.unionByName(bare).distinct()
+    exploded = explode_rows(df, [key, "_p", "_form"], F.array_distinct(candidates), "name")
     found = dim_join(exploded, named, ["_p", "_form", "name"], "left_semi").groupBy(key).agg(F.collect_set("name").alias(out))
     return (
         df.drop("_words", "_p", "_form")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sangloc.functions.metrics import embedding_cosine
+from sangloc.operators.generate import explode_rows, inline_rows
 from sangloc.operators.joins import skew_join
 from sangloc.sources.sinks import staged
 
@@ -27,8 +28,7 @@ def vocabulary(df: DataFrame, words: Column) -> DataFrame:
         ),
     )
     return (
-        df.select(F.sort_array(words).alias("w"))
-        .select(F.inline(marked))
+        inline_rows(df.select(F.sort_array(words).alias("w")), [], marked, "token")
         .groupBy("token")
         .agg(F.count("*").alias("n_rows"), F.sum("first").alias("n_docs"))
     )
@@ -39,7 +39,7 @@ def unknown_word_ratio(df: DataFrame, key: str, words: Column, vocab: DataFrame,
 
     A token missing from `vocab` (fitted on another batch) is unknown as well.
     """
-    rows = df.select(key, F.explode(words).alias("token"))
+    rows = explode_rows(df, [key], words, "token")
     known = vocab.where(F.col("n_docs") >= min_docs).select("token", "n_rows", F.lit(1).alias("known"))
     return (
         skew_join(rows, known, ["token"], "n_rows", "left")
@@ -52,7 +52,7 @@ def unknown_word_ratio(df: DataFrame, key: str, words: Column, vocab: DataFrame,
 def _bigrams(df: DataFrame, words: Column, *keep: str) -> DataFrame:
     n = F.greatest(F.size(words) - 1, F.lit(0))
     pairs = F.arrays_zip(F.slice(words, 1, n).alias("w1"), F.slice(words, 2, n).alias("w2"))
-    return df.select(*keep, F.explode(pairs).alias("b")).select(*keep, F.col("b.w1"), F.col("b.w2"))
+    return inline_rows(df, list(keep), pairs, "w1")
 
 
 def bigram_model(df: DataFrame, words: Column) -> DataFrame:

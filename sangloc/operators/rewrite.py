@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sangloc.functions.text import strip_special, trim_space, wrap_html
+from sangloc.operators.generate import inline_rows
 
 # Prompts, headings of the queue and headings of an answer.
 PROMPT_WITH_TITLE = (
@@ -110,7 +111,7 @@ def parse_rewrite(df: DataFrame, keys: list[str], text: str = "text") -> DataFra
             F.lit(NO_HEADING).alias("error"),
         )
     )
-    return df.select(*keys, F.inline(F.when(last > 0, rows).otherwise(none)))
+    return inline_rows(df, list(keys), F.when(last > 0, rows).otherwise(none), "pos")
 
 
 def rewritten_fields(parsed: DataFrame, key: str) -> DataFrame:

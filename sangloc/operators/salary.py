@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sangloc.functions.money import amounts, money_text
 from sangloc.functions.text import html_to_text
+from sangloc.operators.generate import inline_rows
 
 UNITS = ("vnd", "usd", "vnd/hour", "vnd/day")
 
@@ -31,4 +32,4 @@ def extract_salary(sections: DataFrame, text: str = "text") -> DataFrame:
 
     rows = F.filter(F.array(*[summary(u) for u in UNITS]), lambda s: s["n_amounts"] > 0)
     keep = [c for c in sections.columns if c != text]
-    return found.select(*keep, F.explode(rows).alias("s")).select(*keep, "s.*")
+    return inline_rows(found, keep, rows, "unit")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sangloc.functions.metrics import PAIR_STOPWORDS, pair_tfidf_cosine, term_cosine
 from sangloc.functions.text import word_terms
+from sangloc.operators.generate import explode_rows, inline_rows
 from sangloc.operators.joins import dim_join, skew_join
 
 # BM25 constants and mixing weights.
@@ -32,7 +33,7 @@ def match_score(title: Column, body: Column, title_words: Column, body_words: Co
 def _bm25_parts(docs: DataFrame, words: str) -> tuple[DataFrame, Column, Column]:
     """Document frequency table, number of documents and mean length."""
     df_table = (
-        docs.select(F.explode(F.array_distinct(words)).alias("term"))
+        explode_rows(docs, [], F.array_distinct(words), "term")
         .groupBy("term")
         .agg(F.count("*").alias("n_docs"))
     )
@@ -60,9 +61,8 @@ def bm25_score(df: DataFrame, key: str, title_words: str, body_words: str) -> Da
             F.size(F.filter(F.col(body_words), lambda x: x == t)).alias("tf"),
         ),
     )
-    terms = df.select(
-        key, F.size(body_words).alias("len"), F.explode(F.filter(counted, lambda c: c["tf"] > 0)).alias("c")
-    ).select(key, "len", F.col("c.*"))
+    length = F.size(body_words).alias("len")
+    terms = inline_rows(df, [key, length], F.filter(counted, lambda c: c["tf"] > 0), "term")
     score = _term_score(F.col("tf"), F.col("len"), F.col("n_docs"), n, mean_len)
     # every (row, title term) is counted at most once per document holding the term
     weighted = df_table.withColumn("n_rows", F.col("n_docs"))
@@ -89,13 +89,13 @@ def bm25_top_k(
     """
     df_table, n, mean_len = _bm25_parts(docs, words)
     asked = (
-        queries.select(query_key, F.explode(query_words).alias("term"))
+        explode_rows(queries, [query_key], query_words, "term")
         .groupBy(query_key, "term")
         .agg(F.count("*").alias("qtf"))
     )
     vocab = asked.select("term").distinct().join(df_table, "term")
     counted = (
-        dim_join(docs.select(doc_key, F.size(words).alias("len"), F.explode(words).alias("term")), vocab, "term", "inner")
+        dim_join(explode_rows(docs, [doc_key, F.size(words).alias("len")], words, "term"), vocab, "term", "inner")
         .groupBy(doc_key, "term", "len", "n_docs")
         .agg(F.count("*").alias("tf"))
     )

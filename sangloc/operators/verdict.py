@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sangloc.operators.generate import inline_rows
 from sangloc.operators.rules import numbered_lines
 
 # Labels and texts of the verdict.
@@ -126,7 +127,7 @@ def repaired_fields(df: DataFrame, key: str = "post_id") -> DataFrame:
         ]
     )
     changed = F.filter(pairs, lambda p: ~p["original"].eqNullSafe(p["repaired"]))
-    return df.select(key, F.inline(changed))
+    return inline_rows(df, [key], changed, "field")
 
 
 def violations(df: DataFrame, key: str = "post_id") -> DataFrame:
@@ -141,4 +142,4 @@ def violations(df: DataFrame, key: str = "post_id") -> DataFrame:
             if f"{r}_count" in df.columns
         ]
     )
-    return df.select(key, F.inline(F.filter(rows, lambda x: x["count"] > 0)))
+    return inline_rows(df, [key], F.filter(rows, lambda x: x["count"] > 0), "rule_id")

@@ -23,6 +23,7 @@ from sangloc.operators import (
     title_rules,
     verdict,
 )
+from sangloc.operators.generate import explode_rows, inline_rows
 from sangloc.plans.moderation import first_stage, moderate, section_texts, second_stage
 from sangloc.sources import lexicons, postings, sinks, views
 from sangloc.streaming.moderation import moderate_stream
@@ -44,7 +45,7 @@ def query(name: str) -> Callable[[Query], Query]:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return views.table(spark, folder, "documents")
+    return views.text_table(spark, folder, "documents")
 
 
 def _on_documents(name: str, **columns: Callable[[Column], Column]) -> None:
@@ -141,7 +142,7 @@ def write_moderated(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("html_to_text")
 def html_to_text(spark: SparkSession, folder: str) -> DataFrame:
-    return views.table(spark, folder, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+    return views.text_table(spark, folder, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
 @query("compose_unicode")
@@ -228,7 +229,7 @@ def location_mentions(spark: SparkSession, folder: str) -> DataFrame:
     posts = views.busy_postings(spark, folder)
     whole = F.concat_ws(" ", "title", "description", text.html_to_text(F.col("benefits")), "address")
     df = lexicon.location_mentions(posts, "post_id", text.bare_tokens(whole), dims.places)
-    return df.select("post_id", F.inline("places")).select("post_id", "kind", "words")
+    return inline_rows(df, ["post_id"], "places", "words")
 
 
 @query("topic_overlap")
@@ -271,7 +272,7 @@ def match_district_of_province(spark: SparkSession, folder: str) -> DataFrame:
     df = places.match_district_of_province(
         _supplier_places(spark, folder), "s_suppkey", F.col("a"), F.col("address"), "province", dims.district_province
     )
-    return df.select("s_suppkey", F.explode("address_districts").alias("district"))
+    return explode_rows(df, ["s_suppkey"], "address_districts", "district")
 
 
 # --- rules -------------------------------------------------------------------------------

@@ -18,6 +18,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows are costly to process.
+
+    A handful of files cannot feed all cores, so rows are dealt out first; with as many
+    files as cores, as on a cluster, the scan is used as it is.
+    """
+    df = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _words(first: int, last: int) -> str:
     return f"array_join(slice(split(d.text, '[\\\\s\\\\p{{{{Z}}}}]+'), {first}, {last - first + 1}), ' ')"
 
@@ -87,7 +98,7 @@ def _postings(spark: SparkSession, folder: str) -> DataFrame:
     columns = POSTING_COLUMNS.format(TITLE=_words(1, 12), REQ=_words(13, 52), BEN=_words(53, 92))
     return spark.sql(
         f"SELECT {columns} FROM {{d}} d JOIN {{n}} n ON n.n_nationkey = d.doc_id % 25",
-        d=table(spark, folder, "documents"),
+        d=text_table(spark, folder, "documents"),
         n=table(spark, folder, "nation"),
     )
 
@@ -182,7 +193,7 @@ def supplier_addresses(spark: SparkSession, folder: str) -> DataFrame:
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
     """(conv_id, turn, text): conversation turns dressed as rewritten postings."""
-    return table(spark, folder, "conversations").selectExpr(
+    return text_table(spark, folder, "conversations").selectExpr(
         "conv_id",
         "turn",
         ANSWER_TEXT,
