@@ -157,17 +157,17 @@ SELECT id AS s_suppkey, name AS district FROM district_hit"""
 
 # --- rules: name -> (extra CTEs, source, count, message, extra columns) --------------------
 
-RULE: dict[str, tuple[str, str, str, str, str]] = {}
+RULE: dict[str, tuple[tuple[str, ...], str, str, str, str]] = {}
 
 
-def simple(name: str, condition: str, message: str, extra: str = "", ctes: str = "", source: str = "t") -> None:
+def simple(name: str, condition: str, message: str, extra: str = "", ctes: tuple[str, ...] = (), source: str = "t") -> None:
     RULE[name] = (ctes, source, f"CAST(coalesce(({condition}), false) AS INTEGER)", q(message), extra)
 
 
 BAD = "len(list_filter(string_split(city_codes, ','), lambda x: NOT coalesce(TRY_CAST(trim(x) AS INTEGER) BETWEEN 1 AND 63, false)))"
 CODE_COUNT = f"CASE WHEN city_codes IS NULL THEN 1 WHEN a.alias IS NOT NULL OR {BAD} = 0 THEN {BAD} ELSE 1 END"
 RULE["province_code"] = (
-    f.ALIASES,
+    (f.ALIASES,),
     "t LEFT JOIN aliases a ON a.alias = lower(trim(t.province))",
     f"CAST({CODE_COUNT} AS INTEGER)",
     f"CASE WHEN city_codes IS NULL THEN '{place_rules.MSG_NO_PROVINCE}' WHEN a.alias IS NULL THEN '{place_rules.MSG_BAD_PROVINCE}' ELSE '' END",
@@ -176,7 +176,7 @@ RULE["province_code"] = (
 NATION_A = "lower(trim(address)) IN ('toàn quốc', 'tuyển dụng toàn quốc')"
 NATION_P = "contains(lower(province), 'toàn quốc')"
 RULE["nationwide"] = (
-    "", "t", f"CAST({NATION_A} OR {NATION_P} AS INTEGER)",
+    (), "t", f"CAST({NATION_A} OR {NATION_P} AS INTEGER)",
     f"concat_ws(chr(10), CASE WHEN {NATION_A} THEN '{place_rules.MSG_ADDRESS_NATIONWIDE}' END, "
     f"CASE WHEN {NATION_P} THEN '{place_rules.MSG_PROVINCE_NATIONWIDE}' END)", "",
 )
@@ -189,15 +189,15 @@ simple(
     "NOT regexp_matches(s[1], 'tòa|khu|kcn|cụm|ccn|lô|chung cư|plaza|tầng|lầu|số') AND CASE WHEN len(s) > 1 "
     "THEN NOT regexp_matches(s[1], '[0-9]') AND NOT regexp_matches(s[2], '[0-9]|số') AND len(s) < 4 "
     "ELSE NOT regexp_matches(regexp_replace(s[1], '(phường|quận|p|q)[ .][0-9]{1,2}', ' ', 'g'), '[0-9]') END",
-    place_rules.MSG_NO_DETAIL, ", address_detail", DETAIL, "detail2",
+    place_rules.MSG_NO_DETAIL, ", address_detail", (DETAIL,), "detail2",
 )
 NO_ACCENT = f"(address_detail = '' OR address_detail = {f.fold('address_detail')})"
 simple(
     "multi_address",
     f"NOT {NO_ACCENT} AND list_has_any({f.tokens('replace(' + f.rx('address_detail', place_rules.LOCATION_WORDS) + chr(44) + chr(39) + ',' + chr(39) + chr(44) + chr(39) + ' ' + chr(39) + ')')}, ['và', 'hoặc'])",
-    place_rules.MSG_MANY_ADDRESSES, "", DETAIL, "detail2",
+    place_rules.MSG_MANY_ADDRESSES, "", (DETAIL,), "detail2",
 )
-simple("address_missing", NO_ACCENT, place_rules.MSG_NO_ADDRESS, "", DETAIL, "detail2")
+simple("address_missing", NO_ACCENT, place_rules.MSG_NO_ADDRESS, "", (DETAIL,), "detail2")
 simple(
     "employment_type",
     f.has(f.rx("lower(employment)", r"[^\p{L}\p{N}\s\p{Z}]"), "bán thời gian|việc làm từ xa|parttime|học việc"),
@@ -215,7 +215,7 @@ w_counts AS (SELECT id, count(DISTINCT words) FILTER (kind = 'workplace') AS nw,
     count(DISTINCT words) FILTER (kind = 'province') AS np FROM w_walk GROUP BY id)"""
 simple(
     "many_workplaces", "nw > 0 AND (nd > 1 OR np > 1)", pay_rules.MSG_MANY_PLACES, "",
-    f"{f.PLACES}, {WORKPLACES}", "t LEFT JOIN w_counts c ON c.id = t.post_id",
+    (f.PLACES, WORKPLACES), "t LEFT JOIN w_counts c ON c.id = t.post_id",
 )
 AMOUNTS = f"""
 money AS ({' UNION ALL '.join(f"SELECT post_id AS id, '{s}' AS section, {f.money_text(f'{s}_text')} AS t FROM t" for s in SECTIONS)}
@@ -227,12 +227,12 @@ content AS (SELECT id, count(*) AS n, count(*) FILTER (kind = 'range') AS nr, co
     FROM amounts WHERE section <> 'declared' GROUP BY id),
 pay AS (SELECT t.post_id, t.money_str, coalesce(dr, 0) AS dr, coalesce(ds, 0) AS ds, coalesce(n, 0) AS n, coalesce(nr, 0) AS nr,
     coalesce(ns, 0) AS ns FROM t LEFT JOIN declared d ON d.id = t.post_id LEFT JOIN content c ON c.id = t.post_id)"""
-simple("negotiable_but_paid", "trim(money_str) = 'Thỏa thuận' AND n > 0", pay_rules.MSG_NEGOTIABLE_PAID, "", AMOUNTS, "pay")
+simple("negotiable_but_paid", "trim(money_str) = 'Thỏa thuận' AND n > 0", pay_rules.MSG_NEGOTIABLE_PAID, "", (AMOUNTS,), "pay")
 simple(
-    "salary_absent", "dr > 0 AND n = 0 AND NOT contains(lower(money_str), 'tr')", pay_rules.MSG_NO_PAY, "", AMOUNTS, "pay"
+    "salary_absent", "dr > 0 AND n = 0 AND NOT contains(lower(money_str), 'tr')", pay_rules.MSG_NO_PAY, "", (AMOUNTS,), "pay"
 )
-simple("many_salaries", "n > 1", pay_rules.MSG_MANY_PAYS, "", AMOUNTS, "pay")
-CONFLICT = f"""{AMOUNTS},
+simple("many_salaries", "n > 1", pay_rules.MSG_MANY_PAYS, "", (AMOUNTS,), "pay")
+CONFLICT = """
 differing AS (SELECT c.id, c.kind, count(*) AS n_diff FROM (
     SELECT c.id, c.kind, c.section, bool_or(c.unit = d.unit AND c.low = d.low AND c.high = d.high) AS same
     FROM amounts c JOIN (SELECT id, kind, first(unit) AS unit, first(low) AS low, first(high) AS high FROM amounts
@@ -241,7 +241,7 @@ differing AS (SELECT c.id, c.kind, count(*) AS n_diff FROM (
 conflict AS (SELECT p.*, coalesce(x.n_diff, 0) AS diff_r, coalesce(y.n_diff, 0) AS diff_s FROM pay p
     LEFT JOIN differing x ON x.id = p.post_id AND x.kind = 'range' LEFT JOIN differing y ON y.id = p.post_id AND y.kind = 'single')"""
 RULE["salary_conflict"] = (
-    CONFLICT, "conflict",
+    (AMOUNTS, CONFLICT), "conflict",
     "CAST(CASE WHEN dr > 0 THEN CASE WHEN nr > 0 THEN diff_r ELSE CAST(ns > 0 AS INTEGER) END "
     "WHEN trim(money_str) = 'Thỏa thuận' THEN CAST(n > 0 AS INTEGER) WHEN nr > 0 THEN 1 WHEN ds > 0 THEN diff_s "
     "ELSE CAST(ns > 0 AS INTEGER) END AS INTEGER)",
@@ -263,7 +263,7 @@ dd AS (SELECT *, NOT missing AND ap IS NOT NULL AND coalesce(ap = dp, false) AND
     NOT missing AND ap IS NOT NULL AND NOT coalesce(ap = dp, false) AS elsewhere, NOT missing AND ap IS NULL AND dp IS NULL AS unk,
     CASE WHEN NOT missing AND ap IS NULL THEN n_other ELSE 0 END AS other FROM dc)"""
 RULE["district_province"] = (
-    f"{f.ALIASES}, {DISTRICT}", "dd",
+    (f.ALIASES, DISTRICT), "dd",
     "CAST(many::INT + missing::INT + absent::INT + elsewhere::INT + unk::INT + other AS INTEGER)",
     f"concat_ws(chr(10), CASE WHEN many THEN '{place_rules.MSG_MANY_DISTRICTS}' END, CASE WHEN missing THEN '{place_rules.MSG_NO_PLACE}' END, "
     f"CASE WHEN absent THEN '{place_rules.MSG_DISTRICT_ABSENT}' END, CASE WHEN elsewhere THEN '{place_rules.MSG_OTHER_PROVINCE}' END, "
@@ -278,7 +278,7 @@ def keywords(words: list[str]) -> str:
 
 
 RULE["company_banned_words"] = (
-    "", "t", f"{keywords(['tuyển dụng', 'tìm việc làm', 'việc làm'])} + CAST(company = '' AS INTEGER)",
+    (), "t", f"{keywords(['tuyển dụng', 'tìm việc làm', 'việc làm'])} + CAST(company = '' AS INTEGER)",
     f"CASE WHEN company = '' THEN '{MSG_NO_COMPANY}' ELSE '' END", "",
 )
 FORMS = ["công ty cổ phần", "công ty cp", "công ty", "tập đoàn", "trung tâm", "hệ thống", "cty", "group", "tnhh",
@@ -296,27 +296,29 @@ def hits(c: str, patterns: list[str]) -> str:
     return " + ".join(f"CAST({f.has(c, '(?i)' + p)} AS INTEGER)" for p in patterns)
 
 
+TOWN = "town AS (SELECT * FROM places WHERE kind <> 'workplace')"
+
+
 def title_rule(name: str, title: str, source: str) -> None:
     """R9 rule `name` on the column `title` of `source`."""
     if name == "title_phone":
         n = hits(title, PHONES)
-        RULE[name] = ("", source, f"CAST({n} AS INTEGER)", q(title_rules.MSG_PHONE),
+        RULE[name] = ((), source, f"CAST({n} AS INTEGER)", q(title_rules.MSG_PHONE),
                       f", CASE WHEN {n} > 0 THEN {f.rx(title, '|'.join(PHONES))} ELSE {title} END AS title_fixed")
     elif name == "title_special":
         simple(name, f"{f.strip_special(title)} <> {title}", title_rules.MSG_SPECIAL,
-               f", {f.strip_special(title)} AS title_fixed", "", source)
+               f", {f.strip_special(title)} AS title_fixed", (), source)
     elif name == "title_branch":
         simple(name, f"contains(lower({title}), 'chi nhánh')", title_rules.MSG_BRANCH,
-               f", {f.strip_phrase(title, 'chi nhánh')} AS title_fixed", "", source)
+               f", {f.strip_phrase(title, 'chi nhánh')} AS title_fixed", (), source)
     elif name == "title_place":
-        ctes = f"""{f.PLACES}, town AS (SELECT * FROM places WHERE kind <> 'workplace'),
-        {mentions(title, source, 'h', 'town')},
+        ctes = f"""{mentions(title, source, 'h', 'town')},
         h_names AS (SELECT id, count(DISTINCT words) AS n, bool_or(kind = 'province') AS np, bool_or(kind = 'district') AS nd FROM h_walk GROUP BY id),
         h_all AS (SELECT post_id AS id, unnest({f.tokens(title)}) AS tok, unnest(range(1, len({f.tokens(title)}) + 1)) AS pos FROM {source}),
         h_cov AS (SELECT id, unnest(range(pos, pos + n)) AS pos FROM h_walk),
         h_left AS (SELECT id, string_agg(tok, ' ' ORDER BY pos) AS rest FROM h_all ANTI JOIN h_cov USING (id, pos) GROUP BY id)"""
         RULE[name] = (
-            ctes, f"{source} LEFT JOIN h_names hn ON hn.id = {source}.post_id LEFT JOIN h_left hl ON hl.id = {source}.post_id",
+            (f.PLACES, TOWN, ctes), f"{source} LEFT JOIN h_names hn ON hn.id = {source}.post_id LEFT JOIN h_left hl ON hl.id = {source}.post_id",
             "CAST(coalesce(n, 0) AS INTEGER)",
             f"concat_ws(chr(10), CASE WHEN np THEN '{title_rules.MSG_TITLE_PROVINCE}' END, CASE WHEN nd THEN '{title_rules.MSG_TITLE_DISTRICT}' END)",
             f", CASE WHEN n > 0 THEN coalesce(rest, '') ELSE {title} END AS title_fixed",
@@ -328,15 +330,15 @@ def title_rule(name: str, title: str, source: str) -> None:
             ctes.append(f"ts{i + 1} AS (SELECT *, {f.rx(prev, '(?i)' + p, ' ')} AS s{i + 1}, CAST({f.has(prev, '(?i)' + p)} AS INTEGER) AS c{i + 1} FROM {last})")
             last = f"ts{i + 1}"
         n = " + ".join(f"c{i + 1}" for i in range(len(PAY)))
-        RULE[name] = (", ".join(ctes), last, f"CAST({n} AS INTEGER)", q(title_rules.MSG_TITLE_PAY),
+        RULE[name] = (tuple(ctes), last, f"CAST({n} AS INTEGER)", q(title_rules.MSG_TITLE_PAY),
                       f", CASE WHEN {n} > 0 THEN {f.squeeze(f's{len(PAY)}')} ELSE {title} END AS title_fixed")
 
 
 for _name in RULES_OF_LABEL[9]:
     title_rule(_name, "title", "t")
 RULE["title_index"] = (
-    f"{f.PLACES}, town AS (SELECT * FROM places WHERE kind <> 'workplace'), {mentions('title', 't', 'h', 'town')}, "
-    "h_names AS (SELECT id, count(DISTINCT words) AS n FROM h_walk GROUP BY id)",
+    (f.PLACES, TOWN, mentions('title', 't', 'h', 'town'),
+     "h_names AS (SELECT id, count(DISTINCT words) AS n FROM h_walk GROUP BY id)"),
     "t LEFT JOIN h_names hn ON hn.id = t.post_id",
     f"CAST({hits('title', PHONES)} + CAST(regexp_matches(title, {q(r'[!@#$%^&*()?' + chr(34) + r':;{}|<>_=/+\\]')}) AS INTEGER) "
     f"+ CAST(contains(lower(title), 'chi nhánh') AS INTEGER) + coalesce(n, 0) + {hits('title', [PAY[0], '[0-9]{1,2} ?(triệu|tr)'])} AS INTEGER)",
@@ -345,7 +347,7 @@ RULE["title_index"] = (
 LEFT = " + ".join(f"length({s}_fixed)" for s in SECTIONS)
 RATIO_COUNT = f"CASE WHEN chars = 0 OR {LEFT} = 0 THEN 2 WHEN CAST(specials AS DOUBLE) / chars >= 0.05 THEN 1 ELSE 0 END"
 RULE["special_ratio"] = (
-    RATIO, "fixed", RATIO_COUNT,
+    (RATIO,), "fixed", RATIO_COUNT,
     f"CASE WHEN {RATIO_COUNT} = 2 THEN '{content_rules.MSG_NO_SECTIONS}' ELSE '{content_rules.MSG_SPECIAL_RATIO}' END", "",
 )
 
@@ -379,21 +381,23 @@ def cosines(source: str, title: str, body: str, prefix: str, stop: bool) -> str:
 
 
 SCORE = "0.75 * coalesce(cosine, 0) + 0.25 * coalesce(tfidf, 0)"
-MISMATCH = f"{f.STOP}, {cosines('t', 'title', 'description_text', 'm', True)}"
+MISMATCH = (f.STOP, cosines("t", "title", "description_text", "m", True))
 simple(
     "title_body_mismatch", f"{SCORE} < 0.3", content_rules.MSG_MISMATCH, "", MISMATCH,
     "t LEFT JOIN m_cos c ON c.id = t.post_id LEFT JOIN m_tfidf f ON f.id = t.post_id",
 )
 simple(
     "topic_mismatch", "topic_hits = 0", content_rules.MSG_TOPIC, "",
-    f"{f.TOPICS}, {TOPIC_HITS.replace('BODY', 'description_text')}", "topic_hits",
+    (f.TOPICS, TOPIC_HITS.replace("BODY", "description_text")), "topic_hits",
 )
 
-for _name, (_ctes, _source, _count, _message, _extra) in RULE.items():
-    ORACLE[f"rule_{_name}"] = (
-        f"WITH RECURSIVE {f.BUSY}{', ' if _ctes else ''}{_ctes} SELECT post_id, {_count} AS violations, "
-        f"CASE WHEN {_count} > 0 THEN {_message} ELSE '' END AS message{_extra} FROM {_source}"
-    )
+def rule_select(name: str) -> str:
+    _, source, count, message, extra = RULE[name]
+    return f"SELECT post_id, {count} AS violations, CASE WHEN {count} > 0 THEN {message} ELSE '' END AS message{extra} FROM {source}"
+
+
+for _name in RULE:
+    ORACLE[f"rule_{_name}"] = f"WITH RECURSIVE {', '.join((f.BUSY, *RULE[_name][0]))} {rule_select(_name)}"
 
 SIM = f"{f.BUSY}, {cosines('t', 'title', 'description', 'm', False)}"
 ORACLE["pair_tfidf_cosine"] = f"WITH {SIM} SELECT post_id, round(tfidf, 6) AS tfidf FROM t LEFT JOIN m_tfidf ON id = post_id"
@@ -426,7 +430,7 @@ FROM t LEFT JOIN bm25 b ON b.id = post_id LEFT JOIN m_cos c ON c.id = post_id"""
 ORACLE["bm25_top_k"] = f"""
 WITH ds AS (SELECT doc_id AS id, {f.bare_tokens('text')} AS w FROM documents),
 asks AS (SELECT item_id AS qid, {f.bare_tokens('text')} AS w FROM benchmark), {bm25('ds', 'asks', 'true')}
-SELECT qid AS item_id, id AS doc_id, CAST(r AS INTEGER) AS rank, round(x, 4) AS bm25
+SELECT qid AS item_id, id AS doc_id, CAST(r AS INTEGER) AS rank, x AS bm25
 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x DESC, id) AS r FROM (SELECT qid, id, round(s, 6) AS x FROM bm25)) WHERE r <= 5"""
 COS = (
     "list_sum(list_transform(range(1, len({a}) + 1), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)))"
@@ -534,3 +538,179 @@ ORACLE["rule_label_agreement"] = f"""
 WITH {read_parts('documents', 'doc_id')}, x AS (SELECT score < 30 OR score > 80 AS poor, quality = 1 AS good FROM rd JOIN labels USING (doc_id))
 SELECT count(*) FILTER (poor AND NOT good) AS poor_and_bad, count(*) FILTER (poor AND good) AS poor_but_good,
   count(*) FILTER (NOT poor AND NOT good) AS fine_but_bad, count(*) FILTER (NOT poor AND good) AS fine_and_good FROM x"""
+
+# --- the whole moderation ------------------------------------------------------------------
+
+FIRST = [r for label in range(1, 9) for r in RULES_OF_LABEL[label]]
+TITLE_CHAIN = RULES_OF_LABEL[9]
+
+
+def distinct_blocks(names: list[str]) -> list[str]:
+    blocks: list[str] = []
+    for name in names:
+        blocks += [b for b in RULE[name][0] if b not in blocks]
+    return blocks
+
+
+def stage(name: str) -> str:
+    return f"r_{name} AS ({rule_select(name)})"
+
+
+def label_sum(labels: list[int]) -> str:
+    return " + ".join(
+        (lambda s: f"least({s}, 1)" if label in (2, 12) else f"({s})")(" + ".join(f"{r}_n" for r in RULES_OF_LABEL[label]))
+        for label in labels
+    )
+
+
+def moderation() -> str:
+    """CTEs up to `final`: one row per posting with `<rule>_n`, `<rule>_m` and repaired columns."""
+    ctes = [f.BUSY, *distinct_blocks(FIRST), *map(stage, FIRST)]
+    joined = " ".join(f"JOIN r_{r} USING (post_id)" for r in FIRST)
+    columns = ", ".join(f"r_{r}.violations AS {r}_n, r_{r}.message AS {r}_m" for r in FIRST)
+    ctes.append(f"stage1 AS (SELECT t.*, city_codes_fixed, district_fixed, {columns} FROM t {joined})")
+    broken = " + ".join(f"{r}_n" for label in (2, 3, 4, 5, 8) for r in RULES_OF_LABEL[label])
+    ctes.append(f"judged AS (SELECT *, ({broken}) > 0 OR company = '' AS returned FROM stage1)")
+    wide = "(tuyển dụng )?toàn quốc"
+    ctes.append(
+        f"t2 AS (SELECT * REPLACE ({f.strip_phrase('title', wide)} AS title, {f.strip_phrase('description_text', wide)} AS description_text) "
+        "FROM judged WHERE NOT returned)"
+    )
+    source = "t2"
+    saved = dict(RULE)
+    for name in TITLE_CHAIN:
+        title_rule(name, "title", source)
+        ctes += [b for b in RULE[name][0] if b not in ctes]
+        ctes.append(stage(name))
+        ctes.append(f"after_{name} AS (SELECT post_id, title_fixed AS title FROM r_{name})")
+        source = f"after_{name}"
+    RULE.update(saved)
+    ratio = RATIO.replace("FROM t)", "FROM t2)")
+    ctes += [ratio, stage("special_ratio")]
+    ctes.append(
+        f"m_in AS (SELECT post_id, {f.html(source + '.title')} AS title, description_fixed AS body FROM fixed JOIN {source} USING (post_id))"
+    )
+    ctes += [f.STOP, cosines("m_in", "title", "body", "m", True)]
+    ctes.append(
+        f"mismatch AS (SELECT post_id, CAST({SCORE} < 0.3 AS INTEGER) AS violations FROM m_in LEFT JOIN m_cos c ON c.id = post_id LEFT JOIN m_tfidf f ON f.id = post_id)"
+    )
+    forms = " UNION ALL ".join(f"SELECT post_id || '/{s}' AS k, post_id, '{s}' AS section, {f.poor_form(s + '_fixed')} AS text FROM fixed" for s in SECTIONS)
+    ctes.append(f"forms AS ({forms})")
+    ctes.append(poor("forms", "k"))
+    flags = ", ".join(f"bool_or(section = '{s}' AND is_poor) AS {s}_poor" for s in SECTIONS)
+    ctes.append(f"poor_flags AS (SELECT post_id, {flags} FROM forms JOIN poor USING (k) GROUP BY post_id)")
+    title_cols = ", ".join(f"coalesce(r_{r}.violations, 0) AS {r}_n, coalesce(r_{r}.message, '') AS {r}_m" for r in TITLE_CHAIN)
+    fixed_cols = ", ".join(
+        f"CASE WHEN r_special_ratio.violations = 1 THEN fixed.{s}_fixed ELSE judged.{s} END AS {s}_fixed, coalesce({s}_poor, false) AS {s}_poor"
+        for s in SECTIONS
+    )
+    lines = ", ".join(f"CASE WHEN {s}_poor THEN {q(content_rules.MSG_POOR[s])} END" for s in SECTIONS)
+    ctes.append(
+        f"final AS (SELECT judged.*, {title_cols}, {fixed_cols}, "
+        f"CASE WHEN judged.returned THEN judged.title ELSE {source}.title END AS title_fixed, "
+        "coalesce(r_special_ratio.violations, 0) AS special_ratio_n, coalesce(r_special_ratio.message, '') AS special_ratio_m, "
+        f"coalesce(mismatch.violations, 0) AS title_body_mismatch_n, CASE WHEN mismatch.violations > 0 THEN {q(content_rules.MSG_MISMATCH)} ELSE '' END AS title_body_mismatch_m, "
+        "CAST(coalesce(description_poor OR requirements_poor OR benefits_poor, false) AS INTEGER) AS poor_text_n, "
+        f"concat_ws(chr(10), {lines}) AS poor_text_m "
+        f"FROM judged {' '.join(f'LEFT JOIN r_{r} USING (post_id)' for r in TITLE_CHAIN)} LEFT JOIN {source} USING (post_id) "
+        "LEFT JOIN r_special_ratio USING (post_id) LEFT JOIN fixed USING (post_id) LEFT JOIN mismatch USING (post_id) LEFT JOIN poor_flags USING (post_id))"
+    )
+    ctes.append(
+        f"done AS (SELECT *, CAST(CASE WHEN returned THEN {label_sum(list(range(1, 9)))} ELSE {label_sum(list(range(1, 13)))} END AS INTEGER) AS num_error, "
+        f"CASE WHEN returned THEN 0 WHEN special_ratio_n = 1 OR title_body_mismatch_n > 0 OR poor_text_n > 0 THEN 4 "
+        f"WHEN {' + '.join(r + '_n' for r in TITLE_CHAIN)} > 0 THEN 2 ELSE 1 END AS status FROM final)"
+    )
+    return "WITH RECURSIVE " + ",\n".join(ctes)
+
+
+MODERATED = moderation()
+TEXT_OF_STATUS = "CASE status " + " ".join(f"WHEN {k} THEN {q(v)}" for k, v in STATUS_TEXT.items()) + " END"
+ORACLE["num_error"] = f"{MODERATED} SELECT post_id, returned, num_error FROM done"
+ORACLE["verdict"] = f"{MODERATED} SELECT post_id, num_error, status, {TEXT_OF_STATUS} AS status_text FROM done"
+ORACLE["moderate_stream"] = ORACLE["verdict"]
+ORACLE["worst_postings"] = f"""{MODERATED} SELECT source, post_id, CAST(r AS INTEGER) AS rank, num_error FROM
+  (SELECT *, row_number() OVER (PARTITION BY source ORDER BY num_error DESC, post_id) AS r FROM done) WHERE r <= 3"""
+
+
+def label_text(label: int) -> str:
+    rules = RULES_OF_LABEL[label]
+    if len(rules) == 1:
+        return f"{rules[0]}_m"
+    filled = f"list_filter([{', '.join(r + '_m' for r in rules)}], lambda x: x <> '')"
+    return f"array_to_string(list_transform({filled}, lambda x, i: i || ', ' || x), chr(10))"
+
+
+ORACLE["message_map"] = MODERATED + " SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT post_id, 'Điều kiện {i}' AS label, {label_text(i)} AS message FROM done{' WHERE NOT returned' if i > 8 else ''}"
+    for i in range(1, 13)
+) + ") WHERE message <> ''"
+REPAIRED = ["title", "description", "requirements", "benefits", "city_codes", "district"]
+ORACLE["repaired_fields"] = MODERATED + " " + " UNION ALL ".join(
+    f"SELECT post_id, '{c}' AS field, {c} AS original, coalesce({c}_fixed, {c}) AS repaired FROM done WHERE {c} IS DISTINCT FROM coalesce({c}_fixed, {c})"
+    for c in REPAIRED
+)
+FAILS = "title_body_mismatch_n > 0"
+ORACLE["rewrite_queue"] = f"""{MODERATED} SELECT post_id, {FAILS} AS with_title, concat_ws(chr(10),
+  CASE WHEN {FAILS} THEN {q(rewrite.PROMPT_WITH_TITLE)} ELSE {q(rewrite.PROMPT_WITHOUT_TITLE)} END,
+  CASE WHEN {FAILS} THEN 'Tiêu đề:' || chr(10) || title_fixed END,
+  CASE WHEN {FAILS} OR description_poor THEN 'Mô tả:' || chr(10) || description_fixed END,
+  CASE WHEN requirements_poor THEN 'Yêu cầu:' || chr(10) || requirements_fixed END,
+  CASE WHEN benefits_poor THEN 'Quyền lợi:' || chr(10) || benefits_fixed END) AS prompt
+FROM done WHERE {FAILS} OR description_poor OR requirements_poor OR benefits_poor"""
+
+FIRST_STAGE = f"WITH RECURSIVE {', '.join([f.BUSY, *distinct_blocks(FIRST), *map(stage, FIRST)])}"
+LONG_FORM = " UNION ALL ".join(
+    f"SELECT post_id, '{r}' AS rule_id, violations AS count, message FROM r_{r} WHERE violations > 0" for r in FIRST
+)
+ORACLE["violations"] = f"{FIRST_STAGE} {LONG_FORM}"
+ORACLE["rule_report"] = f"""{FIRST_STAGE}, v AS ({LONG_FORM})
+SELECT rule_id, source, CAST(grouping(rule_id, source) AS BIGINT) AS level, count(*) AS postings, CAST(sum(count) AS BIGINT) AS errors
+FROM v JOIN t USING (post_id) GROUP BY ROLLUP (rule_id, source)"""
+ORACLE["short_circuit"] = f"""
+WITH RECURSIVE {', '.join((f.BUSY, *MISMATCH))}, a AS ({rule_select('company_form')}), b AS ({rule_select('title_body_mismatch')})
+SELECT post_id, a.violations AS company_form_count, CASE WHEN a.violations > 0 THEN 0 ELSE b.violations END AS mismatch
+FROM a JOIN b USING (post_id)"""
+ORACLE["write_moderated"] = f"""
+WITH {f.BUSY}, a AS ({rule_select('company_form')})
+SELECT post_id, CASE WHEN violations > 0 THEN 0 ELSE 1 END AS status, '{{"post_id":' || post_id || ',"num_error":' || violations ||
+  ',"status_text":"' || CASE WHEN violations > 0 THEN {q(STATUS_TEXT[0])} ELSE {q(STATUS_TEXT[1])} END ||
+  '","message":{{"Điều kiện 8":"' || message || '"}}}}' AS response FROM a"""
+
+# --- rewriting ---------------------------------------------------------------------------
+
+NAMES = r"Tiêu\s+đề|Mô\s+tả\s+công\s+việc|Mô\s+tả|Yêu\s+cầu\s+ứng\s+viên|Yêu\s+cầu|Quyền\s+lợi"
+MARKS = r"(?:\s*\*\*|\s*:\s*\*?\*?)?\s*"
+
+
+def cut(c: str, mark: str) -> str:
+    return f"CASE WHEN contains({c}, {mark}) THEN regexp_replace(string_split({c}, {mark})[1], '\\s+$', '') ELSE {c} END"
+
+
+def parsed(source: str, keys: str) -> str:
+    """CTE `parsed(keys, pos, heading, content, error)`."""
+    return f"""
+    cut0 AS (SELECT {keys}, regexp_extract_all(text, {q('(?i)' + NAMES)}) AS hs, string_split_regex(text, {q('(?i)(?:' + NAMES + ')' + MARKS)}) AS bs FROM {source}),
+    cut1 AS (SELECT {keys}, unnest(range(1, len(hs) + 1)) AS i, unnest(hs) AS heading, unnest(bs[2:]) AS body FROM cut0 WHERE len(hs) > 0),
+    cut2 AS (SELECT {keys}, heading, min(i) AS first, arg_max({f.strip_special(cut(f.trim_space('body'), "'---'"))}, i) AS content FROM cut1 GROUP BY ALL),
+    cut3 AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY first) AS pos, count(*) OVER (PARTITION BY {keys}) AS n FROM cut2),
+    parsed AS (SELECT {keys}, CAST(pos AS INTEGER) AS pos, heading, CASE WHEN pos = n THEN {cut('content', 'chr(10) || chr(10)')} ELSE content END AS content,
+            CAST(NULL AS VARCHAR) AS error FROM cut3
+        UNION ALL SELECT {keys}, 0, NULL, NULL, {q(rewrite.NO_HEADING)} FROM cut0 WHERE len(hs) = 0)"""
+
+
+ORACLE["parse_rewrite"] = f"WITH {f.ANSWERS}, {parsed('answers', 'conv_id, turn')} SELECT * FROM parsed"
+
+
+def newest(field: str, short: str, long: str | None) -> str:
+    names = [short] + ([long] if long else [])
+    tries = ", ".join(f"(SELECT content FROM usable u WHERE u.post_id = p.post_id AND name = '{n}' ORDER BY pos LIMIT 1)" for n in names)
+    return f"coalesce('<p>' || replace(coalesce({tries}), chr(10), '<br />') || '</p>', {field}) AS {field}"
+
+
+ORACLE["merge_rewrite"] = f"""
+WITH {f.BUSY}, {f.ANSWERS}, firsts AS (SELECT conv_id AS post_id, arg_min(text, turn) AS text FROM answers GROUP BY conv_id),
+{parsed('firsts', 'post_id')},
+usable AS (SELECT post_id, pos, content, lower(regexp_replace(heading, '\\s+', ' ', 'g')) AS name FROM parsed
+    WHERE error IS NULL AND regexp_matches(heading, '^\\p{{Lu}}') AND content <> '')
+SELECT post_id, {newest('title', 'tiêu đề', None)}, {newest('description', 'mô tả', 'mô tả công việc')},
+  {newest('requirements', 'yêu cầu', 'yêu cầu ứng viên')}, {newest('benefits', 'quyền lợi', None)} FROM p"""

@@ -431,7 +431,7 @@ def bm25_top_k(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder).select("doc_id", text.bare_tokens(F.col("text")).alias("words"))
     asked = views.table(spark, folder, "benchmark").select("item_id", text.bare_tokens(F.col("text")).alias("asked"))
     return similarity.bm25_top_k(docs, "doc_id", "words", asked, "item_id", "asked").select(
-        "item_id", "doc_id", F.col("rank"), F.round("bm25", 4).alias("bm25")
+        "item_id", "doc_id", "rank", "bm25"
     )
 
 
