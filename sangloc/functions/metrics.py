@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,74 +65,95 @@ def type_token_ratio(words: Column) -> Column:
     return F.try_divide(F.size(F.array_distinct(words)).cast("double"), F.size(words))
 
 
-def _overlap(a: Column, b: Column, finish: Callable[[Column], Column]) -> Column:
-    """`finish` over the sums of term counts of two token arrays: a·b, a·a, b·b, shared parts.
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
 
-    One pass over the sorted, tagged tokens.  Within a run of equal terms all of `a`
-    precede all of `b`, so when a `b` token comes the run's count in `a` is final; a
-    squared count grows by the odd numbers 2n+1.  Costs n·log n per row, no shuffle.
-    """
-    tagged = F.sort_array(
-        F.concat(
-            F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(0).alias("side"))),
-            F.transform(b, lambda t: F.struct(t.alias("term"), F.lit(1).alias("side"))),
-        )
+
+def _uses(words: Column, term: Column) -> Column:
+    return F.size(F.filter(words, lambda x: x == term)).cast("bigint")
+
+
+def _shared_counts(a: Column, b: Column) -> Column:
+    """(in_a, in_b) for every term that two token arrays share."""
+    return F.transform(
+        F.array_intersect(a, b), lambda t: F.struct(_uses(a, t).alias("in_a"), _uses(b, t).alias("in_b"))
     )
+
+
+def _square_sum(words: Column) -> Column:
+    """Sum of squared term counts.
+
+    Equal to the number of tokens if none repeats; otherwise one pass over the sorted
+    tokens, where a squared count grows by the odd numbers 2n+1.
+    """
     zero = F.lit(0).cast("bigint")
-    start = F.struct(
-        F.lit(None).cast("string").alias("term"),
-        *[zero.alias(n) for n in ("na", "nb", "ab", "aa", "bb", "shared_aa", "shared_bb")],
-    )
+    start = F.struct(F.lit(None).cast("string").alias("term"), zero.alias("n"), zero.alias("total"))
 
     def step(acc: Column, x: Column) -> Column:
-        same = acc.term.eqNullSafe(x.term)
-        na = F.when(same, acc.na).otherwise(zero)
-        nb = F.when(same, acc.nb).otherwise(zero)
-        left = x.side == 0
-        return F.struct(
-            x.term.alias("term"),
-            F.when(left, na + 1).otherwise(na).alias("na"),
-            F.when(left, nb).otherwise(nb + 1).alias("nb"),
-            F.when(left, acc.ab).otherwise(acc.ab + na).alias("ab"),
-            F.when(left, acc.aa + 2 * na + 1).otherwise(acc.aa).alias("aa"),
-            F.when(left, acc.bb).otherwise(acc.bb + 2 * nb + 1).alias("bb"),
-            F.when(~left & (nb == 0), acc.shared_aa + na * na).otherwise(acc.shared_aa).alias("shared_aa"),
-            F.when(~left & (na > 0), acc.shared_bb + 2 * nb + 1).otherwise(acc.shared_bb).alias("shared_bb"),
-        )
+        n = F.when(acc.term.eqNullSafe(x), acc.n).otherwise(zero)
+        return F.struct(x.alias("term"), (n + 1).alias("n"), (acc.total + 2 * n + 1).alias("total"))
+
+    size = F.size(words).cast("bigint")
+    return F.when(F.size(F.array_distinct(words)) == F.size(words), size).otherwise(
+        F.aggregate(F.sort_array(words), start, step, lambda acc: acc.total)
+    )
+
 
-    return F.aggregate(tagged, start, step, finish)
+def _cosine(dot: Column, aa: Column, bb: Column) -> Column:
+    return F.try_divide(dot.cast("double"), F.sqrt(aa.cast("double") * bb.cast("double")))
 
 
 def term_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the term-count vectors of two token arrays; null if one is empty."""
-    return _overlap(
-        a, b, lambda s: F.try_divide(s.ab.cast("double"), F.sqrt(s.aa.cast("double") * s.bb.cast("double")))
-    )
+    """Cosine of the term-count vectors of two token arrays; null if one is empty.
+
+    Like the other pair functions it reads `a` and `b` inside lambdas: pass plain columns.
+    """
+    dot = _sum(F.transform(_shared_counts(a, b), lambda c: c["in_a"] * c["in_b"]))
+    return _cosine(dot, _square_sum(a), _square_sum(b))
 
 
 def pair_tfidf_cosine(a: Column, b: Column) -> Column:
     """TF-IDF cosine with the idf fitted on just these two token arrays."""
     lone = F.lit(LONE_IDF * LONE_IDF)
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("ab"), zero.alias("aa"), zero.alias("bb"))
+    shared = F.aggregate(
+        _shared_counts(a, b),
+        start,
+        lambda acc, c: F.struct(
+            (acc.ab + c["in_a"] * c["in_b"]).alias("ab"),
+            (acc.aa + c["in_a"] * c["in_a"]).alias("aa"),
+            (acc.bb + c["in_b"] * c["in_b"]).alias("bb"),
+        ),
+    )
 
-    def finish(s: Column) -> Column:
-        aa = lone * (s.aa - s.shared_aa) + s.shared_aa
-        bb = lone * (s.bb - s.shared_bb) + s.shared_bb
-        return F.try_divide(s.ab.cast("double"), F.sqrt(aa * bb))
+    def norm(words: Column, part: str) -> Column:
+        return lone * (_square_sum(words) - shared[part]) + shared[part]
 
-    return _overlap(a, b, finish)
+    return _cosine(shared["ab"], norm(a, "aa"), norm(b, "bb"))
 
 
 def adjacent_coherence(c: Column) -> Column:
     """Mean term cosine of neighbouring sentences; 0 with fewer than two sentences."""
-    words = F.transform(sentences(F.lower(c)), tokens)
-    n = F.size(words)
-    pairs = F.zip_with(
-        F.slice(words, 1, F.greatest(n - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(n - 1, F.lit(0))),
-        lambda x, y: F.coalesce(term_cosine(x, y), F.lit(0.0)),
+    parts = F.transform(
+        F.transform(sentences(F.lower(c)), tokens), lambda w: F.struct(w.alias("w"), _square_sum(w).alias("norm"))
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        shared = _shared_counts(acc.last.w, x.w)
+        dot = _sum(F.transform(shared, lambda s: s["in_a"] * s["in_b"]))
+        cosine = F.coalesce(_cosine(dot, acc.last.norm, x.norm), F.lit(0.0))
+        return F.struct(
+            F.when(acc.n == 0, F.lit(0.0)).otherwise(acc.total + cosine).alias("total"),
+            (acc.n + 1).alias("n"),
+            x.alias("last"),
+        )
+
+    nothing = F.struct(F.array().cast("array<string>").alias("w"), F.lit(0).cast("bigint").alias("norm"))
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"), nothing.alias("last"))
+    return F.aggregate(
+        parts, start, step, lambda acc: F.when(acc.n < 2, F.lit(0.0)).otherwise(F.try_divide(acc.total, acc.n - 1))
     )
-    total = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(n < 2, F.lit(0.0)).otherwise(total / F.greatest(n - 1, F.lit(1)))
 
 
 def vector_dot(a: Column, b: Column) -> Column:

@@ -28,7 +28,7 @@ from sangloc.operators.lexicon import remove_stopwords, topic_overlap
 from sangloc.operators.pay_rules import SECTIONS
 from sangloc.operators.quality import corpus_perplexity, fit_corpus, unknown_word_ratio
 from sangloc.operators.rules import Dictionaries, rule, with_violation
-from sangloc.operators.similarity import match_score
+from sangloc.operators.similarity import with_match_score
 from sangloc.operators.verdict import short_circuit
 from sangloc.sources.sinks import staged
 
@@ -77,8 +77,7 @@ def rule_title_body_mismatch(
     df = df.withColumn("_title", html_to_text(F.coalesce(F.col(title), F.lit(""))))
     df = remove_stopwords(df, key, tokens(standardize_text(F.col("_title"))), dims.stopwords, "_title_words")
     df = remove_stopwords(df, key, tokens(standardize_text(F.col(body))), dims.stopwords, "_body_words")
-    score = match_score(F.col("_title"), F.col(body), F.col("_title_words"), F.col("_body_words"))
-    df = df.withColumn("match_score", score)
+    df = with_match_score(df, F.col("_title"), F.col(body), "_title_words", "_body_words")
     return with_violation(df, "title_body_mismatch", F.col("match_score") < MIN_MATCH_SCORE, MSG_MISMATCH).drop(
         "_title", "_title_words", "_body_words"
     )

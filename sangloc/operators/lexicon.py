@@ -56,12 +56,13 @@ def phrase_hits(
     `lexicon` has the columns `words` (lower case, single blanks) and `kind`.  `key`
     identifies a row of `df`; it is needed only for the join of a large lexicon.
     """
-    phrases = lexicon.groupBy("words").agg(F.min("kind").alias("kind"))
     df = df.withColumn("_w", words)
     empty = F.array().cast(_HITS)
-    listed = rows_if_small(phrases, max_rows)
+    listed = rows_if_small(lexicon.select("words", "kind"), max_rows)
     if listed is not None:
-        kinds = {r.words: r.kind for r in listed}
+        kinds: dict[str, str] = {}
+        for r in listed:
+            kinds[r.words] = min(r.kind, kinds.get(r.words, r.kind))
         if not kinds:
             return df.withColumn(out, empty).drop("_w")
         firsts = sorted({p.split(" ")[0] for p in kinds})
@@ -78,6 +79,7 @@ def phrase_hits(
         known = F.filter(_grams("_w", max_words, firsts), lambda g: g["words"].isin(list(kinds)))
         return df.withColumn(out, F.coalesce(F.transform(known, with_kind), empty)).drop("_w")
     grams = inline_rows(df, [key], _grams("_w", max_words), "pos")
+    phrases = lexicon.groupBy("words").agg(F.min("kind").alias("kind"))
     found = (
         dim_join(grams, phrases, "words", "inner")
         .groupBy(key)
@@ -160,9 +162,10 @@ def remove_stopwords(
 ) -> DataFrame:
     """Add `out`: the tokens that are no stop word, in order."""
     stop = stopwords.select("word").distinct()
-    listed = rows_if_small(stop, max_rows)
+    listed = rows_if_small(stopwords.select("word"), max_rows)
     if listed is not None:
-        return df.withColumn(out, F.filter(words, lambda w: ~w.isin([r.word for r in listed])))
+        known = sorted({r.word for r in listed})
+        return df.withColumn(out, F.filter(words, lambda w: ~w.isin(known)))
     placed = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
     exploded = inline_rows(df, [key], placed, "pos")
     kept = (

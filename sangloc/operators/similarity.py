@@ -17,17 +17,23 @@ HYBRID_ALPHA = 0.5
 FINAL_ALPHA = 0.75
 
 
-def tfidf_match(title: Column, body: Column) -> Column:
-    return pair_tfidf_cosine(word_terms(title, PAIR_STOPWORDS), word_terms(body, PAIR_STOPWORDS))
-
-
 def final_score(cosine: Column, tfidf: Column) -> Column:
     return FINAL_ALPHA * F.coalesce(cosine, F.lit(0.0)) + (1 - FINAL_ALPHA) * F.coalesce(tfidf, F.lit(0.0))
 
 
-def match_score(title: Column, body: Column, title_words: Column, body_words: Column) -> Column:
-    """0.75 vector cosine + 0.25 TF-IDF; the default vector is the term counts of the text."""
-    return final_score(term_cosine(title_words, body_words), tfidf_match(title, body))
+def with_tfidf(df: DataFrame, title: Column, body: Column, out: str = "tfidf") -> DataFrame:
+    """Add the TF-IDF cosine of two texts; their terms are made columns before they are compared."""
+    df = df.withColumns({"_ta": word_terms(title, PAIR_STOPWORDS), "_tb": word_terms(body, PAIR_STOPWORDS)})
+    return df.withColumn(out, pair_tfidf_cosine(F.col("_ta"), F.col("_tb"))).drop("_ta", "_tb")
+
+
+def with_match_score(
+    df: DataFrame, title: Column, body: Column, title_words: str, body_words: str, out: str = "match_score"
+) -> DataFrame:
+    """Add 0.75 vector cosine + 0.25 TF-IDF; the default vector is the term counts of the text."""
+    df = with_tfidf(df, title, body, "_tfidf")
+    score = final_score(term_cosine(F.col(title_words), F.col(body_words)), F.col("_tfidf"))
+    return df.withColumn(out, score).drop("_tfidf")
 
 
 def _bm25_parts(docs: DataFrame, words: str) -> tuple[DataFrame, Column, Column]:
@@ -54,7 +60,7 @@ def bm25_score(df: DataFrame, key: str, title_words: str, body_words: str) -> Da
     """
     df_table, n, mean_len = _bm25_parts(df, body_words)
     counted = F.transform(
-        F.array_distinct(title_words),
+        F.array_intersect(title_words, body_words),
         lambda t: F.struct(
             t.alias("term"),
             F.size(F.filter(F.col(title_words), lambda x: x == t)).alias("qtf"),
@@ -62,7 +68,7 @@ def bm25_score(df: DataFrame, key: str, title_words: str, body_words: str) -> Da
         ),
     )
     length = F.size(body_words).alias("len")
-    terms = inline_rows(df, [key, length], F.filter(counted, lambda c: c["tf"] > 0), "term")
+    terms = inline_rows(df, [key, length], counted, "term")
     score = _term_score(F.col("tf"), F.col("len"), F.col("n_docs"), n, mean_len)
     # every (row, title term) is counted at most once per document holding the term
     weighted = df_table.withColumn("n_rows", F.col("n_docs"))

@@ -404,8 +404,8 @@ def adjacent_coherence_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("pair_tfidf_cosine")
 def pair_tfidf_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    score = similarity.tfidf_match(F.col("title"), F.col("description"))
-    return views.busy_postings(spark, folder).select("post_id", F.round(score, 6).alias("tfidf"))
+    df = similarity.with_tfidf(views.busy_postings(spark, folder), F.col("title"), F.col("description"))
+    return df.select("post_id", F.round("tfidf", 6).alias("tfidf"))
 
 
 def _word_columns(spark: SparkSession, folder: str) -> DataFrame:
@@ -461,8 +461,9 @@ def hybrid_score(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("final_score")
 def final_score(spark: SparkSession, folder: str) -> DataFrame:
-    score = similarity.match_score(F.col("title"), F.col("description"), F.col("title_words"), F.col("body_words"))
-    scored = _word_columns(spark, folder).select("post_id", F.round(score, 6).alias("score"))
+    words = _word_columns(spark, folder)
+    scored = similarity.with_match_score(words, F.col("title"), F.col("description"), "title_words", "body_words")
+    scored = scored.select("post_id", F.round("match_score", 6).alias("score"))
     return scored.withColumn("matches", F.col("score") >= metrics.MIN_MATCH_SCORE)
 
 
