@@ -480,14 +480,27 @@ def _moderated(spark: SparkSession, folder: str) -> DataFrame:
     return moderate(views.busy_postings(spark, folder), dims, max_perplexity=MAX_PERPLEXITY)
 
 
+_MODERATED_PATHS: dict[tuple[str, str], str] = {}
+
+
+def _moderated_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The moderated postings as a table written once per session, for the reports on it."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _MODERATED_PATHS:
+        path = sinks.shared_folder(spark, "moderated")
+        _moderated(spark, folder).write.parquet(path)
+        _MODERATED_PATHS[key] = path
+    return spark.read.parquet(_MODERATED_PATHS[key])
+
+
 @query("num_error")
 def num_error(spark: SparkSession, folder: str) -> DataFrame:
-    return _moderated(spark, folder).select("post_id", "returned", "num_error")
+    return _moderated_table(spark, folder).select("post_id", "returned", "num_error")
 
 
 @query("message_map")
 def message_map(spark: SparkSession, folder: str) -> DataFrame:
-    df = _moderated(spark, folder).select("post_id", F.explode("messages").alias("label", "message"))
+    df = _moderated_table(spark, folder).select("post_id", F.explode("messages").alias("label", "message"))
     return df.where(F.col("message") != "")
 
 
@@ -514,12 +527,12 @@ def short_circuit(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("repaired_fields")
 def repaired_fields(spark: SparkSession, folder: str) -> DataFrame:
-    return verdict.repaired_fields(_moderated(spark, folder))
+    return verdict.repaired_fields(_moderated_table(spark, folder))
 
 
 @query("rewrite_queue")
 def rewrite_queue(spark: SparkSession, folder: str) -> DataFrame:
-    df = _moderated(spark, folder).withColumn("title_fails", F.col("title_body_mismatch_count") > 0)
+    df = _moderated_table(spark, folder).withColumn("title_fails", F.col("title_body_mismatch_count") > 0)
     texts = {f: F.col(f"{f}_fixed") for f in rewrite.HEADINGS}
     return rewrite.rewrite_queue(df.withColumns(texts))
 
@@ -557,7 +570,7 @@ def rule_report(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("worst_postings")
 def worst_postings(spark: SparkSession, folder: str) -> DataFrame:
-    return report.worst_postings(_moderated(spark, folder), 3).select("source", "post_id", "rank", "num_error")
+    return report.worst_postings(_moderated_table(spark, folder), 3).select("source", "post_id", "rank", "num_error")
 
 
 @query("rule_label_agreement")
