@@ -25,10 +25,20 @@ def rows_if_small(dim: DataFrame, max_rows: int) -> list[Row] | None:
 
 
 def dim_join(
-    rows: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "left", max_rows: int = MAX_BROADCAST_ROWS
+    rows: DataFrame,
+    dim: DataFrame,
+    on: str | Sequence[str],
+    how: str = "left",
+    max_rows: int = MAX_BROADCAST_ROWS,
+    sized: DataFrame | None = None,
 ) -> DataFrame:
-    """Broadcast a dimension proven small; otherwise leave the strategy to Catalyst and AQE."""
-    return rows.join(F.broadcast(dim) if is_small(dim, max_rows) else dim, on, how)
+    """Broadcast a dimension proven small; otherwise leave the strategy to Catalyst and AQE.
+
+    `sized` is what is counted: the source of `dim`, where that has at least as many rows
+    and costs less to count.
+    """
+    small = is_small(dim if sized is None else sized, max_rows)
+    return rows.join(F.broadcast(dim) if small else dim, on, how)
 
 
 def skew_join(

@@ -115,8 +115,9 @@ def rule_district_province(df: DataFrame, dims: Dictionaries, key: str = "post_i
     `district_fixed` keeps the declared district unless the address suggests another.
     """
     address = _replace_all(normalize_address(text_or_empty("address")), SPELLINGS)
-    df = df.withColumn("_addr", F.regexp_replace(address, ",việt nam$", ""))
-    df = df.withColumn("_own", unit_code(text_or_empty("district")))
+    df = df.withColumns(
+        {"_addr": F.regexp_replace(address, ",việt nam$", ""), "_own": unit_code(text_or_empty("district"))}
+    )
     df = resolve_province(df, F.col("province"), dims.province_alias, "_declared", "_declared_id")
     df = match_province_in_address(df, key, F.col("_addr"), dims.province_alias, "_in_address")
     df = match_district_of_province(

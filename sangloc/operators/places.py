@@ -19,7 +19,7 @@ def resolve_province(
     dim = aliases.select(
         F.lower("alias").alias("_alias"), F.col("province").alias(province), F.col("province_id").alias(code)
     ).dropDuplicates(["_alias"])
-    return dim_join(df.withColumn("_alias", F.lower(F.trim(name))), dim, "_alias").drop("_alias")
+    return dim_join(df.withColumn("_alias", F.lower(F.trim(name))), dim, "_alias", sized=aliases).drop("_alias")
 
 
 def match_province_in_address(
@@ -57,15 +57,15 @@ def match_district_of_province(
         F.col("province").alias("_p"), unit_code(F.col("district")).alias("coded")
     ).withColumn("bare", bare_name(F.col("coded")))
     coded_form = F.lower(raw_address).rlike(UNIT_WORDS) | address.rlike(r"(^|[, ])[qtxh] ")
-    df = df.withColumn("_words", tokens(address)).withColumn("_p", F.col(province)).withColumn("_form", coded_form)
+    df = df.withColumns({"_words": tokens(address), "_p": F.col(province), "_form": coded_form})
     candidates = F.when(F.contains(address, F.lit(",")), F.split(address, ",")).otherwise(
         F.transform(_grams("_words", MAX_PHRASE_WORDS), lambda g: g["words"])
     )
-    if is_small(dim, max_rows):
+    if is_small(district_province, max_rows):
         by_province = dim.groupBy("_p").agg(
             F.collect_set("coded").alias("_coded"), F.collect_set("bare").alias("_bare")
         )
-        df = dim_join(df, by_province, "_p")
+        df = df.join(F.broadcast(by_province), "_p", "left")
         listed = F.when(F.col("_form"), F.col("_coded")).otherwise(F.col("_bare"))
         df = df.withColumn(out, F.coalesce(F.array_intersect(candidates, listed), F.array().cast("array<string>")))
         return df.drop("_words", "_p", "_form", "_coded", "_bare")

@@ -142,12 +142,13 @@ def dictionaries(spark: SparkSession, folder: str) -> Dictionaries:
         .unionByName(phrase_table(region, "r_name", "province"))
         .unionByName(phrase_table(workplace, "name", "workplace"))
     )
+    # small and read by several rules each
     return Dictionaries(
-        province_alias=aliases,
-        district_province=districts,
-        places=places,
-        stopwords=short_words(benchmark),
-        topics=word_pairs(benchmark),
+        province_alias=aliases.cache(),
+        district_province=districts.cache(),
+        places=places.cache(),
+        stopwords=short_words(benchmark).cache(),
+        topics=word_pairs(benchmark).cache(),
     )
 
 
