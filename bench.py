@@ -11,9 +11,9 @@ from pyspark.sql import SparkSession
 from sangloc.plans.catalog import QUERIES
 
 HEADLINE = (
-    "html_to_text standardize_text tokens compound_phrases remove_stopwords location_mentions readability "
-    "adjacent_coherence unknown_word_ratio corpus_perplexity pair_tfidf_cosine bm25_score bm25_top_k final_score "
-    "extract_salary rule_special_ratio rule_title_place rule_district_province rule_topic_mismatch rule_poor_text verdict"
+    "html_to_text tokens compound_phrases remove_stopwords readability adjacent_coherence unknown_word_ratio "
+    "corpus_perplexity pair_tfidf_cosine bm25_score extract_salary rule_special_ratio rule_title_place "
+    "rule_district_province verdict"
 )
 
 
