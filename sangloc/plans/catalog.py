@@ -583,11 +583,12 @@ def rule_label_agreement(spark: SparkSession, folder: str) -> DataFrame:
 def moderate_stream_query(spark: SparkSession, folder: str) -> DataFrame:
     """The postings written as files, moderated as a stream, read back."""
     dims = views.dictionaries(spark, folder)
-    posts = sinks.staged(views.busy_postings(spark, folder), "arriving")
+    arriving = sinks.shared_folder(spark, "arriving")
+    views.busy_postings(spark, folder).write.parquet(arriving)
+    posts = spark.read.parquet(arriving)
     ruled = sinks.staged(second_stage(first_stage(posts, dims), dims), "prior-batch")
     corpus = quality.fit_corpus(section_texts(ruled.where(~F.col("returned")), "post_id"), _lower_words())
-    source = posts.inputFiles()[0].rsplit("/", 1)[0]
-    stream = spark.readStream.schema(posts.schema).parquet(source)
+    stream = spark.readStream.schema(posts.schema).parquet(arriving)
     out, checkpoint = sinks.shared_folder(spark, "stream"), sinks.shared_folder(spark, "stream-state")
     moderate_stream(
         stream, dims, out, checkpoint, corpus,

@@ -21,12 +21,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table whose rows are costly to process.
 
-    A handful of files cannot feed all cores, so rows are dealt out first; with as many
-    files as cores, as on a cluster, the scan is used as it is.
+    A handful of file splits cannot feed all cores, so rows are dealt out first; with as
+    many splits as cores, as on a cluster, the scan is used as it is.
     """
     df = table(spark, folder, name)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _words(first: int, last: int) -> str:
