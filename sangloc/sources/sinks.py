@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,14 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's `spark.checkpoint.dir`.
 
-    Only a local session without that setting falls back to a temporary folder.
+    Only a session whose driver is its one executor may leave the setting out.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="sangloc-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -26,11 +28,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several later steps read, and read it back.
 
     Cuts the lineage: a lost executor does not recompute earlier stages, later plans stay
-    small, and their join strategies see true sizes.
+    small, and their join strategies see true sizes.  `removed` takes the folder away again.
     """
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete the folders of staged tables that no later step reads."""
+    for table in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            remove_folder(table.sparkSession, folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store its scheme names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def response_json(df: DataFrame, key: str = "post_id") -> DataFrame:

@@ -2,7 +2,8 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from oracle.queries import ORACLE
+from sangloc.plans.catalog import QUERIES
 from tools_check import compare, connect
 
 
@@ -12,10 +13,10 @@ def con(folder):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_rows_as_duckdb(spark, con, folder, name):
     result = compare(spark, con, folder, name)
     assert result.startswith("ok"), result
