@@ -16,7 +16,7 @@ from sangloc.sources.sinks import removed, staged
 __all__ = ["is_small", "removed", "staged"]
 
 #: Bytes of text that a task holds in Python at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: A row may be learned from if its checksum leaves another remainder.
 HELD_OUT = 2
 
@@ -55,13 +55,17 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
 
 
 def map_text(
-    df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str
+    df: DataFrame,
+    text: str,
+    fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+    schema: T.StructType | str,
+    most: int = SLICE_BYTES,
 ) -> DataFrame:
     """`fn` on every slice of the rows; memory of a task is bounded by a slice or the longest row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, most):
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sangloc.llm import bpe
+from sangloc.llm import bpe, langid, quality
 from sangloc.llm.common import table
 
 
@@ -14,8 +14,18 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op10_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_language_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identified(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "op8_language_codes": op8_language_codes,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_quality_discriminant": op10_quality_discriminant,
 }
 
 ORACLE: dict[str, str] = {}
