@@ -39,22 +39,33 @@ BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 #: A rank file of more bytes than this is not a vocabulary, and is not sent to the tasks.
 MAX_RANK_BYTES = 64 << 20
 #: Pieces whose ids a worker remembers; beyond that it starts afresh.
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 200_000
+#: Bytes of text that are cut at a time: each becomes several bytes of pieces and ids.
+TEXT_AT_ONCE = 2 << 20
 #: Leaves of the trees that are worked on together.
-LEAVES_AT_ONCE = 1 << 20
+LEAVES_AT_ONCE = 1 << 18
 NONE = np.int64(1) << 62
 
 
+def tokens(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
+
+
+@lru_cache(maxsize=4)
+def tokens_by_id(content: bytes) -> list[bytes]:
+    ranks = tokens(content)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 class Vocabulary:
-    """Tokens by id, and the id that two adjacent ids merge into."""
+    """The ids of tokens, and the id that two adjacent ids merge into."""
 
     def __init__(self, content: bytes):
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())}
+        ranks = tokens(content)
         self.ranks = ranks
-        size = max(ranks.values()) + 1
-        self.bytes_of = [b""] * size
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for token, rank in ranks.items():
@@ -229,8 +240,8 @@ def encoder(content: bytes, pattern: str) -> Encoder:
     return Encoder(content, pattern)
 
 
-def decode_ids(ids: bytes, vocab: Vocabulary) -> bytes:
-    return b"".join(map(vocab.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def decode_ids(ids: bytes, by_id: list[bytes]) -> bytes:
+    return b"".join(map(by_id.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,7 +254,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
         ids = encoder(ranks.value, pattern).encode(texts)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], [key, "ids"])
 
-    return map_text(docs.select(key, F.col(text).cast("string").alias("_text")), "_text", run, schema)
+    return map_text(docs.select(key, F.col(text).cast("string").alias("_text")), "_text", run, schema, TEXT_AT_ONCE)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -253,9 +264,9 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "de
     schema = T.StructType([*kept, T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(ranks.value)
+        by_id = tokens_by_id(ranks.value)
         for batch in batches:
-            decoded = [decode_ids(x or b"", vocab) for x in batch.column(ids).to_pylist()]
+            decoded = [decode_ids(x or b"", by_id) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], schema.names)
 
     return encoded.select(*[f.name for f in kept]).mapInArrow(run, schema)

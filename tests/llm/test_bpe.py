@@ -26,7 +26,7 @@ def ids(packed):
 def test_same_ids_as_the_library_and_back(text):
     packed = bpe.encoder(CONTENT, public_tokenizers.PATTERN).encode([text])[0]
     assert ids(packed) == OTHER.encode_ordinary(text)
-    assert bpe.decode_ids(packed, bpe.vocabulary(CONTENT)) == text.encode()
+    assert bpe.decode_ids(packed, bpe.tokens_by_id(CONTENT)) == text.encode()
 
 
 @settings(max_examples=200, deadline=None)
