@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sangloc.llm import bpe, langid, quality
+from sangloc.llm import bpe, langid, line_spread, quality, toxicity
 from sangloc.llm.common import table
 
 
@@ -22,10 +22,23 @@ def op8_language_codes(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identified(table(spark, folder, "documents"))
 
 
+def op2_toxicity_grammar(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op5_line_spread(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_spread.without_boilerplate(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed")
+
+
 QUERIES = {
+    "op2_toxicity_grammar": op2_toxicity_grammar,
+    "op5_line_spread": op5_line_spread,
     "op8_language_codes": op8_language_codes,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_discriminant": op10_quality_discriminant,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_line_spread": line_spread.ORACLE_SQL,
+}
