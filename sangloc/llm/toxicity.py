@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sangloc.llm.common import column_type, is_held_out, map_text
+from sangloc.llm.common import column_type, is_held_out, map_text, removed, staged
 from sangloc.llm.labelled import labelled_texts
 
 #: A document is toxic if its score reaches this.
@@ -41,7 +41,7 @@ FIT_ROWS = 30_000
 #: A learned pattern occurs in this share of the toxic rows, and in this many.
 LEAST_SHARE, LEAST_ROWS = 0.005, 4
 #: and has this purity, by which twice the log likelihood ratio is this high.
-LEAST_PURITY, LEAST_RATIO = 0.5, 20.0
+LEAST_PURITY, LEAST_RATIO = 0.7, 30.0
 #: Lengths of learned stems.
 STEMS = (4, 5, 6)
 SEED_WEIGHT = 3.0
@@ -247,7 +247,15 @@ def fit(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS
 ) -> Grammar:
     """The driver gets patterns that a fixed share of the sampled toxic rows hold, and the sample's features."""
-    rows = labelled_texts(docs, labels, label, key, text, fit_rows)
+    # Copies of a text are one witness, not many.
+    rows = staged(labelled_texts(docs, labels, label, key, text, fit_rows).dropDuplicates(["text"]), "labelled")
+    try:
+        return _learned(rows)
+    finally:
+        removed(rows)
+
+
+def _learned(rows: DataFrame) -> Grammar:
     totals = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     grammar = seeds()
     if set(totals) != {0, 1}:
