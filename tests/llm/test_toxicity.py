@@ -51,6 +51,8 @@ def test_only_patterns_beyond_chance_stand_out():
 
 def test_learns_words_and_stems(spark):
     rows = [(i, f"plain words here number{i % 7} dronk" + chr(97 + i % 5) if i % 2 else f"plain words here zork number{i % 7}" if i % 4 else "plain words here") for i in range(600)]
+    # A text of its own for each row: copies of a labelled text count once.
+    rows = [(i, f"{t} w{''.join(chr(97 + int(d)) for d in str(i))}x") for i, t in rows]
     labels = [(i, int("zork" in t or "dronk" in t)) for i, t in rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     grammar = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
