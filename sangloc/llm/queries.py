@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sangloc.llm import bpe, langid, line_spread, quality, toxicity
+from sangloc.llm import bpe, langid, line_spread, quality, shingle_join, toxicity
 from sangloc.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op8_language_codes(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identified(table(spark, folder, "documents"))
 
 
+def op1_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_join.linked(table(spark, folder, "documents"))
+
+
 def op2_toxicity_grammar(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -32,6 +36,7 @@ def op5_line_spread(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_shingle_join": op1_shingle_join,
     "op2_toxicity_grammar": op2_toxicity_grammar,
     "op5_line_spread": op5_line_spread,
     "op8_language_codes": op8_language_codes,
