@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sangloc.llm import bpe, langid, line_spread, quality, shingle_join, toxicity
+from sangloc.llm import bpe, langid, leakage, line_spread, quality, shingle_join, toxicity
 from sangloc.llm.common import table
 
 
+def op6_qgram_leakage(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_shingle_join": op1_shingle_join,
     "op2_toxicity_grammar": op2_toxicity_grammar,
     "op5_line_spread": op5_line_spread,
+    "op6_qgram_leakage": op6_qgram_leakage,
     "op8_language_codes": op8_language_codes,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_discriminant": op10_quality_discriminant,
