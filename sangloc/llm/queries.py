@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sangloc.llm import bpe, langid, leakage, line_spread, quality, shingle_join, toxicity
+from sangloc.llm import bpe, langid, leakage, line_spread, quality, shingle_join, toxicity, vector_passes
 from sangloc.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op10_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_sorted_passes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_passes.linked(table(spark, folder, "embeddings"))
+
+
 def op8_language_codes(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identified(table(spark, folder, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op2_toxicity_grammar": op2_toxicity_grammar,
     "op5_line_spread": op5_line_spread,
     "op6_qgram_leakage": op6_qgram_leakage,
+    "op7_sorted_passes": op7_sorted_passes,
     "op8_language_codes": op8_language_codes,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_discriminant": op10_quality_discriminant,
