@@ -57,7 +57,7 @@ LEAST_GROUPED, GROUP_SHARE = 24, 12
 #: Signatures of a set that the first pairs are made from.
 FIRST_SIGNATURES = 6
 #: Shingles that one task of an exchange sorts at a time.
-RANGE_SHINGLES = 4_000_000
+RANGE_SHINGLES = 1_000_000
 #: Up to this many keys are broadcast; beyond that texts are joined to them by key.
 MOST_BROADCAST_KEYS = 1_000_000
 
