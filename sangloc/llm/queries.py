@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sangloc.llm import bpe, langid, leakage, line_spread, quality, shingle_join, toxicity, vector_passes
+from sangloc.llm import bpe, langid, leakage, line_spread, quality, shingle_join, toxicity, url_templates, vector_passes
 from sangloc.llm.common import table
 
 
@@ -29,6 +29,15 @@ def op7_sorted_passes(spark: SparkSession, folder: str) -> DataFrame:
 def op8_language_codes(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identified(table(spark, folder, "documents"))
 
+#: (host, path, verdict); a rule holds for subdomains too, and the longest one decides.
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
 
 def op1_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_join.linked(table(spark, folder, "documents"))
@@ -38,6 +47,10 @@ def op2_toxicity_grammar(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op3_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return url_templates.judged(table(spark, folder, "pages"), RULES)
+
+
 def op5_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_spread.without_boilerplate(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "text", "n_lines", "n_removed")
@@ -46,6 +59,7 @@ def op5_line_spread(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_shingle_join": op1_shingle_join,
     "op2_toxicity_grammar": op2_toxicity_grammar,
+    "op3_url_templates": op3_url_templates,
     "op5_line_spread": op5_line_spread,
     "op6_qgram_leakage": op6_qgram_leakage,
     "op7_sorted_passes": op7_sorted_passes,
