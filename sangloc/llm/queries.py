@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sangloc.llm import bpe, langid, leakage, line_spread, quality, shingle_join, toxicity, url_templates, vector_passes
+from sangloc.llm import bpe, langid, leakage, line_spread, quality, shingle_join, toxicity, url_templates, vector_passes, zip_archives
 from sangloc.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op3_url_templates(spark: SparkSession, folder: str) -> DataFrame:
     return url_templates.judged(table(spark, folder, "pages"), RULES)
 
 
+def op4_zip_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return zip_archives.round_trip(table(spark, folder, "pages"))
+
+
 def op5_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_spread.without_boilerplate(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "text", "n_lines", "n_removed")
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_shingle_join": op1_shingle_join,
     "op2_toxicity_grammar": op2_toxicity_grammar,
     "op3_url_templates": op3_url_templates,
+    "op4_zip_warc": op4_zip_warc,
     "op5_line_spread": op5_line_spread,
     "op6_qgram_leakage": op6_qgram_leakage,
     "op7_sorted_passes": op7_sorted_passes,
