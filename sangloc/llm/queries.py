@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from sangloc.llm import bpe, langid, leakage, line_spread, quality, shingle_join, toxicity, url_templates, vector_passes, zip_archives
 from sangloc.llm.common import table
 
@@ -71,8 +72,11 @@ QUERIES = {
     "op8_language_codes": op8_language_codes,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_discriminant": op10_quality_discriminant,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
     "op5_line_spread": line_spread.ORACLE_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
