@@ -600,14 +600,19 @@ def moderation() -> str:
     flags = ", ".join(f"bool_or(section = '{s}' AND is_poor) AS {s}_poor" for s in SECTIONS)
     ctes.append(f"poor_flags AS (SELECT post_id, {flags} FROM forms JOIN poor USING (k) GROUP BY post_id)")
     title_cols = ", ".join(f"coalesce(r_{r}.violations, 0) AS {r}_n, coalesce(r_{r}.message, '') AS {r}_m" for r in TITLE_CHAIN)
-    fixed_cols = ", ".join(
-        f"CASE WHEN r_special_ratio.violations = 1 THEN fixed.{s}_fixed ELSE judged.{s} END AS {s}_fixed, coalesce({s}_poor, false) AS {s}_poor"
+    plain = {s: f"judged.{s}" for s in SECTIONS} | {"description": f.strip_phrase("judged.description", wide)}
+    asked = {s: f"CASE WHEN r_special_ratio.violations = 1 THEN fixed.{s}_fixed ELSE {plain[s]} END" for s in SECTIONS}
+    fixed_cols = f"{asked['description']} AS description_asked, " + ", ".join(
+        f"CASE WHEN judged.returned OR coalesce({s}_poor, false) THEN {asked[s]} ELSE {f.strip_special(asked[s])} END AS {s}_fixed, "
+        f"coalesce({s}_poor, false) AS {s}_poor"
         for s in SECTIONS
     )
+    placed = " + ".join(f"judged.{r}_n" for r in RULES_OF_LABEL[2])
+    fixed_cols += f", CASE WHEN {placed} = 0 THEN {f.strip_phrase('judged.address', wide)} ELSE judged.address END AS address_fixed"
     lines = ", ".join(f"CASE WHEN {s}_poor THEN {q(content_rules.MSG_POOR[s])} END" for s in SECTIONS)
     ctes.append(
         f"final AS (SELECT judged.*, {title_cols}, {fixed_cols}, "
-        f"CASE WHEN judged.returned THEN judged.title ELSE {source}.title END AS title_fixed, "
+        f"CASE WHEN judged.returned THEN {f.strip_phrase('judged.title', wide)} ELSE {source}.title END AS title_fixed, "
         "coalesce(r_special_ratio.violations, 0) AS special_ratio_n, coalesce(r_special_ratio.message, '') AS special_ratio_m, "
         f"coalesce(mismatch.violations, 0) AS title_body_mismatch_n, CASE WHEN mismatch.violations > 0 THEN {q(content_rules.MSG_MISMATCH)} ELSE '' END AS title_body_mismatch_m, "
         "CAST(coalesce(description_poor OR requirements_poor OR benefits_poor, false) AS INTEGER) AS poor_text_n, "
@@ -634,9 +639,10 @@ ORACLE["worst_postings"] = f"""{MODERATED} SELECT source, post_id, CAST(r AS INT
 
 def label_text(label: int) -> str:
     rules = RULES_OF_LABEL[label]
-    if len(rules) == 1:
+    if len(rules) == 1 and label != 6:
         return f"{rules[0]}_m"
-    filled = f"list_filter([{', '.join(r + '_m' for r in rules)}], lambda x: x <> '')"
+    single = "flatten([" + ", ".join(f"string_split({r}_m, chr(10))" for r in rules) + "])"
+    filled = f"list_filter({single}, lambda x: x <> '')"
     return f"array_to_string(list_transform({filled}, lambda x, i: i || ', ' || x), chr(10))"
 
 
@@ -644,7 +650,7 @@ ORACLE["message_map"] = MODERATED + " SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT post_id, 'Điều kiện {i}' AS label, {label_text(i)} AS message FROM done{' WHERE NOT returned' if i > 8 else ''}"
     for i in range(1, 13)
 ) + ") WHERE message <> ''"
-REPAIRED = ["title", "description", "requirements", "benefits", "city_codes", "district"]
+REPAIRED = ["title", "description", "requirements", "benefits", "city_codes", "district", "address"]
 ORACLE["repaired_fields"] = MODERATED + " " + " UNION ALL ".join(
     f"SELECT post_id, '{c}' AS field, {c} AS original, coalesce({c}_fixed, {c}) AS repaired FROM done WHERE {c} IS DISTINCT FROM coalesce({c}_fixed, {c})"
     for c in REPAIRED
@@ -653,28 +659,27 @@ FAILS = "title_body_mismatch_n > 0"
 ORACLE["rewrite_queue"] = f"""{MODERATED} SELECT post_id, {FAILS} AS with_title, concat_ws(chr(10),
   CASE WHEN {FAILS} THEN {q(rewrite.PROMPT_WITH_TITLE)} ELSE {q(rewrite.PROMPT_WITHOUT_TITLE)} END,
   CASE WHEN {FAILS} THEN 'Tiêu đề:' || chr(10) || title_fixed END,
-  CASE WHEN {FAILS} OR description_poor THEN 'Mô tả:' || chr(10) || description_fixed END,
+  CASE WHEN {FAILS} OR description_poor THEN 'Mô tả:' || chr(10) || description_asked END,
   CASE WHEN requirements_poor THEN 'Yêu cầu:' || chr(10) || requirements_fixed END,
   CASE WHEN benefits_poor THEN 'Quyền lợi:' || chr(10) || benefits_fixed END) AS prompt
 FROM done WHERE {FAILS} OR description_poor OR requirements_poor OR benefits_poor"""
 
-FIRST_STAGE = f"WITH RECURSIVE {', '.join([f.BUSY, *distinct_blocks(FIRST), *map(stage, FIRST)])}"
 LONG_FORM = " UNION ALL ".join(
-    f"SELECT post_id, '{r}' AS rule_id, violations AS count, message FROM r_{r} WHERE violations > 0" for r in FIRST
+    f"SELECT post_id, source, '{r}' AS rule_id, CAST({r}_n AS INTEGER) AS count, {r}_m AS message FROM done WHERE {r}_n > 0"
+    for label in range(1, 13)
+    for r in RULES_OF_LABEL[label]
 )
-ORACLE["violations"] = f"{FIRST_STAGE} {LONG_FORM}"
-ORACLE["rule_report"] = f"""{FIRST_STAGE}, v AS ({LONG_FORM})
+ORACLE["violations"] = f"{MODERATED} SELECT post_id, rule_id, count, message FROM ({LONG_FORM})"
+ORACLE["rule_report"] = f"""{MODERATED}
 SELECT rule_id, source, CAST(grouping(rule_id, source) AS BIGINT) AS level, count(*) AS postings, CAST(sum(count) AS BIGINT) AS errors
-FROM v JOIN t USING (post_id) GROUP BY ROLLUP (rule_id, source)"""
+FROM ({LONG_FORM}) GROUP BY ROLLUP (rule_id, source)"""
 ORACLE["short_circuit"] = f"""
 WITH RECURSIVE {', '.join((f.BUSY, *MISMATCH))}, a AS ({rule_select('company_form')}), b AS ({rule_select('title_body_mismatch')})
 SELECT post_id, a.violations AS company_form_count, CASE WHEN a.violations > 0 THEN 0 ELSE b.violations END AS mismatch
 FROM a JOIN b USING (post_id)"""
-ORACLE["write_moderated"] = f"""
-WITH {f.BUSY}, a AS ({rule_select('company_form')})
-SELECT post_id, CASE WHEN violations > 0 THEN 0 ELSE 1 END AS status, '{{"post_id":' || post_id || ',"num_error":' || violations ||
-  ',"status_text":"' || CASE WHEN violations > 0 THEN {q(STATUS_TEXT[0])} ELSE {q(STATUS_TEXT[1])} END ||
-  '","message":{{"Điều kiện 8":"' || message || '"}}}}' AS response FROM a"""
+ORACLE["write_moderated"] = f"""{MODERATED}
+SELECT post_id, status, {TEXT_OF_STATUS} AS status_text, CAST(NULL AS VARCHAR) AS error, title_fixed AS title, description_fixed AS description,
+  address_fixed AS address, district_fixed AS district, num_error, company_form_m AS company_message FROM done"""
 
 # --- rewriting ---------------------------------------------------------------------------
 

@@ -26,7 +26,7 @@ from sangloc.functions.text import (
 )
 from sangloc.operators.lexicon import remove_stopwords, topic_overlap
 from sangloc.operators.pay_rules import SECTIONS
-from sangloc.operators.quality import corpus_perplexity, fit_corpus, unknown_word_ratio
+from sangloc.operators.quality import corpus_perplexity, fit_corpus, key_list, unknown_word_ratio
 from sangloc.operators.rules import Dictionaries, rule, with_violation
 from sangloc.operators.similarity import with_match_score
 from sangloc.operators.verdict import short_circuit
@@ -127,22 +127,23 @@ def needs_corpus(checks: Column) -> Column:
 
 def corpus_votes(
     texts: DataFrame,
-    key: str,
+    key: str | list[str],
     text: str,
     corpus: tuple[DataFrame, DataFrame],
     max_perplexity: float = DEFAULT_MAX_PERPLEXITY,
     min_docs: int = 3,
 ) -> DataFrame:
-    """(key, corpus_votes): 0 to 2 votes, for unknown words and for perplexity."""
+    """(key, corpus_votes): 0 to 2 votes, for unknown words and for perplexity; the key may be several columns."""
     vocab, model = corpus
+    keys = key_list(key)
     words = corpus_words(F.col(text))
-    unknown = unknown_word_ratio(texts, key, words, vocab, min_docs).select(
-        key, (F.col("unknown_ratio") > MAX_UNKNOWN_RATIO).cast("int").alias("vote")
+    unknown = unknown_word_ratio(texts, keys, words, vocab, min_docs).select(
+        *keys, (F.col("unknown_ratio") > MAX_UNKNOWN_RATIO).cast("int").alias("vote")
     )
-    gibberish = corpus_perplexity(texts, key, words, model).select(
-        key, (F.col("perplexity") > max_perplexity).cast("int").alias("vote")
+    gibberish = corpus_perplexity(texts, keys, words, model).select(
+        *keys, (F.col("perplexity") > max_perplexity).cast("int").alias("vote")
     )
-    return unknown.unionByName(gibberish).groupBy(key).agg(F.sum("vote").cast("int").alias("corpus_votes"))
+    return unknown.unionByName(gibberish).groupBy(*keys).agg(F.sum("vote").cast("int").alias("corpus_votes"))
 
 
 def poor_text(

@@ -3,7 +3,10 @@
 `phrase_hits` is the one primitive: it adds an array of the places where a lexicon
 phrase starts.  A lexicon proven small becomes a hash set inside the row expression, so
 nothing is exploded or shuffled and the operator also works on streams.  A larger one
-goes through exploded n-grams and an equi-join; both ways give the same array.
+goes through exploded n-grams and an equi-join; both ways give the same array.  What is
+joined back to a row depends on its words alone, so rows meet their result by a hash of
+the words: repeated and null keys are no special case.  Phrases may have any length: the
+bound comes from the lexicon.
 
 Arrays that a lambda reads by position are made columns of their own first: an inlined
 expression would be evaluated again for every element.
@@ -19,8 +22,6 @@ from pyspark.sql import functions as F
 from sangloc.operators.generate import explode_rows, inline_rows
 from sangloc.operators.joins import MAX_SET_ROWS, dim_join, rows_if_small
 
-MAX_PHRASE_WORDS = 5
-
 _HITS = "array<struct<pos:int,n:int,words:string,kind:string>>"
 
 
@@ -42,20 +43,29 @@ def _grams(words: str, max_words: int, firsts: list[str] | None = None) -> Colum
     return F.flatten(F.transform(col, at))
 
 
+# 128 bits: equal where the content is equal.
+CONTENT = ("_content", "_content2")
+
+
+def with_content(df: DataFrame, *columns: str) -> DataFrame:
+    """Add the hashes that a row's result is joined back by."""
+    return df.withColumns({CONTENT[0]: F.xxhash64(*columns), CONTENT[1]: F.xxhash64(F.lit(1), *columns)})
+
+
+def words_of_longest(phrases: DataFrame, column: str) -> int:
+    """Words in the longest phrase of a dictionary, at least 1."""
+    return phrases.agg(F.max(F.size(F.split(column, " ")))).first()[0] or 1
+
+
 def phrase_hits(
-    df: DataFrame,
-    key: str,
-    words: Column,
-    lexicon: DataFrame,
-    out: str = "hits",
-    max_words: int = MAX_PHRASE_WORDS,
-    max_rows: int = MAX_SET_ROWS,
+    df: DataFrame, key: str, words: Column, lexicon: DataFrame, out: str = "hits", max_rows: int = MAX_SET_ROWS
 ) -> DataFrame:
     """Add `out`: array<struct<pos, n, words, kind>> of lexicon phrases, by position.
 
-    `lexicon` has the columns `words` (lower case, single blanks) and `kind`.  `key`
-    identifies a row of `df`; it is needed only for the join of a large lexicon.
+    `lexicon` has the columns `words` (lower case, single blanks) and `kind`.  Null words have no hits.
+    `key` names the rows for the reader; it need not be unique or filled.
     """
+    lexicon = lexicon.where(F.col("words").isNotNull())
     df = df.withColumn("_w", words)
     empty = F.array().cast(_HITS)
     listed = rows_if_small(lexicon.select("words", "kind"), max_rows)
@@ -76,16 +86,18 @@ def phrase_hits(
                 kind = F.when(g["words"].isin(members), F.lit(name)).otherwise(kind)
             return F.struct(g["pos"].alias("pos"), g["n"].alias("n"), g["words"].alias("words"), kind.alias("kind"))
 
+        max_words = max(p.count(" ") + 1 for p in kinds)
         known = F.filter(_grams("_w", max_words, firsts), lambda g: g["words"].isin(list(kinds)))
         return df.withColumn(out, F.coalesce(F.transform(known, with_kind), empty)).drop("_w")
-    grams = inline_rows(df, [key], _grams("_w", max_words), "pos")
+    df = with_content(df, "_w")
+    grams = inline_rows(df, list(CONTENT), _grams("_w", words_of_longest(lexicon, "words")), "pos")
     phrases = lexicon.groupBy("words").agg(F.min("kind").alias("kind"))
     found = (
         dim_join(grams, phrases, "words", "inner")
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "n", "words", "kind"))).alias(out))
+        .groupBy(*CONTENT)
+        .agg(F.sort_array(F.collect_set(F.struct("pos", "n", "words", "kind"))).alias(out))
     )
-    return df.drop("_w").join(found, key, "left").withColumn(out, F.coalesce(out, empty))
+    return df.drop("_w").join(found, list(CONTENT), "left").withColumn(out, F.coalesce(out, empty)).drop(*CONTENT)
 
 
 def greedy_matches(hits: Column) -> Column:
@@ -140,10 +152,10 @@ def drop_matches(words: str, matches: str) -> Column:
 
 
 def compound_phrases(
-    df: DataFrame, key: str, words: Column, lexicon: DataFrame, out: str = "compounds", **limits: int
+    df: DataFrame, key: str, words: Column, lexicon: DataFrame, out: str = "compounds", max_rows: int = MAX_SET_ROWS
 ) -> DataFrame:
-    """Add `out`: the tokens with multi-word lexicon entries joined by `_`."""
-    df = phrase_hits(df.withColumn("_words", words), key, F.col("_words"), lexicon, "_hits", **limits)
+    """Add `out`: the tokens with multi-word lexicon entries joined by `_`; null stays null."""
+    df = phrase_hits(df.withColumn("_words", words), key, F.col("_words"), lexicon, "_hits", max_rows)
     long_hits = F.filter("_hits", lambda h: h["n"] > 1)
     return (
         df.withColumn("_matches", greedy_matches(long_hits))
@@ -153,38 +165,27 @@ def compound_phrases(
 
 
 def remove_stopwords(
-    df: DataFrame,
-    key: str,
-    words: Column,
-    stopwords: DataFrame,
-    out: str = "kept",
-    max_rows: int = MAX_SET_ROWS,
+    df: DataFrame, key: str, words: Column, stopwords: DataFrame, out: str = "kept", max_rows: int = MAX_SET_ROWS
 ) -> DataFrame:
-    """Add `out`: the tokens that are no stop word, in order."""
-    stop = stopwords.select("word").distinct()
-    listed = rows_if_small(stopwords.select("word"), max_rows)
-    if listed is not None:
-        known = sorted({r.word for r in listed})
+    """Add `out`: the tokens that are no stop word, in order; null stays null.
+
+    A stop word of several words goes where all of them follow each other, longer ones first.
+    """
+    stopwords = stopwords.where(F.col("word").isNotNull()).select(F.col("word").alias("words"), F.lit("stop").alias("kind"))
+    listed = rows_if_small(stopwords, max_rows)
+    if listed is not None and not any(" " in r.words for r in listed):
+        known = sorted({r.words for r in listed})
         return df.withColumn(out, F.filter(words, lambda w: ~w.isin(known)))
-    placed = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
-    exploded = inline_rows(df, [key], placed, "pos")
-    kept = (
-        dim_join(exploded, stop, "word", "left_anti")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_kept"))
-    )
-    return (
-        df.join(kept, key, "left")
-        .withColumn(out, F.coalesce(F.transform("_kept", lambda k: k["word"]), F.array().cast("array<string>")))
-        .drop("_kept")
-    )
+    df = phrase_hits(df.withColumn("_words", words), key, F.col("_words"), stopwords, "_hits", max_rows)
+    df = df.withColumn("_matches", greedy_matches(F.col("_hits")))
+    return df.withColumn(out, drop_matches("_words", "_matches")).drop("_words", "_hits", "_matches")
 
 
 def location_mentions(
-    df: DataFrame, key: str, words: Column, places: DataFrame, out: str = "places", **limits: int
+    df: DataFrame, key: str, words: Column, places: DataFrame, out: str = "places", max_rows: int = MAX_SET_ROWS
 ) -> DataFrame:
     """Add `out`: array<struct<kind, words>> of distinct gazetteer names in the text."""
-    df = phrase_hits(df, key, words, places, "_hits", **limits)
+    df = phrase_hits(df, key, words, places, "_hits", max_rows)
     names = F.transform(
         greedy_matches(F.col("_hits")), lambda h: F.struct(h["kind"].alias("kind"), h["words"].alias("words"))
     )
@@ -207,8 +208,17 @@ def topic_overlap(
     """Add `out`: distinct title terms that the body supports.
 
     A title term listed in `topics(term, related_term)` counts through its related terms
-    only; any other term counts if the body holds the term itself.
+    only; any other term counts if the body holds the term itself.  Terms of several words
+    are found as phrases in title and body.
     """
+    names = topics.select(F.explode(F.array("term", "related_term")).alias("words")).where(F.contains("words", F.lit(" ")))
+    spelled = {c: F.replace(c, F.lit(" "), F.lit("_")).alias(c) for c in ("term", "related_term")}
+    df = df.withColumns({"_t": F.col(title_words), "_b": F.col(body_words)})
+    if not names.isEmpty():
+        phrases = names.select("words", F.lit("topic").alias("kind"))
+        for words in ("_t", "_b"):
+            df = compound_phrases(df, key, F.col(words), phrases, words, max_rows)
+        topics = topics.select(*spelled.values())
     listed = rows_if_small(topics, max_rows)
     if listed is not None:
         related: dict[str, set[str]] = {}
@@ -219,18 +229,19 @@ def topic_overlap(
             pairs = [x for t, rs in sorted(related.items()) for x in (F.lit(t), F.array(*map(F.lit, sorted(rs))))]
             mapping = F.create_map(*pairs)
         hit = F.filter(
-            F.array_distinct(title_words),
-            lambda t: F.arrays_overlap(F.coalesce(F.try_element_at(mapping, t), F.array(t)), F.col(body_words)),
+            F.array_distinct("_t"),
+            lambda t: F.arrays_overlap(F.coalesce(F.try_element_at(mapping, t), F.array(t)), F.col("_b")),
         )
-        return df.withColumn(out, F.size(hit))
-    terms = explode_rows(df, [key], F.array_distinct(title_words), "term")
+        return df.withColumn(out, F.coalesce(F.size(hit), F.lit(0))).drop("_t", "_b")
+    df = with_content(df, "_t", "_b")
+    terms = explode_rows(df, list(CONTENT), F.array_distinct("_t"), "term")
     wanted = dim_join(terms, topics, "term", "left").select(
-        key, "term", F.coalesce("related_term", "term").alias("word")
+        *CONTENT, "term", F.coalesce("related_term", "term").alias("word")
     )
-    body = explode_rows(df, [key], F.array_distinct(body_words), "word")
+    body = explode_rows(df, list(CONTENT), F.array_distinct("_b"), "word")
     hits = (
-        wanted.join(body, [key, "word"], "left_semi")
-        .groupBy(key)
+        wanted.join(body, [*CONTENT, "word"], "left_semi")
+        .groupBy(*CONTENT)
         .agg(F.count_distinct("term").cast("int").alias(out))
     )
-    return df.join(hits, key, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+    return df.join(hits, list(CONTENT), "left").withColumn(out, F.coalesce(out, F.lit(0))).drop("_t", "_b", *CONTENT)

@@ -63,9 +63,16 @@ def rule_province_code(df: DataFrame, dims: Dictionaries) -> DataFrame:
 
 
 def with_address_detail(df: DataFrame) -> DataFrame:
-    """Add `address_detail`: what is left of the address without its places."""
+    """Add `address_detail`: what is left of the address without its places.
+
+    The places are the posting's own names for them, where it has these fields.
+    """
+    own = {
+        c: F.coalesce(f"place_{c}", c, F.lit("")) if f"place_{c}" in df.columns else text_or_empty(c)
+        for c in ("province", "district")
+    }
     df = df.withColumn("_addr", normalize_address(strip_phrase(text_or_empty("address"), NATIONWIDE_PHRASE)))
-    detail = strip_place_suffix(F.col("_addr"), text_or_empty("province"), text_or_empty("district"))
+    detail = strip_place_suffix(F.col("_addr"), own["province"], own["district"])
     return df.withColumn("address_detail", detail).drop("_addr")
 
 

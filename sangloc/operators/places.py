@@ -9,7 +9,7 @@ from sangloc.functions.address import UNIT_WORDS, bare_name, unit_code
 from sangloc.functions.text import tokens
 from sangloc.operators.generate import explode_rows
 from sangloc.operators.joins import MAX_SET_ROWS, dim_join, is_small
-from sangloc.operators.lexicon import MAX_PHRASE_WORDS, _grams, phrase_hits
+from sangloc.operators.lexicon import CONTENT, _grams, phrase_hits, with_content, words_of_longest
 
 
 def resolve_province(
@@ -59,7 +59,7 @@ def match_district_of_province(
     coded_form = F.lower(raw_address).rlike(UNIT_WORDS) | address.rlike(r"(^|[, ])[qtxh] ")
     df = df.withColumns({"_words": tokens(address), "_p": F.col(province), "_form": coded_form})
     candidates = F.when(F.contains(address, F.lit(",")), F.split(address, ",")).otherwise(
-        F.transform(_grams("_words", MAX_PHRASE_WORDS), lambda g: g["words"])
+        F.transform(_grams("_words", words_of_longest(dim, "coded")), lambda g: g["words"])
     )
     if is_small(district_province, max_rows):
         by_province = dim.groupBy("_p").agg(
@@ -72,10 +72,13 @@ def match_district_of_province(
     coded = dim.select("_p", F.lit(True).alias("_form"), F.col("coded").alias("name"))
     bare = dim.select("_p", F.lit(False).alias("_form"), F.col("bare").alias("name"))
     named = coded.unionByName(bare).distinct()
-    exploded = explode_rows(df, [key, "_p", "_form"], F.array_distinct(candidates), "name")
-    found = dim_join(exploded, named, ["_p", "_form", "name"], "left_semi").groupBy(key).agg(F.collect_set("name").alias(out))
+    df = with_content(df.withColumn("_names", F.array_distinct(candidates)), "_p", "_form", "_names")
+    exploded = explode_rows(df, [*CONTENT, "_p", "_form"], "_names", "name")
+    found = dim_join(exploded, named, ["_p", "_form", "name"], "left_semi").groupBy(*CONTENT).agg(F.collect_set("name").alias(out))
+    # In the order of the address, as the small way gives them.
+    placed = F.coalesce(F.array_intersect("_names", out), F.array().cast("array<string>"))
     return (
-        df.drop("_words", "_p", "_form")
-        .join(found, key, "left")
-        .withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+        df.join(found, list(CONTENT), "left")
+        .withColumn(out, placed)
+        .drop("_words", "_p", "_form", "_names", *CONTENT)
     )

@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 from sangloc.functions.metrics import embedding_cosine
 from sangloc.operators.generate import explode_rows, inline_rows
 from sangloc.operators.joins import skew_join
-from sangloc.sources.sinks import staged
+from sangloc.sources.sinks import removed, staged
+
+Keys = str | list[str]
+
+
+def key_list(key: Keys) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
 
 def vocabulary(df: DataFrame, words: Column) -> DataFrame:
@@ -34,16 +40,16 @@ def vocabulary(df: DataFrame, words: Column) -> DataFrame:
     )
 
 
-def unknown_word_ratio(df: DataFrame, key: str, words: Column, vocab: DataFrame, min_docs: int = 3) -> DataFrame:
+def unknown_word_ratio(df: DataFrame, key: Keys, words: Column, vocab: DataFrame, min_docs: int = 3) -> DataFrame:
     """(key, n_words, n_unknown, unknown_ratio): share of tokens in fewer than `min_docs` texts.
 
     A token missing from `vocab` (fitted on another batch) is unknown as well.
     """
-    rows = explode_rows(df, [key], words, "token")
+    rows = explode_rows(df, key_list(key), words, "token")
     known = vocab.where(F.col("n_docs") >= min_docs).select("token", "n_rows", F.lit(1).alias("known"))
     return (
         skew_join(rows, known, ["token"], "n_rows", "left")
-        .groupBy(key)
+        .groupBy(*key_list(key))
         .agg(F.count("*").alias("n_words"), F.count_if(F.col("known").isNull()).alias("n_unknown"))
         .withColumn("unknown_ratio", F.col("n_unknown") / F.col("n_words"))
     )
@@ -55,14 +61,18 @@ def _bigrams(df: DataFrame, words: Column, *keep: str) -> DataFrame:
     return inline_rows(df, list(keep), pairs, "w1")
 
 
-def bigram_model(df: DataFrame, words: Column) -> DataFrame:
+def bigram_model(df: DataFrame, words: Column, parts: list[DataFrame] | None = None) -> DataFrame:
     """(w1, w2, n_rows, log_p): add-one smoothed log probability of w2 after w1.
 
+    `parts` receives the written tables that the model is read from, for the caller to remove.
+
     Only the bigram counts are made from the text; first-word counts and the vocabulary
     size come from that already reduced table.
     """
     pairs = staged(_bigrams(df, words).groupBy("w1", "w2").agg(F.count("*").alias("n_rows")), "bigrams")
     firsts = staged(pairs.groupBy("w1").agg(F.sum("n_rows").alias("n_first"), F.count("*").alias("n_pairs")), "firsts")
+    if parts is not None:
+        parts += [pairs, firsts]
     v = (
         pairs.select(F.explode(F.array("w1", "w2")).alias("w"))
         .distinct()
@@ -76,43 +86,56 @@ def bigram_model(df: DataFrame, words: Column) -> DataFrame:
 
 def fit_corpus(df: DataFrame, words: Column) -> tuple[DataFrame, DataFrame]:
     """Vocabulary and bigram model of a corpus as written tables, to score any batch against."""
-    return staged(vocabulary(df, words), "vocabulary"), staged(bigram_model(df, words), "bigram-model")
+    parts: list[DataFrame] = []
+    model = staged(bigram_model(df, words, parts), "bigram-model")
+    removed(*parts)
+    return staged(vocabulary(df, words), "vocabulary"), model
 
 
-def corpus_perplexity(df: DataFrame, key: str, words: Column, model: DataFrame) -> DataFrame:
+def corpus_perplexity(df: DataFrame, key: Keys, words: Column, model: DataFrame) -> DataFrame:
     """(key, n_bigrams, perplexity) for rows with two words or more.
 
     Bigrams the model has not seen (another batch) score as its least likely pair.
     """
     floor = model.agg(F.min("log_p").alias("floor")).scalar()
-    scored = skew_join(_bigrams(df, words, key), model, ["w1", "w2"], "n_rows", "left")
+    scored = skew_join(_bigrams(df, words, *key_list(key)), model, ["w1", "w2"], "n_rows", "left")
     return (
-        scored.groupBy(key)
+        scored.groupBy(*key_list(key))
         .agg(F.count("*").alias("n_bigrams"), F.avg(F.coalesce("log_p", floor)).alias("mean_log_p"))
-        .select(key, "n_bigrams", F.exp(-F.col("mean_log_p")).alias("perplexity"))
+        .select(*key_list(key), "n_bigrams", F.exp(-F.col("mean_log_p")).alias("perplexity"))
     )
 
 
 def neighbour_cosine(
     df: DataFrame, group: str, order: str, vector: str, bucket_rows: int = 100_000
 ) -> DataFrame:
-    """Add `cosine` to the preceding vector of the same group (null for the first).
+    """Add `cosine` to the preceding vector of the same group (null for the first); a null group is a group.
 
     A window over the whole group would put a hot group into one task, so `lag` runs per
-    (group, bucket of `order`).  Only the first row of a bucket needs another bucket: it
+    (group, bucket of `order`).  Buckets lie between quantiles of `order`, so they hold about as many
+    rows each whatever its values.  Only the first row of a bucket needs another bucket: it
     looks up the last vector of the nearest earlier one among one row per bucket.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(bucket_rows)))
+    buckets = min(10_000, df.count() // bucket_rows + 1)
+    bounds = None
+    if buckets > 1:
+        shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+        bounds = df.agg(F.percentile_approx(order, shares, 10_000).alias("b")).first().b
+    listed = F.array(*[F.lit(b) for b in sorted(set(bounds or []))])
+    number = F.size(F.filter(listed, lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    bucketed = df.withColumn("_bucket", number)
     within = Window.partitionBy(group, "_bucket").orderBy(order)
     last = bucketed.groupBy(group, "_bucket").agg(F.max_by(vector, order).alias("_last"))
     before = last.select(
-        group, "_bucket", F.lag("_last").over(Window.partitionBy(group).orderBy("_bucket")).alias("_before")
+        F.col(group).alias("_group"),
+        F.col("_bucket").alias("_at"),
+        F.lag("_last").over(Window.partitionBy(group).orderBy("_bucket")).alias("_before"),
     )
     return (
         bucketed.withColumn("_prev", F.lag(vector).over(within))
         .withColumn("_first", F.row_number().over(within) == 1)
-        .join(before, [group, "_bucket"])
+        .join(before, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_at")))
         .withColumn("_prev", F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_prev")))
         .withColumn("cosine", embedding_cosine(F.col("_prev"), F.col(vector)))
-        .drop("_bucket", "_prev", "_first", "_before")
+        .drop("_bucket", "_prev", "_first", "_before", "_group", "_at")
     )

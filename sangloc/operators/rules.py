@@ -52,8 +52,8 @@ def with_violation(df: DataFrame, name: str, count: Column, message: str | Colum
 
 
 def numbered_lines(messages: Sequence[Column]) -> Column:
-    """Non-empty messages as `1, ...` lines."""
-    filled = F.filter(F.array(*messages), lambda m: m != "")
+    """Non-empty messages as `1, ...` lines; a rule's several messages, one a line, are numbered one by one."""
+    filled = F.filter(F.flatten(F.transform(F.array(*messages), lambda m: F.split(m, "\n"))), lambda m: m != "")
     return F.array_join(
         F.transform(filled, lambda m, i: F.concat((i + 1).cast("string"), F.lit(", "), m)), "\n"
     )

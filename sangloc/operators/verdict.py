@@ -36,6 +36,8 @@ RULES_OF_LABEL = {
     12: ("poor_text",),
 }
 COUNTED_ONCE = (2, 12)
+# Labels of one rule that may have several messages, which are numbered.
+NUMBERED = (6,)
 FIRST_STAGE = range(1, 9)
 SECOND_STAGE = range(9, 13)
 
@@ -85,11 +87,11 @@ def num_error(returned: Column) -> Column:
 
 
 def message_map(returned: Column) -> Column:
-    """Label -> messages; several rules of a label become numbered lines, 9-12 stay empty if returned."""
+    """Label -> messages; several messages of a label become numbered lines, 9-12 stay empty if returned."""
 
     def text(label: int) -> Column:
         messages = [F.col(f"{r}_msg") for r in RULES_OF_LABEL[label]]
-        lines = numbered_lines(messages) if len(messages) > 1 else messages[0]
+        lines = numbered_lines(messages) if len(messages) > 1 or label in NUMBERED else messages[0]
         return F.when(returned, "").otherwise(lines) if label in SECOND_STAGE else lines
 
     return F.map_from_arrays(F.array(*map(F.lit, LABELS)), F.array(*[text(i) for i in range(1, 13)]))
@@ -110,6 +112,7 @@ REPAIRED = {
     "benefits": "benefits_fixed",
     "city_codes": "city_codes_fixed",
     "district": "district_fixed",
+    "address": "address_fixed",
 }
 
 
@@ -130,8 +133,11 @@ def repaired_fields(df: DataFrame, key: str = "post_id") -> DataFrame:
     return inline_rows(df, [key], changed, "field")
 
 
-def violations(df: DataFrame, key: str = "post_id") -> DataFrame:
-    """(key, rule_id, count, message): the long form, one row per violated rule."""
+def violations(df: DataFrame, key: str = "post_id", *keep: str) -> DataFrame:
+    """(key, kept columns, rule_id, count, message): the long form, one row per violated rule.
+
+    Of a label that counts once, every violated part is a row; elsewhere the counts of a posting sum up to `num_error`.
+    """
     rows = F.array(
         *[
             F.struct(
@@ -142,4 +148,4 @@ def violations(df: DataFrame, key: str = "post_id") -> DataFrame:
             if f"{r}_count" in df.columns
         ]
     )
-    return inline_rows(df, [key], F.filter(rows, lambda x: x["count"] > 0), "rule_id")
+    return inline_rows(df, [key, *keep], F.filter(rows, lambda x: x["count"] > 0), "rule_id")

@@ -70,26 +70,30 @@ def _rule_query(name: str, run: Callable[[DataFrame, SparkSession, str], DataFra
 
 @query("read_postings")
 def read_postings(spark: SparkSession, folder: str) -> DataFrame:
-    """Postings as JSON envelopes and back through the envelope schema."""
-    return _round_trip(views.postings(spark, folder)).select(
+    """Postings written as files of JSON envelopes, one a line, and read back."""
+    path = sinks.shared_folder(spark, "envelopes")
+    _envelopes(views.postings(spark, folder)).select("body").write.text(path)
+    return postings.rule_columns(postings.read_postings(spark, path, "jsonl")).select(
         "post_id", "title", "company", "city_codes", "province", "district", "address", "employment", "money_str",
         F.length("description").alias("n_description"), F.array_join("tu_khoa", "|").alias("keywords"),
     )
 
 
-def _round_trip(posts: DataFrame, missing: Column | None = None) -> DataFrame:
-    fields = F.struct(*[F.col(ours).cast("string").alias(theirs) for ours, theirs in postings.RULE_COLUMNS.items()])
+def _envelopes(posts: DataFrame, missing: Column | None = None) -> DataFrame:
+    """(request_id, body): a posting's envelope as JSON text."""
+    named = {ours: theirs for ours, theirs in postings.RULE_COLUMNS.items() if ours in posts.columns}
+    fields = F.struct(*[F.col(ours).cast("string").alias(theirs) for ours, theirs in named.items()])
     posting = fields if missing is None else F.when(~missing, fields)
     inner = F.struct(F.lit(True).alias("result"), posting.alias("data"))
     envelope = F.struct(inner.alias("data"), F.array("source", "employment").alias("tu_khoa"))
-    raw = posts.select(F.col("post_id").alias("request_id"), F.to_json(envelope).alias("body"))
-    return postings.rule_columns(postings.parse_envelope(raw, "body"))
+    return posts.select(F.col("post_id").alias("request_id"), F.to_json(envelope).alias("body"))
 
 
 @query("quarantine")
 def quarantine(spark: SparkSession, folder: str) -> DataFrame:
     """Requests without a posting (here: documents of under 200 characters) set aside and put back."""
-    parsed = _round_trip(views.postings(spark, folder), F.length("description") < 200)
+    raw = _envelopes(views.postings(spark, folder), F.length("description") < 200)
+    parsed = postings.rule_columns(postings.parse_envelope(raw, "body"))
     good, missing = postings.quarantine(parsed, F.col("has_posting"))
     return good.select("request_id", "has_posting").unionByName(missing, allowMissingColumns=True).select(
         "request_id", "has_posting", "num_error", "status", "message"
@@ -123,18 +127,14 @@ def lexicon_from_map(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("write_moderated")
 def write_moderated(spark: SparkSession, folder: str) -> DataFrame:
-    """Final records partitioned by status, written and read back."""
-    df = company_rules.rule_company_form(views.busy_postings(spark, folder))
-    status = F.when(F.col("company_form_count") > 0, 0).otherwise(1)
-    df = df.select(
-        "post_id",
-        F.col("company_form_count").alias("num_error"),
-        status.alias("status"),
-        verdict.status_text(status).alias("status_text"),
-        F.create_map(F.lit(verdict.LABELS[7]), "company_form_msg").alias("messages"),
-    )
-    path = sinks.write_moderated(sinks.response_json(df), sinks.shared_folder(spark, "moderated"))
-    return spark.read.parquet(path).select("post_id", "status", "response")
+    """The final records of all postings, partitioned by status, written and read back."""
+    df = _moderated(spark, folder)
+    path = sinks.write_moderated(sinks.response_json(df), sinks.shared_folder(spark, "records"))
+    said = {c: F.get_json_object("response", f"$.{c}") for c in ("status_text", "error")}
+    said |= {c: F.get_json_object("response", f"$.posting.{c}") for c in ("title", "description", "address", "district")}
+    said["num_error"] = F.get_json_object("response", "$.num_error").cast("int")
+    said["company_message"] = F.get_json_object("response", f"$.message['{verdict.LABELS[7]}']")
+    return spark.read.parquet(path).select("post_id", "status", *[c.alias(name) for name, c in said.items()])
 
 
 # --- cleaning and repair -----------------------------------------------------------------
@@ -209,9 +209,7 @@ def squash_money_text(spark: SparkSession, folder: str) -> DataFrame:
 @query("compound_phrases")
 def compound_phrases(spark: SparkSession, folder: str) -> DataFrame:
     phrases = views.benchmark_phrases(views.table(spark, folder, "benchmark"))
-    df = lexicon.compound_phrases(
-        _documents(spark, folder), "doc_id", text.bare_tokens(F.col("text")), phrases, max_words=3
-    )
+    df = lexicon.compound_phrases(_documents(spark, folder), "doc_id", text.bare_tokens(F.col("text")), phrases)
     return df.select("doc_id", F.size("compounds").alias("n_tokens"), F.array_join("compounds", " ").alias("text"))
 
 
@@ -476,31 +474,19 @@ def extract_salary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _moderated(spark: SparkSession, folder: str) -> DataFrame:
+    """The moderated postings, a staged table."""
     dims = views.dictionaries(spark, folder)
     return moderate(views.busy_postings(spark, folder), dims, max_perplexity=MAX_PERPLEXITY)
 
 
-_MODERATED_PATHS: dict[tuple[str, str], str] = {}
-
-
-def _moderated_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The moderated postings as a table written once per session, for the reports on it."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _MODERATED_PATHS:
-        path = sinks.shared_folder(spark, "moderated")
-        _moderated(spark, folder).write.parquet(path)
-        _MODERATED_PATHS[key] = path
-    return spark.read.parquet(_MODERATED_PATHS[key])
-
-
 @query("num_error")
 def num_error(spark: SparkSession, folder: str) -> DataFrame:
-    return _moderated_table(spark, folder).select("post_id", "returned", "num_error")
+    return _moderated(spark, folder).select("post_id", "returned", "num_error")
 
 
 @query("message_map")
 def message_map(spark: SparkSession, folder: str) -> DataFrame:
-    df = _moderated_table(spark, folder).select("post_id", F.explode("messages").alias("label", "message"))
+    df = _moderated(spark, folder).select("post_id", F.explode("messages").alias("label", "message"))
     return df.where(F.col("message") != "")
 
 
@@ -527,13 +513,13 @@ def short_circuit(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("repaired_fields")
 def repaired_fields(spark: SparkSession, folder: str) -> DataFrame:
-    return verdict.repaired_fields(_moderated_table(spark, folder))
+    return verdict.repaired_fields(_moderated(spark, folder))
 
 
 @query("rewrite_queue")
 def rewrite_queue(spark: SparkSession, folder: str) -> DataFrame:
-    df = _moderated_table(spark, folder).withColumn("title_fails", F.col("title_body_mismatch_count") > 0)
-    texts = {f: F.col(f"{f}_fixed") for f in rewrite.HEADINGS}
+    df = _moderated(spark, folder).withColumn("title_fails", F.col("title_body_mismatch_count") > 0)
+    texts = {f: F.col(f"{f}_fixed") for f in rewrite.HEADINGS} | {"description": F.col("description_asked")}
     return rewrite.rewrite_queue(df.withColumns(texts))
 
 
@@ -551,26 +537,19 @@ def merge_rewrite(spark: SparkSession, folder: str) -> DataFrame:
     return rewrite.merge_rewrite(views.busy_postings(spark, folder), parsed).select("post_id", *rewrite.HEADINGS)
 
 
-def _cheap_violations(spark: SparkSession, folder: str) -> DataFrame:
-    ruled = first_stage(views.busy_postings(spark, folder), views.dictionaries(spark, folder))
-    ruled = sinks.staged(ruled, "first-stage")
-    return verdict.violations(ruled).join(ruled.select("post_id", "source"), "post_id")
-
-
 @query("violations")
 def violations(spark: SparkSession, folder: str) -> DataFrame:
-    ruled = first_stage(views.busy_postings(spark, folder), views.dictionaries(spark, folder))
-    return verdict.violations(ruled)
+    return verdict.violations(_moderated(spark, folder))
 
 
 @query("rule_report")
 def rule_report(spark: SparkSession, folder: str) -> DataFrame:
-    return report.rule_report(_cheap_violations(spark, folder))
+    return report.rule_report(verdict.violations(_moderated(spark, folder), "post_id", "source"))
 
 
 @query("worst_postings")
 def worst_postings(spark: SparkSession, folder: str) -> DataFrame:
-    return report.worst_postings(_moderated_table(spark, folder), 3).select("source", "post_id", "rank", "num_error")
+    return report.worst_postings(_moderated(spark, folder), 3).select("source", "post_id", "rank", "num_error")
 
 
 @query("rule_label_agreement")

@@ -12,7 +12,7 @@ from sangloc.operators import (  # noqa: F401  (registers the rules)
     place_rules,
     title_rules,
 )
-from sangloc.functions.text import strip_phrase
+from sangloc.functions.text import strip_phrase, strip_special
 from sangloc.operators.content_rules import (
     DEFAULT_MAX_PERPLEXITY,
     MIN_VOTES,
@@ -26,8 +26,8 @@ from sangloc.operators.content_rules import (
 from sangloc.operators.pay_rules import SECTIONS
 from sangloc.operators.quality import fit_corpus
 from sangloc.operators.rules import Dictionaries, text_or_empty
-from sangloc.operators.verdict import is_returned, short_circuit, verdict
-from sangloc.sources.sinks import staged
+from sangloc.operators.verdict import is_returned, label_count, short_circuit, verdict
+from sangloc.sources.sinks import removed, staged
 
 
 def first_stage(df: DataFrame, dims: Dictionaries, key: str = "post_id") -> DataFrame:
@@ -82,11 +82,9 @@ def second_stage(df: DataFrame, dims: Dictionaries, key: str = "post_id") -> Dat
 
 
 def section_texts(df: DataFrame, key: str) -> DataFrame:
-    """(key, section, section_key, text): the repaired sections in the form R13 reads."""
-    return (
-        df.select(key, *[poor_text_form(F.col(f"{s}_fixed")).alias(s) for s in SECTIONS])
-        .unpivot([key], list(SECTIONS), "section", "text")
-        .withColumn("section_key", F.concat_ws("/", F.col(key).cast("string"), "section"))
+    """(key, section, text): the repaired sections in the form R13 reads."""
+    return df.select(key, *[poor_text_form(F.col(f"{s}_fixed")).alias(s) for s in SECTIONS]).unpivot(
+        [key], list(SECTIONS), "section", "text"
     )
 
 
@@ -105,14 +103,8 @@ def with_poor_text(
     undecided = ~F.col("returned") & F.exists("_checks", needs_corpus)
 
     def costly(rows: DataFrame) -> DataFrame:
-        votes = corpus_votes(section_texts(rows, key), "section_key", "text", corpus, max_perplexity)
-        parts = F.split("section_key", "/")
-        by_post = (
-            votes.select(parts[0].cast(rows.schema[key].dataType).alias(key), parts[1].alias("section"), "corpus_votes")
-            .groupBy(key)
-            .pivot("section", list(SECTIONS))
-            .agg(F.first("corpus_votes"))
-        )
+        votes = corpus_votes(section_texts(rows, key), [key, "section"], "text", corpus, max_perplexity)
+        by_post = votes.groupBy(key).pivot("section", list(SECTIONS)).agg(F.first("corpus_votes"))
         by_post = by_post.select(key, *[F.col(s).alias(f"_{s}") for s in SECTIONS])
         total = {s: found[s]["votes"] + F.coalesce(f"_{s}", F.lit(0)) for s in SECTIONS}
         flags = {f"{s}_poor": found[s]["is_short"] | (total[s] >= MIN_VOTES) for s in SECTIONS}
@@ -125,12 +117,24 @@ def with_poor_text(
     return df.withColumns({"poor_text_count": count, "poor_text_msg": message}).drop("_checks")
 
 
-def restore_untouched(df: DataFrame) -> DataFrame:
-    """Repaired texts hold the original wherever the rule did not ask for a repair."""
-    fixed = F.col("special_ratio_count") == 1
-    columns = {f"{s}_fixed": F.when(fixed, F.col(f"{s}_fixed")).otherwise(F.col(s)) for s in SECTIONS}
-    columns["title_fixed"] = F.when(F.col("returned"), F.col("title")).otherwise(F.col("title_fixed"))
-    return df.withColumns(columns)
+def repair(df: DataFrame) -> DataFrame:
+    """The repaired texts as they are given back.
+
+    The nationwide phrase goes from title and description, and from the address if R2 finds no fault.  A section is
+    R10's repair where that rule asks for one; of a posting that is not returned, sections that R13 does not find
+    poor lose their special characters.  `description_asked` is the description before that.
+    """
+    wide = place_rules.NATIONWIDE_PHRASE
+    fixed, returned = F.col("special_ratio_count") == 1, F.col("returned")
+    plain = {s: F.col(s) for s in SECTIONS} | {"description": strip_phrase(F.col("description"), wide)}
+    df = df.withColumns({f"{s}_fixed": F.when(fixed, F.col(f"{s}_fixed")).otherwise(plain[s]) for s in SECTIONS})
+    clean = {
+        f"{s}_fixed": F.when(returned | F.col(f"{s}_poor"), F.col(f"{s}_fixed")).otherwise(strip_special(F.col(f"{s}_fixed")))
+        for s in SECTIONS
+    }
+    title = F.when(returned, strip_phrase(F.col("title"), wide)).otherwise(F.col("title_fixed"))
+    address = F.when(label_count(2) == 0, strip_phrase(F.col("address"), wide)).otherwise(F.col("address"))
+    return df.withColumns({"description_asked": F.col("description_fixed"), "title_fixed": title, "address_fixed": address, **clean})
 
 
 def moderate(
@@ -140,9 +144,16 @@ def moderate(
     corpus: tuple[DataFrame, DataFrame] | None = None,
     max_perplexity: float = DEFAULT_MAX_PERPLEXITY,
 ) -> DataFrame:
-    """Postings in; postings with rule columns, repaired texts, count, messages and verdict out."""
-    ruled = staged(second_stage(first_stage(posts, dims, key), dims, key), "ruled")
+    """Postings in; postings with rule columns, repaired texts, count, messages and verdict out.
+
+    The result is a staged table (`removed` takes it away); what it was made from is removed here.
+    """
+    ruled = second_stage(first_stage(posts, dims, key), dims, key).drop("address_detail", *[f"{s}_text" for s in SECTIONS])
+    ruled = staged(ruled, "ruled")
+    fitted: tuple[DataFrame, ...] = ()
     if corpus is None:
         texts = section_texts(ruled.where(~F.col("returned")), key)
-        corpus = fit_corpus(texts, corpus_words(F.col("text")))
-    return verdict(restore_untouched(with_poor_text(ruled, corpus, key, max_perplexity)))
+        corpus = fitted = fit_corpus(texts, corpus_words(F.col("text")))
+    moderated = staged(verdict(repair(with_poor_text(ruled, corpus, key, max_perplexity))), "moderated")
+    removed(ruled, *fitted)
+    return moderated

@@ -8,6 +8,10 @@ from pyspark.sql import types as T
 
 from sangloc.operators.verdict import MSG_NO_POSTING, STATUS_TEXT
 
+# What a reader keeps of an envelope that is no JSON of the envelope's shape.
+CORRUPT = "_corrupt_record"
+UNREADABLE = "the envelope is not readable JSON"
+
 # The posting's field names; all are strings or null.
 POSTING_FIELDS = (
     "new_id new_title new_alias cat_name new_cat_id new_lv new_addr new_city cit_name new_qh_id new_user_id "
@@ -50,6 +54,8 @@ RULE_COLUMNS = {
     "city_codes": "new_city",
     "province": "cit_name",
     "district": "new_qh_id",
+    "place_province": "new_name_cit",
+    "place_district": "new_name_qh",
     "address": "usc_address",
     "company": "usc_company",
     "employment": "new_hinh_thuc_text",
@@ -63,10 +69,17 @@ def parse_envelope(df: DataFrame, column: str) -> DataFrame:
     return _flatten(parsed.select(*df.columns, "_e.*"), df.columns).drop(column)
 
 
-def read_postings(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One envelope per file (or JSON lines) -> one flat row each, unread fields pruned."""
-    raw = spark.read.schema(ENVELOPE).option("multiLine", True).json(path)
-    return _flatten(raw.withColumn("file_name", F.col("_metadata.file_name")), ["file_name"])
+def read_postings(spark: SparkSession, path: str | list[str], format: str = "json") -> DataFrame:
+    """One envelope per file (`json`) or per line (`jsonl`, which splits large files) -> one flat row each.
+
+    An unreadable envelope is a row of its own with its text in `corrupt`.
+    """
+    if format not in ("json", "jsonl"):
+        raise ValueError(f"format is json or jsonl, not {format}")
+    schema = T.StructType([*ENVELOPE.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", format == "json")
+    raw = reader.json(path).withColumns({"file_name": F.col("_metadata.file_name"), "corrupt": F.col(CORRUPT)})
+    return _flatten(raw, ["file_name", "corrupt"])
 
 
 def _flatten(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -86,13 +99,18 @@ def rule_columns(df: DataFrame) -> DataFrame:
 
 
 def quarantine(df: DataFrame, has_posting: Column) -> tuple[DataFrame, DataFrame]:
-    """(rows with a posting, result rows for those without)."""
+    """(rows with a posting, result rows for those without).
+
+    `error` tells an unreadable envelope, where the reader has kept one, from one without a posting.
+    """
+    unreadable = F.col("corrupt").isNotNull() if "corrupt" in df.columns else F.lit(False)
     missing = df.where(~has_posting).withColumns(
         {
             "num_error": F.lit(-1),
             "status": F.lit(0),
             "status_text": F.lit(STATUS_TEXT[0]),
-            "message": F.lit(MSG_NO_POSTING),
+            "message": F.when(~unreadable, MSG_NO_POSTING),
+            "error": F.when(unreadable, UNREADABLE),
         }
     )
     return df.where(has_posting), missing

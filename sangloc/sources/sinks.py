@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# The posting's fields in the final record.
+RECORD_FIELDS = (
+    "title description requirements benefits city_codes province district address company employment money_str"
+).split()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's `spark.checkpoint.dir`.
 
@@ -49,9 +55,13 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
 
 
 def response_json(df: DataFrame, key: str = "post_id") -> DataFrame:
-    """(key, status, response): the final record as JSON text."""
-    record = F.struct(key, "num_error", "status_text", F.col("messages").alias("message"))
-    return df.select(key, "status", F.to_json(record).alias("response"))
+    """(key, status, response): the final record, with the repaired posting, as JSON text; `error` is null."""
+    posting = F.struct(*[F.coalesce(f"{c}_fixed", c).alias(c) if f"{c}_fixed" in df.columns else F.col(c) for c in RECORD_FIELDS if c in df.columns])
+    record = F.struct(
+        key, "num_error", "status_text", F.col("messages").alias("message"), posting.alias("posting"), F.lit(None).cast("string").alias("error")
+    )
+    response = F.to_json(record, {"ignoreNullFields": "false"})
+    return df.select(key, "status", response.alias("response"))
 
 
 def write_moderated(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sangloc.operators.rules import Dictionaries
 from sangloc.plans.moderation import DEFAULT_MAX_PERPLEXITY, moderate
+from sangloc.sources.sinks import removed
 
 
 def moderate_stream(
@@ -30,6 +31,7 @@ def moderate_stream(
     def write(batch: DataFrame, batch_id: int) -> None:
         moderated = moderate(batch, dims, key, corpus, max_perplexity)
         shape(moderated).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        removed(moderated)
 
     return (
         posts.writeStream.foreachBatch(write)
