@@ -19,9 +19,14 @@ representative, the smallest key, is compared.
    earlier in the common order lies within the other's range).  Groups depend on the size of the set, so a
    set is indexed for its own band of sizes and the next; partners share one of them.
 5. A few signatures of each set give first pairs, each with the smallest key of the signature; verified pairs are joined
-   to components.  Then every signature whose sets are not all in one component yields all its pairs across
-   components.  Pairs within a component need no comparison: they cannot change it.  So a
-   group of thousands of near copies costs a few pairs for each of them, not all pairs.
+   to components.  Signatures that still span components are dealt into small random groups, several times over, and
+   give a second batch of pairs across components: in a large group whose members link with many of the others, though
+   not with its smallest key, these unite nearly all.  Last, every signature whose sets are not all in one component
+   yields all its pairs across components, so that no link between components is missed, but for those that a
+   bound rules out within the join: a set's shingles are hashed to the parities of 1,024 bits, and where two sets
+   differ in more parities than they may differ in shingles, they cannot link.  Pairs within a component
+   need no comparison: they cannot change it.  So a group of thousands of near copies costs a few pairs for
+   each of them, not all pairs.
 6. Pairs are verified on the whole sets.
 
 Hashes have 64 bits.
@@ -34,7 +39,7 @@ null key name no document and have no result.  The key is an integer column.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +61,12 @@ FREQUENT, VERY_FREQUENT = 8, 128
 LEAST_GROUPED, GROUP_SHARE = 24, 12
 #: Signatures of a set that the first pairs are made from.
 FIRST_SIGNATURES = 6
+#: Signatures, deals and size of the random groups of the second batch.
+DEALT_SIGNATURES, DEALS, DEALT_GROUP = 12, 2, 4
+#: log2 of the parity bits of a set.
+PARITY_BITS = 10
 #: Shingles that one task of an exchange sorts at a time.
-RANGE_SHINGLES = 1_000_000
+RANGE_SHINGLES = 250_000
 #: Up to this many keys are broadcast; beyond that texts are joined to them by key.
 MOST_BROADCAST_KEYS = 1_000_000
 
@@ -300,7 +309,7 @@ def _combinations(who: np.ndarray, where: np.ndarray, size: int) -> Iterator[tup
 
 
 def signatures(packed: DataFrame, found: DataFrame) -> DataFrame:
-    """(sig, key, n, rank): rank orders the signatures of a set by hash."""
+    """(sig, key, n, common, rank): common counts the shingles that other sets hold too; rank orders a set's signatures."""
     lists = found.groupBy("pack").agg(F.collect_list(F.struct("h", "df")).alias("df"))
     rows = packed.join(lists, "pack").select("keys", "sizes", "h", "df")
 
@@ -314,12 +323,14 @@ def signatures(packed: DataFrame, found: DataFrame) -> DataFrame:
                 known, count = known[order], count[order]
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
                 df = np.where(known[at] == h, count[at], 1) if len(known) else np.ones(len(h), np.int64)
-                who, sig = signatures_of(np.repeat(np.arange(len(keys)), sizes), h, df, sizes)
+                set_of = np.repeat(np.arange(len(keys)), sizes)
+                common = np.bincount(set_of[df > 1], minlength=len(keys))
+                who, sig = signatures_of(set_of, h, df, sizes)
                 rank = np.arange(len(who)) - np.searchsorted(who, who)
-                columns = [sig.view(np.int64), keys[who], sizes[who], rank]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "key", "n", "rank"])
+                columns = [sig.view(np.int64), keys[who], sizes[who], common[who], rank]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "key", "n", "common", "rank"])
 
-    return rows.mapInArrow(run, "sig long, key long, n long, rank long")
+    return rows.mapInArrow(run, "sig long, key long, n long, common long, rank long")
 
 
 def verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
@@ -352,8 +363,10 @@ def verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, similarity double")
 
 
-def _sizes_allow(a: str, b: str) -> Column:
-    return (4 * F.col(a) >= 3 * F.col(b)) & (4 * F.col(b) >= 3 * F.col(a))
+def _may_link(n: str, common: str, other_n: str, other_common: str) -> Column:
+    """By sizes, and because an overlap of 3/7 of both sizes together, the threshold's, needs as many common shingles."""
+    n, common, m, theirs = map(F.col, (n, common, other_n, other_common))
+    return (4 * n >= 3 * m) & (4 * m >= 3 * n) & (7 * F.least(common, theirs) >= 3 * (n + m))
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -367,13 +380,17 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     total = chosen.agg(F.sum("n")).first()[0] or 0
     sigs = staged(signatures(packed, frequencies(packed, total)), "signatures")
     links = staged(verified(_first_pairs(sigs), packed), "first-links")
-    rough = components(links, "a", "b")
-    more = staged(verified(_pairs_across(sigs, rough), packed), "more-links")
-    merged = components(links.unionByName(more), "a", "b") if more.limit(1).count() else rough
+    merged = components(links, "a", "b")
+    for batch in (_pairs_dealt, _pairs_across):
+        found = staged(verified(batch(sigs, merged, packed), packed), "more-links")
+        both = links.unionByName(found)
+        removed(merged)
+        merged = components(both, "a", "b")
+        links = staged(both, "links")
     named = classes.join(merged.withColumnRenamed("vertex", "key"), "key", "left").select(
         "n", "s1", "s2", F.col("key").alias("_copy_of"), F.coalesce("component", "key").alias("_component")
     )
-    removed(chosen, packed, sigs, links, more)
+    removed(chosen, packed, sigs, links)
     out = sets.join(named, ["n", "s1", "s2"], "left")
     return out.select(
         F.col("key").cast(docs.schema[key].dataType).alias(key),
@@ -386,20 +403,67 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def _first_pairs(sigs: DataFrame) -> DataFrame:
     """Each set with the smallest key of each of its first signatures."""
     few = sigs.where(F.col("rank") < FIRST_SIGNATURES)
-    least = few.groupBy("sig").agg(F.min(F.struct("key", "n")).alias("least"), F.count("*").alias("sets")).where("sets > 1")
-    pairs = few.join(least, "sig").where((F.col("key") != F.col("least.key")) & _sizes_allow("n", "least.n"))
+    least = few.groupBy("sig").agg(F.min(F.struct("key", "n", "common")).alias("least"), F.count("*").alias("sets")).where("sets > 1")
+    may = _may_link("n", "common", "least.n", "least.common")
+    pairs = few.join(least, "sig").where((F.col("key") != F.col("least.key")) & may)
     return pairs.select(F.col("least.key").alias("a"), F.col("key").alias("b")).distinct()
 
 
-def _pairs_across(sigs: DataFrame, rough: DataFrame) -> DataFrame:
-    """All pairs of sets that share a signature but, so far, no component."""
-    placed = sigs.join(rough.withColumnRenamed("vertex", "key"), "key", "left").select(
-        "sig", "key", "n", F.coalesce("component", "key").alias("component")
+def _open(sigs: DataFrame, merged: DataFrame) -> DataFrame:
+    """(sig, key, n, component) of the signatures whose sets are in several components."""
+    placed = sigs.join(merged.withColumnRenamed("vertex", "key"), "key", "left").select(
+        "sig", "key", "n", "common", F.coalesce("component", "key").alias("component")
     )
     split = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_rows = placed.join(split.select("sig"), "sig", "left_semi")
-    other = open_rows.select("sig", F.col("key").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs"))
-    pairs = open_rows.join(other, "sig").where((F.col("component") < F.col("theirs")) & _sizes_allow("n", "m"))
+    return placed.join(split.select("sig"), "sig", "left_semi")
+
+
+def _pairs_dealt(sigs: DataFrame, merged: DataFrame, packed: DataFrame) -> DataFrame:
+    """Sets of a signature dealt into random groups, each with the smallest key of its group."""
+    rows = _open(sigs.where(F.col("rank") < DEALT_SIGNATURES), merged)
+    sizes = rows.groupBy("sig").agg(F.ceil(F.count("*") / DEALT_GROUP).alias("groups"))
+    rows = rows.join(sizes, "sig").withColumn("deal", F.explode(F.array(*map(F.lit, range(DEALS)))))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("key", "sig", "deal"), F.col("groups")))
+    least = rows.groupBy("sig", "deal", "group").agg(F.min(F.struct("key", "n", "common", "component")).alias("least"))
+    pairs = rows.join(least, ["sig", "deal", "group"]).where(F.col("component") != F.col("least.component"))
+    pairs = pairs.where(_may_link("n", "common", "least.n", "least.common"))
+    return pairs.select(F.col("least.key").alias("a"), F.col("key").alias("b")).distinct()
+
+
+def parities(packed: DataFrame) -> DataFrame:
+    """(key, parity): for each bit whether an odd number of the set's shingles fall on it, in longs."""
+    longs = 1 << PARITY_BITS - 6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys, sizes = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["sizes"], np.int64)
+                bit = (mix(np.frombuffer(r["h"], np.uint64)) >> np.uint64(64 - PARITY_BITS)).astype(np.int64)
+                at = (np.repeat(np.arange(len(keys)), sizes) << PARITY_BITS) + bit
+                odd = np.bincount(at, minlength=len(keys) << PARITY_BITS).astype(np.uint8) & 1
+                parity = np.packbits(odd).view(np.int64).reshape(len(keys), longs)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(parity.tolist(), pa.list_(pa.int64()))], ["key", "parity"])
+
+    return packed.select("keys", "sizes", "h").mapInArrow(run, "key long, parity array<long>")
+
+
+def _pairs_across(sigs: DataFrame, merged: DataFrame, packed: DataFrame) -> DataFrame:
+    """All pairs of sets that share a signature but, so far, no component, and that may link."""
+    rows = _open(sigs, merged).join(parities(packed), "key")
+    names = [f"p{i}" for i in range(1 << PARITY_BITS - 6)]
+    rows = rows.select("sig", "key", "n", "common", "component", *[F.get("parity", F.lit(i)).alias(p) for i, p in enumerate(names)])
+    other = rows.select(
+        "sig",
+        F.col("key").alias("other"),
+        F.col("n").alias("m"),
+        F.col("common").alias("shared"),
+        F.col("component").alias("theirs"),
+        *[F.col(p).alias(f"q{p}") for p in names],
+    )
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"q{p}"))) for p in names])
+    # Sets that differ in d shingles have an overlap of (n + m - d) / 2, and 3/7 of n + m is needed.
+    may = _may_link("n", "common", "m", "shared") & (7 * apart <= F.col("n") + F.col("m"))
+    pairs = rows.join(other, "sig").where((F.col("component") < F.col("theirs")) & may)
     return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
