@@ -320,8 +320,10 @@ def records_of(archives: DataFrame, path: str = "path") -> DataFrame:
         if rows:
             yield pack()
 
-    places = archives.select(F.col(path).alias("path")).repartition(F.col("path")).mapInArrow(locate, "path string, start long, size long")
-    spread = places.repartition("path", F.floor(F.col("start") / RANGE_BYTES)).sortWithinPartitions("path", "start")
+    # Rows are small and what they stand for is not: a number of partitions keeps them apart.
+    parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = archives.select(F.col(path).alias("path")).repartition(parts, "path").mapInArrow(locate, "path string, start long, size long")
+    spread = places.repartition(parts, "path", F.floor(F.col("start") / RANGE_BYTES)).sortWithinPartitions("path", "start")
     return spread.mapInArrow(fetch, RECORD)
 
 
