@@ -18,11 +18,10 @@ representative, the smallest key, is compared.
    combination in common with every partner (the partner's prefix holds it too, because the one that ends
    earlier in the common order lies within the other's range).  Groups depend on the size of the set, so a
    set is indexed for its own band of sizes and the next; partners share one of them.
-5. A few signatures of each set give first pairs, each with the smallest key of the signature; verified pairs are joined
-   to components.  Signatures that still span components are dealt into small random groups, several times over, and
-   give a second batch of pairs across components: in a large group whose members link with many of the others, though
-   not with its smallest key, these unite nearly all.  Last, every signature whose sets are not all in one component
-   yields all its pairs across components, so that no link between components is missed, but for those that a
+5. A few signatures of each set give first pairs, each with the smallest key of the signature and, where more sets
+   share it, with the smallest of a small random group of them: in a large group whose members link with many of the
+   others, though not with its smallest key, these unite nearly all.  Verified pairs are joined to components.  Then
+   every signature whose sets are not all in one component yields all its pairs across components, so that no link between components is missed, but for those that a
    bound rules out within the join: a set's shingles are hashed to the parities of 1,024 bits, and where two sets
    differ in more parities than they may differ in shingles, they cannot link.  Pairs within a component
    need no comparison: they cannot change it.  So a group of thousands of near copies costs a few pairs for
@@ -61,8 +60,8 @@ FREQUENT, VERY_FREQUENT = 8, 128
 LEAST_GROUPED, GROUP_SHARE = 24, 12
 #: Signatures of a set that the first pairs are made from.
 FIRST_SIGNATURES = 6
-#: Signatures, deals and size of the random groups of the second batch.
-DEALT_SIGNATURES, DEALS, DEALT_GROUP = 12, 2, 4
+#: Signatures with more sets than this are also dealt into random groups of about this size.
+DEALT_OVER, DEALT_GROUP = 16, 4
 #: log2 of the parity bits of a set.
 PARITY_BITS = 10
 #: Shingles that one task of an exchange sorts at a time.
@@ -380,17 +379,18 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     total = chosen.agg(F.sum("n")).first()[0] or 0
     sigs = staged(signatures(packed, frequencies(packed, total)), "signatures")
     links = staged(verified(_first_pairs(sigs), packed), "first-links")
-    merged = components(links, "a", "b")
-    for batch in (_pairs_dealt, _pairs_across):
-        found = staged(verified(batch(sigs, merged, packed), packed), "more-links")
-        both = links.unionByName(found)
-        removed(merged)
-        merged = components(both, "a", "b")
-        links = staged(both, "links")
+    rough = components(links, "a", "b")
+    more = staged(verified(_pairs_across(sigs, rough, packed), packed), "more-links")
+    if more.isEmpty():
+        merged = rough
+    else:
+        stars = rough.select(F.col("vertex").alias("a"), F.col("component").alias("b"))
+        merged = components(stars.unionByName(more.select("a", "b")), "a", "b")
+        removed(rough)
     named = classes.join(merged.withColumnRenamed("vertex", "key"), "key", "left").select(
         "n", "s1", "s2", F.col("key").alias("_copy_of"), F.coalesce("component", "key").alias("_component")
     )
-    removed(chosen, packed, sigs, links)
+    removed(chosen, packed, sigs, links, more)
     out = sets.join(named, ["n", "s1", "s2"], "left")
     return out.select(
         F.col("key").cast(docs.schema[key].dataType).alias(key),
@@ -401,11 +401,17 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def _first_pairs(sigs: DataFrame) -> DataFrame:
-    """Each set with the smallest key of each of its first signatures."""
+    """Each set with the smallest key of each of its first signatures, and with that of its random group."""
     few = sigs.where(F.col("rank") < FIRST_SIGNATURES)
-    least = few.groupBy("sig").agg(F.min(F.struct("key", "n", "common")).alias("least"), F.count("*").alias("sets")).where("sets > 1")
+    sizes = few.groupBy("sig").agg(F.count("*").alias("sets")).where("sets > 1")
+    groups = F.when(F.col("sets") > DEALT_OVER, F.ceil(F.col("sets") / DEALT_GROUP))
+    dealt = F.pmod(F.xxhash64("key", "sig"), groups)
+    every = F.lit(-1).cast("long")
+    named = F.when(groups.isNull(), F.array(every)).otherwise(F.array(every, dealt))
+    rows = few.join(sizes, "sig").withColumn("group", F.explode(named))
+    least = rows.groupBy("sig", "group").agg(F.min(F.struct("key", "n", "common")).alias("least"))
     may = _may_link("n", "common", "least.n", "least.common")
-    pairs = few.join(least, "sig").where((F.col("key") != F.col("least.key")) & may)
+    pairs = rows.join(least, ["sig", "group"]).where((F.col("key") != F.col("least.key")) & may)
     return pairs.select(F.col("least.key").alias("a"), F.col("key").alias("b")).distinct()
 
 
@@ -418,18 +424,6 @@ def _open(sigs: DataFrame, merged: DataFrame) -> DataFrame:
     return placed.join(split.select("sig"), "sig", "left_semi")
 
 
-def _pairs_dealt(sigs: DataFrame, merged: DataFrame, packed: DataFrame) -> DataFrame:
-    """Sets of a signature dealt into random groups, each with the smallest key of its group."""
-    rows = _open(sigs.where(F.col("rank") < DEALT_SIGNATURES), merged)
-    sizes = rows.groupBy("sig").agg(F.ceil(F.count("*") / DEALT_GROUP).alias("groups"))
-    rows = rows.join(sizes, "sig").withColumn("deal", F.explode(F.array(*map(F.lit, range(DEALS)))))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("key", "sig", "deal"), F.col("groups")))
-    least = rows.groupBy("sig", "deal", "group").agg(F.min(F.struct("key", "n", "common", "component")).alias("least"))
-    pairs = rows.join(least, ["sig", "deal", "group"]).where(F.col("component") != F.col("least.component"))
-    pairs = pairs.where(_may_link("n", "common", "least.n", "least.common"))
-    return pairs.select(F.col("least.key").alias("a"), F.col("key").alias("b")).distinct()
-
-
 def parities(packed: DataFrame) -> DataFrame:
     """(key, parity): for each bit whether an odd number of the set's shingles fall on it, in longs."""
     longs = 1 << PARITY_BITS - 6
