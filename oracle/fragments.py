@@ -71,7 +71,7 @@ def fold(c: str) -> str:
 
 
 def poor_form(c: str) -> str:
-    kept = rx(f"lower({c})", r'[@#$%^&*()–,":;{}|<>_=/+\\-]')
+    kept = rx(f"lower({c})", r'[@#$%^&*()–,":;{}|<>_=/+-]')
     return (
         f"array_to_string(list_filter(string_split({kept}, ' '), "
         "lambda w: w NOT IN ('và', 'của', 'có', 'các')), ' ')"

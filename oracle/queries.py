@@ -340,7 +340,7 @@ RULE["title_index"] = (
     (f.PLACES, TOWN, mentions('title', 't', 'h', 'town'),
      "h_names AS (SELECT id, count(DISTINCT words) AS n FROM h_walk GROUP BY id)"),
     "t LEFT JOIN h_names hn ON hn.id = t.post_id",
-    f"CAST({hits('title', PHONES)} + CAST(regexp_matches(title, {q(r'[!@#$%^&*()?' + chr(34) + r':;{}|<>_=/+\\]')}) AS INTEGER) "
+    f"CAST({hits('title', PHONES)} + CAST(regexp_matches(title, {q(r'[!@#$%^&*()?' + chr(34) + r':;{}|<>_=/+]')}) AS INTEGER) "
     f"+ CAST(contains(lower(title), 'chi nhánh') AS INTEGER) + coalesce(n, 0) + {hits('title', [PAY[0], '[0-9]{1,2} ?(triệu|tr)'])} AS INTEGER)",
     q(title_rules.MSG_TITLE_INDEX), "",
 )

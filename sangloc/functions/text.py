@@ -17,7 +17,7 @@ SPACE = r"[\s\p{Z}]"
 SPECIAL_CHARS = "!#$%^*?&{}|_+=@[]:;<>/()"
 
 # Everything a title may not contain in the "index" profile.
-INDEX_SPECIAL = r'[!@#$%^&*()?":;{}|<>_=/+\\]'
+INDEX_SPECIAL = r'[!@#$%^&*()?":;{}|<>_=/+]'
 
 # Characters allowed by `strip_special`.
 NOT_ALLOWED = r"[^\\/\p{L}\p{N}_\s\p{Z},.;<>]+"
@@ -82,7 +82,7 @@ def html_to_text(c: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def compose_unicode(s: pd.Series) -> pd.Series:
     """Decomposed accented letters to composed ones (NFC); Spark has no built-in."""
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+    return s.str.normalize("NFC")
 
 
 def _accent_table() -> tuple[str, str]:

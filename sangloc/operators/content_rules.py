@@ -36,7 +36,7 @@ from sangloc.sources.sinks import staged
 MAX_SPECIAL_RATIO = 0.05
 MIN_VOTES = 4
 POOR_TEXT_STOPWORDS = ("và", "của", "có", "các")
-POOR_TEXT_PUNCT = "@#$%^&*()–,\":;{}|<>_=/+\\-"
+POOR_TEXT_PUNCT = "@#$%^&*()–,\":;{}|<>_=/+-"
 MSG_NO_SECTIONS = "Khong co 1 trong các mục mota quyenloi yeucau"
 MSG_SPECIAL_RATIO = "Nội dung chứa quá nhiều ký tự đặc biệt"
 MSG_MISMATCH = "Không được tiêu đề một kiểu, mô tả một kiểu"

@@ -43,6 +43,9 @@ def _grams(words: str, max_words: int, firsts: list[str] | None = None) -> Colum
     return F.flatten(F.transform(col, at))
 
 
+# First words up to which n-grams are filtered in the row; more of them cost time, not results.
+MAX_FIRST_WORDS = 20_000
+
 # 128 bits: equal where the content is equal.
 CONTENT = ("_content", "_content2")
 
@@ -90,7 +93,10 @@ def phrase_hits(
         known = F.filter(_grams("_w", max_words, firsts), lambda g: g["words"].isin(list(kinds)))
         return df.withColumn(out, F.coalesce(F.transform(known, with_kind), empty)).drop("_w")
     df = with_content(df, "_w")
-    grams = inline_rows(df, list(CONTENT), _grams("_w", words_of_longest(lexicon, "words")), "pos")
+    # Only places where a phrase can begin are exploded, where the first words are few enough to test for.
+    firsts = rows_if_small(lexicon.select(F.substring_index("words", " ", 1).alias("word")).distinct(), MAX_FIRST_WORDS)
+    firsts = None if firsts is None else sorted(r.word for r in firsts)
+    grams = inline_rows(df, list(CONTENT), _grams("_w", words_of_longest(lexicon, "words"), firsts), "pos")
     phrases = lexicon.groupBy("words").agg(F.min("kind").alias("kind"))
     found = (
         dim_join(grams, phrases, "words", "inner")
