@@ -39,9 +39,9 @@ BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 #: A rank file of more bytes than this is not a vocabulary, and is not sent to the tasks.
 MAX_RANK_BYTES = 64 << 20
 #: Pieces whose ids a worker remembers; beyond that it starts afresh.
-KNOWN_PIECES = 200_000
+KNOWN_PIECES = 100_000
 #: Bytes of text that are cut at a time: each becomes several bytes of pieces and ids.
-TEXT_AT_ONCE = 2 << 20
+TEXT_AT_ONCE = 1 << 20
 #: Leaves of the trees that are worked on together.
 LEAVES_AT_ONCE = 1 << 18
 NONE = np.int64(1) << 62

@@ -16,7 +16,7 @@ from sangloc.sources.sinks import removed, staged
 __all__ = ["is_small", "removed", "staged"]
 
 #: Bytes of text that a task holds in Python at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: A row may be learned from if its checksum leaves another remainder.
 HELD_OUT = 2
 
