@@ -1,19 +1,21 @@
-"""Embedding near-dedup: sorted projection passes.
+"""Embedding near-dedup: all similar pairs of a label, block against block in a sorted order.
 
-In each pass a vector's random hashes, the signs of its products with that pass's random directions, are
-concatenated to one number, and the vectors of a label are ordered by it: close vectors share long prefixes and come to
-stand near each other.  The order is cut into blocks of `BLOCK` vectors, and each block is compared with itself and
-the next one, so that every vector meets at least the BLOCK vectors on either side.  Similar pairs of all passes are counted
-and united.  A pair that met in an earlier pass is left to that pass, so that each is counted once, and
-no pair ever leaves its task: a task sends, for each vector, a number of links and one vector of its group.
+A vector's random hashes, the signs of its products with random directions, are concatenated to one number, and the
+vectors of a label are ordered by it: close vectors share long prefixes and come to stand near each other.  The order is
+cut into blocks of at most `BLOCK` vectors, and every block is compared with itself and with every other block of
+its label, so that no pair is missed, whatever the size of a label or of a group of close vectors.
 
-Equal vectors of a label are one class from the start.  Large groups of close but different vectors, more than
-a window holds, are dense runs: consecutive blocks whose first vectors are similar.  Around the mean of a run
-lies its core, the vectors within half the threshold's angle.  Any two vectors of a core are similar by the triangle
-inequality on the sphere, so a core is counted as a whole, whatever its size, and no pair of it is compared.
+The order only saves work.  Each block has a mean and a radius, the largest angle to the mean.  By the triangle inequality on
+the sphere no pair of two blocks is similar if their means are further apart than both radii and the threshold's angle,
+and all pairs are if means and radii together stay within it; such blocks, the parts of dense groups among
+them, are settled without comparing vectors.  The rest is compared in double precision.  Vectors that
+spread evenly leave little to save: the work then grows with the square of the largest label.
 
-The similarity of verified pairs is computed in double precision.  Recall depends on passes and block size; tests hold it
-against brute force.
+Blocks are files in the shared folder, which tasks write and read by range; no vector is shuffled again and no pair
+leaves its task: a task sends, for each vector, a number of links and one vector of its group.  Only files of rows that the
+writing stage returned are read.  The driver sees none of this; one narrow row for each block is broadcast.
+
+Equal vectors of a label are one class from the start.
 
 Rows: one result per distinct non-null vec_id.  Vectors that are null, zero, or hold null or non-finite components, and those
 with a null label, link with nothing.  Rows that repeat a vec_id: the largest (label, vector) stands for it.  Vectors of different
@@ -22,7 +24,10 @@ length are never compared.
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +37,21 @@ from pyspark.sql import functions as F
 
 from sangloc.llm.common import removed, staged
 from sangloc.llm.components import components
+from sangloc.llm.zip_archives import made_folder, opened
+from sangloc.sources.sinks import remove_folder, shared_folder
 
 THRESHOLD = 0.93
-PASSES = 10
-#: Signs in the number that a pass sorts by.
+#: Signs in the number that the vectors are sorted by.
 BITS = 48
-#: Vectors of a block.
-BLOCK = 512
+#: Vectors of a block, and of it compared at a time.
+BLOCK, AT_ONCE = 2048, 512
+#: Radians that a bound must hold by, for rounding.
+MARGIN = 1e-6
 SEED = 20240
 
 
 def directions(dimension: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dimension]).standard_normal((dimension, PASSES * BITS))
+    return np.random.default_rng([SEED, dimension]).standard_normal((dimension, BITS))
 
 
 def unit(blob: list[bytes]) -> np.ndarray:
@@ -69,171 +77,174 @@ def vectors(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return made.groupBy("key").agg(F.max(F.struct("label", "v")).alias("x")).select("key", "x.*")
 
 
-def ordered(reps: DataFrame) -> DataFrame:
-    """(key, pass, block): the place of every vector in every pass; a staged table.
+@dataclass
+class Block:
+    """Consecutive vectors of the order: their keys, copies, and an array of unit vectors for each (length, label)."""
+
+    keys: np.ndarray
+    copies: np.ndarray
+    parts: list[np.ndarray]
+    mean: np.ndarray
+    radius: float
+
+    @classmethod
+    def of(cls, keys: np.ndarray, copies: np.ndarray, parts: list[np.ndarray]) -> Block:
+        """Bounds are kept for blocks of one label; others have an endless radius."""
+        mean, radius = np.zeros(0), np.inf
+        if len(parts) == 1 and (size := np.linalg.norm(total := parts[0].sum(0))) > 0:
+            mean = total / size
+            radius = float(_angle((parts[0] @ mean).min()))
+        return cls(keys, copies, parts, mean, radius)
+
+    def write(self, uri: str) -> None:
+        data = io.BytesIO()
+        shapes = np.array([p.shape for p in self.parts], np.int64)
+        for array in (self.keys, self.copies, shapes, self.mean, np.float64(self.radius), *self.parts):
+            np.save(data, array)
+        system, path = opened(uri)
+        with system.open_output_stream(path) as out:
+            out.write(data.getvalue())
+
+    @classmethod
+    def read(cls, uri: str) -> Block:
+        system, path = opened(uri)
+        with system.open_input_file(path) as file:
+            data = io.BytesIO(file.read())
+        keys, copies, shapes, mean, radius = (np.load(data) for _ in range(5))
+        return cls(keys, copies, [np.load(data) for _ in shapes], mean, float(radius))
+
+
+def _angle(cosine: float) -> float:
+    return np.arccos(np.clip(cosine, -1.0, 1.0))
+
+
+def ordered(reps: DataFrame, folder: str) -> DataFrame:
+    """(id, path, size, label, last_size, last_label): the blocks of the order, written to the folder; a staged table.
 
-    Vectors are hashed and range-partitioned by (pass, length, label, number).  Blocks are numbered within the sorted
-    partitions and shifted by the blocks of the partitions before; the driver gets one count for each partition.
+    Vectors are range-partitioned by (length, label, number) and sorted; ids follow the order.
     """
-    spark = reps.sparkSession
+    block = BLOCK
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             blobs = batch.column(2).to_pylist()
-            sizes = np.array([len(b) for b in blobs])
+            sizes = np.array([len(b) for b in blobs], np.int64)
+            numbers = np.zeros(len(blobs), np.int64)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                signs = unit([blobs[i] for i in at]) @ directions(size // 8) > 0
-                numbers = signs.reshape(len(at), PASSES, BITS) @ weight
-                keys, labels = (batch.column(k).take(pa.array(np.repeat(at, PASSES))) for k in (0, 1))
-                columns = [keys, pa.array(np.tile(np.arange(PASSES), len(at))), pa.array(np.full(len(keys), size)), labels, pa.array(numbers.ravel())]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "pass", "size", "label", "number"])
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.num_rows
-            columns = [*batch.columns, pa.array(np.full(n, part)), pa.array(np.arange(seen, seen + n) // BLOCK)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "pass", "part", "block"])
-            seen += n
-
-    rows = reps.select("key", "label", "v").mapInArrow(hashed, "key long, pass long, size long, label string, number long")
-    by = ["pass", "size", "label", "number", "key"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    local = staged(rows.select("key", "pass").mapInArrow(placed, "key long, pass long, part long, block long"), "placed")
-    counts = {r.part: r.n for r in local.groupBy("part").agg((F.max("block") + 1).alias("n")).collect()}
-    offsets, total = [], 0
-    for part in sorted(counts):
-        offsets.append((part, total))
-        total += counts[part]
-    offsets = spark.createDataFrame(offsets, "part long, shift long")
-    out = local.join(F.broadcast(offsets), "part").select("key", "pass", (F.col("block") + F.col("shift")).alias("block"))
-    out = staged(out, "order")
-    removed(local)
-    return out
-
-
-def dense_cores(reps: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
-    """(key, core): vectors of a core of a dense run, each in one core; a staged table."""
-    heads = order.groupBy("block").agg(F.min("key").alias("key")).join(reps, "key").select("block", "label", "v")
-    after = heads.select((F.col("block") - 1).alias("block"), F.col("label").alias("label2"), F.col("v").alias("w"))
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [
-                len(v) == len(w) and float((unit([v]) * unit([w])).sum()) >= threshold
-                for v, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["block"])
-
-    joined = heads.join(after, "block").where("label = label2").select("block", "v", "w").mapInArrow(similar, "block long")
-    runs = components(joined.select("block", (F.col("block") + 1).alias("next")), "block", "next")
-    members = order.join(runs.withColumnRenamed("vertex", "block"), "block").join(reps.select("key", "label", "v"), "key")
-    core = F.concat_ws("/", "component", F.octet_length("v"), "label").alias("core")
-    members = staged(members.select("key", core, "v").distinct(), "run-members")
-    inside = staged(_near(members, _means(members), threshold), "run-cores")
-    # Runs of several passes are parts of one group if their cores share a vector: the group's mean decides.
-    least = inside.groupBy("key").agg(F.min("core").alias("least"))
-    same = components(inside.join(least, "key").select("core", "least").distinct(), "core", "least").withColumnRenamed("vertex", "core")
-
-    def grouped(rows: DataFrame) -> DataFrame:
-        named = rows.join(same, "core", "left").select("key", "v", F.coalesce("component", "core").alias("core"))
-        return named.dropDuplicates(["key", "core"])
-
-    final = _near(grouped(members), _means(grouped(inside)), threshold).select("key", "core")
-    # A vector near two groups belongs to the larger.
-    size = final.groupBy("core").agg(F.count("*").alias("n"))
-    best = final.join(size, "core").groupBy("key").agg(F.max(F.struct("n", "core")).alias("best"))
-    out = staged(best.select("key", F.col("best.core").alias("core")), "cores")
-    removed(runs, members, inside, same)
-    return out
-
-
-def _means(members: DataFrame) -> DataFrame:
-    """(core, mean): sums are made per task first."""
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for core, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[core] = total.get(core, 0) + unit([blob])[0]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["core", "sum"])
-
-    def added(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(blob, np.float64) for blob in table["sum"].to_pylist())
-        return pa.table({"core": table["core"][:1], "mean": pa.array([total.tobytes()], pa.binary())})
+                numbers[at] = (unit([blobs[i] for i in at]) @ directions(int(size) // 8) > 0) @ weight
+            columns = [*batch.columns, pa.array(sizes), pa.array(numbers)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "label", "v", "copies", "size", "number"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen, held = TaskContext.get().partitionId(), 0, []
+
+        def closed(rows: list[tuple]) -> pa.RecordBatch:
+            nonlocal seen
+            groups: dict[tuple, list[bytes]] = {}
+            for _, label, v, _, size in rows:
+                groups.setdefault((size, label), []).append(v)
+            path = f"{folder}/{uuid.uuid4().hex}"
+            keys, copies = (np.array([r[k] for r in rows], np.int64) for k in (0, 3))
+            Block.of(keys, copies, [unit(g) for g in groups.values()]).write(path)
+            (_, first, _, _, size), (_, last, _, _, last_size) = rows[0], rows[-1]
+            values = [(part << 32) + seen, path, size, first, last_size, last]
+            seen += 1
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds)], ["id", "path", "size", "label", "last_size", "last_label"])
 
-    sums = members.select("core", "v").mapInArrow(summed, "core string, sum binary")
-    return sums.groupBy("core").applyInArrow(added, "core string, mean binary")
-
-
-def _near(members: DataFrame, means: DataFrame, threshold: float) -> DataFrame:
-    """The members (key, core, v) within half the threshold's angle of the mean."""
-    # cos(angle / 2) = sqrt((1 + cos(angle)) / 2); a little inside of it, for rounding.
-    least = np.sqrt((1 + threshold) / 2) + 1e-9
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [
-                bool(np.linalg.norm(np.frombuffer(m)) > 0) and float((unit([v]) * unit([m])).sum()) >= least
-                for v, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ]
-            yield batch.select([0, 1, 2]).filter(pa.array(ok, pa.bool_()))
-
-    return members.join(means, "core").select("key", "core", "v", "mean").mapInArrow(near, "key long, core string, v binary")
-
-
-def compared(reps: DataFrame, order: DataFrame, cores: DataFrame, threshold: float) -> DataFrame:
-    """(key, links, other): per block and vector, how many vectors it links with there, and one of its group."""
-    places = order.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pass", "block"))).alias("p"))
-    rows = reps.join(places.select("key", F.col("p.block").alias("blocks")), "key").join(cores, "key", "left")
-    rows = rows.select("key", "label", "v", "copies", "core", "blocks", F.posexplode("blocks").alias("pass", "at"))
-    # A block is its own group, and comes as the next one to the group before.
-    rows = rows.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
-    rows = rows.withColumn("group", F.when(F.col("own"), F.col("at")).otherwise(F.col("at") - 1)).drop("at")
-
-    def compare(table: pa.Table) -> pa.Table:
-        own = table["own"].to_numpy()
-        # Blocks are numbered on through the passes: a neighbour across two of them belongs to another pass.
-        number = table["pass"].to_numpy()
-        if not own.any():
-            return NO_LINKS
-        here = number[own][0]
-        kept = np.flatnonzero(number == here)
-        kept = kept[np.argsort(~own[kept], kind="stable")]
-        table = table.take(pa.array(kept))
-        first = int(own[kept].sum())
-        labels = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)[1]
-        keys, copies = table["key"].to_numpy(), table["copies"].to_numpy()
-        core = np.unique(np.array(table["core"].fill_null("").to_pylist(), object), return_inverse=True)
-        core = np.where(core[0][core[1]] == "", -1, core[1])
-        blocks = np.array(table["blocks"].to_pylist()).reshape(len(keys), -1)
-        blobs = table["v"].to_pylist()
-        sizes = np.array([len(b) for b in blobs])
-        links, root = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        for label, size in {*zip(labels[:first].tolist(), sizes[:first].tolist())}:
-            at = np.flatnonzero((labels == label) & (sizes == size))
-            mine = at[at < first]
-            x = unit([blobs[i] for i in at])
-            a, b = np.nonzero(x[: len(mine)] @ x.T >= threshold)
-            a, b = mine[a], at[b]
-            ok = (a < b) & ~((core[a] == core[b]) & (core[a] >= 0))
-            a, b = a[ok], b[ok]
-            # Pairs that met in an earlier pass are counted there.
-            met = (np.abs(blocks[a, :here] - blocks[b, :here]) <= 1).any(1)
-            a, b = a[~met], b[~met]
-            np.add.at(links, a, copies[b])
-            np.add.at(links, b, copies[a])
-            _unite(root, a, b)
-        some = np.flatnonzero(links)
-        return pa.table({"key": keys[some], "links": links[some], "other": keys[root[some]]})
-
-    return rows.groupBy("group").applyInArrow(compare, "key long, links long, other long")
-
-
-NO_LINKS = pa.table({"key": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
+            held += zip(*(c.to_pylist() for c in batch.columns))
+            while len(held) >= block:
+                yield closed(held[:block])
+                held = held[block:]
+        if held:
+            yield closed(held)
+
+    schema = "key long, label string, v binary, copies long, size long, number long"
+    rows = reps.select("key", "label", "v", "copies").mapInArrow(hashed, schema)
+    by = ["size", "label", "number", "key"]
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("key", "label", "v", "copies", "size")
+    return staged(rows.mapInArrow(cut, "id long, path string, size long, label string, last_size long, last_label string"), "blocks")
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """(a, path, b, other_path): every block with itself, and with the later blocks that begin with the label it ends with."""
+    later = blocks.select(F.col("id").alias("b"), F.col("path").alias("other_path"), F.col("size").alias("last_size"), F.col("label").alias("last_label"))
+    earlier = blocks.select(F.col("id").alias("a"), "path", "last_size", "last_label")
+    pairs = earlier.join(F.broadcast(later), ["last_size", "last_label"]).where("a < b").select("a", "path", "b", "other_path")
+    return pairs.unionByName(blocks.select(F.col("id").alias("a"), "path", F.col("id").alias("b"), F.col("path").alias("other_path")))
+
+
+def compared(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(key, links, other): per pair of blocks and vector, how many vectors it links with there, and one of its group."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, first = None, None
+        for batch in batches:
+            for path, other in zip(*(c.to_pylist() for c in batch.columns)):
+                if path != name:
+                    name, first = path, Block.read(path)
+                found = within(first, threshold) if other == path else between(first, Block.read(other), threshold)
+                for keys, links, root in found:
+                    some = np.flatnonzero(links)
+                    if len(some):
+                        columns = [keys[some], links[some], keys[root[some]]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "links", "other"])
+
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The pairs of a block are dealt to several tasks, each of which reads it once.
+    pairs = block_pairs(blocks).repartition(parts, "a", F.pmod("b", F.lit(64))).sortWithinPartitions("a", "b")
+    return pairs.select("path", "other_path").mapInArrow(compare, "key long, links long, other long")
+
+
+#: Keys, their links, and the place of one of its group for each.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def within(block: Block, threshold: float) -> Iterator[Found]:
+    at = 0
+    for x in block.parts:
+        keys, copies = block.keys[at : at + len(x)], block.copies[at : at + len(x)]
+        at += len(x)
+        if 2 * block.radius < np.arccos(threshold) - MARGIN:
+            yield keys, copies.sum() - copies, np.zeros(len(x), np.int64)
+        else:
+            yield keys, *_links(x, x, copies, copies, threshold, True)
+
+
+def between(one: Block, two: Block, threshold: float) -> Iterator[Found]:
+    """Links of the last label of one block with the first of a later one, which is the same."""
+    x, y = one.parts[-1], two.parts[0]
+    keys = np.concatenate([one.keys[len(one.keys) - len(x) :], two.keys[: len(y)]])
+    mine, others = one.copies[len(one.keys) - len(x) :], two.copies[: len(y)]
+    if len(one.mean) and len(one.mean) == len(two.mean):
+        apart, radii, limit = _angle(one.mean @ two.mean), one.radius + two.radius, np.arccos(threshold)
+        if apart - radii > limit + MARGIN:
+            return
+        if apart + radii < limit - MARGIN:
+            links = np.repeat([others.sum(), mine.sum()], [len(x), len(y)])
+            yield keys, links, np.zeros(len(keys), np.int64)
+            return
+    yield keys, *_links(x, y, mine, others, threshold, False)
+
+
+def _links(x: np.ndarray, y: np.ndarray, mine: np.ndarray, others: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links and groups of the rows of x and then of y, or of x alone if y is the same."""
+    shift = 0 if same else len(x)
+    links, root = np.zeros(shift + len(y), np.int64), np.arange(shift + len(y))
+    for start in range(0, len(x), AT_ONCE):
+        part = slice(start, start + AT_ONCE)
+        close = x[part] @ y[start if same else 0 :].T >= threshold
+        # Each pair of a block is seen once.
+        a, b = np.nonzero(np.triu(close, 1) if same else close)
+        a, b = a + start, b + (start if same else shift)
+        links += np.bincount(a, others[b - shift], len(links)).astype(np.int64)
+        links += np.bincount(b, mine[a], len(links)).astype(np.int64)
+        _unite(root, a, b)
+    return links, root
 
 
 def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -254,24 +265,23 @@ def linked(
     rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD
 ) -> DataFrame:
     """(key, n_links, component_id, kept) of every vector."""
+    spark = rows.sparkSession
     known = staged(vectors(rows, key, vector, label), "vectors")
     reps = known.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
     reps = staged(reps, "classes")
-    order = ordered(reps)
-    cores = dense_cores(reps, order, threshold)
-    found = staged(compared(reps, order, cores, threshold), "found")
-    in_core = cores.join(reps.select("key", "copies"), "key")
-    whole = in_core.groupBy("core").agg(F.min("key").alias("first"), F.sum("copies").alias("all"))
-    in_core = in_core.join(whole, "core").select("key", (F.col("all") - F.col("copies")).alias("links"), F.col("first").alias("other"))
-    every = found.unionByName(in_core)
-    groups = components(every, "key", "other")
-    counts = every.groupBy("key").agg(F.sum("links").alias("links"))
+    folder = shared_folder(spark, "vector-blocks")
+    made_folder(folder)
+    blocks = ordered(reps, folder)
+    found = staged(compared(blocks, threshold), "found")
+    remove_folder(spark, folder)
+    groups = components(found, "key", "other")
+    counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     classes = reps.join(counts, "key", "left").join(groups.withColumnRenamed("vertex", "key"), "key", "left")
     classes = classes.select(
         "label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "key").alias("component")
     )
     classes = staged(classes, "linked")
-    removed(order, found, cores, groups, reps)
+    removed(blocks, found, groups, reps)
     out = known.join(classes, ["label", "v"], "left")
     kind = rows.schema[key].dataType
     return out.select(

@@ -81,3 +81,31 @@ def test_query_against_all_pairs(spark):
     want = by_hand(rows)
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def pairs_at(rng, cosine, n, dimension=64):
+    """n random vectors, and for each another at that cosine."""
+    x = rng.standard_normal((n, dimension))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.standard_normal((n, dimension))
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    return np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * noise])
+
+
+def listed(x, labels):
+    return [(i, v, int(name)) for i, (v, name) in enumerate(zip(x.astype(np.float32).tolist(), labels))]
+
+
+@pytest.mark.parametrize("parts", [3, 7])
+def test_partitions_that_do_not_line_up_with_the_order(spark, parts):
+    """Thousands of vectors; the last label ends the order."""
+    rng = np.random.default_rng(5)
+    x = pairs_at(rng, 0.94, 2500)
+    rows = listed(x, np.tile([0] * 1500 + [1] * 800 + [2] * 200, 2))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        assert result(spark, rows) == by_hand(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
