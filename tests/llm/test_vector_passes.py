@@ -109,3 +109,28 @@ def test_partitions_that_do_not_line_up_with_the_order(spark, parts):
         assert result(spark, rows) == by_hand(rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_wide_group_is_counted_whole(spark):
+    """Nearly all members link, and none is within half the threshold's angle of the mean."""
+    rng = np.random.default_rng(6)
+    x = near(rng, rng.standard_normal(64), np.arccos(0.974), 6000)
+    rows = listed(np.concatenate([x, rng.standard_normal((500, 64))]), np.ones(6500))
+    got, want = result(spark, rows), by_hand(rows)
+    assert np.median([n for n, _ in want.values()]) > 5000
+    assert got == want
+
+
+def test_blocks_settled_by_their_bounds():
+    rng = np.random.default_rng(7)
+    for angle in (0.02, 0.1, 0.3):
+        x, y = (vp.unit([v.tobytes() for v in near(rng, c, angle, 30).astype(float)]) for c in rng.standard_normal((2, 16)))
+        for one, two in [(x[:15], x[15:]), (x, y)]:
+            copies = np.arange(1, 1 + len(one)), np.arange(2, 2 + len(two))
+            blocks = [vp.Block.of(np.arange(len(p)) + k, c, [p]) for p, c, k in zip((one, two), copies, (0, 100))]
+            got = {}
+            for keys, links, _ in vp.between(*blocks, vp.THRESHOLD):
+                got |= dict(zip(keys.tolist(), links.tolist()))
+            close = one @ two.T >= vp.THRESHOLD
+            want = [*(close @ copies[1]), *(copies[0] @ close)]
+            assert [got.get(k, 0) for b in blocks for k in b.keys.tolist()] == want
