@@ -134,3 +134,15 @@ def test_blocks_settled_by_their_bounds():
             close = one @ two.T >= vp.THRESHOLD
             want = [*(close @ copies[1]), *(copies[0] @ close)]
             assert [got.get(k, 0) for b in blocks for k in b.keys.tolist()] == want
+
+
+def test_recall_does_not_fall_with_the_label(spark, monkeypatch):
+    """Blocks are small beside the one label, and some vectors share a mean: every id against all rows."""
+    monkeypatch.setattr(vp, "BLOCK", 32)
+    n, rng = 8000, np.random.default_rng(8)
+    x = pairs_at(rng, 0.935, n // 2)
+    x[::2] += 0.5 * rng.standard_normal(64) / 8
+    rows = listed(x, np.zeros(n))
+    got, want = result(spark, rows), by_hand(rows)
+    found, known = (sum(links for links, _ in r.values()) for r in (got, want))
+    assert (found, sum(got[k] != want[k] for k in want)) == (known, 0)
