@@ -4,9 +4,24 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sangloc.llm import bpe, langid, leakage, line_spread, quality, shingle_join, toxicity, url_templates, vector_passes, zip_archives
+from sangloc.llm import (
+    bpe,
+    divergence,
+    langid,
+    leakage,
+    line_spread,
+    merkle,
+    packing,
+    quality,
+    shingle_join,
+    toxicity,
+    url_templates,
+    vector_passes,
+    zip_archives,
+)
 from sangloc.llm.common import table
 
 
@@ -61,6 +76,22 @@ def op5_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audited(table(spark, folder, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"), tampered=merkle.every_third())
+
+
+def op13_tiered_packing(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = packing.packed(table(spark, folder, "documents"), tokenizer, public_tokenizers.PATTERN)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group"
+    )
+
+
 QUERIES = {
     "op1_shingle_join": op1_shingle_join,
     "op2_toxicity_grammar": op2_toxicity_grammar,
@@ -72,11 +103,16 @@ QUERIES = {
     "op8_language_codes": op8_language_codes,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_discriminant": op10_quality_discriminant,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_tiered_packing": op13_tiered_packing,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
     "op5_line_spread": line_spread.ORACLE_SQL,
+    "op11_source_divergence": divergence.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
