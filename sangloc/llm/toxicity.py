@@ -247,8 +247,9 @@ def fit(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS
 ) -> Grammar:
     """The driver gets patterns that a fixed share of the sampled toxic rows hold, and the sample's features."""
-    # Copies of a text are one witness, not many.
-    rows = staged(labelled_texts(docs, labels, label, key, text, fit_rows).dropDuplicates(["text"]), "labelled")
+    # Copies of a text are one witness, not many; a text whose copies disagree is none.
+    once = labelled_texts(docs, labels, label, key, text, fit_rows).groupBy("text").agg(F.min("label").alias("label"), F.max("label").alias("_max"))
+    rows = staged(once.where("label = _max").drop("_max"), "labelled")
     try:
         return _learned(rows)
     finally:

@@ -79,3 +79,16 @@ def test_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     judged = [(r.predicted, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
     assert np.mean([p == y for p, y in judged]) >= 0.9
+
+
+def test_equal_texts_with_different_labels_are_no_witness(spark):
+    """Whatever the order and partitions of the rows, the same model comes out."""
+    rows = [(i, f"you are a gronk fool number {i % 40}") for i in range(0, 400, 1)] + [(1000 + i, f"a calm day number {i % 50}") for i in range(400)]
+    labels = [(k, 1) for k, _ in rows[:400]] + [(k, 0) for k, _ in rows[400:]] + []
+    labels[3] = (rows[3][0], 0)
+    scores = set()
+    for parts in (1, 3, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        grammar = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int").repartition(parts))
+        scores.add((round(grammar.bias, 9), tuple(np.round(grammar.weights, 9)), tuple(sorted(grammar.words)), tuple(sorted(grammar.stems))))
+    assert len(scores) == 1
