@@ -4,8 +4,8 @@ A page that a rule fits has the rule's verdict; these pages are the labelled one
 host, level by level.  Below a branch, a path segment stays literal if it is frequent there (`LEAST_PAGES` pages and
 `LEAST_SHARE` of the branch's); all others are variable and become one wildcard.  Literal
 siblings whose shares of blocked pages do not differ significantly are merged to one branch (`{de|en}`), in order
-of that share; those without labelled pages are merged together.  A template is a path from the root to an end; what lies below
-`MAX_LEVELS` is its tail, `**`.  A template is rejected if its purity, the share of blocked pages among its labelled
+of that share; those without labelled pages are merged together.  The tree grows while a branch has `LEAST_PAGES` pages that go
+deeper; a template is a path from the root to an end, and what lies deeper than that is its tail, `**`.  A template is rejected if its purity, the share of blocked pages among its labelled
 ones smoothed towards `PRIOR`, reaches `PURITY`.
 
 Pages are grouped to distinct (host, path) with counts first; each level joins its literals, at most 1 / LEAST_SHARE for
@@ -29,7 +29,6 @@ ALLOW, BLOCK = "allow", "block"
 LEAST_PAGES, LEAST_SHARE = 5, 0.02
 #: Siblings are merged unless their shares differ by this many standard errors.
 DIFFERENT = 1.96
-MAX_LEVELS = 8
 #: Weight, in pages, and value of what is assumed before any labelled page is seen.
 PRIOR_PAGES, PRIOR = 4.0, 0.1
 PURITY = 0.7
@@ -90,6 +89,12 @@ def _level(paths: DataFrame, level: int) -> DataFrame:
     return out
 
 
+def _branches(paths: DataFrame, level: int) -> bool:
+    """Whether a template has LEAST_PAGES pages that go deeper than this level."""
+    deeper = paths.where(F.size("segments") > level).groupBy("host", "template").agg(F.sum("n").alias("n"))
+    return not deeper.where(F.col("n") >= LEAST_PAGES).isEmpty()
+
+
 def templates(labelled: DataFrame) -> DataFrame:
     """(host, path, n, template) from (host, path, label 1 or 0 or null); a staged table."""
     counts = labelled.groupBy("host", "path").agg(
@@ -97,12 +102,13 @@ def templates(labelled: DataFrame) -> DataFrame:
     )
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     paths = staged(counts.select("*", segments.alias("segments"), F.lit("").alias("template")), "templates")
-    deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(min(deepest, MAX_LEVELS)):
+    # The tree goes on while any branch still has pages to tell apart.
+    level = 0
+    while _branches(paths, level):
         deeper = _level(paths, level)
         removed(paths)
-        paths = deeper
-    tail = F.when(F.size("segments") > MAX_LEVELS, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
+        paths, level = deeper, level + 1
+    tail = F.when(F.size("segments") > level, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
     return paths.select("host", "path", "n", "labelled", "blocked", tail.alias("template"))
 
 

@@ -27,7 +27,9 @@ def by_hand(urls, rules):
         host, path = parts(url)
         verdict, rule = rule_of(host, path, rules)
         rows.append([host, path, rule, verdict, [s for s in path.split("/") if s], ""])
-    for level in range(min(ut.MAX_LEVELS, max((len(r[4]) for r in rows), default=0))):
+    level = -1
+    while max(Counter((r[0], r[5]) for r in rows if len(r[4]) > level + 1).values(), default=0) >= ut.LEAST_PAGES:
+        level += 1
         children = defaultdict(lambda: defaultdict(Counter))
         for host, _, _, verdict, segments, template in rows:
             if len(segments) > level:
@@ -59,7 +61,7 @@ def by_hand(urls, rules):
                 r[5] += "/" + names.get((r[0], r[5], r[4][level]), "*")
     sums = defaultdict(Counter)
     for r in rows:
-        r[5] += "/**" if len(r[4]) > ut.MAX_LEVELS else ""
+        r[5] += "/**" if len(r[4]) > level + 1 else ""
         sums[r[0], r[5]].update(labelled=r[3] is not None, blocked=r[3] == "block")
     out = []
     for host, path, rule, verdict, _, template in rows:
@@ -103,3 +105,13 @@ def test_query_by_hand(spark, folder):
     want = dict(zip([p.page_id for p in pages], by_hand([p.url for p in pages], RULES)))
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.template, round(r.purity, 9)) for r in op3_url_templates(spark, folder).collect()}
     assert got == want
+
+
+def test_branches_that_part_at_the_ninth_level(spark):
+    """The depth of the tree follows from the pages."""
+    deep = "a/b/c/d/e/f/g/h"
+    rows = [(i, f"http://s.test/{deep}/bad/{i}") for i in range(30)] + [(100 + i, f"http://s.test/{deep}/good/{i}") for i in range(30)]
+    rows += [(200, f"http://s.test/{deep}/bad/new"), (201, f"http://s.test/{deep}/good/new")]
+    rules = [("s.test", f"/{deep}/bad/{i}", "block") for i in range(30)] + [("s.test", f"/{deep}/good/{i}", "allow") for i in range(30)]
+    got = {r.page_id: (r.rule, r.verdict) for r in ut.judged(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got[200] == (None, "block") and got[201] == (None, "allow")
