@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sangloc.llm.common import removed, staged
-from sangloc.operators.generate import explode_rows
 
 MIN_SITES = 10
 #: log2 of a sketch's registers: a standard error of 1.6 %.
@@ -38,10 +37,11 @@ def _hashes(line: Column) -> list[Column]:
 
 
 def line_rows(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
-    """(_key, _site, _h, _g) of the lines that are not blank."""
-    rows = explode_rows(docs, [F.col(key).alias("_key"), F.col(site).alias("_site")], _lines(text), "_line")
+    """(_key, _site, _t, _u, _pos, _h, _g) of the lines that are not blank; _t and _u are hashes of the whole text."""
+    whole = [F.xxhash64(F.col(text)).alias("_t"), F.hash(F.col(text), F.lit(1)).alias("_u")]
+    rows = docs.select(F.col(key).alias("_key"), F.col(site).alias("_site"), *whole, F.posexplode_outer(_lines(text)).alias("_pos", "_line"))
     rows = rows.withColumn("_line", F.trim("_line")).where("_line <> ''")
-    return rows.select("_key", "_site", *_hashes(F.col("_line")))
+    return rows.select("_key", "_site", "_t", "_u", "_pos", *_hashes(F.col("_line")))
 
 
 def boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -71,20 +71,29 @@ def without_boilerplate(
     lines = boilerplate(docs, key, text, site, min_sites)
     rows = line_rows(docs, key, text, site)
     hit = rows.join(lines, list(HASHES)).where(~F.col("_key").eqNullSafe(F.col("_keeper")))
-    gone = hit.groupBy(F.col("_key").alias("_gone_key")).agg(F.collect_set(F.struct(*HASHES)).alias("_gone"))
-    kept = F.filter(
-        _lines(text),
-        lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("_gone"), F.struct(*_hashes(F.trim(line)))),
+    # Rows that repeat a key lose lines by their own texts.
+    gone = hit.groupBy("_key", "_t", "_u").agg(F.collect_set("_pos").alias("_gone"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    named = packed.withColumns(
+        {
+            "_text": F.col("_doc").getField(text),
+            "_lines": F.split(F.col("_doc").getField(text), "\n", -1),
+        }
     )
-    before = F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long")
-    out = docs.join(gone, F.col(key).eqNullSafe(F.col("_gone_key")), "left").withColumn(
-        "_kept", F.when(F.col("_gone").isNotNull(), kept)
+    same = (
+        F.col("_doc").getField(key).eqNullSafe(F.col("_key"))
+        & (F.xxhash64("_text") == F.col("_t"))
+        & (F.hash("_text", F.lit(1)) == F.col("_u"))
     )
+    out = named.join(gone, same, "left")
+    # One hashed pass over the places, whatever the number of lines that go.
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
     return out.select(
-        *[F.col(c) for c in docs.columns if c not in (text, "n_lines", "n_removed")],
-        F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text)).alias(text),
-        F.when(F.col(text).isNull(), 0).otherwise(before).cast("long").alias("n_lines"),
-        F.coalesce(before - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed"),
+        *[F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in (text, "n_lines", "n_removed")],
+        F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("_text")).alias(text),
+        F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

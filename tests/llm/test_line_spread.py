@@ -43,3 +43,21 @@ def test_query_against_duckdb(spark, folder):
 def test_lines_are_removed_at_all(spark):
     got = op5_line_spread(spark, "/root/testdata/sf0.01").agg({"n_removed": "sum"}).collect()
     assert got[0][0] > 100
+
+
+def test_clashing_columns_and_repeated_keys_with_other_texts(spark):
+    """Columns of any name come along; rows that repeat a key lose their own lines."""
+    rows = [(i, f"common\nown {i}\ncommon", f"s{i}", i, "x", "y") for i in range(12)] + [(5, "other\ncommon", "s5", 0, "x", "y"), (6, None, "s6", 0, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _gone long, _gone_key string, _kept string")
+    out = line_spread.without_boilerplate(docs)
+    assert set(docs.columns) < set(out.columns)
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed, r._gone, r._kept) for r in out.where("text IS NOT NULL").collect())
+    want = sorted((i, f"own {i}" if i else t, 3, 2 if i else 0, g, k) for i, t, _, g, _, k in rows[:12])
+    assert got == sorted(want + [(5, "other", 2, 1, 0, "y")])
+
+
+def test_very_many_lines_in_a_row(spark):
+    lines = [f"line {i}" for i in range(20_000)]
+    rows = [(i, "\n".join(lines), f"s{i}") for i in range(11)]
+    out = line_spread.without_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted((r.doc_id, r.n_removed, r.text == "") for r in out.collect()) == [(i, 20_000 if i else 0, bool(i)) for i in range(11)]
