@@ -13,8 +13,10 @@ gives the start.
 Items are taken in blocks of about `BLOCK_BYTES`; a block is broadcast, and the texts are read once for each.  Nothing of the
 texts is shuffled.
 
-Rows: one result per input row, item and separate place found.  Null and empty texts and items, and items under Q bytes,
-match nothing.  Repeated items are compared once.  Offsets count bytes of the text as it is.
+Items under Q bytes have no q-gram and no edit; they are looked up exactly, all of one length at once.
+
+Rows: one result per input row, item and separate place found.  Null and empty texts and items match nothing; a part of an
+item is not looked for.  Repeated items are compared once.  Offsets count bytes of the text as it is.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sangloc.llm.common import column_type, lowered, map_text, text_bytes
 from sangloc.llm.hashing import WHITE, mix
@@ -63,10 +66,10 @@ def normalized(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return codes, new, place - np.repeat(bounds[:-1], np.diff(new)), np.diff(bounds)
 
 
-def qgrams(codes: np.ndarray) -> np.ndarray:
-    n = max(0, len(codes) - Q + 1)
+def qgrams(codes: np.ndarray, length: int = Q) -> np.ndarray:
+    n = max(0, len(codes) - length + 1)
     out = np.zeros(n, np.uint64)
-    for i in range(Q):
+    for i in range(length):
         out = (out << np.uint64(8)) | codes[i : i + n]
     return out
 
@@ -87,6 +90,8 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     filter: np.ndarray
+    #: Length -> the sorted numbers of the items that short, and their ids.
+    short: dict[int, tuple[np.ndarray, list]]
 
     @property
     def edits(self) -> np.ndarray:
@@ -102,6 +107,12 @@ def items_of(ids: list, texts: list[str | None]) -> Items:
     parts = [codes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
     # Outer space of an item is no part of it.
     parts = [p[int(p[0] == 32) : len(p) - int(p[-1] == 32)] if len(p) > 1 else p for p in parts]
+    short = {}
+    for length in sorted({len(p) for p in parts if 0 < len(p) < Q and (p != 32).any()}):
+        these = [i for i, p in enumerate(parts) if len(p) == length]
+        numbers = np.array([int(qgrams(parts[i], length)[0]) for i in these], np.uint64)
+        order = np.argsort(numbers, kind="stable")
+        short[length] = numbers[order], [ids[these[i]] for i in order]
     kept = [i for i, p in enumerate(parts) if len(p) >= Q]
     parts, ids = [parts[i] for i in kept], [ids[i] for i in kept]
     grams = [qgrams(p) for p in parts]
@@ -113,7 +124,7 @@ def items_of(ids: list, texts: list[str | None]) -> Items:
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[_slot(names)] = True
     size = np.array([len(p) for p in parts], np.int64)
-    return Items(ids, parts, size, names, np.append(first, len(every)), item[order], place[order], np.packbits(bits))
+    return Items(ids, parts, size, names, np.append(first, len(every)), item[order], place[order], np.packbits(bits), short)
 
 
 def _hits(codes: np.ndarray, bounds: np.ndarray, items: Items, bits: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -194,11 +205,35 @@ def aligned(
     return best, end
 
 
-def found_in(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, start, end, edits), each item once for each separate place, in order."""
-    if not items.ids:
-        return []
+def _short_hits(codes: np.ndarray, bounds: np.ndarray, place: np.ndarray, items: Items) -> list[tuple]:
+    """(row, id, start, end, 0) of the items under Q bytes, each once for each separate place."""
+    out = []
+    for length, (numbers, ids) in items.short.items():
+        grams = qgrams(codes, length)
+        first = np.searchsorted(numbers, grams, "left")
+        at = np.flatnonzero(first < np.searchsorted(numbers, grams, "right"))
+        row = np.searchsorted(bounds, at, "right") - 1
+        inside = at + length <= bounds[row + 1]
+        free: dict[tuple[int, int], int] = {}
+        for a, r in zip(at[inside].tolist(), row[inside].tolist()):
+            i = int(first[a])
+            while i < len(numbers) and numbers[i] == grams[a]:
+                if free.get((r, i), 0) <= a:
+                    free[r, i] = a + length
+                    out.append((r, ids[i], int(place[a]), int(place[a + length - 1]) + 1, 0))
+                i += 1
+    return out
+
+
+def found_in(texts: pa.Array, items: Items) -> list[tuple]:
+    """(row, id, start, end, edits), each item once for each separate place, in order of rows."""
     codes, bounds, place, size = normalized(texts)
+    out = [(r, items.ids[i], *rest) for r, i, *rest in _long_hits(codes, bounds, place, items)] if items.ids else []
+    return sorted(out + _short_hits(codes, bounds, place, items), key=lambda x: (x[0], x[2], x[3]))
+
+
+def _long_hits(codes: np.ndarray, bounds: np.ndarray, place: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, start, end, edits)"""
     bits = np.unpackbits(items.filter).view(bool)
     row, item, low = candidates(codes, bounds, items, bits)
     out: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
@@ -249,14 +284,13 @@ def leaks(
         ]
     )
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    ids = pa.int64() if isinstance(column_type(benchmark, item), T.LongType) else None
+    kind = to_arrow_type(column_type(benchmark, item))
 
     def search(held):
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             items = held.value
             found = found_in(batch.column(1), items)
-            names = [items.ids[x[1]] for x in found]
-            columns = [batch.column(0).take(pa.array([x[0] for x in found], pa.int64())), pa.array(names, ids)]
+            columns = [batch.column(0).take(pa.array([x[0] for x in found], pa.int64())), pa.array([x[1] for x in found], kind)]
             return pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in found], pa.int32()) for k in (2, 3, 4))], schema.names)
 
         return run

@@ -57,19 +57,19 @@ def test_against_all_cells(seed):
             body = spoiled(rng, t, edits).upper() if rng.random() < 0.3 else spoiled(rng, t, edits)
             docs.append(make(rng.randrange(6)) + " \n " + body.replace(" ", "  ") + make(rng.randrange(6)))
     found = leakage.found_in(pa.array(docs), items)
-    got = {(r, items.ids[i]) for r, i, *_ in found}
+    got = {(r, i) for r, i, *_ in found}
     want = set()
     for r, d in enumerate(docs):
         for i, t in enumerate(texts):
             item = plain(t).strip(b" ")
-            if len(item) >= leakage.Q and least_edits(item, plain(d or "")) <= leakage.budget(np.array([len(item)]))[0]:
+            if item and least_edits(item, plain(d or "")) <= leakage.budget(np.array([len(item)]))[0]:
                 want.add((r, i))
     assert got == want
     for r, i, start, end, edits in found:
         part = docs[r].encode()[start:end]
         low = bytes(c + 32 if 65 <= c <= 90 else c for c in part)
         low = b" ".join(x for x in low.replace(b"\n", b" ").split(b" ") if x)
-        assert least_edits(bytes(items.codes[i]), b" " + low + b" ") <= edits
+        assert least_edits(plain(texts[i]).strip(b" "), b" " + low + b" ") <= edits
 
 
 def test_items_in_blocks_edge_rows_and_stage(spark, monkeypatch):
@@ -99,3 +99,16 @@ def test_query_finds_every_item_that_is_there_as_it_is(spark):
     assert want and want <= got
     for d, i in got - want:
         assert least_edits(items[i], docs[d]) <= len(items[i]) * leakage.EDIT_SHARE
+
+
+def test_short_items_and_ids_of_any_type(spark):
+    """Items under a q-gram are found verbatim, and only so; ids keep their type."""
+    docs = spark.createDataFrame([(1, "A  fox Run."), (2, "foxrun"), (3, "the fox run, fox run"), (4, None), (5, "bee"), (6, "be")], "doc_id int, text string")
+    for kind in ("int", "string", "long"):
+        items = spark.createDataFrame([(7, "fox run"), (8, " be "), (9, ""), (10, " "), (11, "longer than that")], "item_id int, text string")
+        items = items.withColumn("item_id", items.item_id.cast(kind))
+        found = leakage.leaks(docs, items)
+        assert found.schema["item_id"].dataType == items.schema["item_id"].dataType
+        got = {(r.doc_id, int(r.item_id), r.start, r.end, r.edits) for r in found.collect()}
+        assert got == {(1, 7, 3, 10, 0), (3, 7, 4, 11, 0), (3, 7, 13, 20, 0), (5, 8, 0, 2, 0), (6, 8, 0, 2, 0)}
+        assert sorted(r.doc_id for r in leakage.without_leaks(docs, items).collect()) == [2, 4]
