@@ -54,7 +54,17 @@ ALL16, ALL32 = 0xFFFF, 0xFFFFFFFF
 # ---------------------------------------------------------------- writing
 
 
+#: Names of stores as Hadoop has them, and as the reader of files here has them; others are the same.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store and the path of a folder or file; `dbfs:/` is the mount of that name."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "dbfs":
+        uri = "/dbfs/" + rest.lstrip("/")
+    elif scheme in SCHEMES:
+        uri = f"{SCHEMES[scheme]}:{rest}"
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
