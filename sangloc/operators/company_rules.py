@@ -19,7 +19,7 @@ MSG_NO_COMPANY = "Không rõ công ty"
 MSG_COMPANY_UNCLEAR = "Tên công ty không rõ ràng"
 
 
-@rule("employment_type")
+@rule("employment_type", reads=("employment",))
 def rule_employment_type(df: DataFrame) -> DataFrame:
     kind = F.regexp_replace(F.lower(text_or_empty("employment")), r"[^\p{L}\p{N}\s\p{Z}]", "")
     return with_violation(df, "employment_type", kind.rlike("|".join(PART_TIME_WORDS)), MSG_FULL_TIME_ONLY)
@@ -29,7 +29,7 @@ def _keywords_in(name, words):
     return sum((F.contains(name, F.lit(w)).cast("int") for w in words), F.lit(0))
 
 
-@rule("company_banned_words")
+@rule("company_banned_words", reads=("company",))
 def rule_company_banned_words(df: DataFrame) -> DataFrame:
     """Number of banned words; an empty name counts once and is the only case with a message."""
     name = F.lower(text_or_empty("company"))
@@ -37,7 +37,7 @@ def rule_company_banned_words(df: DataFrame) -> DataFrame:
     return with_violation(df, "company_banned_words", count, F.when(name == "", MSG_NO_COMPANY).otherwise(""))
 
 
-@rule("company_form")
+@rule("company_form", reads=("company",))
 def rule_company_form(df: DataFrame) -> DataFrame:
     """Fewer than two company-form keywords."""
     name = F.lower(text_or_empty("company"))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from sangloc.functions.money import NEGOTIABLE, amounts, is_hourly, money_text, of_kind, squash_money_text
 from sangloc.functions.text import bare_tokens, html_to_text
 from sangloc.operators.lexicon import count_kind, location_mentions
-from sangloc.operators.rules import Dictionaries, rule, text_or_empty, with_violation
+from sangloc.operators.rules import Dictionaries, rule, step, text_or_empty, with_violation
 
 SECTIONS = ("description", "requirements", "benefits")
+TEXTS = tuple(f"{s}_text" for s in SECTIONS)
+PAYS = tuple(f"{s}_pay" for s in SECTIONS)
 
 # Messages of the pay rules.
 MSG_HOURLY = "Lương không được tính theo giờ"
@@ -23,11 +25,13 @@ MSG_MANY_PAYS = "Có nhiều lương trong nội dung"
 MSG_PAY_CONFLICT = "Lương trong nội dung khác mức lương"
 
 
+@step(SECTIONS, TEXTS)
 def with_section_text(df: DataFrame) -> DataFrame:
     """Add `<section>_text`: the three sections without HTML, once for all rules."""
     return df.withColumns({f"{s}_text": html_to_text(text_or_empty(s)) for s in SECTIONS})
 
 
+@step((*TEXTS, "money_str"), (*PAYS, "declared_pay"))
 def with_amounts(df: DataFrame) -> DataFrame:
     """Add `<section>_pay` and `declared_pay`: amounts of the sections and of `money_str`."""
     texts = [money_text(F.col(f"{s}_text")) for s in SECTIONS] + [squash_money_text(text_or_empty("money_str"))]
@@ -52,7 +56,7 @@ def _any_has(kind: str) -> Column:
     return reduce(lambda a, b: a | b, [_has(c, kind) for c in _content()])
 
 
-@rule("hourly_wage")
+@rule("hourly_wage", reads=("description_text", "benefits_text", "money_str"))
 def rule_hourly_wage(df: DataFrame) -> DataFrame:
     hit = (
         is_hourly(F.col("description_text")) | is_hourly(F.col("benefits_text")) | is_hourly(text_or_empty("money_str"))
@@ -60,7 +64,7 @@ def rule_hourly_wage(df: DataFrame) -> DataFrame:
     return with_violation(df, "hourly_wage", hit, MSG_HOURLY)
 
 
-@rule("many_workplaces")
+@rule("many_workplaces", reads=TEXTS)
 def rule_many_workplaces(df: DataFrame, dims: Dictionaries, key: str = "post_id") -> DataFrame:
     """A workplace phrase and more than one district or province in the sections."""
     text = F.concat_ws(" ", *[F.col(f"{s}_text") for s in SECTIONS])
@@ -73,25 +77,25 @@ def rule_many_workplaces(df: DataFrame, dims: Dictionaries, key: str = "post_id"
     return with_violation(df, "many_workplaces", hit, MSG_MANY_PLACES).drop("_places")
 
 
-@rule("negotiable_but_paid")
+@rule("negotiable_but_paid", reads=("money_str", *PAYS))
 def rule_negotiable_but_paid(df: DataFrame) -> DataFrame:
     hit = (F.trim(text_or_empty("money_str")) == NEGOTIABLE) & (_n_amounts() > 0)
     return with_violation(df, "negotiable_but_paid", hit, MSG_NEGOTIABLE_PAID)
 
 
-@rule("salary_absent")
+@rule("salary_absent", reads=("money_str", "declared_pay", *PAYS))
 def rule_salary_absent(df: DataFrame) -> DataFrame:
     money = F.lower(text_or_empty("money_str"))
     hit = _has(F.col("declared_pay"), "range") & (_n_amounts() == 0) & ~F.contains(money, F.lit("tr"))
     return with_violation(df, "salary_absent", hit, MSG_NO_PAY)
 
 
-@rule("many_salaries")
+@rule("many_salaries", reads=PAYS)
 def rule_many_salaries(df: DataFrame) -> DataFrame:
     return with_violation(df, "many_salaries", _n_amounts() > 1, MSG_MANY_PAYS)
 
 
-@rule("salary_conflict", "index")
+@rule("salary_conflict", "index", reads=("money_str", "declared_pay", *PAYS))
 def rule_salary_conflict(df: DataFrame) -> DataFrame:
     """Sections whose range (or single amount) is not the declared one, or another shape."""
     declared = F.col("declared_pay")

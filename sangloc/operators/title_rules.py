@@ -39,7 +39,8 @@ TITLE_PAY = (
     "hoa hồng",
     "thưởng",
 )
-INDEX_TITLE_PAY = (BIG_NUMBER, "[0-9]{1,2} ?(triệu|tr)")
+# Amounts without a unit, or with one of millions; an `m` counts where the word ends.
+INDEX_TITLE_PAY = (BIG_NUMBER, "[0-9]{1,2} ?(triệu|tr|m($|[ ,.;!/)]))")
 BRANCH = "chi nhánh"
 MSG_PHONE = "Tiêu đề chứa số điện thoại"
 MSG_SPECIAL = "Tiêu đề chứa ký tự đặc biệt. --Đã sửa lại--"
@@ -58,26 +59,26 @@ def _title() -> Column:
     return F.coalesce(F.col("title_fixed"), F.lit(""))
 
 
-@rule("title_phone")
+@rule("title_phone", repairs=("title_fixed",))
 def rule_title_phone(df: DataFrame) -> DataFrame:
     df = with_violation(df, "title_phone", _hits(_title(), PHONES), MSG_PHONE)
     fixed = F.regexp_replace(_title(), "|".join(PHONES), "")
     return df.withColumn("title_fixed", F.when(F.col("title_phone_count") > 0, fixed).otherwise(_title()))
 
 
-@rule("title_special")
+@rule("title_special", repairs=("title_fixed",))
 def rule_title_special(df: DataFrame) -> DataFrame:
     df = with_violation(df, "title_special", _title().rlike(NOT_ALLOWED), MSG_SPECIAL)
     return df.withColumn("title_fixed", strip_special(_title()))
 
 
-@rule("title_branch")
+@rule("title_branch", repairs=("title_fixed",))
 def rule_title_branch(df: DataFrame) -> DataFrame:
     df = with_violation(df, "title_branch", F.contains(F.lower(_title()), F.lit(BRANCH)), MSG_BRANCH)
     return df.withColumn("title_fixed", strip_phrase(_title(), BRANCH))
 
 
-@rule("title_place")
+@rule("title_place", repairs=("title_fixed",))
 def rule_title_place(df: DataFrame, dims: Dictionaries, key: str = "post_id") -> DataFrame:
     """Provinces and districts among the title's words; the matched words are removed."""
     places = dims.places.where(F.col("kind").isin("province", "district"))
@@ -96,7 +97,7 @@ def rule_title_place(df: DataFrame, dims: Dictionaries, key: str = "post_id") ->
     ).drop("_hits", "_matches", "_title_words")
 
 
-@rule("title_salary")
+@rule("title_salary", repairs=("title_fixed",))
 def rule_title_salary(df: DataFrame) -> DataFrame:
     """Pay and part-time wording; every kind found counts once and is blanked in turn."""
     count, fixed = F.lit(0), _title()
@@ -111,7 +112,7 @@ def rule_title_salary(df: DataFrame) -> DataFrame:
     ).drop(*[f"_t{i}" for i in range(len(TITLE_PAY) + 1)])
 
 
-@rule("title_index", "index")
+@rule("title_index", "index", reads=("title",))
 def rule_title_index(df: DataFrame, dims: Dictionaries, key: str = "post_id") -> DataFrame:
     """Index profile: the same checks on the raw title, nothing repaired."""
     title = F.coalesce(F.col("title"), F.lit(""))

@@ -35,6 +35,11 @@ RULES_OF_LABEL = {
     11: ("title_body_mismatch",),
     12: ("poor_text",),
 }
+# The index profile compares pay and places in its own way, and does not repair titles.
+LABELS_OF_PROFILE = {
+    "posting": RULES_OF_LABEL,
+    "index": RULES_OF_LABEL | {5: ("salary_conflict",), 6: ("district_province_index",), 9: ("title_index",)},
+}
 COUNTED_ONCE = (2, 12)
 # Labels of one rule that may have several messages, which are numbered.
 NUMBERED = (6,)
@@ -46,14 +51,14 @@ def _count(rule: str) -> Column:
     return F.col(f"{rule}_count")
 
 
-def label_count(label: int) -> Column:
-    total = reduce(lambda a, b: a + b, [_count(r) for r in RULES_OF_LABEL[label]])
+def label_count(label: int, profile: str = "posting") -> Column:
+    total = reduce(lambda a, b: a + b, [_count(r) for r in LABELS_OF_PROFILE[profile][label]])
     return F.least(total, F.lit(1)) if label in COUNTED_ONCE else total
 
 
-def is_returned() -> Column:
+def is_returned(profile: str = "posting") -> Column:
     """Sent back to the employer: the first-stage rules that cannot be repaired."""
-    broken = reduce(lambda a, b: a | b, [label_count(i) > 0 for i in (2, 3, 4, 5, 8)])
+    broken = reduce(lambda a, b: a | b, [label_count(i, profile) > 0 for i in (2, 3, 4, 5, 8)])
     return broken | (F.coalesce(F.col("company"), F.lit("")) == "")
 
 
@@ -68,11 +73,11 @@ def short_circuit(df: DataFrame, done: Column, costly, **defaults: Column) -> Da
     return costly(df.where(~done)).unionByName(skipped)
 
 
-def status(returned: Column) -> Column:
+def status(returned: Column, profile: str = "posting") -> Column:
+    """The index profile repairs no title, so a fault there leaves the posting as it is."""
     rewritten = (_count("special_ratio") == 1) | (label_count(11) > 0) | (label_count(12) > 0)
-    return (
-        F.when(returned, 0).when(rewritten, 4).when(label_count(9) > 0, 2).otherwise(1).cast("int")
-    )
+    titled = label_count(9) > 0 if profile == "posting" else F.lit(False)
+    return F.when(returned, 0).when(rewritten, 4).when(titled, 2).otherwise(1).cast("int")
 
 
 def status_text(status_col: Column) -> Column:
@@ -80,28 +85,30 @@ def status_text(status_col: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), status_col)
 
 
-def num_error(returned: Column) -> Column:
-    first = reduce(lambda a, b: a + b, [label_count(i) for i in FIRST_STAGE])
-    second = reduce(lambda a, b: a + b, [label_count(i) for i in SECOND_STAGE])
+def num_error(returned: Column, profile: str = "posting") -> Column:
+    first = reduce(lambda a, b: a + b, [label_count(i, profile) for i in FIRST_STAGE])
+    second = reduce(lambda a, b: a + b, [label_count(i, profile) for i in SECOND_STAGE])
     return F.when(returned, first).otherwise(first + second).cast("int")
 
 
-def message_map(returned: Column) -> Column:
+def message_map(returned: Column, profile: str = "posting") -> Column:
     """Label -> messages; several messages of a label become numbered lines, 9-12 stay empty if returned."""
 
     def text(label: int) -> Column:
-        messages = [F.col(f"{r}_msg") for r in RULES_OF_LABEL[label]]
+        messages = [F.col(f"{r}_msg") for r in LABELS_OF_PROFILE[profile][label]]
         lines = numbered_lines(messages) if len(messages) > 1 or label in NUMBERED else messages[0]
         return F.when(returned, "").otherwise(lines) if label in SECOND_STAGE else lines
 
     return F.map_from_arrays(F.array(*map(F.lit, LABELS)), F.array(*[text(i) for i in range(1, 13)]))
 
 
-def verdict(df: DataFrame) -> DataFrame:
-    """Add num_error, status, status_text and messages to a table with all rule columns."""
-    df = df.withColumn("returned", is_returned())
+def verdict(df: DataFrame, profile: str = "posting") -> DataFrame:
+    """Add num_error, status, status_text and messages to a table with all rule columns of the profile."""
+    df = df.withColumn("returned", is_returned(profile))
     returned = F.col("returned")
-    df = df.withColumns({"num_error": num_error(returned), "status": status(returned), "messages": message_map(returned)})
+    df = df.withColumns(
+        {"num_error": num_error(returned, profile), "status": status(returned, profile), "messages": message_map(returned, profile)}
+    )
     return df.withColumn("status_text", status_text(F.col("status")))
 
 
@@ -143,8 +150,7 @@ def violations(df: DataFrame, key: str = "post_id", *keep: str) -> DataFrame:
             F.struct(
                 F.lit(r).alias("rule_id"), _count(r).alias("count"), F.col(f"{r}_msg").alias("message")
             )
-            for rules in RULES_OF_LABEL.values()
-            for r in rules
+            for r in dict.fromkeys(r for labels in LABELS_OF_PROFILE.values() for rules in labels.values() for r in rules)
             if f"{r}_count" in df.columns
         ]
     )

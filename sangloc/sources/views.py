@@ -72,6 +72,14 @@ BUSY_BENEFITS = """concat(benefits, CASE post_id % 5
                            CAST(1 + (post_id * 7) % 12 AS STRING), ', ', n_name, '.</p>')
         WHEN 1 THEN concat('<p>Quận 1, quận 2, ', n_name, '</p>') ELSE '' END)"""
 
+INDEX_PROVINCE = """CASE post_id % 7
+        WHEN 0 THEN concat(lower(province), ', NATION_', CAST((post_id + 3) % 25 AS STRING))
+        WHEN 1 THEN concat('nowhere,t ', lower(province)) WHEN 2 THEN '' WHEN 3 THEN 'nowhere'
+        WHEN 4 THEN concat('NATION_', CAST((post_id + 1) % 25 AS STRING), ' , ', province) ELSE province END"""
+
+INDEX_DISTRICT = """CASE post_id % 6 WHEN 0 THEN NULL WHEN 1 THEN concat('q', CAST(1 + post_id % 12 AS STRING))
+        ELSE district END"""
+
 SUPPLIER_ADDRESSES = """SELECT s.s_suppkey, n.n_name AS province,
              concat('Quận ', CAST(1 + s.s_suppkey % 12 AS STRING)) AS district,
              CASE s.s_suppkey % 8
