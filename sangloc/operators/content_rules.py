@@ -25,8 +25,16 @@ from sangloc.functions.text import (
     tokens,
 )
 from sangloc.operators.lexicon import remove_stopwords, topic_overlap
-from sangloc.operators.pay_rules import SECTIONS
-from sangloc.operators.quality import corpus_perplexity, fit_corpus, key_list, unknown_word_ratio
+from sangloc.operators.pay_rules import SECTIONS, TEXTS
+from sangloc.operators.quality import (
+    Corpus,
+    corpus_perplexity,
+    fit_and_score,
+    key_list,
+    perplexity_bucket,
+    perplexity_cut,
+    unknown_word_ratio,
+)
 from sangloc.operators.rules import Dictionaries, rule, with_violation
 from sangloc.operators.similarity import with_match_score
 from sangloc.operators.verdict import short_circuit
@@ -47,11 +55,8 @@ MSG_POOR = {
     "benefits": "Quyền lợi lôm côm, sơ sài, cần phải viết lại. Đã viết lại quyền lợi",
 }
 
-# Perplexity depends on the corpus; callers pass a cut taken from their own (`perplexity_cut`).
-DEFAULT_MAX_PERPLEXITY = 100_000.0
-
 
-@rule("special_ratio")
+@rule("special_ratio", reads=TEXTS, makes=tuple(f"{s}_fixed" for s in SECTIONS))
 def rule_special_ratio(df: DataFrame) -> DataFrame:
     """Share of special characters in the three `_text` columns at 5 % or more.
 
@@ -70,20 +75,26 @@ def rule_special_ratio(df: DataFrame) -> DataFrame:
     return with_violation(df, "special_ratio", count, message).drop("_joined", "_kinds")
 
 
-@rule("title_body_mismatch")
+@rule("title_body_mismatch", reads=("title_fixed", "description_fixed"), makes=("match_score",))
 def rule_title_body_mismatch(
-    df: DataFrame, dims: Dictionaries, title: str = "title_fixed", body: str = "description_fixed", key: str = "post_id"
+    df: DataFrame,
+    dims: Dictionaries,
+    title: str = "title_fixed",
+    body: str = "description_fixed",
+    key: str = "post_id",
+    vectors: tuple[str, str] | None = None,
 ) -> DataFrame:
+    """Title and body with a match score below the limit; `vectors` names columns of vectors, see `with_match_score`."""
     df = df.withColumn("_title", html_to_text(F.coalesce(F.col(title), F.lit(""))))
     df = remove_stopwords(df, key, tokens(standardize_text(F.col("_title"))), dims.stopwords, "_title_words")
     df = remove_stopwords(df, key, tokens(standardize_text(F.col(body))), dims.stopwords, "_body_words")
-    df = with_match_score(df, F.col("_title"), F.col(body), "_title_words", "_body_words")
+    df = with_match_score(df, F.col("_title"), F.col(body), "_title_words", "_body_words", vectors=vectors)
     return with_violation(df, "title_body_mismatch", F.col("match_score") < MIN_MATCH_SCORE, MSG_MISMATCH).drop(
         "_title", "_title_words", "_body_words"
     )
 
 
-@rule("topic_mismatch")
+@rule("topic_mismatch", reads=("title", "description_text"))
 def rule_topic_mismatch(
     df: DataFrame, dims: Dictionaries, title: str = "title", body: str = "description_text", key: str = "post_id"
 ) -> DataFrame:
@@ -108,9 +119,15 @@ def corpus_words(c: Column) -> Column:
     return tokens(F.lower(c))
 
 
-def row_checks(text: Column) -> Column:
-    """Struct of `is_short` and `votes`: what one row alone says about its quality."""
-    words = corpus_words(text)
+def with_row_checks(df: DataFrame, texts: list[str], out: str) -> DataFrame:
+    """Add `out`: the row checks of each text column; their tokens are made columns first, so that no check makes them anew."""
+    words = {f"_words_{t}": corpus_words(F.col(t)) for t in texts}
+    checks = [row_checks(F.col(t), F.col(w)) for t, w in zip(texts, words)]
+    return df.withColumns(words).withColumn(out, F.array(*checks)).drop(*words)
+
+
+def row_checks(text: Column, words: Column) -> Column:
+    """Struct of `is_short` and `votes`: what one row alone says about its quality; `words` are the corpus words of the text."""
     checks = (
         hard_to_read(text),
         F.coalesce(type_token_ratio(words) < MIN_TYPE_TOKEN_RATIO, F.lit(False)),
@@ -129,29 +146,45 @@ def corpus_votes(
     texts: DataFrame,
     key: str | list[str],
     text: str,
-    corpus: tuple[DataFrame, DataFrame],
-    max_perplexity: float = DEFAULT_MAX_PERPLEXITY,
+    corpus: Corpus,
     min_docs: int = 3,
+    scored: DataFrame | None = None,
 ) -> DataFrame:
-    """(key, corpus_votes): 0 to 2 votes, for unknown words and for perplexity; the key may be several columns."""
-    vocab, model = corpus
+    """(key, corpus_votes): 0 to 2 votes, for unknown words and for perplexity; the key may be several columns.
+
+    A perplexity is too high beyond the cut of the corpus; no perplexity is held against a text by an empty corpus.  `scored` has
+    (key, bucket) of these texts, or of more, where they were scored before.
+    """
     keys = key_list(key)
     words = corpus_words(F.col(text))
-    unknown = unknown_word_ratio(texts, keys, words, vocab, min_docs).select(
+    cut = perplexity_cut(corpus.sketch)
+    unknown = unknown_word_ratio(texts, keys, words, corpus.vocabulary, min_docs).select(
         *keys, (F.col("unknown_ratio") > MAX_UNKNOWN_RATIO).cast("int").alias("vote")
     )
-    gibberish = corpus_perplexity(texts, keys, words, model).select(
-        *keys, (F.col("perplexity") > max_perplexity).cast("int").alias("vote")
-    )
+    if cut is None:
+        return unknown.select(*keys, F.lit(0).alias("corpus_votes"))
+    if scored is None:
+        perplexities = corpus_perplexity(texts, keys, words, corpus.model)
+        scored = perplexities.select(*keys, perplexity_bucket(F.col("perplexity")).alias("bucket"))
+    gibberish = scored.select(*keys, (F.col("bucket") > cut).cast("int").alias("vote"))
     return unknown.unionByName(gibberish).groupBy(*keys).agg(F.sum("vote").cast("int").alias("corpus_votes"))
 
 
+def all_votes(
+    texts: DataFrame, key: str, text: str, corpus: Corpus, min_docs: int = 3, scored: DataFrame | None = None
+) -> DataFrame:
+    """(key, votes): how many of the six checks hold against each text; unlike `poor_text` it runs all of them everywhere."""
+    checked = with_row_checks(texts.select(key, text), [text], "_checks").withColumn("_check", F.col("_checks")[0])
+    checked = checked.select(key, (F.col("_check.votes") + F.col("_check.is_short").cast("int")).alias("votes"))
+    votes = corpus_votes(texts, key, text, corpus, min_docs, scored)
+    return checked.join(votes, key, "left").select(key, (F.col("votes") + F.coalesce("corpus_votes", F.lit(0))).alias("votes"))
+
+
 def poor_text(
     texts: DataFrame,
     key: str,
     text: str = "text",
-    corpus: tuple[DataFrame, DataFrame] | None = None,
-    max_perplexity: float = DEFAULT_MAX_PERPLEXITY,
+    corpus: Corpus | None = None,
     min_docs: int = 3,
 ) -> DataFrame:
     """Add `is_poor`: too short, or at least four of the six checks.
@@ -159,20 +192,16 @@ def poor_text(
     Only texts that the row checks leave open meet the corpus tables; the outcome is the
     same as with all six checks everywhere.
     """
-    corpus = corpus or fit_corpus(texts, corpus_words(F.col(text)))
+    fitted, scored = (corpus, None) if corpus else fit_and_score(texts, key, corpus_words(F.col(text)))
     # written once: both branches below filter on the checks
-    checked = staged(texts.withColumn("_checks", row_checks(F.col(text))), "checked")
+    checked = with_row_checks(texts, [text], "_checks").withColumn("_checks", F.col("_checks")[0])
+    checked = staged(checked, "checked")
 
     def costly(rows: DataFrame) -> DataFrame:
-        votes = corpus_votes(rows, key, text, corpus, max_perplexity, min_docs)
+        votes = corpus_votes(rows, key, text, fitted, min_docs, scored)
         enough = F.col("_checks")["votes"] + F.coalesce("corpus_votes", F.lit(0)) >= MIN_VOTES
         return rows.join(votes, key, "left").withColumn("is_poor", enough).drop("corpus_votes")
 
     return short_circuit(
         checked, ~needs_corpus(F.col("_checks")), costly, is_poor=F.col("_checks")["is_short"]
     ).drop("_checks")
-
-
-def perplexity_cut(perplexities: DataFrame, quantile: float = 0.95) -> float:
-    """Approximate corpus quantile to use as `max_perplexity` (a bounded sketch, not a sort)."""
-    return perplexities.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]

@@ -41,6 +41,12 @@ def dim_join(
     return rows.join(F.broadcast(dim) if small else dim, on, how)
 
 
+def hot_rows(dim: DataFrame, weight: str, most: int = 50_000) -> DataFrame:
+    """The rows of a dimension that hold more than 1/`most` of all its weight: fewer than `most`, whatever the data."""
+    total = dim.agg(F.sum(weight).alias("total")).scalar()
+    return dim.where(F.col(weight) * most > total)
+
+
 def skew_join(
     rows: DataFrame,
     dim: DataFrame,

@@ -1,21 +1,31 @@
 """Corpus-wide quality metrics: unknown words, bigram perplexity, neighbour coherence of vectors.
 
-Corpus tables (`vocabulary`, `bigram_model`) are written once by `fit_corpus`; batches and
-streams are scored against them.
+`fit_corpus` writes the tables of a corpus once; batches and streams are scored against them.  Perplexity has no
+useful fixed limit, so the corpus also has a sketch of its own perplexities, counts by buckets that grow
+by 1 %, from which the cut is taken: a share of the corpus, whatever its size.  All counts add up over parts of a corpus.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sangloc.functions.metrics import embedding_cosine
 from sangloc.operators.generate import explode_rows, inline_rows
-from sangloc.operators.joins import skew_join
+from sangloc.operators.joins import hot_rows, skew_join
 from sangloc.sources.sinks import removed, staged
 
 Keys = str | list[str]
 
+# Perplexities are counted by buckets of this growth, up to the last bucket: at most so many rows.
+BUCKET_GROWTH = 1.01
+LAST_BUCKET = 8192
+# Of a hundred texts of the corpus so many have a perplexity that passes.
+PASSING_PERCENT = 95
+
 
 def key_list(key: Keys) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
@@ -40,19 +50,40 @@ def vocabulary(df: DataFrame, words: Column) -> DataFrame:
     )
 
 
+def _used(uses: DataFrame, keys: list[str], on: list[str], dim: DataFrame, weight: str, value: Column) -> DataFrame:
+    """(keys, n, n_met, total) of each text's uses: how many, how many `dim` holds, and the sum of their values.
+
+    Entries of `dim` with a large part of all uses are broadcast (there is a bound on their number); a text's uses of
+    them become one row before anything is shuffled.  Each other entry travels once for each text, with a count.
+    """
+    hot = hot_rows(dim, weight).select(*on, F.lit(True).alias("_hot"), value.cast("double").alias("_value"))
+    met = uses.join(F.broadcast(hot), on, "left")
+    # A text's hot uses get names that no word has (words hold no blanks), spread over many partitions.
+    spread = F.concat(F.lit(" "), F.pmod(F.xxhash64(*keys), F.lit(4096)).cast("string"))
+    named = [F.when(F.col("_hot"), spread).otherwise(F.col(c)).alias(c) for c in on]
+    once = met.groupBy(*keys, *named).agg(F.count("*").alias("n"), F.count("_hot").alias("_n_hot"), F.sum("_value").alias("_hot_total"))
+    known = dim.select(*on, F.lit(1).alias("_known"), value.cast("double").alias("_value"))
+    return (
+        once.join(known, on, "left")
+        .groupBy(*keys)
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum(F.col("_n_hot") + F.col("n") * F.coalesce("_known", F.lit(0))).alias("n_met"),
+            F.sum(F.coalesce("_hot_total", F.col("n") * F.col("_value"), F.lit(0.0))).alias("total"),
+        )
+    )
+
+
 def unknown_word_ratio(df: DataFrame, key: Keys, words: Column, vocab: DataFrame, min_docs: int = 3) -> DataFrame:
     """(key, n_words, n_unknown, unknown_ratio): share of tokens in fewer than `min_docs` texts.
 
     A token missing from `vocab` (fitted on another batch) is unknown as well.
     """
-    rows = explode_rows(df, key_list(key), words, "token")
-    known = vocab.where(F.col("n_docs") >= min_docs).select("token", "n_rows", F.lit(1).alias("known"))
-    return (
-        skew_join(rows, known, ["token"], "n_rows", "left")
-        .groupBy(*key_list(key))
-        .agg(F.count("*").alias("n_words"), F.count_if(F.col("known").isNull()).alias("n_unknown"))
-        .withColumn("unknown_ratio", F.col("n_unknown") / F.col("n_words"))
-    )
+    keys = key_list(key)
+    known = vocab.where(F.col("n_docs") >= min_docs)
+    used = _used(explode_rows(df, keys, words, "token"), keys, ["token"], known, "n_rows", F.lit(0))
+    unknown = (F.col("n") - F.col("n_met")).alias("n_unknown")
+    return used.select(*keys, F.col("n").alias("n_words"), unknown).withColumn("unknown_ratio", F.col("n_unknown") / F.col("n_words"))
 
 
 def _bigrams(df: DataFrame, words: Column, *keep: str) -> DataFrame:
@@ -61,18 +92,20 @@ def _bigrams(df: DataFrame, words: Column, *keep: str) -> DataFrame:
     return inline_rows(df, list(keep), pairs, "w1")
 
 
-def bigram_model(df: DataFrame, words: Column, parts: list[DataFrame] | None = None) -> DataFrame:
-    """(w1, w2, n_rows, log_p): add-one smoothed log probability of w2 after w1.
+def bigram_counts(df: DataFrame, words: Column) -> DataFrame:
+    """(w1, w2, n_rows): uses of each pair of neighbours."""
+    return _bigrams(df, words).groupBy("w1", "w2").agg(F.count("*").alias("n_rows"))
+
 
-    `parts` receives the written tables that the model is read from, for the caller to remove.
+def model_of(pairs: DataFrame, parts: list[DataFrame] | None = None) -> DataFrame:
+    """(w1, w2, n_rows, log_p): add-one smoothed log probability of w2 after w1, from written bigram counts.
 
-    Only the bigram counts are made from the text; first-word counts and the vocabulary
-    size come from that already reduced table.
+    First-word counts and the vocabulary size come from that already reduced table.  `parts` receives the written
+    tables that the model is read from, for the caller to remove.
     """
-    pairs = staged(_bigrams(df, words).groupBy("w1", "w2").agg(F.count("*").alias("n_rows")), "bigrams")
     firsts = staged(pairs.groupBy("w1").agg(F.sum("n_rows").alias("n_first"), F.count("*").alias("n_pairs")), "firsts")
     if parts is not None:
-        parts += [pairs, firsts]
+        parts.append(firsts)
     v = (
         pairs.select(F.explode(F.array("w1", "w2")).alias("w"))
         .distinct()
@@ -84,12 +117,12 @@ def bigram_model(df: DataFrame, words: Column, parts: list[DataFrame] | None = N
     )
 
 
-def fit_corpus(df: DataFrame, words: Column) -> tuple[DataFrame, DataFrame]:
-    """Vocabulary and bigram model of a corpus as written tables, to score any batch against."""
-    parts: list[DataFrame] = []
-    model = staged(bigram_model(df, words, parts), "bigram-model")
-    removed(*parts)
-    return staged(vocabulary(df, words), "vocabulary"), model
+def bigram_model(df: DataFrame, words: Column, parts: list[DataFrame] | None = None) -> DataFrame:
+    """The model of a text table."""
+    pairs = staged(bigram_counts(df, words), "bigrams")
+    if parts is not None:
+        parts.append(pairs)
+    return model_of(pairs, parts)
 
 
 def corpus_perplexity(df: DataFrame, key: Keys, words: Column, model: DataFrame) -> DataFrame:
@@ -97,13 +130,63 @@ def corpus_perplexity(df: DataFrame, key: Keys, words: Column, model: DataFrame)
 
     Bigrams the model has not seen (another batch) score as its least likely pair.
     """
+    keys = key_list(key)
     floor = model.agg(F.min("log_p").alias("floor")).scalar()
-    scored = skew_join(_bigrams(df, words, *key_list(key)), model, ["w1", "w2"], "n_rows", "left")
-    return (
-        scored.groupBy(*key_list(key))
-        .agg(F.count("*").alias("n_bigrams"), F.avg(F.coalesce("log_p", floor)).alias("mean_log_p"))
-        .select(*key_list(key), "n_bigrams", F.exp(-F.col("mean_log_p")).alias("perplexity"))
-    )
+    used = _used(_bigrams(df, words, *keys), keys, ["w1", "w2"], model, "n_rows", F.col("log_p"))
+    mean = (F.col("total") + (F.col("n") - F.col("n_met")) * F.coalesce(floor, F.lit(0.0))) / F.col("n")
+    return used.select(*keys, F.col("n").alias("n_bigrams"), F.exp(-mean).alias("perplexity"))
+
+
+def perplexity_bucket(perplexity: Column) -> Column:
+    return F.least(F.floor(F.log(perplexity) / math.log(BUCKET_GROWTH)), F.lit(LAST_BUCKET)).cast("int")
+
+
+def bucket_counts(scored: DataFrame) -> DataFrame:
+    """(bucket, n): the sketch of the perplexities of a scored table; sketches of parts are merged by adding."""
+    return scored.groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+def perplexity_cut(sketch: DataFrame, passing_percent: int = PASSING_PERCENT) -> int | None:
+    """The bucket beyond which a text is gibberish, or None for an empty sketch; reads at most LAST_BUCKET + 1 sums."""
+    counts = sorted((r.bucket, r.n) for r in sketch.groupBy("bucket").agg(F.sum("n").alias("n")).collect())
+    total, seen = sum(n for _, n in counts), 0
+    for bucket, n in counts:
+        seen += n
+        if 100 * seen >= passing_percent * total:
+            return bucket
+    return None
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """What texts are scored against, as written tables.
+
+    vocabulary(token, n_rows, n_docs), model(w1, w2, n_rows, log_p), sketch(bucket, n).
+    """
+
+    vocabulary: DataFrame
+    model: DataFrame
+    sketch: DataFrame
+
+    def remove(self) -> None:
+        removed(self.vocabulary, self.model, self.sketch)
+
+
+def fit_corpus(df: DataFrame, key: Keys, words: Column) -> Corpus:
+    """Vocabulary, bigram model and perplexities of a corpus whose texts are named by a key."""
+    corpus, scored = fit_and_score(df, key, words)
+    removed(scored)
+    return corpus
+
+
+def fit_and_score(df: DataFrame, key: Keys, words: Column) -> tuple[Corpus, DataFrame]:
+    """The corpus, and (key, bucket) of its own texts, which need not be scored again to be judged."""
+    parts: list[DataFrame] = []
+    model = staged(bigram_model(df, words, parts), "bigram-model")
+    removed(*parts)
+    perplexities = corpus_perplexity(df, key, words, model)
+    scored = staged(perplexities.select(*key_list(key), perplexity_bucket(F.col("perplexity")).alias("bucket")), "perplexities")
+    return Corpus(staged(vocabulary(df, words), "vocabulary"), model, staged(bucket_counts(scored), "sketch")), scored
 
 
 def neighbour_cosine(

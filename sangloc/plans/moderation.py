@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,45 +16,48 @@ from sangloc.operators import (  # noqa: F401  (registers the rules)
 )
 from sangloc.functions.text import strip_phrase, strip_special
 from sangloc.operators.content_rules import (
-    DEFAULT_MAX_PERPLEXITY,
     MIN_VOTES,
     MSG_POOR,
     corpus_votes,
     corpus_words,
     needs_corpus,
     poor_text_form,
-    row_checks,
+    with_row_checks,
+)
+from sangloc.operators.pay_rules import SECTIONS, TEXTS
+from sangloc.operators.quality import Corpus, fit_and_score
+from sangloc.operators.rules import Dictionaries, Node, applied, ordered, rule_of, text_or_empty
+from sangloc.operators.verdict import (
+    FIRST_STAGE,
+    LABELS_OF_PROFILE,
+    SECOND_STAGE,
+    is_returned,
+    label_count,
+    short_circuit,
+    verdict,
 )
-from sangloc.operators.pay_rules import SECTIONS
-from sangloc.operators.quality import fit_corpus
-from sangloc.operators.rules import Dictionaries, text_or_empty
-from sangloc.operators.verdict import is_returned, label_count, short_circuit, verdict
 from sangloc.sources.sinks import removed, staged
 
 
-def first_stage(df: DataFrame, dims: Dictionaries, key: str = "post_id") -> DataFrame:
-    """R1 to R8.  Row expressions and joins to small dictionaries: no shuffle of postings."""
-    df = pay_rules.with_section_text(df)
-    df = place_rules.with_address_detail(df)
-    df = place_rules.rule_province_code(df, dims)
-    df = place_rules.rule_nationwide(df)
-    df = place_rules.rule_address_detail(df)
-    df = place_rules.rule_multi_address(df)
-    df = place_rules.rule_address_missing(df)
-    df = company_rules.rule_employment_type(df)
-    df = pay_rules.rule_hourly_wage(df)
-    df = pay_rules.rule_many_workplaces(df, dims, key)
-    df = pay_rules.with_amounts(df)
-    df = pay_rules.rule_negotiable_but_paid(df)
-    df = pay_rules.rule_salary_absent(df)
-    df = pay_rules.rule_many_salaries(df)
-    df = place_rules.rule_district_province(df, dims, key)
-    df = company_rules.rule_company_banned_words(df)
-    df = company_rules.rule_company_form(df)
-    return df.withColumn("returned", is_returned()).drop("declared_pay", *[f"{s}_pay" for s in SECTIONS])
-
-
-def second_stage(df: DataFrame, dims: Dictionaries, key: str = "post_id") -> DataFrame:
+def rules_of(labels: Iterable[int], profile: str) -> list[Node]:
+    """The rules of these labels; R13 is not one of them, as its corpus checks come later."""
+    names = [r for label in labels for r in LABELS_OF_PROFILE[profile][label] if r != "poor_text"]
+    return [rule_of(name, profile) for name in names]
+
+
+def first_stage(df: DataFrame, dims: Dictionaries, key: str = "post_id", profile: str = "posting") -> DataFrame:
+    """R1 to R8 and the steps they need, ordered by the columns they read and make.
+
+    Row expressions and joins to small dictionaries: no shuffle of postings.
+    """
+    nodes = ordered(rules_of(FIRST_STAGE, profile), df.columns)
+    df = applied(df, nodes, dims, key, keep=TEXTS)
+    # The second stage reads the texts, whatever rules the profile has.
+    df = df if set(TEXTS) <= set(df.columns) else pay_rules.with_section_text(df)
+    return df.withColumn("returned", is_returned(profile))
+
+
+def second_stage(df: DataFrame, dims: Dictionaries, key: str = "post_id", profile: str = "posting") -> DataFrame:
     """R9 to R11, and the row checks of R13, on what the first stage let through.
 
     For a returned posting the texts are emptied before the costly expressions see them,
@@ -65,20 +70,12 @@ def second_stage(df: DataFrame, dims: Dictionaries, key: str = "post_id") -> Dat
     df = df.withColumn("title_fixed", F.when(returned, "").otherwise(title))
     description = strip_phrase(F.col("description_text"), place_rules.NATIONWIDE_PHRASE)
     df = df.withColumn("description_text", description)
-    df = title_rules.rule_title_phone(df)
-    df = title_rules.rule_title_special(df)
-    df = title_rules.rule_title_branch(df)
-    df = title_rules.rule_title_place(df, dims, key)
-    df = title_rules.rule_title_salary(df)
-    df = content_rules.rule_special_ratio(df)
-    df = content_rules.rule_title_body_mismatch(df, dims, key=key)
-    quiet = {
-        "special_ratio_count": F.when(returned, 0).otherwise(F.col("special_ratio_count")).cast("int"),
-        "title_body_mismatch_count": F.when(returned, 0).otherwise(F.col("title_body_mismatch_count")).cast("int"),
-    }
+    nodes = ordered(rules_of(SECOND_STAGE, profile), df.columns)
+    df = applied(df, nodes, dims, key)
+    quiet = {f"{n.name}_count": F.when(returned, 0).otherwise(F.col(f"{n.name}_count")).cast("int") for n in nodes if not n.is_step}
     df = df.withColumns(quiet)
-    texts = F.array(*[poor_text_form(F.col(f"{s}_fixed")) for s in SECTIONS])
-    return df.withColumn("_texts", texts).withColumn("_checks", F.transform("_texts", row_checks)).drop("_texts")
+    forms = {f"_form_{s}": poor_text_form(F.col(f"{s}_fixed")) for s in SECTIONS}
+    return with_row_checks(df.withColumns(forms), list(forms), "_checks").drop(*forms)
 
 
 def section_texts(df: DataFrame, key: str) -> DataFrame:
@@ -90,9 +87,9 @@ def section_texts(df: DataFrame, key: str) -> DataFrame:
 
 def with_poor_text(
     df: DataFrame,
-    corpus: tuple[DataFrame, DataFrame],
+    corpus: Corpus,
     key: str = "post_id",
-    max_perplexity: float = DEFAULT_MAX_PERPLEXITY,
+    scored: DataFrame | None = None,
 ) -> DataFrame:
     """R13 as rule `poor_text`, counted once, with a flag per section.
 
@@ -103,7 +100,7 @@ def with_poor_text(
     undecided = ~F.col("returned") & F.exists("_checks", needs_corpus)
 
     def costly(rows: DataFrame) -> DataFrame:
-        votes = corpus_votes(section_texts(rows, key), [key, "section"], "text", corpus, max_perplexity)
+        votes = corpus_votes(section_texts(rows, key), [key, "section"], "text", corpus, scored=scored)
         by_post = votes.groupBy(key).pivot("section", list(SECTIONS)).agg(F.first("corpus_votes"))
         by_post = by_post.select(key, *[F.col(s).alias(f"_{s}") for s in SECTIONS])
         total = {s: found[s]["votes"] + F.coalesce(f"_{s}", F.lit(0)) for s in SECTIONS}
@@ -117,7 +114,7 @@ def with_poor_text(
     return df.withColumns({"poor_text_count": count, "poor_text_msg": message}).drop("_checks")
 
 
-def repair(df: DataFrame) -> DataFrame:
+def repair(df: DataFrame, profile: str = "posting") -> DataFrame:
     """The repaired texts as they are given back.
 
     The nationwide phrase goes from title and description, and from the address if R2 finds no fault.  A section is
@@ -133,27 +130,48 @@ def repair(df: DataFrame) -> DataFrame:
         for s in SECTIONS
     }
     title = F.when(returned, strip_phrase(F.col("title"), wide)).otherwise(F.col("title_fixed"))
-    address = F.when(label_count(2) == 0, strip_phrase(F.col("address"), wide)).otherwise(F.col("address"))
+    address = F.when(label_count(2, profile) == 0, strip_phrase(F.col("address"), wide)).otherwise(F.col("address"))
     return df.withColumns({"description_asked": F.col("description_fixed"), "title_fixed": title, "address_fixed": address, **clean})
 
 
+def rule_posts(posts: DataFrame, dims: Dictionaries, key: str = "post_id", profile: str = "posting") -> DataFrame:
+    """All rules but the corpus checks of R13, as a staged table."""
+    return staged(second_stage(first_stage(posts, dims, key, profile), dims, key, profile).drop(*TEXTS), "ruled")
+
+
+def corpus_texts(ruled: DataFrame, key: str) -> DataFrame:
+    """(key, section, text): what a corpus is made of, the sections of postings that are not returned."""
+    return section_texts(ruled.where(~F.col("returned")), key)
+
+
+def judge(
+    ruled: DataFrame, corpus: Corpus | None = None, key: str = "post_id", profile: str = "posting"
+) -> DataFrame:
+    """The corpus checks, repairs and the verdict, as a staged table; without a corpus the postings are their own."""
+    scored = None
+    fitted = corpus
+    if fitted is None:
+        fitted, scored = fit_and_score(corpus_texts(ruled, key), [key, "section"], corpus_words(F.col("text")))
+    moderated = staged(verdict(repair(with_poor_text(ruled, fitted, key, scored), profile), profile), "moderated")
+    if corpus is None:
+        fitted.remove()
+        removed(scored)
+    return moderated
+
+
 def moderate(
     posts: DataFrame,
     dims: Dictionaries,
     key: str = "post_id",
-    corpus: tuple[DataFrame, DataFrame] | None = None,
-    max_perplexity: float = DEFAULT_MAX_PERPLEXITY,
+    corpus: Corpus | None = None,
+    profile: str = "posting",
 ) -> DataFrame:
     """Postings in; postings with rule columns, repaired texts, count, messages and verdict out.
 
-    The result is a staged table (`removed` takes it away); what it was made from is removed here.
+    `profile` is `posting`, or `index` for postings as they stand in the index: those have place fields of their own
+    (`place_province`, which may list several, and `place_district`), and their titles are not repaired.  The result is a staged table (`removed` takes it away); what it was made from is removed here.
     """
-    ruled = second_stage(first_stage(posts, dims, key), dims, key).drop("address_detail", *[f"{s}_text" for s in SECTIONS])
-    ruled = staged(ruled, "ruled")
-    fitted: tuple[DataFrame, ...] = ()
-    if corpus is None:
-        texts = section_texts(ruled.where(~F.col("returned")), key)
-        corpus = fitted = fit_corpus(texts, corpus_words(F.col("text")))
-    moderated = staged(verdict(repair(with_poor_text(ruled, corpus, key, max_perplexity))), "moderated")
-    removed(ruled, *fitted)
+    ruled = rule_posts(posts, dims, key, profile)
+    moderated = judge(ruled, corpus, key, profile)
+    removed(ruled)
     return moderated

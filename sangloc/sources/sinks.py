@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,14 @@ RECORD_FIELDS = (
 ).split()
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """One folder for all sessions of a process that have no shared one; it goes when the process ends."""
+    folder = tempfile.mkdtemp(prefix="sangloc-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's `spark.checkpoint.dir`.
 
@@ -25,7 +36,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if base is None:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="sangloc-")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -53,6 +64,13 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder of whatever store; none where it does not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
+
+
 def response_json(df: DataFrame, key: str = "post_id") -> DataFrame:
     """(key, status, response): the final record, with the repaired posting, as JSON text; `error` is null."""
     posting = F.struct(*[F.coalesce(f"{c}_fixed", c).alias(c) if f"{c}_fixed" in df.columns else F.col(c) for c in RECORD_FIELDS if c in df.columns])
