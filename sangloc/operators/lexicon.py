@@ -1,9 +1,9 @@
 """Phrase lexicons against token arrays.
 
 `phrase_hits` is the one primitive: it adds an array of the places where a lexicon
-phrase starts.  A lexicon proven small becomes a hash set inside the row expression, so
-nothing is exploded or shuffled and the operator also works on streams.  A larger one
-goes through exploded n-grams and an equi-join; both ways give the same array.  What is
+phrase starts.  A lexicon proven small becomes a hash set inside the row expression, and one of up to `MAX_TRIE_ROWS`
+phrases a broadcast trie, so nothing is exploded or shuffled and the operator also works on streams.  A larger one
+goes through exploded n-grams and an equi-join; all ways give the same array.  What is
 joined back to a row depends on its words alone, so rows meet their result by a hash of
 the words: repeated and null keys are no special case.  Phrases may have any length: the
 bound comes from the lexicon.
@@ -20,10 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sangloc.operators.generate import explode_rows, inline_rows
-from sangloc.operators.joins import MAX_SET_ROWS, dim_join, rows_if_small
+from sangloc.operators.joins import MAX_SET_ROWS, dim_join, is_small, rows_if_small
+from sangloc.operators.phrase_trie import trie_hits
 
 _HITS = "array<struct<pos:int,n:int,words:string,kind:string>>"
 
+# Phrases up to which a lexicon becomes a broadcast trie.
+MAX_TRIE_ROWS = 200_000
+
 
 def _grams(words: str, max_words: int, firsts: list[str] | None = None) -> Column:
     """For every position, the phrases of 1..max_words words that start there."""
@@ -60,6 +64,39 @@ def words_of_longest(phrases: DataFrame, column: str) -> int:
     return phrases.agg(F.max(F.size(F.split(column, " ")))).first()[0] or 1
 
 
+def _listed(lexicon: DataFrame, max_rows: int) -> dict[str, str] | None:
+    """Phrase -> kind, the smallest of several, or None if there are more than `max_rows` rows."""
+    rows = rows_if_small(lexicon.select("words", "kind"), max_rows)
+    if rows is None:
+        return None
+    kinds: dict[str, str] = {}
+    for r in rows:
+        kinds[r.words] = min(r.kind, kinds.get(r.words, r.kind))
+    return kinds
+
+
+def phrase_matches(
+    df: DataFrame,
+    key: str,
+    words: str,
+    lexicon: DataFrame,
+    out: str,
+    max_rows: int = MAX_SET_ROWS,
+    least_words: int = 1,
+) -> DataFrame:
+    """Add `out`: of the phrases of at least `least_words` words the longest of each start, left to right, without overlaps.
+
+    `words` names a column of token arrays; null arrays have no matches.
+    """
+    lexicon = lexicon.where(F.col("words").isNotNull())
+    if not is_small(lexicon, max_rows):
+        kinds = _listed(lexicon, MAX_TRIE_ROWS)
+        if kinds is not None:
+            return df.withColumn(out, trie_hits(df.sparkSession, kinds, F.col(words), True, least_words))
+    df = phrase_hits(df, key, F.col(words), lexicon, out, max_rows)
+    return df.withColumn(out, greedy_matches(F.filter(out, lambda h: h["n"] >= least_words)))
+
+
 def phrase_hits(
     df: DataFrame, key: str, words: Column, lexicon: DataFrame, out: str = "hits", max_rows: int = MAX_SET_ROWS
 ) -> DataFrame:
@@ -71,11 +108,8 @@ def phrase_hits(
     lexicon = lexicon.where(F.col("words").isNotNull())
     df = df.withColumn("_w", words)
     empty = F.array().cast(_HITS)
-    listed = rows_if_small(lexicon.select("words", "kind"), max_rows)
-    if listed is not None:
-        kinds: dict[str, str] = {}
-        for r in listed:
-            kinds[r.words] = min(r.kind, kinds.get(r.words, r.kind))
+    kinds = _listed(lexicon, max_rows)
+    if kinds is not None:
         if not kinds:
             return df.withColumn(out, empty).drop("_w")
         firsts = sorted({p.split(" ")[0] for p in kinds})
@@ -92,6 +126,9 @@ def phrase_hits(
         max_words = max(p.count(" ") + 1 for p in kinds)
         known = F.filter(_grams("_w", max_words, firsts), lambda g: g["words"].isin(list(kinds)))
         return df.withColumn(out, F.coalesce(F.transform(known, with_kind), empty)).drop("_w")
+    kinds = _listed(lexicon, MAX_TRIE_ROWS)
+    if kinds is not None:
+        return df.withColumn(out, trie_hits(df.sparkSession, kinds, F.col("_w"))).drop("_w")
     df = with_content(df, "_w")
     # Only places where a phrase can begin are exploded, where the first words are few enough to test for.
     firsts = rows_if_small(lexicon.select(F.substring_index("words", " ", 1).alias("word")).distinct(), MAX_FIRST_WORDS)
@@ -161,13 +198,8 @@ def compound_phrases(
     df: DataFrame, key: str, words: Column, lexicon: DataFrame, out: str = "compounds", max_rows: int = MAX_SET_ROWS
 ) -> DataFrame:
     """Add `out`: the tokens with multi-word lexicon entries joined by `_`; null stays null."""
-    df = phrase_hits(df.withColumn("_words", words), key, F.col("_words"), lexicon, "_hits", max_rows)
-    long_hits = F.filter("_hits", lambda h: h["n"] > 1)
-    return (
-        df.withColumn("_matches", greedy_matches(long_hits))
-        .withColumn(out, join_matches("_words", "_matches"))
-        .drop("_words", "_hits", "_matches")
-    )
+    df = phrase_matches(df.withColumn("_words", words), key, "_words", lexicon, "_matches", max_rows, 2)
+    return df.withColumn(out, join_matches("_words", "_matches")).drop("_words", "_matches")
 
 
 def remove_stopwords(
@@ -182,20 +214,17 @@ def remove_stopwords(
     if listed is not None and not any(" " in r.words for r in listed):
         known = sorted({r.words for r in listed})
         return df.withColumn(out, F.filter(words, lambda w: ~w.isin(known)))
-    df = phrase_hits(df.withColumn("_words", words), key, F.col("_words"), stopwords, "_hits", max_rows)
-    df = df.withColumn("_matches", greedy_matches(F.col("_hits")))
-    return df.withColumn(out, drop_matches("_words", "_matches")).drop("_words", "_hits", "_matches")
+    df = phrase_matches(df.withColumn("_words", words), key, "_words", stopwords, "_matches", max_rows)
+    return df.withColumn(out, drop_matches("_words", "_matches")).drop("_words", "_matches")
 
 
 def location_mentions(
     df: DataFrame, key: str, words: Column, places: DataFrame, out: str = "places", max_rows: int = MAX_SET_ROWS
 ) -> DataFrame:
     """Add `out`: array<struct<kind, words>> of distinct gazetteer names in the text."""
-    df = phrase_hits(df, key, words, places, "_hits", max_rows)
-    names = F.transform(
-        greedy_matches(F.col("_hits")), lambda h: F.struct(h["kind"].alias("kind"), h["words"].alias("words"))
-    )
-    return df.withColumn(out, F.sort_array(F.array_distinct(names))).drop("_hits")
+    df = phrase_matches(df.withColumn("_words", words), key, "_words", places, "_matches", max_rows)
+    names = F.transform("_matches", lambda h: F.struct(h["kind"].alias("kind"), h["words"].alias("words")))
+    return df.withColumn(out, F.sort_array(F.array_distinct(names))).drop("_words", "_matches")
 
 
 def count_kind(places: Column, *kinds: str) -> Column:
@@ -217,6 +246,8 @@ def topic_overlap(
     only; any other term counts if the body holds the term itself.  Terms of several words
     are found as phrases in title and body.
     """
+    # A term without a related one is its own; rows without a term say nothing.
+    topics = topics.where(F.col("term").isNotNull()).select("term", F.coalesce("related_term", "term").alias("related_term"))
     names = topics.select(F.explode(F.array("term", "related_term")).alias("words")).where(F.contains("words", F.lit(" ")))
     spelled = {c: F.replace(c, F.lit(" "), F.lit("_")).alias(c) for c in ("term", "related_term")}
     df = df.withColumns({"_t": F.col(title_words), "_b": F.col(body_words)})
