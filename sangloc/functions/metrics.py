@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,29 +36,41 @@ def too_short(c: Column, words: Column | None = None) -> Column:
     return (F.size(words) < MIN_WORDS) | (F.length(c) < MIN_CHARS)
 
 
+def _let(value: Column, result: Callable[[Column], Column]) -> Column:
+    """`result` of a value that is evaluated once, also where it is read inside lambdas or branches."""
+    return F.transform(F.array(value), result)[0]
+
+
 def readability(c: Column) -> Column:
     """Struct of words per sentence, characters per word, long-word share and score."""
-    words = tokens(F.regexp_replace(c, r"[.!?\n]+", " "))
-    n_words = F.size(words)
-    wps = F.try_divide(n_words.cast("double"), F.size(sentences(c)))
-    cpw = F.try_divide(F.length(F.array_join(words, "")).cast("double"), n_words)
-    poly = F.try_divide(F.size(F.filter(words, lambda w: F.length(w) >= 5)).cast("double"), n_words)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - wps * 1.5 - cpw * 3 - poly * 20))
 
-    def out(x: Column) -> Column:
-        return F.when(n_words > 0, _round2(x)).otherwise(F.lit(0.0))
+    def measured(m: Column) -> Column:
+        words = m["words"]
+        n_words = F.size(words)
+        wps = F.try_divide(n_words.cast("double"), m["n_sentences"])
+        cpw = F.try_divide(F.length(F.array_join(words, "")).cast("double"), n_words)
+        poly = F.try_divide(F.size(F.filter(words, lambda w: F.length(w) >= 5)).cast("double"), n_words)
+        return _let(F.struct(wps.alias("wps"), cpw.alias("cpw"), poly.alias("poly"), (n_words > 0).alias("filled")), rated)
+
+    def rated(m: Column) -> Column:
+        score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - m["wps"] * 1.5 - m["cpw"] * 3 - m["poly"] * 20))
+
+        def out(x: Column) -> Column:
+            return F.when(m["filled"], _round2(x)).otherwise(F.lit(0.0))
+
+        return F.struct(
+            out(m["wps"]).alias("words_per_sentence"),
+            out(m["cpw"]).alias("chars_per_word"),
+            out(m["poly"]).alias("long_word_ratio"),
+            out(score).alias("score"),
+        )
 
-    return F.struct(
-        out(wps).alias("words_per_sentence"),
-        out(cpw).alias("chars_per_word"),
-        out(poly).alias("long_word_ratio"),
-        out(score).alias("score"),
-    )
+    words = tokens(F.regexp_replace(c, r"[.!?\n]+", " "))
+    return _let(F.struct(words.alias("words"), F.size(sentences(c)).alias("n_sentences")), measured)
 
 
 def hard_to_read(c: Column) -> Column:
-    score = readability(c)["score"]
-    return (score < READABLE[0]) | (score > READABLE[1])
+    return _let(readability(c)["score"], lambda score: (score < READABLE[0]) | (score > READABLE[1]))
 
 
 def type_token_ratio(words: Column) -> Column:
@@ -69,91 +82,97 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
 
 
-def _uses(words: Column, term: Column) -> Column:
-    return F.size(F.filter(words, lambda x: x == term)).cast("bigint")
+def run_lengths(values: Column) -> Column:
+    """Sorted (term, n) of the distinct values of an array.
 
+    One sort, then runs of equal values by their places: no pass for each of them.
+    """
 
-def _shared_counts(a: Column, b: Column) -> Column:
-    """(in_a, in_b) for every term that two token arrays share."""
-    return F.transform(
-        F.array_intersect(a, b), lambda t: F.struct(_uses(a, t).alias("in_a"), _uses(b, t).alias("in_b"))
-    )
+    def runs(ordered: Column) -> Column:
+        placed = F.transform(ordered, lambda w, i: F.struct(w.alias("term"), i.alias("at")))
+        firsts = F.filter(placed, lambda t: (t["at"] == 0) | (F.get(ordered, t["at"] - 1) != t["term"]))
+        return _let(firsts, lambda f: counted(f, F.size(ordered)))
 
+    def counted(firsts: Column, size: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(firsts, i + 1)["at"], size)
+            return F.struct(t["term"].alias("term"), (end - t["at"]).cast("bigint").alias("n"))
 
-def _square_sum(words: Column) -> Column:
-    """Sum of squared term counts.
+        return F.transform(firsts, one)
 
-    Equal to the number of tokens if none repeats; otherwise one pass over the sorted
-    tokens, where a squared count grows by the odd numbers 2n+1.
-    """
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(F.lit(None).cast("string").alias("term"), zero.alias("n"), zero.alias("total"))
+    return _let(F.sort_array(values), runs)
+
+
+def term_vector(words: Column) -> Column:
+    """The sparse vector of a token array: struct of `terms`, sorted (term, n), and `norm`, the sum of n * n."""
+
+    def with_norm(terms: Column) -> Column:
+        return F.struct(terms.alias("terms"), _sum(F.transform(terms, lambda t: t["n"] * t["n"])).alias("norm"))
+
+    return _let(run_lengths(words), with_norm)
 
-    def step(acc: Column, x: Column) -> Column:
-        n = F.when(acc.term.eqNullSafe(x), acc.n).otherwise(zero)
-        return F.struct(x.alias("term"), (n + 1).alias("n"), (acc.total + 2 * n + 1).alias("total"))
 
-    size = F.size(words).cast("bigint")
-    return F.when(F.size(F.array_distinct(words)) == F.size(words), size).otherwise(
-        F.aggregate(F.sort_array(words), start, step, lambda acc: acc.total)
-    )
+def _shared_counts(a: Column, b: Column) -> Column:
+    """(in_a, in_b) for every term that two sparse vectors share: in the merged order such a term comes twice in a row."""
+
+    def pairs(merged: Column) -> Column:
+        def pair(t: Column, i: Column) -> Column:
+            after = F.get(merged, i + 1)
+            return F.struct((after["term"] == t["term"]).alias("is_shared"), t["n"].alias("in_a"), after["n"].alias("in_b"))
+
+        return F.filter(F.transform(merged, pair), lambda p: p["is_shared"])
+
+    def side(v: Column, number: int) -> Column:
+        return F.transform(v["terms"], lambda t: F.struct(t["term"].alias("term"), F.lit(number).alias("side"), t["n"].alias("n")))
+
+    return _let(F.sort_array(F.concat(side(a, 0), side(b, 1))), pairs)
 
 
 def _cosine(dot: Column, aa: Column, bb: Column) -> Column:
     return F.try_divide(dot.cast("double"), F.sqrt(aa.cast("double") * bb.cast("double")))
 
 
-def term_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the term-count vectors of two token arrays; null if one is empty.
-
-    Like the other pair functions it reads `a` and `b` inside lambdas: pass plain columns.
-    """
+def vector_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two sparse vectors; null if one is empty."""
     dot = _sum(F.transform(_shared_counts(a, b), lambda c: c["in_a"] * c["in_b"]))
-    return _cosine(dot, _square_sum(a), _square_sum(b))
+    return _cosine(dot, a["norm"], b["norm"])
+
+
+def term_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the term-count vectors of two token arrays; null if one is empty."""
+    return _let(F.struct(term_vector(a).alias("a"), term_vector(b).alias("b")), lambda v: vector_cosine(v["a"], v["b"]))
 
 
 def pair_tfidf_cosine(a: Column, b: Column) -> Column:
     """TF-IDF cosine with the idf fitted on just these two token arrays."""
     lone = F.lit(LONE_IDF * LONE_IDF)
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("ab"), zero.alias("aa"), zero.alias("bb"))
-    shared = F.aggregate(
-        _shared_counts(a, b),
-        start,
-        lambda acc, c: F.struct(
-            (acc.ab + c["in_a"] * c["in_b"]).alias("ab"),
-            (acc.aa + c["in_a"] * c["in_a"]).alias("aa"),
-            (acc.bb + c["in_b"] * c["in_b"]).alias("bb"),
-        ),
-    )
 
-    def norm(words: Column, part: str) -> Column:
-        return lone * (_square_sum(words) - shared[part]) + shared[part]
+    def cosine(v: Column) -> Column:
+        return _let(_shared_counts(v["a"], v["b"]), lambda shared: weighted(v, shared))
+
+    def weighted(v: Column, shared: Column) -> Column:
+        def square(part: str) -> Column:
+            return _sum(F.transform(shared, lambda c: c[part] * c[part]))
 
-    return _cosine(shared["ab"], norm(a, "aa"), norm(b, "bb"))
+        def norm(side: str, part: str) -> Column:
+            return lone * (v[side]["norm"] - square(part)) + square(part)
+
+        return _cosine(_sum(F.transform(shared, lambda c: c["in_a"] * c["in_b"])), norm("a", "in_a"), norm("b", "in_b"))
+
+    return _let(F.struct(term_vector(a).alias("a"), term_vector(b).alias("b")), cosine)
 
 
 def adjacent_coherence(c: Column) -> Column:
     """Mean term cosine of neighbouring sentences; 0 with fewer than two sentences."""
-    parts = F.transform(
-        F.transform(sentences(F.lower(c)), tokens), lambda w: F.struct(w.alias("w"), _square_sum(w).alias("norm"))
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        shared = _shared_counts(acc.last.w, x.w)
-        dot = _sum(F.transform(shared, lambda s: s["in_a"] * s["in_b"]))
-        cosine = F.coalesce(_cosine(dot, acc.last.norm, x.norm), F.lit(0.0))
-        return F.struct(
-            F.when(acc.n == 0, F.lit(0.0)).otherwise(acc.total + cosine).alias("total"),
-            (acc.n + 1).alias("n"),
-            x.alias("last"),
+
+    def mean(parts: Column) -> Column:
+        cosines = F.transform(
+            parts, lambda x, i: F.when(i > 0, F.coalesce(vector_cosine(F.get(parts, i - 1), x), F.lit(0.0))).otherwise(F.lit(0.0))
         )
+        total = F.aggregate(cosines, F.lit(0.0), lambda acc, x: acc + x)
+        return F.when(F.size(parts) < 2, F.lit(0.0)).otherwise(F.try_divide(total, F.size(parts) - 1))
 
-    nothing = F.struct(F.array().cast("array<string>").alias("w"), F.lit(0).cast("bigint").alias("norm"))
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"), nothing.alias("last"))
-    return F.aggregate(
-        parts, start, step, lambda acc: F.when(acc.n < 2, F.lit(0.0)).otherwise(F.try_divide(acc.total, acc.n - 1))
-    )
+    return _let(F.transform(sentences(F.lower(c)), lambda s: term_vector(tokens(s))), mean)
 
 
 def vector_dot(a: Column, b: Column) -> Column:

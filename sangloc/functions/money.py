@@ -2,7 +2,8 @@
 
 `amounts` turns one text into an array of ``(kind, unit, low, high)`` structs.  Two
 alternations (range, single) stand for the many listed spellings; ranges are blanked
-before singles are looked for, so an amount is never counted twice.
+before singles are looked for, so an amount is never counted twice.  The unit behind a range holds for both of its ends
+(`25-30k/h`, `7-10tr`), unless the first has one of its own.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ MONEY_WORDS = ("tr", "triệu", "triệu/tháng", "tr/tháng", "tr/", "triệu/"
 # Number and unit shapes (grouped dong, short number, million or dollar unit).
 GROUPED = r"[0-9]{1,3}(?:[.,][0-9]{3}){2}"
 SHORT = r"[0-9]{1,2}[.,][0-9]{1,3}|[0-9]{1,5}"
-UNIT = r"triệu|trieu|tr|m|usd"
+UNIT = r"triệu|trieu|tr|m|usd|k/giờ|k/h|k/ngày"
 DONG = r"(?:vnđ|vnd|đ|d)?"
 TO = r"(?:-|đến)(?:vnd)?"
 
 RANGE = (
     rf"({GROUPED}){DONG}{TO}({GROUPED}){DONG}"
-    rf"|({SHORT})({UNIT})?{TO}({SHORT})({UNIT})"
+    rf"|({SHORT})({UNIT}|k)?{TO}({SHORT})({UNIT})"
     rf"|({SHORT})({UNIT}){TO}({SHORT})"
 )
 SINGLE = rf"({GROUPED})|({SHORT})(triệu|trieu|tr|m|usd|k/giờ|k/h|k/ngày)([0-9]{{1,3}})?"
@@ -68,7 +69,7 @@ def _number(text: Column, unit: Column, fraction: Column | None = None) -> Colum
     millions = point.try_cast("decimal(18,3)") * F.lit(1_000_000)
     value = (
         F.when(unit.isin("triệu", "trieu", "tr", "m"), millions)
-        .when(unit.startswith("k/"), whole * F.lit(1_000))
+        .when(unit.startswith("k"), whole * F.lit(1_000))
         .otherwise(whole)
     )
     return value.try_cast("decimal(18,2)")

@@ -114,19 +114,21 @@ def parse_rewrite(df: DataFrame, keys: list[str], text: str = "text") -> DataFra
     return inline_rows(df, list(keys), F.when(last > 0, rows).otherwise(none), "pos")
 
 
-def rewritten_fields(parsed: DataFrame, key: str) -> DataFrame:
+def rewritten_fields(parsed: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """One row per posting with the new field values.
 
     Headings match without regard to case but must start with a capital.  The short
-    spelling of a heading (`Mô tả`) wins over the long one (`Mô tả công việc`).
+    spelling of a heading (`Mô tả`) wins over the long one (`Mô tả công việc`).  Where a posting has several answers,
+    numbered by `order`, a field comes from the latest one that has it.
     """
+    latest = F.lit(0) if order is None else F.col(order)
     heading = F.regexp_replace(F.lower("heading"), r"\s+", " ")
     pairs = [x for name, field in FIELD_OF_HEADING.items() for x in (F.lit(name), F.lit(field))]
     usable = parsed.where(F.col("error").isNull() & F.col("heading").rlike(r"^\p{Lu}") & (F.col("content") != ""))
     ranked = usable.select(
         key,
         F.try_element_at(F.create_map(*pairs), heading).alias("field"),
-        F.struct((-F.length(heading)).alias("short"), (-F.col("pos")).alias("early"), F.col("content")).alias("best"),
+        F.struct(latest.alias("latest"), (-F.length(heading)).alias("short"), (-F.col("pos")).alias("early"), F.col("content")).alias("best"),
     )
     return (
         ranked.groupBy(key)
@@ -135,9 +137,12 @@ def rewritten_fields(parsed: DataFrame, key: str) -> DataFrame:
     )
 
 
-def merge_rewrite(df: DataFrame, parsed: DataFrame, key: str = "post_id") -> DataFrame:
-    """Put rewritten sections back, wrapped as HTML; a missing or empty one keeps the original."""
+def merge_rewrite(df: DataFrame, parsed: DataFrame, key: str = "post_id", order: str | None = None) -> DataFrame:
+    """Put rewritten sections back, wrapped as HTML; a missing or empty one keeps the original.
+
+    `order` names the column that numbers a posting's answers, if it may have several.
+    """
     fields = list(HEADINGS)
-    new = rewritten_fields(parsed, key).select(key, *[wrap_html(F.col(f)).alias(f"_{f}") for f in fields])
+    new = rewritten_fields(parsed, key, order).select(key, *[wrap_html(F.col(f)).alias(f"_{f}") for f in fields])
     merged = df.join(new, key, "left")
     return merged.withColumns({f: F.coalesce(F.col(f"_{f}"), F.col(f)) for f in fields}).drop(*[f"_{f}" for f in fields])

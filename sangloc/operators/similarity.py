@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sangloc.functions.metrics import PAIR_STOPWORDS, pair_tfidf_cosine, term_cosine
+from sangloc.functions.metrics import PAIR_STOPWORDS, embedding_cosine, pair_tfidf_cosine, term_cosine
 from sangloc.functions.text import word_terms
 from sangloc.operators.generate import explode_rows, inline_rows
 from sangloc.operators.joins import dim_join, skew_join
+from sangloc.sources.sinks import removed, staged
 
 # BM25 constants and mixing weights.
 K1 = 1.5
@@ -28,23 +29,29 @@ def with_tfidf(df: DataFrame, title: Column, body: Column, out: str = "tfidf") -
 
 
 def with_match_score(
-    df: DataFrame, title: Column, body: Column, title_words: str, body_words: str, out: str = "match_score"
+    df: DataFrame,
+    title: Column,
+    body: Column,
+    title_words: str,
+    body_words: str,
+    out: str = "match_score",
+    vectors: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Add 0.75 vector cosine + 0.25 TF-IDF; the default vector is the term counts of the text."""
+    """Add 0.75 vector cosine + 0.25 TF-IDF.
+
+    `vectors` names the columns of a title and a body vector, arrays of numbers; without them the vectors are the term
+    counts of the texts.  A null vector, or one without a length, counts as a cosine of 0.
+    """
     df = with_tfidf(df, title, body, "_tfidf")
-    score = final_score(term_cosine(F.col(title_words), F.col(body_words)), F.col("_tfidf"))
+    cosine = embedding_cosine(*map(F.col, vectors)) if vectors else term_cosine(F.col(title_words), F.col(body_words))
+    score = final_score(cosine, F.col("_tfidf"))
     return df.withColumn(out, score).drop("_tfidf")
 
 
-def _bm25_parts(docs: DataFrame, words: str) -> tuple[DataFrame, Column, Column]:
-    """Document frequency table, number of documents and mean length."""
-    df_table = (
-        explode_rows(docs, [], F.array_distinct(words), "term")
-        .groupBy("term")
-        .agg(F.count("*").alias("n_docs"))
-    )
+def _corpus_size(docs: DataFrame, words: str) -> tuple[Column, Column]:
+    """Number of documents and their mean length."""
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(words)).alias("len"))
-    return df_table, stats.select("n").scalar(), stats.select("len").scalar()
+    return stats.select("n").scalar(), stats.select("len").scalar()
 
 
 def _term_score(tf: Column, length: Column, n_docs: Column, n: Column, mean_len: Column) -> Column:
@@ -58,7 +65,10 @@ def bm25_score(df: DataFrame, key: str, title_words: str, body_words: str) -> Da
     Title and body share a row, so term frequencies are counted there and only the few
     title terms travel to the document-frequency table.
     """
-    df_table, n, mean_len = _bm25_parts(df, body_words)
+    held = explode_rows(df, [], F.array_distinct(body_words), "term").groupBy("term").agg(F.count("*").alias("n_docs"))
+    # written once: the join below reads it several times
+    df_table = staged(held, "document-frequencies")
+    n, mean_len = _corpus_size(df, body_words)
     counted = F.transform(
         F.array_intersect(title_words, body_words),
         lambda t: F.struct(
@@ -84,34 +94,81 @@ def hybrid_score(bm25: Column, cosine: Column, alpha: float = HYBRID_ALPHA) -> C
     return alpha * bm25 + (1 - alpha) * F.coalesce(cosine, F.lit(0.0))
 
 
+#: Postings of a term that the first pass reads, as a multiple of k, and rows of a slice of a term's postings.
+FIRST_PASS = 4
+SLICE_ROWS = 100_000
+#: Scores are compared with this margin, so that rounding and ties at the k-th place change nothing.
+MARGIN = 1e-5
+
+
+def impacts(docs: DataFrame, doc_key: str, words: str, terms: DataFrame) -> DataFrame:
+    """(term, doc, impact, n_docs): BM25 score of every document for each of `terms` that it holds."""
+    n, mean_len = _corpus_size(docs, words)
+    uses = explode_rows(docs, [doc_key, F.size(words).alias("len")], words, "term")
+    counted = dim_join(uses, terms, "term", "left_semi").groupBy(doc_key, "term", "len").agg(F.count("*").alias("tf"))
+    counted = staged(counted, "term-counts")
+    held = counted.groupBy("term").agg(F.count("*").alias("n_docs"))
+    score = _term_score(F.col("tf"), F.col("len"), F.col("n_docs"), n, mean_len)
+    scored = dim_join(counted, held, "term", "inner", sized=terms).select("term", doc_key, score.alias("impact"), "n_docs")
+    out = staged(scored, "impacts")
+    removed(counted)
+    return out
+
+
+def _on_terms(postings: DataFrame, doc_key: str, asked: DataFrame) -> DataFrame:
+    """Postings that meet the queries asking for their term; a long list meets them slice by slice.
+
+    `asked` has the number of documents of its terms too.
+    """
+    slices = F.ceil(F.col("n_docs") / SLICE_ROWS)
+    dealt = postings.select("term", F.pmod(F.xxhash64(doc_key), slices).alias("_slice"), doc_key, "impact")
+    wanted = asked.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).drop("n_docs")
+    return dim_join(dealt, wanted, ["term", "_slice"], "inner")
+
+
 def bm25_top_k(
     docs: DataFrame, doc_key: str, words: str, queries: DataFrame, query_key: str, query_words: str, k: int = 5
 ) -> DataFrame:
-    """(query, doc, rank, bm25): the k best documents per query.
+    """(query, doc, rank, bm25): the k best documents per query, exactly, without scoring all pairs that share a term.
 
-    Document terms are reduced to the query vocabulary first, with counts per document,
-    then meet the queries on the term.  The top k is taken per (query, slice of documents)
-    before it is taken per query, so no task ranks more than a slice of one query.
+    1. The postings with the greatest impacts of each term give some documents a partial score; the k-th best is a
+       threshold that the k best documents reach.
+    2. Terms whose greatest impacts together stay below the threshold cannot bring a document up to it.  Only the
+       others, mostly the rare ones, form pairs, and pairs whose partial score and the rest's greatest impacts stay below it go.
+    3. What is left is scored in full.
+
+    The top k is taken per (query, slice of documents) before it is taken per query, so no task ranks more than a slice
+    of one query.
     """
-    df_table, n, mean_len = _bm25_parts(docs, words)
-    asked = (
-        explode_rows(queries, [query_key], query_words, "term")
-        .groupBy(query_key, "term")
-        .agg(F.count("*").alias("qtf"))
-    )
-    vocab = asked.select("term").distinct().join(df_table, "term")
-    counted = (
-        dim_join(explode_rows(docs, [doc_key, F.size(words).alias("len")], words, "term"), vocab, "term", "inner")
-        .groupBy(doc_key, "term", "len", "n_docs")
-        .agg(F.count("*").alias("tf"))
-    )
-    score = _term_score(F.col("tf"), F.col("len"), F.col("n_docs"), n, mean_len)
+    asked = explode_rows(queries, [query_key], query_words, "term").groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
+    asked = staged(asked, "asked")
+    postings = impacts(docs, doc_key, words, asked.select("term").distinct())
+    gain = (F.col("qtf") * F.col("impact")).alias("gain")
+    lists = postings.groupBy("term").agg(F.first("n_docs").alias("n_docs"), F.max("impact").alias("impact"))
+    lists = staged(asked.join(lists, "term"), "asked-lists")
+
+    first = top_k(postings, "term", doc_key, "impact", FIRST_PASS * k).drop("rank")
+    partial = _on_terms(first, doc_key, lists.drop("impact")).groupBy(query_key, doc_key).agg(F.sum(gain).alias("partial"))
+    thresholds = top_k(partial, query_key, doc_key, "partial", k).groupBy(query_key)
+    thresholds = thresholds.agg(F.when(F.count("*") == k, F.min("partial")).otherwise(0.0).alias("threshold"))
+
+    bounds = lists.select(query_key, "term", "qtf", "n_docs", gain).join(thresholds, query_key)
+    up_to = Window.partitionBy(query_key).orderBy("gain", "term")
+    bounds = bounds.withColumn("needed", F.sum("gain").over(up_to) >= F.col("threshold") - MARGIN)
+    rest = F.sum(F.when(~F.col("needed"), F.col("gain")).otherwise(0.0)).over(Window.partitionBy(query_key))
+    bounds = staged(bounds.withColumn("rest", rest).where("needed").select(query_key, "term", "qtf", "n_docs", "threshold", "rest"), "bounds")
+
+    pairs = _on_terms(postings, doc_key, bounds).groupBy(query_key, doc_key, "threshold", "rest").agg(F.sum(gain).alias("partial"))
+    able = pairs.where(F.col("partial") + F.col("rest") >= F.col("threshold") - MARGIN).select(query_key, doc_key)
+    able = staged(able, "candidates")
+    # All that a candidate shares with its query.
+    held = postings.join(able.select(doc_key).distinct(), doc_key, "left_semi").select(doc_key, "term", "impact")
     scored = (
-        dim_join(counted.select(doc_key, "term", score.alias("s")), asked, "term", "inner")
-        .groupBy(query_key, doc_key)
-        .agg(F.round(F.sum(F.col("qtf") * F.col("s")), 6).alias("bm25"))
+        able.join(asked, query_key).join(held, [doc_key, "term"]).groupBy(query_key, doc_key).agg(F.round(F.sum(gain), 6).alias("bm25"))
     )
-    return top_k(scored, query_key, doc_key, "bm25", k)
+    out = staged(top_k(scored, query_key, doc_key, "bm25", k), "best")
+    removed(asked, postings, lists, bounds, able)
+    return out
 
 
 def top_k(df: DataFrame, group: str, key: str, value: str, k: int, slices: int = 64) -> DataFrame:
