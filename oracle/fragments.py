@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from sangloc.sources.views import ANSWER_TEXT, BUSY_BENEFITS, BUSY_TITLE, POSTING_COLUMNS, SUPPLIER_ADDRESSES
+from sangloc.sources.views import (
+    ANSWER_TEXT,
+    BUSY_BENEFITS,
+    BUSY_TITLE,
+    INDEX_DISTRICT,
+    INDEX_PROVINCE,
+    POSTING_COLUMNS,
+    SUPPLIER_ADDRESSES,
+)
 
 SPACE = r"[\s\p{Z}]"
 SPECIALS = "!#$%^*?&{}|_+=@[]:;<>/()"
@@ -126,10 +134,10 @@ def place_suffix(addr: str, province: str, district: str) -> str:
 
 GROUPED = "[0-9]{1,3}(?:[.,][0-9]{3}){2}"
 SHORT = "[0-9]{1,2}[.,][0-9]{1,3}|[0-9]{1,5}"
-UNIT = "triệu|trieu|tr|m|usd"
+UNIT = "triệu|trieu|tr|m|usd|k/giờ|k/h|k/ngày"
 RANGE = (
     f"({GROUPED})(?:vnđ|vnd|đ|d)?(?:-|đến)(?:vnd)?({GROUPED})(?:vnđ|vnd|đ|d)?"
-    f"|({SHORT})({UNIT})?(?:-|đến)(?:vnd)?({SHORT})({UNIT})|({SHORT})({UNIT})(?:-|đến)(?:vnd)?({SHORT})"
+    f"|({SHORT})({UNIT}|k)?(?:-|đến)(?:vnd)?({SHORT})({UNIT})|({SHORT})({UNIT})(?:-|đến)(?:vnd)?({SHORT})"
 )
 SINGLE = f"({GROUPED})|({SHORT})(triệu|trieu|tr|m|usd|k/giờ|k/h|k/ngày)([0-9]{{1,3}})?"
 
@@ -155,7 +163,7 @@ def _amount(text: str, unit: str) -> str:
     return (
         f"CAST(CASE WHEN {unit} IN ('triệu', 'trieu', 'tr', 'm') "
         f"THEN TRY_CAST(replace({text}, ',', '.') AS DECIMAL(18,3)) * 1000000 "
-        f"WHEN {unit} LIKE 'k/%' THEN TRY_CAST({plain} AS DECIMAL(18,3)) * 1000 "
+        f"WHEN {unit} LIKE 'k%' THEN TRY_CAST({plain} AS DECIMAL(18,3)) * 1000 "
         f"ELSE TRY_CAST({plain} AS DECIMAL(18,3)) END AS DECIMAL(18,2))"
     )
 
@@ -206,6 +214,7 @@ BUSY = (
     f"p AS (SELECT * REPLACE ({BUSY_TITLE} AS title, {BUSY_BENEFITS} AS benefits) FROM ({_BASE})), "
     f"t AS (SELECT *, {', '.join(f'{html(s)} AS {s}_text' for s in SECTIONS)} FROM p)"
 )
+BUSY_INDEX = BUSY.removesuffix(" FROM p)") + f", {INDEX_PROVINCE} AS place_province, {INDEX_DISTRICT} AS place_district FROM p)"
 SUPPLIER = "a AS (" + SUPPLIER_ADDRESSES.format(s="supplier", n="nation", r="region") + ")"
 ANSWERS = f"answers AS (SELECT conv_id, turn, {ANSWER_TEXT} FROM conversations)"
 

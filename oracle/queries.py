@@ -10,7 +10,6 @@ from sangloc.operators.verdict import RULES_OF_LABEL, STATUS_TEXT
 
 ORACLE: dict[str, str] = {}
 
-MAX_PERPLEXITY = 20000.0
 SECTIONS = f.SECTIONS
 
 
@@ -105,7 +104,7 @@ def mentions(text: str, source: str = "t", prefix: str = "g", lexicon: str = "pl
 
 ORACLE["location_mentions"] = f"""
 WITH RECURSIVE {f.BUSY}, {f.PLACES},
-{mentions("concat_ws(' ', title, description, benefits_text, address)")}
+{mentions("concat_ws(' ', title, description, requirements, benefits_text, address)")}
 SELECT DISTINCT id AS post_id, kind, words FROM g_walk"""
 
 TOPIC_HITS = f"""
@@ -254,11 +253,10 @@ da AS (SELECT *, regexp_replace({SPELLED}, ',việt nam$', '') AS x, {f.unit_cod
 declared_p AS (SELECT post_id, a.province AS dp FROM t LEFT JOIN aliases a ON a.alias = lower(trim(t.province))),
 db AS (SELECT da.*, dp, l.province AS ap FROM da JOIN declared_p USING (post_id) JOIN located l ON l.id = da.post_id),
 {districts_in('db', 'post_id', 'x', 'address', 'dp')},
-others AS (SELECT db.post_id, count(h.name) AS n_other FROM db LEFT JOIN district_hit h ON h.id = db.post_id AND h.name <> db.own GROUP BY ALL),
-dc AS (SELECT db.*, n_other, contains(own, ',') AS many, own = '' OR province = '' AS missing,
+others AS (SELECT db.post_id, count(h.name) AS n_other, arg_max(h.name, list_position(string_split(x, ','), h.name)) AS last_named FROM db LEFT JOIN district_hit h ON h.id = db.post_id AND h.name <> db.own GROUP BY ALL),
+dc AS (SELECT db.*, n_other, last_named, contains(own, ',') AS many, own = '' OR province = '' AS missing,
     CASE WHEN contains(x, ',') THEN list_contains(string_split(x, ','), own) OR list_contains(string_split(x, ','), substr(own, 3))
-      ELSE contains(x, own) OR contains(x, substr(own, 3)) END AS present,
-    CASE WHEN contains(x, ',') THEN string_split(x, ',')[-2] END AS before_last FROM db JOIN others USING (post_id)),
+      ELSE contains(x, own) OR contains(x, substr(own, 3)) END AS present FROM db JOIN others USING (post_id)),
 dd AS (SELECT *, NOT missing AND ap IS NOT NULL AND coalesce(ap = dp, false) AND NOT present AS absent,
     NOT missing AND ap IS NOT NULL AND NOT coalesce(ap = dp, false) AS elsewhere, NOT missing AND ap IS NULL AND dp IS NULL AS unk,
     CASE WHEN NOT missing AND ap IS NULL THEN n_other ELSE 0 END AS other FROM dc)"""
@@ -268,8 +266,26 @@ RULE["district_province"] = (
     f"concat_ws(chr(10), CASE WHEN many THEN '{place_rules.MSG_MANY_DISTRICTS}' END, CASE WHEN missing THEN '{place_rules.MSG_NO_PLACE}' END, "
     f"CASE WHEN absent THEN '{place_rules.MSG_DISTRICT_ABSENT}' END, CASE WHEN elsewhere THEN '{place_rules.MSG_OTHER_PROVINCE}' END, "
     f"CASE WHEN unk THEN '{place_rules.MSG_UNKNOWN_PROVINCE}' END, CASE WHEN other > 0 THEN '{place_rules.MSG_OTHER_DISTRICT}' END)",
-    ", coalesce(CASE WHEN absent OR other > 0 THEN before_last END, district) AS district_fixed",
+    ", coalesce(CASE WHEN (absent OR other > 0) AND contains(x, ',') THEN 'Quận ' || substr(last_named, 3) END, district) AS district_fixed",
 )
+# The index profile: places from the posting's own fields, which may list several provinces
+OWN_PROVINCE, OWN_DISTRICT = "coalesce(place_province, province, '')", "coalesce(place_district, district, '')"
+DISTRICT_INDEX = f"""
+da AS (SELECT *, regexp_replace({SPELLED}, ',việt nam$', '') AS x, {f.unit_code(OWN_DISTRICT)} AS own,
+    list_filter(list_transform(string_split(lower({OWN_PROVINCE}), ','), lambda n: trim(n)), lambda n: n <> '') AS names FROM t),
+{in_address('da', 'post_id', 'x')},
+declared_p AS (SELECT DISTINCT post_id, a.province AS dp FROM (SELECT post_id, unnest(names) AS name FROM da) JOIN aliases a ON a.alias = name),
+{districts_in('da JOIN declared_p USING (post_id)', 'post_id', 'x', 'address', 'dp')},
+others AS (SELECT da.post_id, count(h.name) AS n_other FROM da LEFT JOIN district_hit h ON h.id = da.post_id AND h.name <> da.own GROUP BY ALL),
+dc AS (SELECT da.*, n_other, l.province AS ap, (SELECT list(dp) FROM declared_p p WHERE p.post_id = da.post_id) AS dps,
+    contains(own, ',') AS many, own = '' OR len(names) = 0 AS missing,
+    CASE WHEN contains(x, ',') THEN list_contains(string_split(x, ','), own) OR list_contains(string_split(x, ','), substr(own, 3))
+      ELSE contains(x, own) OR contains(x, substr(own, 3)) END AS present
+    FROM da JOIN others USING (post_id) JOIN located l ON l.id = da.post_id),
+dd AS (SELECT *, NOT missing AND ap IS NOT NULL AND coalesce(list_contains(dps, ap), false) AND NOT present AS absent,
+    NOT missing AND ap IS NOT NULL AND NOT coalesce(list_contains(dps, ap), false) AS elsewhere, NOT missing AND ap IS NULL AND dps IS NULL AS unk,
+    CASE WHEN NOT missing AND ap IS NULL THEN n_other ELSE 0 END AS other FROM dc)"""
+RULE["district_province_index"] = ((f.ALIASES, DISTRICT_INDEX), *RULE["district_province"][1:4], "")
 COMPANY = "lower(company)"
 
 
@@ -341,7 +357,7 @@ RULE["title_index"] = (
      "h_names AS (SELECT id, count(DISTINCT words) AS n FROM h_walk GROUP BY id)"),
     "t LEFT JOIN h_names hn ON hn.id = t.post_id",
     f"CAST({hits('title', PHONES)} + CAST(regexp_matches(title, {q(r'[!@#$%^&*()?' + chr(34) + r':;{}|<>_=/+]')}) AS INTEGER) "
-    f"+ CAST(contains(lower(title), 'chi nhánh') AS INTEGER) + coalesce(n, 0) + {hits('title', [PAY[0], '[0-9]{1,2} ?(triệu|tr)'])} AS INTEGER)",
+    f"+ CAST(contains(lower(title), 'chi nhánh') AS INTEGER) + coalesce(n, 0) + {hits('title', [PAY[0], '[0-9]{1,2} ?(triệu|tr|m($|[ ,.;!/)]))'])} AS INTEGER)",
     q(title_rules.MSG_TITLE_INDEX), "",
 )
 LEFT = " + ".join(f"length({s}_fixed)" for s in SECTIONS)
@@ -397,7 +413,8 @@ def rule_select(name: str) -> str:
 
 
 for _name in RULE:
-    ORACLE[f"rule_{_name}"] = f"WITH RECURSIVE {', '.join((f.BUSY, *RULE[_name][0]))} {rule_select(_name)}"
+    _posts = f.BUSY_INDEX if _name == "district_province_index" else f.BUSY
+    ORACLE[f"rule_{_name}"] = f"WITH RECURSIVE {', '.join((_posts, *RULE[_name][0]))} {rule_select(_name)}"
 
 SIM = f"{f.BUSY}, {cosines('t', 'title', 'description', 'm', False)}"
 ORACLE["pair_tfidf_cosine"] = f"WITH {SIM} SELECT post_id, round(tfidf, 6) AS tfidf FROM t LEFT JOIN m_tfidf ON id = post_id"
@@ -443,6 +460,26 @@ def vec_cos(a: str, b: str) -> str:
 
 ORACLE["embedding_cosine"] = f"""
 SELECT x.vec_id, round({vec_cos('x.embedding', 'y.embedding')}, 6) AS cosine FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1"""
+VECTORED = f"""scored AS (SELECT t.post_id, 0.75 * coalesce({vec_cos('x.embedding', 'y.embedding')}, 0) + 0.25 * coalesce(tfidf, 0) AS score
+    FROM t LEFT JOIN m_tfidf m ON m.id = t.post_id LEFT JOIN embeddings x ON x.vec_id = t.post_id
+    LEFT JOIN embeddings y ON y.vec_id = t.post_id + 1)"""
+ORACLE["final_score_vectors"] = f"WITH {SIM}, {VECTORED} SELECT post_id, round(score, 6) AS score FROM scored"
+ORACLE["rule_title_body_mismatch_vectors"] = f"""
+WITH {f.BUSY}, {f.STOP}, {cosines('t', 'title', 'description_text', 'm', True)}, {VECTORED}
+SELECT post_id, CAST(score < 0.3 AS INTEGER) AS violations FROM scored"""
+
+
+def hashed(side: str, text: str) -> str:
+    return f"""h{side} AS (SELECT id, ('0x' || substr(md5(w), 1, 7))::BIGINT % 256 AS place,
+        sum(CASE WHEN ('0x' || substr(md5(w), 8, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS x
+        FROM (SELECT post_id AS id, unnest({f.tokens(f.standardize(text))}) AS w FROM t) GROUP BY ALL)"""
+
+
+ORACLE["hashed_cosine"] = f"""
+WITH {f.BUSY}, {hashed('a', 'title')}, {hashed('b', 'description')},
+norms AS (SELECT post_id AS id, (SELECT sum(x * x) FROM ha WHERE ha.id = post_id) AS aa, (SELECT sum(x * x) FROM hb WHERE hb.id = post_id) AS bb FROM t),
+dots AS (SELECT ha.id, sum(ha.x * hb.x) AS ab FROM ha JOIN hb USING (id, place) GROUP BY ha.id)
+SELECT n.id AS post_id, round(coalesce(ab, 0) / nullif(sqrt(aa) * sqrt(bb), 0), 6) AS cosine FROM norms n LEFT JOIN dots USING (id)"""
 ORACLE["adjacent_coherence_vectors"] = f"""
 SELECT label, count(c) AS n_pairs, round(avg(c), 6) AS coherence FROM (
   SELECT label, {vec_cos('p', 'embedding')} AS c FROM (
@@ -512,20 +549,46 @@ def coherence(source: str, key: str) -> str:
 ORACLE["adjacent_coherence"] = f"WITH {coherence('documents', 'doc_id')} SELECT doc_id, round(coherence, 6) AS coherence FROM coh"
 
 
+# The smallest bucket of perplexities, which grow by 1 %, that holds 95 of 100 texts with those below it
+CUT = """
+    bucketed AS (SELECT {key}, least(floor(ln(perplexity) / ln(1.01)), 8192) AS bucket FROM ppl),
+    sketch AS (SELECT bucket, count(*) AS n FROM bucketed GROUP BY bucket),
+    summed AS (SELECT bucket, sum(n) OVER (ORDER BY bucket) AS seen, sum(n) OVER () AS total FROM sketch),
+    cut AS (SELECT min(bucket) AS cut FROM summed WHERE 100 * seen >= 95 * total)"""
+
+
 def poor(source: str, key: str) -> str:
     """CTE `poor(key, is_poor)` over source(key, text)."""
     return f"""
-    {read_parts(source, key)}, {corpus(source, key)}, {coherence(source, key)},
+    {read_parts(source, key)}, {corpus(source, key)}, {coherence(source, key)}, {CUT.format(key=key)},
     poor AS (SELECT o.{key}, len({f.tokens('text')}) < 30 OR length(text) < 200
         OR CAST(score < 30 OR score > 80 AS INTEGER) + CAST(coalesce(coherence < 0.2, false) AS INTEGER)
          + CAST(coalesce(len(list_distinct({LOWER}))::DOUBLE / nullif(len({LOWER}), 0) < 0.3, false) AS INTEGER)
-         + CAST(coalesce(n_unknown / n_words > 0.05, false) AS INTEGER) + CAST(coalesce(perplexity > {MAX_PERPLEXITY}, false) AS INTEGER) >= 4 AS is_poor
-        FROM {source} o JOIN rd USING ({key}) JOIN coh USING ({key}) LEFT JOIN unk USING ({key}) LEFT JOIN ppl USING ({key}))"""
+         + CAST(coalesce(n_unknown / n_words > 0.05, false) AS INTEGER) + CAST(coalesce(bucket > cut, false) AS INTEGER) >= 4 AS is_poor
+        FROM {source} o JOIN rd USING ({key}) JOIN coh USING ({key}) LEFT JOIN unk USING ({key}) LEFT JOIN bucketed USING ({key}), cut)"""
 
 
 ORACLE["rule_poor_text"] = f"""
 WITH forms AS (SELECT doc_id, {f.poor_form('text')} AS text FROM documents), {poor('forms', 'doc_id')} SELECT doc_id, is_poor FROM poor"""
 
+ORACLE["threshold_curve"] = f"""
+WITH forms AS (SELECT doc_id, {f.poor_form('text')} AS text FROM documents),
+{read_parts('forms', 'doc_id')}, {corpus('forms', 'doc_id')}, {coherence('forms', 'doc_id')}, {CUT.format(key='doc_id')},
+voted AS (SELECT o.doc_id, CAST(len({f.tokens('text')}) < 30 OR length(text) < 200 AS INTEGER)
+    + CAST(score < 30 OR score > 80 AS INTEGER) + CAST(coalesce(coherence < 0.2, false) AS INTEGER)
+    + CAST(coalesce(len(list_distinct({LOWER}))::DOUBLE / nullif(len({LOWER}), 0) < 0.3, false) AS INTEGER)
+    + CAST(coalesce(n_unknown / n_words > 0.05, false) AS INTEGER) + CAST(coalesce(bucket > cut, false) AS INTEGER) AS bucket
+    FROM forms o JOIN rd USING (doc_id) JOIN coh USING (doc_id) LEFT JOIN unk USING (doc_id) LEFT JOIN bucketed USING (doc_id), cut),
+scores AS (SELECT 'votes' AS score, doc_id, bucket FROM voted
+    UNION ALL SELECT 'unknown_words', doc_id, floor(100 * n_unknown / n_words) FROM unk
+    UNION ALL SELECT 'perplexity', doc_id, bucket FROM bucketed),
+counted AS (SELECT score, bucket, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (quality = 1) AS good
+    FROM scores JOIN labels USING (doc_id) WHERE quality IN (0, 1) GROUP BY ALL),
+curve AS (SELECT score, CAST(bucket AS INTEGER) AS bucket, CAST(sum(bad) OVER w AS BIGINT) AS poor_and_bad, CAST(sum(good) OVER w AS BIGINT) AS poor_but_good,
+    sum(bad) OVER (PARTITION BY score) AS all_bad FROM counted WINDOW w AS (PARTITION BY score ORDER BY bucket DESC))
+SELECT score, bucket, poor_and_bad, poor_but_good, round(poor_and_bad / (poor_and_bad + poor_but_good), 6) AS precision,
+  round(poor_and_bad / nullif(all_bad, 0), 6) AS recall FROM curve"""
+
 # --- salary ------------------------------------------------------------------------------
 
 ORACLE["extract_salary"] = f"""
@@ -541,8 +604,8 @@ SELECT count(*) FILTER (poor AND NOT good) AS poor_and_bad, count(*) FILTER (poo
 
 # --- the whole moderation ------------------------------------------------------------------
 
-FIRST = [r for label in range(1, 9) for r in RULES_OF_LABEL[label]]
-TITLE_CHAIN = RULES_OF_LABEL[9]
+INDEX_LABELS = {**RULES_OF_LABEL, 5: ("salary_conflict",), 6: ("district_province_index",), 9: ("title_index",)}
+DETAIL_INDEX = DETAIL.replace(f.place_suffix("x", "province", "district"), f.place_suffix("x", OWN_PROVINCE, OWN_DISTRICT))
 
 
 def distinct_blocks(names: list[str]) -> list[str]:
@@ -556,20 +619,23 @@ def stage(name: str) -> str:
     return f"r_{name} AS ({rule_select(name)})"
 
 
-def label_sum(labels: list[int]) -> str:
+def label_sum(of_label: dict[int, tuple[str, ...]], labels: list[int]) -> str:
     return " + ".join(
-        (lambda s: f"least({s}, 1)" if label in (2, 12) else f"({s})")(" + ".join(f"{r}_n" for r in RULES_OF_LABEL[label]))
+        (lambda s: f"least({s}, 1)" if label in (2, 12) else f"({s})")(" + ".join(f"{r}_n" for r in of_label[label]))
         for label in labels
     )
 
 
-def moderation() -> str:
+def moderation(of_label: dict[int, tuple[str, ...]] = RULES_OF_LABEL) -> str:
     """CTEs up to `final`: one row per posting with `<rule>_n`, `<rule>_m` and repaired columns."""
-    ctes = [f.BUSY, *distinct_blocks(FIRST), *map(stage, FIRST)]
-    joined = " ".join(f"JOIN r_{r} USING (post_id)" for r in FIRST)
-    columns = ", ".join(f"r_{r}.violations AS {r}_n, r_{r}.message AS {r}_m" for r in FIRST)
-    ctes.append(f"stage1 AS (SELECT t.*, city_codes_fixed, district_fixed, {columns} FROM t {joined})")
-    broken = " + ".join(f"{r}_n" for label in (2, 3, 4, 5, 8) for r in RULES_OF_LABEL[label])
+    index = of_label is INDEX_LABELS
+    first, titles = [r for label in range(1, 9) for r in of_label[label]], of_label[9]
+    blocks = [DETAIL_INDEX if index and b == DETAIL else b for b in distinct_blocks(first)]
+    ctes = [f.BUSY_INDEX if index else f.BUSY, *blocks, *map(stage, first)]
+    joined = " ".join(f"JOIN r_{r} USING (post_id)" for r in first)
+    columns = ", ".join(f"r_{r}.violations AS {r}_n, r_{r}.message AS {r}_m" for r in first)
+    ctes.append(f"stage1 AS (SELECT t.*, city_codes_fixed{'' if index else ', district_fixed'}, {columns} FROM t {joined})")
+    broken = " + ".join(f"{r}_n" for label in (2, 3, 4, 5, 8) for r in of_label[label])
     ctes.append(f"judged AS (SELECT *, ({broken}) > 0 OR company = '' AS returned FROM stage1)")
     wide = "(tuyển dụng )?toàn quốc"
     ctes.append(
@@ -578,7 +644,10 @@ def moderation() -> str:
     )
     source = "t2"
     saved = dict(RULE)
-    for name in TITLE_CHAIN:
+    if index:
+        ctes += [b for b in RULE["title_index"][0] if b not in ctes]
+        ctes.append(f"r_title_index AS (SELECT * FROM ({rule_select('title_index')}) SEMI JOIN t2 USING (post_id))")
+    for name in () if index else titles:
         title_rule(name, "title", source)
         ctes += [b for b in RULE[name][0] if b not in ctes]
         ctes.append(stage(name))
@@ -599,7 +668,7 @@ def moderation() -> str:
     ctes.append(poor("forms", "k"))
     flags = ", ".join(f"bool_or(section = '{s}' AND is_poor) AS {s}_poor" for s in SECTIONS)
     ctes.append(f"poor_flags AS (SELECT post_id, {flags} FROM forms JOIN poor USING (k) GROUP BY post_id)")
-    title_cols = ", ".join(f"coalesce(r_{r}.violations, 0) AS {r}_n, coalesce(r_{r}.message, '') AS {r}_m" for r in TITLE_CHAIN)
+    title_cols = ", ".join(f"coalesce(r_{r}.violations, 0) AS {r}_n, coalesce(r_{r}.message, '') AS {r}_m" for r in titles)
     plain = {s: f"judged.{s}" for s in SECTIONS} | {"description": f.strip_phrase("judged.description", wide)}
     asked = {s: f"CASE WHEN r_special_ratio.violations = 1 THEN fixed.{s}_fixed ELSE {plain[s]} END" for s in SECTIONS}
     fixed_cols = f"{asked['description']} AS description_asked, " + ", ".join(
@@ -607,7 +676,7 @@ def moderation() -> str:
         f"coalesce({s}_poor, false) AS {s}_poor"
         for s in SECTIONS
     )
-    placed = " + ".join(f"judged.{r}_n" for r in RULES_OF_LABEL[2])
+    placed = " + ".join(f"judged.{r}_n" for r in of_label[2])
     fixed_cols += f", CASE WHEN {placed} = 0 THEN {f.strip_phrase('judged.address', wide)} ELSE judged.address END AS address_fixed"
     lines = ", ".join(f"CASE WHEN {s}_poor THEN {q(content_rules.MSG_POOR[s])} END" for s in SECTIONS)
     ctes.append(
@@ -617,13 +686,13 @@ def moderation() -> str:
         f"coalesce(mismatch.violations, 0) AS title_body_mismatch_n, CASE WHEN mismatch.violations > 0 THEN {q(content_rules.MSG_MISMATCH)} ELSE '' END AS title_body_mismatch_m, "
         "CAST(coalesce(description_poor OR requirements_poor OR benefits_poor, false) AS INTEGER) AS poor_text_n, "
         f"concat_ws(chr(10), {lines}) AS poor_text_m "
-        f"FROM judged {' '.join(f'LEFT JOIN r_{r} USING (post_id)' for r in TITLE_CHAIN)} LEFT JOIN {source} USING (post_id) "
+        f"FROM judged {' '.join(f'LEFT JOIN r_{r} USING (post_id)' for r in titles)} LEFT JOIN {source} USING (post_id) "
         "LEFT JOIN r_special_ratio USING (post_id) LEFT JOIN fixed USING (post_id) LEFT JOIN mismatch USING (post_id) LEFT JOIN poor_flags USING (post_id))"
     )
     ctes.append(
-        f"done AS (SELECT *, CAST(CASE WHEN returned THEN {label_sum(list(range(1, 9)))} ELSE {label_sum(list(range(1, 13)))} END AS INTEGER) AS num_error, "
+        f"done AS (SELECT *, CAST(CASE WHEN returned THEN {label_sum(of_label, list(range(1, 9)))} ELSE {label_sum(of_label, list(range(1, 13)))} END AS INTEGER) AS num_error, "
         f"CASE WHEN returned THEN 0 WHEN special_ratio_n = 1 OR title_body_mismatch_n > 0 OR poor_text_n > 0 THEN 4 "
-        f"WHEN {' + '.join(r + '_n' for r in TITLE_CHAIN)} > 0 THEN 2 ELSE 1 END AS status FROM final)"
+        f"WHEN {'false' if index else ' + '.join(r + '_n' for r in titles) + ' > 0'} THEN 2 ELSE 1 END AS status FROM final)"
     )
     return "WITH RECURSIVE " + ",\n".join(ctes)
 
@@ -633,6 +702,10 @@ TEXT_OF_STATUS = "CASE status " + " ".join(f"WHEN {k} THEN {q(v)}" for k, v in S
 ORACLE["num_error"] = f"{MODERATED} SELECT post_id, returned, num_error FROM done"
 ORACLE["verdict"] = f"{MODERATED} SELECT post_id, num_error, status, {TEXT_OF_STATUS} AS status_text FROM done"
 ORACLE["moderate_stream"] = ORACLE["verdict"]
+ORACLE["moderate_index"] = f"""{moderation(INDEX_LABELS)}
+SELECT post_id, returned, num_error, status, {', '.join(f'{r}_n AS {r}' for r in ('salary_conflict', 'district_province_index', 'title_index'))} FROM done"""
+ORACLE["stream_corpus_state"] = f"""{MODERATED}, words AS (SELECT k, unnest({LOWER}) AS token FROM forms)
+SELECT token, count(*) AS n_rows, count(DISTINCT k) AS n_docs FROM words GROUP BY token"""
 ORACLE["worst_postings"] = f"""{MODERATED} SELECT source, post_id, CAST(r AS INTEGER) AS rank, num_error FROM
   (SELECT *, row_number() OVER (PARTITION BY source ORDER BY num_error DESC, post_id) AS r FROM done) WHERE r <= 3"""
 
@@ -708,14 +781,15 @@ ORACLE["parse_rewrite"] = f"WITH {f.ANSWERS}, {parsed('answers', 'conv_id, turn'
 
 def newest(field: str, short: str, long: str | None) -> str:
     names = [short] + ([long] if long else [])
-    tries = ", ".join(f"(SELECT content FROM usable u WHERE u.post_id = p.post_id AND name = '{n}' ORDER BY pos LIMIT 1)" for n in names)
-    return f"coalesce('<p>' || replace(coalesce({tries}), chr(10), '<br />') || '</p>', {field}) AS {field}"
+    listed = ", ".join(q(n) for n in names)
+    last = f"(SELECT content FROM usable u WHERE u.post_id = p.post_id AND name IN ({listed}) ORDER BY turn DESC, length(name), pos LIMIT 1)"
+    return f"coalesce('<p>' || replace({last}, chr(10), '<br />') || '</p>', {field}) AS {field}"
 
 
 ORACLE["merge_rewrite"] = f"""
-WITH {f.BUSY}, {f.ANSWERS}, firsts AS (SELECT conv_id AS post_id, arg_min(text, turn) AS text FROM answers GROUP BY conv_id),
-{parsed('firsts', 'post_id')},
-usable AS (SELECT post_id, pos, content, lower(regexp_replace(heading, '\\s+', ' ', 'g')) AS name FROM parsed
+WITH {f.BUSY}, {f.ANSWERS}, every AS (SELECT conv_id AS post_id, turn, text FROM answers),
+{parsed('every', 'post_id, turn')},
+usable AS (SELECT post_id, turn, pos, content, lower(regexp_replace(heading, '\\s+', ' ', 'g')) AS name FROM parsed
     WHERE error IS NULL AND regexp_matches(heading, '^\\p{{Lu}}') AND content <> '')
 SELECT post_id, {newest('title', 'tiêu đề', None)}, {newest('description', 'mô tả', 'mô tả công việc')},
   {newest('requirements', 'yêu cầu', 'yêu cầu ứng viên')}, {newest('benefits', 'quyền lợi', None)} FROM p"""

@@ -21,10 +21,12 @@ from sangloc.operators import (
     salary,
     similarity,
     title_rules,
+    vectors,
     verdict,
 )
 from sangloc.operators.generate import explode_rows, inline_rows
-from sangloc.plans.moderation import first_stage, moderate, section_texts, second_stage
+from sangloc.operators.corpus_state import CorpusState
+from sangloc.plans.moderation import corpus_texts, moderate, rule_posts
 from sangloc.sources import lexicons, postings, sinks, views
 from sangloc.streaming.moderation import moderate_stream
 
@@ -32,9 +34,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
-# Perplexity cut of the registered queries; see `content_rules.perplexity_cut`.
-MAX_PERPLEXITY = 20_000.0
-
 
 def query(name: str) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
@@ -222,10 +221,10 @@ def remove_stopwords(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("location_mentions")
 def location_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    """Places in title, benefits and address of every posting, one row each."""
+    """Places in title, sections and address of every posting, one row each."""
     dims = views.dictionaries(spark, folder)
     posts = views.busy_postings(spark, folder)
-    whole = F.concat_ws(" ", "title", "description", text.html_to_text(F.col("benefits")), "address")
+    whole = F.concat_ws(" ", "title", "description", "requirements", text.html_to_text(F.col("benefits")), "address")
     df = lexicon.location_mentions(posts, "post_id", text.bare_tokens(whole), dims.places)
     return inline_rows(df, ["post_id"], "places", "words")
 
@@ -309,6 +308,31 @@ _rule_query(
     lambda df, spark, folder: place_rules.rule_district_province(df, views.dictionaries(spark, folder)),
     "district_fixed",
 )
+
+
+def _index_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """The postings with place fields of their own; some list two provinces, in lower case or with the first one unknown."""
+    posts = views.busy_postings(spark, folder)
+    return posts.selectExpr("*", f"{views.INDEX_PROVINCE} AS place_province", f"{views.INDEX_DISTRICT} AS place_district")
+
+
+@query("rule_district_province_index")
+def rule_district_province_index(spark: SparkSession, folder: str) -> DataFrame:
+    df = place_rules.rule_district_province_index(_index_postings(spark, folder), views.dictionaries(spark, folder))
+    return df.select(
+        "post_id", F.col("district_province_index_count").alias("violations"), F.col("district_province_index_msg").alias("message")
+    )
+
+
+@query("moderate_index")
+def moderate_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The moderation job in its index profile."""
+    posts, dims = _index_postings(spark, folder), views.dictionaries(spark, folder)
+    df = moderate(posts, dims, profile="index")
+    rules = ("salary_conflict", "district_province_index", "title_index")
+    return df.select("post_id", "returned", "num_error", "status", *[F.col(f"{r}_count").alias(r) for r in rules])
+
+
 _rule_query("company_banned_words", lambda df, *_: company_rules.rule_company_banned_words(df))
 _rule_query("company_form", lambda df, *_: company_rules.rule_company_form(df))
 
@@ -348,7 +372,7 @@ _rule_query(
 def rule_poor_text(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a text of its own, in the form R13 reads."""
     texts = _documents(spark, folder).select("doc_id", content_rules.poor_text_form(F.col("text")).alias("text"))
-    return content_rules.poor_text(texts, "doc_id", max_perplexity=MAX_PERPLEXITY).select("doc_id", "is_poor")
+    return content_rules.poor_text(texts, "doc_id").select("doc_id", "is_poor")
 
 
 # --- quality metrics ---------------------------------------------------------------------
@@ -465,6 +489,40 @@ def final_score(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("matches", F.col("score") >= metrics.MIN_MATCH_SCORE)
 
 
+def _with_vectors(posts: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Postings with vectors as a model would give them: the title's is that of the same number, the body's the next one."""
+    vectors = views.table(spark, folder, "embeddings").select(F.col("vec_id").alias("post_id"), F.col("embedding").alias("title_vector"))
+    bodies = vectors.select((F.col("post_id") - 1).alias("post_id"), F.col("title_vector").alias("body_vector"))
+    return posts.join(vectors, "post_id", "left").join(bodies, "post_id", "left")
+
+
+@query("final_score_vectors")
+def final_score_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    words = _with_vectors(_word_columns(spark, folder), spark, folder)
+    scored = similarity.with_match_score(
+        words, F.col("title"), F.col("description"), "title_words", "body_words", vectors=("title_vector", "body_vector")
+    )
+    return scored.select("post_id", F.round("match_score", 6).alias("score"))
+
+
+@query("rule_title_body_mismatch_vectors")
+def rule_title_body_mismatch_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    posts = _with_vectors(pay_rules.with_section_text(views.busy_postings(spark, folder)), spark, folder)
+    df = content_rules.rule_title_body_mismatch(
+        posts, views.dictionaries(spark, folder), "title", "description_text", vectors=("title_vector", "body_vector")
+    )
+    return df.select("post_id", F.col("title_body_mismatch_count").alias("violations"))
+
+
+@query("hashed_cosine")
+def hashed_cosine(spark: SparkSession, folder: str) -> DataFrame:
+    """Cosine of the hashed vectors of title and body."""
+    df = _word_columns(spark, folder).select(
+        "post_id", vectors.hashed_vector(F.col("title_words")).alias("t"), vectors.hashed_vector(F.col("body_words")).alias("b")
+    )
+    return df.select("post_id", F.round(metrics.embedding_cosine(F.col("t"), F.col("b")), 6).alias("cosine"))
+
+
 # --- salary, verdict and reports ---------------------------------------------------------
 
 
@@ -476,7 +534,7 @@ def extract_salary(spark: SparkSession, folder: str) -> DataFrame:
 def _moderated(spark: SparkSession, folder: str) -> DataFrame:
     """The moderated postings, a staged table."""
     dims = views.dictionaries(spark, folder)
-    return moderate(views.busy_postings(spark, folder), dims, max_perplexity=MAX_PERPLEXITY)
+    return moderate(views.busy_postings(spark, folder), dims)
 
 
 @query("num_error")
@@ -530,11 +588,11 @@ def parse_rewrite(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("merge_rewrite")
 def merge_rewrite(spark: SparkSession, folder: str) -> DataFrame:
-    """Answers of the first turns put back into the postings of the same number."""
-    answers = views.answers(spark, folder)
-    first = answers.groupBy(F.col("conv_id").alias("post_id")).agg(F.min_by("text", "turn").alias("text"))
-    parsed = rewrite.parse_rewrite(first, ["post_id"])
-    return rewrite.merge_rewrite(views.busy_postings(spark, folder), parsed).select("post_id", *rewrite.HEADINGS)
+    """Answers of all turns put back into the postings of the same number; of each section the latest answer counts."""
+    answers = views.answers(spark, folder).withColumnRenamed("conv_id", "post_id")
+    parsed = rewrite.parse_rewrite(answers, ["post_id", "turn"])
+    merged = rewrite.merge_rewrite(views.busy_postings(spark, folder), parsed, order="turn")
+    return merged.select("post_id", *rewrite.HEADINGS)
 
 
 @query("violations")
@@ -558,6 +616,25 @@ def rule_label_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return report.rule_label_agreement(flags, views.table(spark, folder, "labels"), "doc_id", "poor", "quality")
 
 
+@query("threshold_curve")
+def threshold_curve(spark: SparkSession, folder: str) -> DataFrame:
+    """What every cut of the votes of R13, of unknown words (in percent) and of perplexity would do against the quality labels."""
+    labels = views.table(spark, folder, "labels")
+    texts = _documents(spark, folder).select("doc_id", content_rules.poor_text_form(F.col("text")).alias("text"))
+    texts = sinks.staged(texts, "texts")
+    corpus, scored = quality.fit_and_score(texts, "doc_id", _lower_words())
+    unknown = quality.unknown_word_ratio(texts, "doc_id", _lower_words(), corpus.vocabulary)
+    unknown = sinks.staged(unknown.select("doc_id", "n_words", "n_unknown"), "unknown")
+    votes = content_rules.all_votes(texts, "doc_id", "text", corpus, scored=scored)
+    scores = {
+        "votes": votes.select("doc_id", F.col("votes").alias("bucket")),
+        "unknown_words": unknown.select("doc_id", F.floor(100 * F.col("n_unknown") / F.col("n_words")).cast("int").alias("bucket")),
+        "perplexity": scored,
+    }
+    curves = [report.threshold_curve(s, labels, "doc_id", "bucket", "quality").withColumn("score", F.lit(n)) for n, s in scores.items()]
+    return curves[0].unionByName(curves[1]).unionByName(curves[2])
+
+
 @query("moderate_stream")
 def moderate_stream_query(spark: SparkSession, folder: str) -> DataFrame:
     """The postings written as files, moderated as a stream, read back."""
@@ -565,12 +642,27 @@ def moderate_stream_query(spark: SparkSession, folder: str) -> DataFrame:
     arriving = sinks.shared_folder(spark, "arriving")
     views.busy_postings(spark, folder).write.parquet(arriving)
     posts = spark.read.parquet(arriving)
-    ruled = sinks.staged(second_stage(first_stage(posts, dims), dims), "prior-batch")
-    corpus = quality.fit_corpus(section_texts(ruled.where(~F.col("returned")), "post_id"), _lower_words())
+    ruled = rule_posts(posts, dims)
+    corpus = quality.fit_corpus(corpus_texts(ruled, "post_id"), ["post_id", "section"], _lower_words())
     stream = spark.readStream.schema(posts.schema).parquet(arriving)
     out, checkpoint = sinks.shared_folder(spark, "stream"), sinks.shared_folder(spark, "stream-state")
     moderate_stream(
         stream, dims, out, checkpoint, corpus,
-        lambda df: df.select("post_id", "num_error", "status", "status_text"), max_perplexity=MAX_PERPLEXITY,
+        lambda df: df.select("post_id", "num_error", "status", "status_text"),
     ).awaitTermination()
     return spark.read.parquet(out).select("post_id", "num_error", "status", "status_text")
+
+
+@query("stream_corpus_state")
+def stream_corpus_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Word counts of the corpus that a stream of three batches built up, each judged against the ones before."""
+    dims = views.dictionaries(spark, folder)
+    arriving = sinks.shared_folder(spark, "arriving")
+    views.busy_postings(spark, folder).write.parquet(arriving)
+    posts = spark.read.parquet(arriving)
+    files = len(posts.inputFiles())
+    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(arriving)
+    state = CorpusState(spark, sinks.shared_folder(spark, "corpus-state"))
+    out, checkpoint = sinks.shared_folder(spark, "stream"), sinks.shared_folder(spark, "stream-state")
+    moderate_stream(stream, dims, out, checkpoint, state, lambda df: df.select("post_id", "status")).awaitTermination()
+    return state.counts("vocabulary")

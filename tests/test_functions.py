@@ -133,6 +133,9 @@ def test_amounts(spark):
         "7tr5": [("single", "vnd", 7.5 * m, 7.5 * m)],
         "50k/h": [("single", "vnd/hour", 50_000, 50_000)],
         "200k/ngày": [("single", "vnd/day", 200_000, 200_000)],
+        "25-30k/h": [("range", "vnd/hour", 25_000, 30_000)],
+        "25k - 30k/giờ": [("range", "vnd/hour", 25_000, 30_000)],
+        "200 đến 250k/ngày, thưởng 1tr": [("range", "vnd/day", 200_000, 250_000), ("single", "vnd", m, m)],
         "cao 1.65m, tuổi 18-22, gọi 0912345678": [],
     }
     found = column(spark, list(cases), lambda c: money.amounts(money.money_text(c)))

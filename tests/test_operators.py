@@ -118,3 +118,155 @@ def test_lexicon_sources(spark, tmp_path):
     assert {r.word for r in lexicons.read_lexicon(spark, str(path)).collect()} == {"à", "lắm", "bị vì"}
     table = lexicons.lexicon_from_map(spark, {"HN": {"hà nội", "hn"}, "HCM": ["hcm", "hcm"]}, "province", "alias")
     assert {tuple(r) for r in table.collect()} == {("HN", "hà nội"), ("HN", "hn"), ("HCM", "hcm")}
+
+
+def hits_of(lists, phrases, greedy, least):
+    """By looking at every run of words."""
+    out = []
+    for words in lists:
+        found = [(i + 1, n, " ".join(words[i : i + n])) for i in range(len(words or [])) for n in range(1, 7)
+                 if i + n <= len(words) and " ".join(words[i : i + n]) in phrases and n >= least]
+        if greedy:
+            free, taken = 0, []
+            for pos, n, text in sorted(found, key=lambda h: (h[0], -h[1])):
+                if pos > free:
+                    taken.append((pos, n, text))
+                    free = pos + n - 1
+            found = taken
+        out.append([(*h, phrases[h[2]]) for h in sorted(found)])
+    return out
+
+
+@pytest.mark.parametrize("greedy, least", [(False, 1), (True, 1), (True, 2)])
+def test_trie_finds_what_looking_at_every_run_finds(spark, greedy, least):
+    import random
+
+    from sangloc.operators.phrase_trie import trie_hits
+
+    rng = random.Random(9)
+    words = ["a", "b", "c", "d", "é"]
+    phrases = {" ".join(rng.choices(words, k=rng.choice([1, 2, 2, 3, 5]))): rng.choice("xyz") for _ in range(25)}
+    lists = [rng.choices([*words, "zz"], k=rng.choice([0, 1, 3, 40])) for _ in range(60)] + [None, [], ["a"] * 3000]
+    df = spark.createDataFrame(list(enumerate(lists)), "id int, w array<string>")
+    got = {r.id: [tuple(h) for h in r.h] for r in df.select("id", trie_hits(spark, phrases, F.col("w"), greedy, least).alias("h")).collect()}
+    assert [got[i] for i in range(len(lists))] == hits_of(lists, phrases, greedy, least)
+
+
+def test_larger_lexicons_without_a_trie(ads, phrases, spark, monkeypatch):
+    monkeypatch.setattr(lexicon, "MAX_TRIE_ROWS", 0)
+    got = lexicon.compound_phrases(ads, "id", F.col("w"), phrases, max_rows=0)
+    assert {r.id: r.compounds for r in got.collect()}[4] == ["nhân_viên", "bán_hàng_online", "giỏi"]
+    got = lexicon.location_mentions(ads, "id", F.col("w"), phrases.where("kind <> 'job'"), max_rows=0)
+    assert [tuple(p) for p in got.where("id = 1").first().places] == [("district", "quận ba đình"), ("province", "hà nội")]
+
+
+@pytest.mark.parametrize("max_rows", [100, 0])
+def test_topics_with_nulls(spark, max_rows):
+    """A term without a related one is its own; a row without a term says nothing."""
+    topics = spark.createDataFrame([("a", None), (None, "b"), ("c", "d"), (None, None)], "term string, related_term string")
+    posts = spark.createDataFrame([(1, ["a", "b"], ["a", "b"]), (2, ["c"], ["c"]), (3, ["c"], ["d"]), (4, None, ["a"])], "id int, t array<string>, b array<string>")
+    got = lexicon.topic_overlap(posts, "id", "t", "b", topics, max_rows=max_rows)
+    assert {r.id: r.topic_hits for r in got.collect()} == {1: 2, 2: 0, 3: 1, 4: 0}
+
+
+def test_sparse_vectors_against_counters(spark):
+    import random
+
+    from sangloc.functions import metrics
+
+    rng = random.Random(2)
+    rows = [(i, rng.choices("abcdefgh", k=rng.randint(0, 12)), rng.choices("defghijk", k=rng.randint(0, 9))) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, a array<string>, b array<string>")
+    got = df.select("id", metrics.term_vector(F.col("a")).alias("v"), metrics.term_cosine(F.col("a"), F.col("b")).alias("c"),
+                    metrics.pair_tfidf_cosine(F.col("a"), F.col("b")).alias("t")).collect()
+    for (_, a, b), r in zip(rows, sorted(got, key=lambda r: r.id)):
+        x, y = collections.Counter(a), collections.Counter(b)
+        assert [tuple(t) for t in r.v.terms] == sorted(x.items()) and r.v.norm == sum(n * n for n in x.values())
+        dot = sum(n * y[w] for w, n in x.items())
+        norms = math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
+        assert r.c == (pytest.approx(dot / norms) if norms else None)
+        idf = lambda w: 1.0 if w in x and w in y else metrics.LONE_IDF
+        norms = math.sqrt(sum((n * idf(w)) ** 2 for w, n in x.items()) * sum((n * idf(w)) ** 2 for w, n in y.items()))
+        assert r.t == (pytest.approx(dot / norms) if norms else None)
+
+
+def test_long_sentences_take_linear_time(spark):
+    import time
+
+    from sangloc.functions import metrics
+
+    text = " ".join(f"w{i}" for i in range(10_000)) + ". " + " ".join(f"w{i}" for i in range(5_000, 15_000))
+    df = spark.createDataFrame([(text,)], "text string")
+    df.select(metrics.adjacent_coherence(F.col("text"))).collect()
+    started = time.time()
+    assert df.select(metrics.adjacent_coherence(F.col("text")).alias("c")).first().c == pytest.approx(0.5)
+    assert time.time() - started < 3
+
+
+def test_hashed_vectors(spark):
+    import hashlib
+
+    from sangloc.operators import vectors
+
+    rows = [(1, ["a", "b", "a"]), (2, []), (3, None), (4, [f"w{i}" for i in range(500)])]
+    df = spark.createDataFrame(rows, "id int, w array<string>")
+    got = {r.id: r.v for r in df.select("id", vectors.hashed_vector(F.col("w"), 16).alias("v")).collect()}
+    for i, words in rows:
+        want = None if words is None else [0.0] * 16
+        for w in words or []:
+            digest = hashlib.md5(w.encode()).hexdigest()
+            want[int(digest[:7], 16) % 16] += 1 if int(digest[7], 16) % 2 == 0 else -1
+        assert got[i] == want
+
+
+def test_model_is_set_up_once_per_task(spark, tmp_path):
+    from sangloc.operators import vectors
+
+    folder = str(tmp_path)
+
+    def load():
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return lambda texts: [[len(t), 1.0] for t in texts]
+
+    df = spark.range(2000).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE repeat('x', CAST(id % 5 AS INT)) END AS text").repartition(3)
+    got = df.select("id", vectors.embedded(F.col("text"), load).alias("v")).collect()
+    assert all(r.v == (None if r.id % 7 == 0 else [float(r.id % 5), 1.0]) for r in got)
+    assert len(list(tmp_path.iterdir())) <= 3
+
+
+def test_threshold_curve(spark):
+    from sangloc.operators import report
+
+    scores = spark.createDataFrame([(1, 0), (2, 3), (3, 3), (4, 5), (5, None), (6, 1), (7, 9)], "id int, b int")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (5, 0), (6, 1), (7, None)], "id int, quality int")
+    got = [tuple(r) for r in report.threshold_curve(scores, labels, "id", "b", "quality").orderBy("b").collect()]
+    assert got == [(0, 2, 3, 0.4, 1.0), (1, 2, 2, 0.5, 1.0), (3, 2, 1, pytest.approx(2 / 3, abs=1e-6), 1.0), (5, 1, 0, 1.0, 0.5)]
+
+
+def test_top_k_with_bounds_equals_scoring_all_pairs(spark, monkeypatch):
+    """Rare and frequent words, ties, repeated words, queries with fewer than k documents; also with short slices."""
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"w{int(rng.paretovariate(0.6))}" for _ in range(3000)]
+    docs = [(i, rng.choices(vocabulary, k=rng.randint(1, 60))) for i in range(400)] + [(1000 + i, ["only", "twin"]) for i in range(3)]
+    asked = [(q, rng.choices(vocabulary, k=rng.randint(1, 15))) for q in range(25)] + [(100, ["only", "twin", "twin"]), (101, ["nobody"]), (102, [])]
+    n, mean = len(docs), sum(len(w) for _, w in docs) / len(docs)
+    held = collections.Counter(w for _, ws in docs for w in set(ws))
+    want = {}
+    for q, terms in asked:
+        scores = []
+        for d, ws in docs:
+            tf = collections.Counter(ws)
+            s = sum(math.log(1 + (n - held[t] + 0.5) / (held[t] + 0.5)) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for t in terms if t in tf)
+            if any(t in tf for t in terms):
+                scores.append((round(s, 6), d))
+        for rank, (s, d) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:5]):
+            want[q, rank + 1] = d, s
+    frames = spark.createDataFrame(docs, "d int, w array<string>"), spark.createDataFrame(asked, "q int, a array<string>")
+    for rows in (similarity.SLICE_ROWS, 7):
+        monkeypatch.setattr(similarity, "SLICE_ROWS", rows)
+        got = similarity.bm25_top_k(frames[0], "d", "w", frames[1], "q", "a").collect()
+        assert {(r.q, r["rank"]): (r.d, pytest.approx(r.bm25, abs=2e-6)) for r in got} == want

@@ -75,8 +75,8 @@ def test_district_province(spark, dims):
     ]
     got = counts(place_rules.rule_district_province(posts(spark, cases), dims), "district_province", "district_fixed")
     ba = "Quận Ba Đình"
-    assert got == [(0, ba), (1, ba), (1, "q cầu giấy"), (2, "q ba đình"), (1, ""),
-                   (1, "số 5 phố lớn"), (1, ba), (0, ba), (1, ba)]
+    assert got == [(0, ba), (1, ba), (1, "Quận Cầu Giấy"), (2, "Quận Ba Đình"), (1, ""),
+                   (1, "Quận Cầu Giấy"), (1, ba), (0, ba), (1, ba)]
 
 
 def test_company_rules(spark):
@@ -140,21 +140,24 @@ def test_content_rules(spark, dims):
 
 def test_poor_text_equals_all_six_checks_everywhere(spark, folder):
     from sangloc.functions.metrics import hard_to_read, too_short, adjacent_coherence, type_token_ratio
-    from sangloc.operators.quality import corpus_perplexity, fit_corpus, unknown_word_ratio
+    from sangloc.operators.quality import corpus_perplexity, fit_corpus, perplexity_bucket, perplexity_cut, unknown_word_ratio
 
     df = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", content_rules.poor_text_form(F.col("text")).alias("text"))
     words = content_rules.corpus_words(F.col("text"))
-    corpus = fit_corpus(df, words)
+    corpus = fit_corpus(df, "doc_id", words)
+    cut = perplexity_cut(corpus.sketch)
     full = (
-        df.join(unknown_word_ratio(df, "doc_id", words, corpus[0]), "doc_id", "left")
-        .join(corpus_perplexity(df, "doc_id", words, corpus[1]), "doc_id", "left")
+        df.join(unknown_word_ratio(df, "doc_id", words, corpus.vocabulary), "doc_id", "left")
+        .join(corpus_perplexity(df, "doc_id", words, corpus.model), "doc_id", "left")
         .withColumn("votes", sum((F.coalesce(c, F.lit(False)).cast("int") for c in (
             hard_to_read(F.col("text")), type_token_ratio(words) < 0.3, adjacent_coherence(F.col("text")) < 0.2,
-            F.col("unknown_ratio") > 0.05, F.col("perplexity") > 5000)), F.lit(0)))
+            F.col("unknown_ratio") > 0.05, perplexity_bucket(F.col("perplexity")) > cut)), F.lit(0)))
         .select("doc_id", (too_short(F.col("text")) | (F.col("votes") >= 4)).alias("poor"))
     )
-    got = content_rules.poor_text(df, "doc_id", corpus=corpus, max_perplexity=5000.0)
-    assert {r.doc_id: r.is_poor for r in got.collect()} == {r.doc_id: r.poor for r in full.collect()}
+    want = {r.doc_id: r.poor for r in full.collect()}
+    for given in (corpus, None):
+        got = content_rules.poor_text(df, "doc_id", corpus=given)
+        assert {r.doc_id: r.is_poor for r in got.collect()} == want
 
 
 def test_five_sample_shapes(spark, dims):
@@ -217,5 +220,5 @@ def test_rewrite_parsing_and_merging(spark):
 
 
 def test_rules_are_registered():
-    assert {name for name, profile in RULES if profile == "index"} == {"salary_conflict", "title_index"}
-    assert len(RULES) == 24
+    assert {name for name, profile in RULES if profile == "index"} == {"salary_conflict", "title_index", "district_province_index"}
+    assert len(RULES) == 25

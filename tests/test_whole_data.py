@@ -144,8 +144,8 @@ def test_stream_leaves_only_its_output(spark, dims, tmp_path):  # noqa: F811
     from sangloc.operators.quality import fit_corpus
 
     posts(spark, [{}]).write.parquet(str(tmp_path / "in"))
-    texts = spark.createDataFrame([("kế toán tổng hợp",)], "text string")
-    corpus = fit_corpus(texts, content_rules.corpus_words(F.col("text")))
+    texts = spark.createDataFrame([(1, "description", "kế toán tổng hợp")], "post_id long, section string, text string")
+    corpus = fit_corpus(texts, ["post_id", "section"], content_rules.corpus_words(F.col("text")))
     before = folders(spark)
     for i in range(2):
         if i:
