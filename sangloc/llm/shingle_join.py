@@ -23,7 +23,8 @@ representative, the smallest key, is compared.
    others, though not with its smallest key, these unite nearly all.  Verified pairs are joined to components.  Then
    every signature whose sets are not all in one component yields all its pairs across components, so that no link between components is missed, but for those that a
    bound rules out within the join: a set's shingles are hashed to the parities of 1,024 bits, and where two sets
-   differ in more parities than they may differ in shingles, they cannot link.  Pairs within a component
+   differ in more parities than they may differ in shingles, they cannot link.  A pair is made at its first common
+   signature only, as far as the sets' smallest signatures tell.  Pairs within a component
    need no comparison: they cannot change it.  So a group of thousands of near copies costs a few pairs for
    each of them, not all pairs.
 6. Pairs are verified on the whole sets.
@@ -62,6 +63,8 @@ LEAST_GROUPED, GROUP_SHARE = 24, 12
 FIRST_SIGNATURES = 6
 #: Signatures with more sets than this are also dealt into random groups of about this size.
 DEALT_OVER, DEALT_GROUP = 16, 4
+#: Smallest signatures of a set by which the join tells whether an earlier one made the pair.
+SMALLEST = 24
 #: log2 of the parity bits of a set.
 PARITY_BITS = 10
 #: Shingles that one task of an exchange sorts at a time.
@@ -380,7 +383,9 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     sigs = staged(signatures(packed, frequencies(packed, total)), "signatures")
     links = staged(verified(_first_pairs(sigs), packed), "first-links")
     rough = components(links, "a", "b")
-    more = staged(verified(_pairs_across(sigs, rough, packed), packed), "more-links")
+    across = _pairs_across(sigs, rough, packed)
+    more = staged(verified(across, packed), "more-links")
+    removed(across)
     if more.isEmpty():
         merged = rough
     else:
@@ -392,12 +397,15 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     )
     removed(chosen, packed, sigs, links, more)
     out = sets.join(named, ["n", "s1", "s2"], "left")
-    return out.select(
+    out = out.select(
         F.col("key").cast(docs.schema[key].dataType).alias(key),
         F.col("n").alias("n_shingles"),
         F.coalesce("_component", "key").cast(docs.schema[key].dataType).alias("component_id"),
         F.coalesce("_copy_of", "key").cast(docs.schema[key].dataType).alias("copy_of"),
     )
+    out = staged(out, "linked")
+    removed(sets, classes, merged)
+    return out
 
 
 def _first_pairs(sigs: DataFrame) -> DataFrame:
@@ -443,25 +451,33 @@ def parities(packed: DataFrame) -> DataFrame:
 
 def _pairs_across(sigs: DataFrame, merged: DataFrame, packed: DataFrame) -> DataFrame:
     """All pairs of sets that share a signature but, so far, no component, and that may link."""
-    rows = _open(sigs, merged).join(parities(packed), "key")
+    opened = staged(_open(sigs, merged), "open")
+    smallest = opened.groupBy("key").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, SMALLEST).alias("smallest"))
+    rows = opened.join(parities(packed).join(smallest, "key"), "key")
     names = [f"p{i}" for i in range(1 << PARITY_BITS - 6)]
-    rows = rows.select("sig", "key", "n", "common", "component", *[F.get("parity", F.lit(i)).alias(p) for i, p in enumerate(names)])
+    rows = rows.select("sig", "key", "n", "common", "component", "smallest", *[F.get("parity", F.lit(i)).alias(p) for i, p in enumerate(names)])
     other = rows.select(
         "sig",
         F.col("key").alias("other"),
         F.col("n").alias("m"),
         F.col("common").alias("shared"),
         F.col("component").alias("theirs"),
+        F.col("smallest").alias("others_smallest"),
         *[F.col(p).alias(f"q{p}") for p in names],
     )
     apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"q{p}"))) for p in names])
     # Sets that differ in d shingles have an overlap of (n + m - d) / 2, and 3/7 of n + m is needed.
     may = _may_link("n", "common", "m", "shared") & (7 * apart <= F.col("n") + F.col("m"))
-    pairs = rows.join(other, "sig").where((F.col("component") < F.col("theirs")) & may)
-    return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    # The first of all common signatures is never passed over, as nothing smaller is common.
+    is_first = ~F.exists(F.array_intersect("smallest", "others_smallest"), lambda s: s < F.col("sig"))
+    pairs = rows.join(other, "sig").where((F.col("component") < F.col("theirs")) & may & is_first)
+    made = staged(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "pairs")
+    removed(opened)
+    return made
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of the smallest key of each component, with all columns; rows with a null key stay."""
-    gone = linked(docs, key, text).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone"))
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    gone = linked(docs, key, text).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("key"))
+    # Names of one table on each side: columns of any name may come along.
+    return docs.alias("docs").join(gone.alias("gone"), docs[key] == gone["key"], "left_anti")

@@ -126,3 +126,10 @@ def test_chain_and_star_of_links(spark):
 def test_query_against_all_pairs(spark, folder):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in op1_shingle_join(spark, folder).collect()} == by_hand(texts)
+
+
+def test_near_copies_with_columns_of_any_name(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(40)) + f" end{i}", 1, "x", 3) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long, _gone string, component_id long")
+    out = sj.without_near_copies(docs)
+    assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [0]
