@@ -9,7 +9,8 @@ their SHA-1 first; the page with the smallest id is the response, the others are
 
 `records_of`: reads the end of an archive, the central directory (by the ZIP64 records where there are any), and from
 it the places of the members; then the index, whose lines are dealt out to tasks by archive and range.  A task reads the
-byte range of a record, and nothing is unpacked to disk.  A record file without index is walked member by member.
+byte range of a record, and nothing is unpacked to disk.  What an index does not name of a record file is walked record by record, packed
+(`.warc.gz`) or not (`.warc`).  Records of any writer and type are read; ids of others are kept as they stand.
 
 Rows: a null payload is empty.  A page whose id is null, or repeated with an equal payload, is a record of its own: a response
 where it has the smallest id, a revisit otherwise; null is smaller than no id.  A null url leaves out the
@@ -240,25 +241,29 @@ class Archive:
         return member.start + LOCAL_SIZE + n + extra, member.size
 
     def ranges(self) -> Iterator[tuple[int, int]]:
-        """(start, size) in this file of every record."""
+        """(start, size) in this file of every record: those that an index names, and all others of the record files."""
         members = self.members()
         stores = {n.rpartition("/")[2]: m for n, m in members.items() if n.startswith("archive/") and n.endswith((".warc.gz", ".warc"))}
         indexes = [m for n, m in members.items() if n.startswith("indexes/") and n.endswith((".cdxj", ".cdx"))]
         starts = {n: self.content(m) for n, m in stores.items()}
-        seen = set()
+        named: dict[str, set[tuple[int, int]]] = {n: set() for n in starts}
         for member in indexes:
             start, size = self.content(member)
             for line in self.read(start, size).decode().splitlines():
-                where = json.loads(line[line.index("{") :])
-                name = where["filename"]
-                seen.add(name)
-                yield starts[name][0] + int(where["offset"]), int(where["length"])
+                where = _place(line)
+                if where and where[0] in starts:
+                    named[where[0]].add((starts[where[0]][0] + where[1], where[2]))
         for name, (start, size) in starts.items():
-            if name not in seen:
-                yield from self._walk(start, size)
+            walk = self._walk if name.endswith(".gz") else self._walk_plain
+            at = start
+            for begun, length in sorted(named[name]):
+                yield from walk(at, begun - at)
+                yield begun, length
+                at = max(at, begun + length)
+            yield from walk(at, start + size - at)
 
     def _walk(self, start: int, size: int, step: int = 1 << 20) -> Iterator[tuple[int, int]]:
-        """The gzip members of a file without index."""
+        """The gzip members of a part of a file."""
         at, end, begun, engine = start, start + size, start, zlib.decompressobj(31)
         while at < end:
             part = self.read(at, min(step, end - at))
@@ -270,36 +275,83 @@ class Archive:
             else:
                 at += len(part)
 
+    def _walk_plain(self, start: int, size: int, step: int = 1 << 16) -> Iterator[tuple[int, int]]:
+        """The records of a part of a file that is not compressed, by their lengths."""
+        at, end = start, start + size
+        while at < end:
+            head = b""
+            while b"\r\n\r\n" not in head and at + len(head) < end:
+                head += self.read(at + len(head), min(step, end - at - len(head)))
+            lines, found, _ = head.partition(b"\r\n\r\n")
+            if not lines.startswith(b"WARC/") or not found:
+                raise ValueError("no WARC record where one should begin")
+            length = len(lines) + 4 + int(_fields(lines.decode())["content-length"]) + 4
+            yield at, min(length, end - at)
+            at += length
+
+
+def _place(line: str) -> tuple[str, int, int] | None:
+    """File, start and size that a line of an index names; None for a line of another form, such as a heading."""
+    if "{" not in line:
+        return None
+    where = json.loads(line[line.index("{") :])
+    if not {"filename", "offset", "length"} <= where.keys():
+        return None
+    return where["filename"].rpartition("/")[2], int(where["offset"]), int(where["length"])
+
+
+def _fields(lines: str) -> dict[str, str]:
+    return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines.split("\r\n")[1:])}
+
+
+def record_at(data: bytes) -> dict:
+    """`parsed` of a record as it is stored, packed or not."""
+    return parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+
 
 def parsed(record: bytes) -> dict:
-    """Headers and payload of a WARC record with an HTTP message."""
+    """Headers and payload of a WARC record.
+
+    The payload of an HTTP message is its body, that of any other block is the block; a revisit has none.  `page` and `refers_to` are
+    the ids of records that this module wrote; `record_id` and `refers_to_id` are the ids as they stand.
+    """
     head, _, rest = record.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/"):
+    if not head.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    fields = _fields(head.decode())
     block = rest[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    said = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
+    http, _, body = block.partition(b"\r\n\r\n")
+    is_http = block.startswith(b"HTTP/")
+    payload = body if is_http else block
+    said = _fields(http.decode("latin-1")) if is_http else {}
     kind = fields["warc-type"]
+    name, other = (fields.get(n, "").strip("<>") or None for n in ("warc-record-id", "warc-refers-to"))
+    if kind == "revisit":
+        size = int(said["content-length"]) if said.get("content-length", "").isdigit() else None
+        shown = (None, size, fields.get("warc-payload-digest", "").removeprefix("sha1:") or None)
+    else:
+        shown = (payload, len(payload), digest(payload))
     return {
-        "page": _page(fields["warc-record-id"]),
+        "page": _page(name),
         "url": fields.get("warc-target-uri"),
-        "payload": None if kind == "revisit" else payload,
-        "payload_bytes": int(said["content-length"]) if kind == "revisit" else len(payload),
-        "payload_digest": fields["warc-payload-digest"].removeprefix("sha1:") if kind == "revisit" else digest(payload),
+        "payload": shown[0],
+        "payload_bytes": shown[1],
+        "payload_digest": shown[2],
         "record_type": kind,
-        "refers_to": _page(fields["warc-refers-to"]) if "warc-refers-to" in fields else None,
+        "refers_to": _page(other),
+        "record_id": name,
+        "refers_to_id": other,
     }
 
 
-def _page(name: str) -> int | None:
-    number = name.strip("<>").removeprefix(PAGE_ID)
-    return int(number) if number else None
+def _page(name: str | None) -> int | None:
+    number = (name or "").removeprefix(PAGE_ID)
+    return int(number) if (name or "").startswith(PAGE_ID) and number.lstrip("-").isdigit() else None
 
 
 RECORD = (
-    "page long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    "page long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, "
+    "record_id string, refers_to_id string"
 )
 
 
@@ -322,7 +374,7 @@ def records_of(archives: DataFrame, path: str = "path") -> DataFrame:
             for path_, start, size in zip(*(c.to_pylist() for c in batch.columns)):
                 if path_ != name:
                     name, archive = path_, Archive(path_)
-                rows.append(parsed(gzip.decompress(archive.read(start, size))))
+                rows.append(record_at(archive.read(start, size)))
                 held += len(rows[-1]["payload"] or b"")
                 if held > RANGE_BYTES or len(rows) >= 5000:
                     yield pack()

@@ -86,6 +86,38 @@ def test_foreign_archives(spark, tmp_path, kind):
     assert sorted((r.page, bytes(r.payload)) for r in got) == [(i, b"body %d " % i * 400) for i in range(30)]
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_partial_indexes_plain_files_and_records_of_others(spark, tmp_path, packed):
+    """An index that names every third record, with a heading; one file has none; ids and types of another writer."""
+    path = tmp_path / "others.wacz"
+    own = [za.record_bytes(i, f"http://x/{i}", b"body %d" % i, None)[0] for i in range(10)]
+    info = b"software: other\r\n"
+    other = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:12-34>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(info), info)
+    again = b"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:5>\r\nWARC-Refers-To: <urn:uuid:12-34>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    records = [other, *own, again]
+    stored = [gzip.compress(r) if packed else r for r in records]
+    ending = ".warc.gz" if packed else ".warc"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr(f"archive/one{ending}", b"".join(stored))
+        z.writestr(f"archive/two{ending}", stored[3])
+        lines, at = [" CDX N b a m s k r M S V g", "x 1 {}"], 0
+        for i, r in enumerate(stored):
+            if i % 3 == 1:
+                lines.append(f"x {i} " + json.dumps({"offset": at, "length": len(r), "filename": f"archive/one{ending}"}))
+            at += len(r)
+        lines.append("x 9 " + json.dumps({"offset": 0, "length": 5, "filename": "elsewhere.warc.gz"}))
+        z.writestr("indexes/index.cdxj", "\n".join(lines))
+    got = za.records_of(spark.createDataFrame([(str(path),)], "path string")).collect()
+    pages = sorted((r.page, bytes(r.payload)) for r in got if r.page is not None)
+    assert pages == sorted([(i, b"body %d" % i) for i in range(10)] + [(2, b"body 2")])
+    foreign = {r.record_id: (r.record_type, r.payload and bytes(r.payload), r.payload_bytes, r.refers_to, r.refers_to_id) for r in got if r.page is None}
+    assert foreign == {"urn:uuid:12-34": ("warcinfo", info, len(info), None, None), "urn:uuid:5": ("revisit", None, None, None, "urn:uuid:12-34")}
+
+
+def test_names_of_stores(tmp_path):
+    assert za.opened(str(tmp_path))[1] == str(tmp_path) and za.opened("dbfs:/a/b")[1] == "/dbfs/a/b"
+
+
 def test_zip64_directory(tmp_path, monkeypatch):
     """The limits of the ZIP writer lowered for the directory, so that it is a ZIP64 one for a small file."""
 
