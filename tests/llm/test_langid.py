@@ -51,3 +51,73 @@ def test_held_out_rows(spark, folder):
     assert len(got) == len(langs)
     assert all(0 <= r.score <= 1 for r in got)
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in got if r.held_out]) > 0.93
+
+
+def plain_grams(text):
+    """Every run of two and of three bytes with a letter, byte by byte."""
+    folded = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()]
+    for size in (2, 3):
+        for i in range(len(folded) - size + 1):
+            part = folded[i : i + size]
+            if any(b != 32 for b in part):
+                h = size
+                for b in part:
+                    h = ((h * 0x01000193) & 0xFFFFFFFF) ^ b
+                yield ((h * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - langid.BUCKET_BITS)
+
+
+def plain_prediction(rows, texts):
+    """(language, score) by loops over n-grams, bits and languages."""
+    names = sorted({lang for _, lang in rows})
+    uses = {n: {} for n in names}
+    for text, lang in rows:
+        for g in plain_grams(text):
+            uses[lang][g] = uses[lang].get(g, 0) + 1
+    total = {n: sum(uses[n].values()) for n in names}
+    rate = lambda n, g: (uses[n].get(g, 0) + 0.5) / (total[n] + 0.5 * langid.BUCKETS)
+    code = langid.codewords(len(names))
+    sides = [([n for n, c in zip(names, bit) if c > 0], [n for n, c in zip(names, bit) if c < 0]) for bit in code.T]
+    every = set().union(*uses.values())
+
+    def weight(bit, g):
+        a, b = sides[bit]
+        return np.log(np.mean([rate(n, g) for n in a]) / np.mean([rate(n, g) for n in b]))
+
+    trust = []
+    for bit in range(len(sides)):
+        blank = weight(bit, -1)
+        means = []
+        for n, side in zip(names, code[:, bit]):
+            seen = sum(rate(n, g) * weight(bit, g) for g in every)
+            means.append((seen + (langid.BUCKETS - len(every)) * rate(n, -1) * blank) * side)
+        trust.append(max(0.05, min(means)))
+    trust = np.array(trust) / np.mean(trust)
+    out = []
+    for text in texts:
+        grams = list(plain_grams(text))
+        mean = [np.mean([weight(b, g) for g in grams]) if grams else 0.0 for b in range(len(sides))]
+        evidence = [m * min(len(grams) ** 0.5, langid.MOST_SCALE) for m in mean]
+        losses = [sum(t * np.log1p(np.exp(-e * c)) for t, e, c in zip(trust, evidence, word)) for word in code]
+        best = int(np.argmin(losses))
+        out.append((names[best], 1 / sum(np.exp(losses[best] - x) for x in losses)))
+    return out
+
+
+def test_predictions_against_plain_loops(spark):
+    rows = [("the cat sat on the mat and the dog", "en"), ("where is the thing", "en"), ("le chat est sur la table et le chien", "fr"),
+            ("der Hund und die Katze sind müde", "de"), ("el gato y el perro están en la casa", "es")] * 2
+    docs = [(i, t, lang) for i, (t, lang) in enumerate(r for r in rows for _ in range(4))]
+    kept = [(t, lang) for i, t, lang in docs if __import__("zlib").crc32(str(i).encode()) % 4 != 2]
+    asked = ["the dog", "La table", "Katze!", "en casa y", "chat and cat", "x", "the " * 300, "müde"]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    names, score, _ = model.decide(pa.array(asked))
+    want = plain_prediction(kept, asked)
+    assert names == [n for n, _ in want]
+    assert np.allclose(score, [s for _, s in want], atol=1e-4)
+
+
+def test_very_long_texts_and_ties():
+    model = small(np.ones((2, langid.BUCKETS)))
+    names, score, close = model.decide(pa.array(["word " * 400_000, "a"]))
+    assert names == ["aa", "aa"] and np.allclose(score, 0.5) and close.all()

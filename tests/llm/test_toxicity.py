@@ -92,3 +92,37 @@ def test_equal_texts_with_different_labels_are_no_witness(spark):
         grammar = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int").repartition(parts))
         scores.add((round(grammar.bias, 9), tuple(np.round(grammar.weights, 9)), tuple(sorted(grammar.words)), tuple(sorted(grammar.stems))))
     assert len(scores) == 1
+
+
+def plain_score(grammar, text):
+    """Word by word through the four machines one after the other, a clause at a time."""
+    sums = [0.0] * len(toxicity.KINDS)
+    machines = [toxicity.NEGATION, toxicity.REPORT, toxicity.TARGET, toxicity.THREAT]
+    states = [m.start for m in machines]
+    for token in (m.group() for m in toxicity.TOKEN.finditer((text or "").lower())):
+        if token in toxicity.BOUNDARY:
+            states = [m.start for m in machines]
+            continue
+        weight = grammar.weight(token) if toxicity.WORD.fullmatch(token) else 0.0
+        symbol = "insult" if weight else "quote" if token in toxicity.QUOTES else toxicity.SYMBOLS[toxicity.SYMBOL_OF.get(token, 0)]
+        for i, machine in enumerate(machines):
+            states[i], symbol = machine.step(states[i], symbol)
+        kind = "plain" if symbol == "insult" else symbol
+        if kind in toxicity.KINDS:
+            sums[list(toxicity.KINDS).index(kind)] += weight or toxicity.SEED_WEIGHT
+    x = sum(w * np.log1p(s) for w, s in zip(grammar.weights, sums)) + grammar.bias
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def test_scores_of_documents_against_plain_machines(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    grammar = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    insult = next(iter(toxicity.SEEDS["insult"].split()))
+    own = ["", None, f"you are {insult}", f"not {insult}. you {insult}!", f'they said "{insult}" {insult}', f"I will kill you, {insult}", f"{insult} " * 50_000]
+    texts |= {-1 - i: t for i, t in enumerate(own)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(frame, grammar).collect()}
+    assert got.keys() == texts.keys()
+    for key, text in texts.items():
+        assert abs(got[key] - plain_score(grammar, text)) < 1e-9, text
