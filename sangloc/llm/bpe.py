@@ -38,8 +38,10 @@ LATIN = {r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"\p{N}":
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 #: A rank file of more bytes than this is not a vocabulary, and is not sent to the tasks.
 MAX_RANK_BYTES = 64 << 20
-#: Pieces whose ids a worker remembers; beyond that it starts afresh.
-KNOWN_PIECES = 100_000
+#: Bytes of pieces and ids that a worker remembers; beyond that it starts afresh.  Longer pieces are not remembered.
+KNOWN_BYTES, LONGEST_KNOWN = 16 << 20, 64
+#: What an entry of that memory takes besides its bytes.
+ENTRY_BYTES = 200
 #: Bytes of text that are cut at a time: each becomes several bytes of pieces and ids.
 TEXT_AT_ONCE = 1 << 20
 #: Leaves of the trees that are worked on together.
@@ -223,16 +225,21 @@ class Encoder:
         self.split = regex.compile(spelled(pattern, {r"\s": WHITE_SPACE})).findall
         self.split_latin = re.compile(spelled(pattern, LATIN)).findall
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [(self.split if BEYOND_LATIN.search(text) else self.split_latin)(text) for text in texts]
         unknown = list(set().union(*cut).difference(self.known))
-        if len(self.known) + len(unknown) > KNOWN_PIECES:
-            self.known = {}
-            unknown = list(set().union(*cut))
         self.known.update(zip(unknown, encode_pieces([x.encode() for x in unknown], self.vocab)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        for piece in unknown:
+            if len(piece) > LONGEST_KNOWN:
+                del self.known[piece]
+            else:
+                self.known_bytes += ENTRY_BYTES + len(piece) + len(self.known[piece])
+        if self.known_bytes > KNOWN_BYTES:
+            self.known, self.known_bytes = {}, 0
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -272,10 +279,23 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", out: str = "de
     return encoded.select(*[f.name for f in kept]).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, decoded) as `encode` and then `decode` give them, in one step: a worker holds the ranks once."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    fields = [T.StructField(key, column_type(docs, key)), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        by_id = tokens_by_id(ranks.value)
+        ids = encoder(ranks.value, pattern).encode(batch.column(1).fill_null("").to_pylist())
+        columns = [pa.array(ids, pa.binary()), pa.array([decode_ids(x, by_id) for x in ids], pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, "ids", "decoded"])
+
+    return map_text(docs.select(key, F.col(text).cast("string").alias("_text")), "_text", run, T.StructType(fields), TEXT_AT_ONCE)
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of the ids and of what they decode to."""
-    both = decode(encode(docs, ranks_path, pattern, key, text), ranks_path)
-    return both.select(
+    return round_trip(docs, ranks_path, pattern, key, text).select(
         key,
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -41,7 +41,7 @@ def test_long_pieces(text):
 
 
 def test_memory_of_pieces_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "KNOWN_PIECES", 3)
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 600)
     own = bpe.Encoder(CONTENT, public_tokenizers.PATTERN)
     for text in ["one two three four five", "six seven eight", "one nine"]:
         assert ids(own.encode([text])[0]) == OTHER.encode_ordinary(text)
