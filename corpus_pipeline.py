@@ -45,7 +45,7 @@ def leakage_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 def tokens_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): ids as little-endian unsigned 32-bit integers."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    both = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
     return both.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
