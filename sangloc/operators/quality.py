@@ -180,13 +180,19 @@ def fit_corpus(df: DataFrame, key: Keys, words: Column) -> Corpus:
 
 
 def fit_and_score(df: DataFrame, key: Keys, words: Column) -> tuple[Corpus, DataFrame]:
-    """The corpus, and (key, bucket) of its own texts, which need not be scored again to be judged."""
+    """The corpus, and (key, bucket) of its own texts, which need not be scored again to be judged.
+
+    The words of the texts are made once, for the model, the scores and the vocabulary.
+    """
+    named = staged(df.select(*key_list(key), words.alias("_words")), "corpus-words")
     parts: list[DataFrame] = []
-    model = staged(bigram_model(df, words, parts), "bigram-model")
+    model = staged(bigram_model(named, F.col("_words"), parts), "bigram-model")
     removed(*parts)
-    perplexities = corpus_perplexity(df, key, words, model)
+    perplexities = corpus_perplexity(named, key, F.col("_words"), model)
     scored = staged(perplexities.select(*key_list(key), perplexity_bucket(F.col("perplexity")).alias("bucket")), "perplexities")
-    return Corpus(staged(vocabulary(df, words), "vocabulary"), model, staged(bucket_counts(scored), "sketch")), scored
+    corpus = Corpus(staged(vocabulary(named, F.col("_words")), "vocabulary"), model, staged(bucket_counts(scored), "sketch"))
+    removed(named)
+    return corpus, scored
 
 
 def neighbour_cosine(

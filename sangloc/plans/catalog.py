@@ -393,17 +393,17 @@ def _lower_words() -> Column:
 
 @query("unknown_word_ratio")
 def unknown_word_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    df = _documents(spark, folder)
-    vocab = sinks.staged(quality.vocabulary(df, _lower_words()), "vocabulary")
-    ratio = quality.unknown_word_ratio(df, "doc_id", _lower_words(), vocab)
+    df = sinks.staged(_documents(spark, folder).select("doc_id", _lower_words().alias("words")), "words")
+    vocab = sinks.staged(quality.vocabulary(df, F.col("words")), "vocabulary")
+    ratio = quality.unknown_word_ratio(df, "doc_id", F.col("words"), vocab)
     return ratio.select("doc_id", "n_words", "n_unknown", F.round("unknown_ratio", 6).alias("unknown_ratio"))
 
 
 @query("corpus_perplexity")
 def corpus_perplexity(spark: SparkSession, folder: str) -> DataFrame:
-    df = _documents(spark, folder)
-    model = sinks.staged(quality.bigram_model(df, _lower_words()), "bigram-model")
-    scored = quality.corpus_perplexity(df, "doc_id", _lower_words(), model)
+    df = sinks.staged(_documents(spark, folder).select("doc_id", _lower_words().alias("words")), "words")
+    model = sinks.staged(quality.bigram_model(df, F.col("words")), "bigram-model")
+    scored = quality.corpus_perplexity(df, "doc_id", F.col("words"), model)
     return scored.select("doc_id", "n_bigrams", F.round("perplexity", 3).alias("perplexity"))
 
 
