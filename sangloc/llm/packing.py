@@ -31,6 +31,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,8 +51,8 @@ TIERS = (1024, 512, 256, 128)
 BLOCK_TOKENS, STEP_TOKENS = 1 << 20, 1 << 16
 #: The id that closes a document.
 CLOSING_ID = 0
-#: Bytes of pieces and ids that a worker remembers; beyond that it starts afresh.
-KNOWN_BYTES = 32 << 20
+#: Bytes of pieces and ids that a worker remembers; beyond that it forgets those that were not used of late.
+KNOWN_BYTES = 192 << 20
 #: What an entry of that memory takes besides its bytes, and the longest piece that is worth one.
 ENTRY_BYTES, LONGEST_KNOWN = 200, 64
 #: A tokenizer file of more bytes than this is not sent to the tasks.
@@ -158,31 +159,40 @@ class TextIds:
         cut = made.get("pre_tokenizer") or {}
         self.by_pieces = not made.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
         self.split = re.compile(spelled(pattern, LATIN)).findall
-        added = [re.escape(t["content"]) for t in made.get("added_tokens") or [] if t["content"]]
-        self.whole = re.compile("|".join([BEYOND_LATIN.pattern, *added])).search
+        self.added = [t["content"] for t in made.get("added_tokens") or [] if t["content"]]
+        #: What is remembered of late, and before that; together they take KNOWN_BYTES at most, and a slice's pieces.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.known_bytes = 0
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def encode(self, text: str) -> bytes:
-        if not self.by_pieces or self.whole(text):
-            return self._ask([text])[0]
-        pieces = self.split(text)
-        new = list(set(pieces).difference(self.known))
-        if not new:
-            return b"".join(map(self.known.__getitem__, pieces))
-        found = dict(zip(new, self._ask(new)))
-        get, known = found.get, self.known.get
-        out = b"".join([known(p) or get(p) for p in pieces])
-        for piece, ids in found.items():
-            if len(piece) <= LONGEST_KNOWN:
-                self.known_bytes += ENTRY_BYTES + len(piece) + len(ids)
-                self.known[piece] = ids
-        if self.known_bytes > KNOWN_BYTES:
-            self.known, self.known_bytes = {}, 0
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _is_whole(self, text: str) -> bool:
+        """Whether the tokenizer gets the text as it is."""
+        if not self.by_pieces or any(t in text for t in self.added):
+            return True
+        return not text.isascii() and BEYOND_LATIN.search(text) is not None
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [self._is_whole(t) for t in texts]
+        cut = [[] if w else self.split(t) for t, w in zip(texts, whole)]
+        new = set().union(*cut).difference(self.known)
+        known, older = self.known, self.older
+        again = new.intersection(older)
+        known.update((p, older[p]) for p in again)
+        asked = list(new - again)
+        known.update(zip(asked, self._ask(asked)))
+        get = known.__getitem__
+        out = [self._ask([t])[0] if w else b"".join(map(get, pieces)) for t, w, pieces in zip(texts, whole, cut)]
+        for piece in new:
+            if len(piece) > LONGEST_KNOWN:
+                del known[piece]
+            else:
+                self.known_bytes += ENTRY_BYTES + len(piece) + len(known[piece])
+        if self.known_bytes > KNOWN_BYTES // 2:
+            self.known, self.older, self.known_bytes = {}, known, 0
         return out
 
 
@@ -263,9 +273,9 @@ def packed(
         for batch in batches:
             for part in slices(batch, "_text"):
                 part_keys = part.column(0)
-                for i, value in enumerate(part.column(1).to_pylist()):
+                for i, made in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
                     keys.append(part_keys.slice(i, 1))
-                    ids.append(encoder.encode(value or "") + closing)
+                    ids.append(made + closing)
                     tokens = len(ids[-1]) // 4
                     packer.add(len(ids) - 1, tokens)
                     held += tokens
