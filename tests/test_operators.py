@@ -270,3 +270,35 @@ def test_top_k_with_bounds_equals_scoring_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(similarity, "SLICE_ROWS", rows)
         got = similarity.bm25_top_k(frames[0], "d", "w", frames[1], "q", "a").collect()
         assert {(r.q, r["rank"]): (r.d, pytest.approx(r.bm25, abs=2e-6)) for r in got} == want
+
+
+def test_model_that_lists_its_texts_scores_like_a_look_up(spark, monkeypatch):
+    """Frequent and rare words, texts of one word or none, keys that repeat or are null; each use is shuffled once."""
+    import random
+
+    rng = random.Random(5)
+    vocabulary = [f"w{int(rng.paretovariate(0.8))}" for _ in range(2000)]
+    texts = [(i % 150 if i % 40 else None, f"s{i % 2}", rng.choices(vocabulary, k=rng.randint(0, 40))) for i in range(300)]
+    df = sinks.staged(spark.createDataFrame(texts, "id int, section string, words array<string>"), "texts")
+    words, key = F.col("words"), ["id", "section"]
+    plain = sinks.staged(quality.bigram_model(df, words), "model")
+    want = {(r.id, r.section): (r.n_bigrams, pytest.approx(r.perplexity)) for r in quality.corpus_perplexity(df, key, words, plain).collect()}
+    want_model = {(r.w1, r.w2): (r.n_rows, pytest.approx(r.log_p)) for r in plain.collect()}
+    for most in (1, 20, 1000):
+        monkeypatch.setattr(quality, "FREQUENT_WORDS", most)
+        lazy = quality.bigram_model(df, words, key=key)
+        plan = lazy._jdf.queryExecution().executedPlan().toString()
+        assert sum("Exchange hashpartitioning" in line and "id#" in line for line in plan.split("Initial Plan")[-1].splitlines()) == 0
+        model = sinks.staged(lazy, "model")
+        got = {(r.id, r.section): (r.n_bigrams, r.perplexity) for r in quality.corpus_perplexity(df, key, words, model).collect()}
+        assert got == want
+        assert {(r.w1, r.w2): (r.n_rows, r.log_p) for r in model.collect()} == want_model
+
+
+def test_foreign_texts_are_dealt_to_the_model_once(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a", "z"])], "id int, words array<string>")
+    model = sinks.staged(quality.bigram_model(df.where("id = 1"), F.col("words")), "model")
+    scored = quality.corpus_perplexity(df, "id", F.col("words"), model)
+    plan = scored._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "hashpartitioning(id" in plan
+    assert not any("hashpartitioning(id" in line and "w1" in line for line in plan.splitlines())
