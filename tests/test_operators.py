@@ -295,6 +295,14 @@ def test_model_that_lists_its_texts_scores_like_a_look_up(spark, monkeypatch):
         assert {(r.w1, r.w2): (r.n_rows, r.log_p) for r in model.collect()} == want_model
 
 
+def test_own_texts_are_not_looked_up_use_by_use(spark, monkeypatch):
+    """A corpus that scores its own texts adds up the lists of its model."""
+    df = spark.createDataFrame([(1, "a b a b"), (2, "a b c"), (3, "a")], "id int, text string")
+    monkeypatch.setattr(quality, "_used", lambda *_: pytest.fail("uses are joined to the model"))
+    corpus, scored = quality.fit_and_score(df, "id", tokens(F.col("text")))
+    assert {r.id for r in scored.collect()} == {1, 2} and corpus.model.columns == ["w1", "w2", "n_rows", "log_p"]
+
+
 def test_foreign_texts_are_dealt_to_the_model_once(spark):
     df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a", "z"])], "id int, words array<string>")
     model = sinks.staged(quality.bigram_model(df.where("id = 1"), F.col("words")), "model")
