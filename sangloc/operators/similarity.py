@@ -99,6 +99,8 @@ FIRST_PASS = 4
 SLICE_ROWS = 100_000
 #: Scores are compared with this margin, so that rounding and ties at the k-th place change nothing.
 MARGIN = 1e-5
+#: Candidates whose terms a task looks up.
+TASK_CANDIDATES = 100_000
 
 
 def impacts(docs: DataFrame, doc_key: str, words: str, terms: DataFrame) -> DataFrame:
@@ -161,12 +163,19 @@ def bm25_top_k(
     pairs = _on_terms(postings, doc_key, bounds).groupBy(query_key, doc_key, "threshold", "rest").agg(F.sum(gain).alias("partial"))
     able = pairs.where(F.col("partial") + F.col("rest") >= F.col("threshold") - MARGIN).select(query_key, doc_key)
     able = staged(able, "candidates")
-    # All that a candidate shares with its query.
-    held = postings.join(able.select(doc_key).distinct(), doc_key, "left_semi").select(doc_key, "term", "impact")
-    scored = (
-        able.join(asked, query_key).join(held, [doc_key, "term"]).groupBy(query_key, doc_key).agg(F.round(F.sum(gain), 6).alias("bm25"))
-    )
-    out = staged(top_k(scored, query_key, doc_key, "bm25", k), "best")
+    # All that a candidate shares with its query.  Candidates and postings meet by document, where the sums stay too: what the
+    # candidates' terms multiply to is never shuffled, so both sides may be dealt by a part of the join's keys.
+    conf, option = docs.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    n = max(int(conf.get("spark.sql.shuffle.partitions")), able.count() // TASK_CANDIDATES)
+    wanted = dim_join(able.repartition(n, doc_key), asked, query_key, "inner")
+    held = postings.select(doc_key, "term", "impact").repartition(n, doc_key).hint("shuffle_hash")
+    scored = wanted.join(held, [doc_key, "term"]).groupBy(query_key, doc_key).agg(F.round(F.sum(gain), 6).alias("bm25"))
+    before = conf.get(option)
+    conf.set(option, "false")
+    try:
+        out = staged(top_k(scored, query_key, doc_key, "bm25", k), "best")
+    finally:
+        conf.set(option, before)
     removed(asked, postings, lists, bounds, able)
     return out
 

@@ -310,3 +310,18 @@ def test_foreign_texts_are_dealt_to_the_model_once(spark):
     plan = scored._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert "hashpartitioning(id" in plan
     assert not any("hashpartitioning(id" in line and "w1" in line for line in plan.splitlines())
+
+
+def test_terms_of_candidates_are_not_shuffled(spark, monkeypatch):
+    plans = {}
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return sinks.staged(df, name)
+
+    monkeypatch.setattr(similarity, "staged", spy)
+    docs = spark.createDataFrame([(i, [f"w{i % 7}", f"w{i % 3}", "x"]) for i in range(60)], "d int, w array<string>")
+    asked = spark.createDataFrame([(q, [f"w{q}", "x"]) for q in range(5)], "q int, a array<string>")
+    similarity.bm25_top_k(docs, "d", "w", asked, "q", "a").collect()
+    dealt = [line for line in plans["best"].splitlines() if "Exchange hashpartitioning(" in line]
+    assert dealt and not any("term#" in line.split("hashpartitioning(")[1].split(")")[0] for line in dealt)
