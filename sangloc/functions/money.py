@@ -8,10 +8,12 @@ before singles are looked for, so an amount is never counted twice.  The unit be
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sangloc.functions.text import SPACE, tokens
+from sangloc.functions.text import SPACE, let, tokens
 
 # Money words that survive `drop_noise_words`.
 MONEY_WORDS = ("tr", "triệu", "triệu/tháng", "tr/tháng", "tr/", "triệu/")
@@ -23,14 +25,21 @@ UNIT = r"triệu|trieu|tr|m|usd|k/giờ|k/h|k/ngày"
 DONG = r"(?:vnđ|vnd|đ|d)?"
 TO = r"(?:-|đến)(?:vnd)?"
 
+# All begin with a digit; where none is, no alternative is tried.
 RANGE = (
-    rf"({GROUPED}){DONG}{TO}({GROUPED}){DONG}"
+    rf"(?=[0-9])(?:({GROUPED}){DONG}{TO}({GROUPED}){DONG}"
     rf"|({SHORT})({UNIT}|k)?{TO}({SHORT})({UNIT})"
-    rf"|({SHORT})({UNIT}){TO}({SHORT})"
+    rf"|({SHORT})({UNIT}){TO}({SHORT}))"
 )
-SINGLE = rf"({GROUPED})|({SHORT})(triệu|trieu|tr|m|usd|k/giờ|k/h|k/ngày)([0-9]{{1,3}})?"
+SINGLE = rf"(?=[0-9])(?:({GROUPED})|({SHORT})(triệu|trieu|tr|m|usd|k/giờ|k/h|k/ngày)([0-9]{{1,3}})?)"
 LONG_DIGITS = r"[0-9]{9,}"
-HOURLY = r"[0-9]{2}k/(h|giờ)"
+# `[0-9]{2}k/(h|giờ)` in a text whose white space does not count.
+HOURLY = rf"[0-9]{SPACE}*+[0-9]{SPACE}*+k{SPACE}*+/{SPACE}*+(?:h|g{SPACE}*+i{SPACE}*+ờ)"
+
+# A word that `drop_noise_words` deletes, with the white space before it: no digit, `tr` or `m` somewhere, and no money word.
+_IN_WORD, _NO_DIGIT, _NO_MARK = r"[^\s\p{Z}]", r"[^\s\p{Z}0-9]", r"[^\s\p{Z}0-9tm]"
+_MONEY_WORD = rf"[().,:]*+(?:{'|'.join(map(re.escape, ('m', *MONEY_WORDS)))})[().,:]*+(?!{_IN_WORD})"
+NOISE_WORD = rf"{SPACE}(?={_NO_MARK}*+(?:t(?!r){_NO_MARK}*+)*+(?:tr|m))(?!{_MONEY_WORD}){_NO_DIGIT}++(?!{_IN_WORD})"
 
 NEGOTIABLE = "Thỏa thuận"
 
@@ -46,18 +55,38 @@ def drop_noise_words(c: Column) -> Column:
     return F.array_join(F.filter(tokens(c), keep), " ")
 
 
+def _dollars(c: Column) -> Column:
+    return F.replace(c, F.lit("$"), F.lit("usd"))
+
+
+def _dashes(c: Column) -> Column:
+    """Arrows and long dashes as `-`."""
+    for sign in ("->", "–", "~"):
+        c = F.replace(c, F.lit(sign), F.lit("-"))
+    return c
+
+
+def _spaceless(c: Column) -> Column:
+    """Blanks go first, which takes no pattern."""
+    return F.regexp_replace(F.replace(c, F.lit(" "), F.lit("")), rf"{SPACE}+", "")
+
+
 def squash_money_text(c: Column) -> Column:
-    c = F.regexp_replace(F.lower(F.replace(c, F.lit("$"), F.lit("usd"))), rf"{SPACE}+", "")
-    return F.regexp_replace(c, r"->|[–~]", "-")
+    return _dashes(_spaceless(F.lower(_dollars(c))))
 
 
 def money_text(c: Column) -> Column:
-    """What amounts are searched in: noise words out, then squashed, long digit runs out."""
-    return F.regexp_replace(squash_money_text(drop_noise_words(F.lower(c))), LONG_DIGITS, " ")
+    """What amounts are searched in: noise words out, then squashed, long digit runs out.
+
+    Noise words are deleted in place, since the squashed text has no white space that would tell the others apart.
+    """
+    kept = F.regexp_replace(F.concat(F.lit(" "), F.lower(c)), NOISE_WORD, "")
+    return F.regexp_replace(_dashes(_dollars(_spaceless(kept))), LONG_DIGITS, " ")
 
 
 def is_hourly(c: Column) -> Column:
-    return squash_money_text(c).rlike(HOURLY)
+    """Pay by the hour; the signs that `squash_money_text` replaces are no part of it, and a text without a slash names none."""
+    return F.contains(c, F.lit("/")) & F.lower(c).rlike(HOURLY)
 
 
 def _number(text: Column, unit: Column, fraction: Column | None = None) -> Column:
@@ -117,13 +146,16 @@ def amounts(squashed: Column) -> Column:
 
     A figure below two with the unit `m` is a height or a distance, not pay.
     """
-    ranges = F.regexp_extract_all(squashed, F.lit(RANGE), F.lit(0))
-    rest = F.regexp_replace(squashed, RANGE, " ")
-    singles = F.filter(
-        F.regexp_extract_all(rest, F.lit(SINGLE), F.lit(0)),
-        lambda m: ~m.rlike(r"^[01]([.,][0-9]+)?m"),
-    )
-    return F.concat(F.transform(ranges, _range), F.transform(singles, _single))
+
+    def found(ranges: Column) -> Column:
+        rest = F.when(F.size(ranges) == 0, squashed).otherwise(F.regexp_replace(squashed, RANGE, " "))
+        singles = F.filter(
+            F.regexp_extract_all(rest, F.lit(SINGLE), F.lit(0)),
+            lambda m: ~m.rlike(r"^[01]([.,][0-9]+)?m"),
+        )
+        return F.concat(F.transform(ranges, _range), F.transform(singles, _single))
+
+    return let(F.regexp_extract_all(squashed, F.lit(RANGE), F.lit(0)), found)
 
 
 def of_kind(found: Column, kind: str) -> Column:

@@ -33,18 +33,18 @@ def _grams(words: str, max_words: int, firsts: list[str] | None = None) -> Colum
     """For every position, the phrases of 1..max_words words that start there."""
     col = F.col(words)
 
-    def at(word: Column, i: Column) -> Column:
-        sizes = F.sequence(F.lit(1), F.least(F.lit(max_words), F.size(col) - i))
-        grams = F.transform(
+    def at(pos: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.least(F.lit(max_words), F.size(col) + 1 - pos))
+        return F.transform(
             sizes,
-            lambda n: F.struct(
-                (i + 1).alias("pos"), n.alias("n"), F.array_join(F.slice(col, i + 1, n), " ").alias("words")
-            ),
+            lambda n: F.struct(pos.alias("pos"), n.alias("n"), F.array_join(F.slice(col, pos, n), " ").alias("words")),
         )
-        none = F.array().cast("array<struct<pos:int,n:int,words:string>>")
-        return grams if firsts is None else F.when(word.isin(firsts), grams).otherwise(none)
 
-    return F.flatten(F.transform(col, at))
+    def able(word: Column, i: Column) -> Column:
+        return i + 1 if firsts is None else F.when(word.isin(firsts), i + 1)
+
+    # the positions first: most have no phrase, and make no array of their own
+    return F.flatten(F.transform(F.array_compact(F.transform(col, able)), at))
 
 
 # First words up to which n-grams are filtered in the row; more of them cost time, not results.
