@@ -18,9 +18,10 @@ document or source can become hot, and a task holds one block and one document.
 Ids of sequences and step groups follow from the number of the partition: the input has to come in a stable order, as a scan
 or a staged table does, so that a task that is run again gives the same rows.
 
-Texts in Latin letters are cut by the tokenizer's pattern and only pieces that are not known yet are given to it; a byte-level
-tokenizer never merges across these cuts.  All other texts, those that spell a special token, and those for any other kind
-of tokenizer are given to it whole.
+Texts in Latin letters are cut as the tokenizer's pattern cuts them (`latin_pieces`) and only pieces that are not known yet are
+given to it; a byte-level tokenizer never merges across these cuts.  A worker remembers pieces in two tables: a full one becomes
+the older one, whose pieces come back when they are used again.  All other texts, those that spell a special token, and
+those for any other kind of tokenizer are given to it whole.
 
 Rows: one row per piece; each row of the input is a document of its own, repeated or null keys included.  A null
 or empty text is a document of the closing id alone.  Texts have no longest length.
@@ -30,10 +31,10 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sangloc.llm.bpe import BEYOND_LATIN, LATIN, spelled
-from sangloc.llm.common import column_type, slices
+from sangloc.llm import latin_pieces
+from sangloc.llm.common import column_type, slices, text_bytes
+from sangloc.llm.latin_pieces import SHORT, Table
 
 #: Context sizes, the longest first; a window of any of them has no padding, because they are powers of two.
 TIERS = (1024, 512, 256, 128)
@@ -51,10 +53,8 @@ TIERS = (1024, 512, 256, 128)
 BLOCK_TOKENS, STEP_TOKENS = 1 << 20, 1 << 16
 #: The id that closes a document.
 CLOSING_ID = 0
-#: Bytes of pieces and ids that a worker remembers; beyond that it forgets those that were not used of late.
-KNOWN_BYTES = 192 << 20
-#: What an entry of that memory takes besides its bytes, and the longest piece that is worth one.
-ENTRY_BYTES, LONGEST_KNOWN = 200, 64
+#: The longest piece, in bytes, that a worker remembers, and how many pieces are looked up together.
+LONGEST_KNOWN, PIECES_AT_ONCE = 64, 1 << 18
 #: A tokenizer file of more bytes than this is not sent to the tasks.
 MAX_FILE_BYTES = 64 << 20
 
@@ -157,43 +157,94 @@ class TextIds:
         self.tokenizer = Tokenizer.from_str(content)
         made = json.loads(content)
         cut = made.get("pre_tokenizer") or {}
-        self.by_pieces = not made.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
-        self.split = re.compile(spelled(pattern, LATIN)).findall
-        self.added = [t["content"] for t in made.get("added_tokens") or [] if t["content"]]
-        #: What is remembered of late, and before that; together they take KNOWN_BYTES at most, and a slice's pieces.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.known_bytes = 0
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
-
-    def _is_whole(self, text: str) -> bool:
-        """Whether the tokenizer gets the text as it is."""
-        if not self.by_pieces or any(t in text for t in self.added):
-            return True
-        return not text.isascii() and BEYOND_LATIN.search(text) is not None
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [self._is_whole(t) for t in texts]
-        cut = [[] if w else self.split(t) for t, w in zip(texts, whole)]
-        new = set().union(*cut).difference(self.known)
-        known, older = self.known, self.older
-        again = new.intersection(older)
-        known.update((p, older[p]) for p in again)
-        asked = list(new - again)
-        known.update(zip(asked, self._ask(asked)))
-        get = known.__getitem__
-        out = [self._ask([t])[0] if w else b"".join(map(get, pieces)) for t, w, pieces in zip(texts, whole, cut)]
-        for piece in new:
-            if len(piece) > LONGEST_KNOWN:
-                del known[piece]
-            else:
-                self.known_bytes += ENTRY_BYTES + len(piece) + len(known[piece])
-        if self.known_bytes > KNOWN_BYTES // 2:
-            self.known, self.older, self.known_bytes = {}, known, 0
-        return out
+        self.by_pieces = (
+            pattern == latin_pieces.PATTERN
+            and not made.get("normalizer")
+            and cut.get("type") == "ByteLevel"
+            and cut.get("use_regex")
+            and not cut.get("add_prefix_space")
+        )
+        self.added = [t["content"].encode() for t in made.get("added_tokens") or [] if t["content"]]
+        #: What is remembered of late, and before that.
+        self.known, self.older = Table(), Table()
+
+    def _ask(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _whole(self, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Whether the tokenizer gets each text as it is."""
+        if not self.by_pieces:
+            return np.ones(len(bounds) - 1, bool)
+        whole, data = latin_pieces.rows_beyond(flat, bounds), flat.tobytes()
+        for token in self.added:
+            at = data.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(bounds, at, "right")) - 1
+                whole[row] = True
+                at = data.find(token, int(bounds[row + 1]))
+        return whole
+
+    def _learn(self, pieces: list[bytes], head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Values of pieces that the table does not have; the words are theirs."""
+        number: dict[bytes, int] = {}
+        index = np.array([number.setdefault(p, len(number)) for p in pieces], np.int64)
+        new, first = list(number), np.empty(len(number), np.int64)
+        first[index[::-1]] = np.arange(len(pieces))[::-1]
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        short = sizes <= SHORT
+        head, tail = head[first], tail[first]
+
+        before = np.full(len(new), -1)
+        before[short] = self.older.find(head[short], tail[short])
+        for i in np.flatnonzero(~short).tolist():
+            before[i] = self.older.longer.get(new[i], -1)
+        again, asked = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
+        out = np.empty(len(new), np.int64)
+        out[again] = self.known.append(self.older.ids_of(before[again]), before[again] & 0xFFFFFFFF)
+        found = self._ask([new[i].decode() for i in asked.tolist()])
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        out[asked] = self.known.append(np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts)
+
+        self.known.put(head[short], tail[short], out[short])
+        for i in np.flatnonzero(~short & (sizes <= LONGEST_KNOWN)).tolist():
+            self.known.longer[new[i]] = int(out[i])
+        return out[index]
+
+    def _cut(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that are cut into pieces."""
+        flat, bounds = text_bytes(texts)
+        padded = np.concatenate([flat, np.zeros(latin_pieces.PADDING, np.uint8)])
+        data = padded.tobytes()
+        starts = latin_pieces.piece_starts(padded, bounds)
+        ends = np.append(starts[1:], len(flat))
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for at in range(0, len(starts), PIECES_AT_ONCE):
+            begin, end = starts[at : at + PIECES_AT_ONCE], ends[at : at + PIECES_AT_ONCE]
+            head, tail = latin_pieces.short_words(padded, begin, end - begin)
+            value = self.known.find(head, tail)
+            longer = np.flatnonzero(end - begin > SHORT)
+            value[longer] = [self.known.longer.get(data[a:b], -1) for a, b in zip(begin[longer].tolist(), end[longer].tolist())]
+            lost = np.flatnonzero(value < 0)
+            if len(lost):
+                pieces = [data[a:b] for a, b in zip(begin[lost].tolist(), end[lost].tolist())]
+                value[lost] = self._learn(pieces, head[lost], tail[lost])
+            ids.append(self.known.ids_of(value))
+            counts.append(value & 0xFFFFFFFF)
+            if self.known.is_full():
+                # A table that a text of very long pieces has blown up is not kept.
+                self.known, self.older = Table(), self.older if self.known.used > 2 * latin_pieces.MOST_IDS else self.known
+        made = np.concatenate(ids).astype("<u4").tobytes()
+        places = 4 * np.cumsum(np.concatenate(counts))[np.searchsorted(starts, bounds)]
+        return [made[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist())]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null is the empty text."""
+        whole = self._whole(*text_bytes(texts))
+        out = iter(self._cut(texts.filter(pa.array(~whole))))
+        return [
+            array("I", self._ask([text.as_py() or ""])[0]).tobytes() if w else next(out)
+            for text, w in zip(texts, whole.tolist())
+        ]
 
 
 @lru_cache(maxsize=2)
@@ -273,7 +324,7 @@ def packed(
         for batch in batches:
             for part in slices(batch, "_text"):
                 part_keys = part.column(0)
-                for i, made in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
+                for i, made in enumerate(encoder.encode(part.column(1))):
                     keys.append(part_keys.slice(i, 1))
                     ids.append(made + closing)
                     tokens = len(ids[-1]) // 4
