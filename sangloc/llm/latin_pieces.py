@@ -1,9 +1,13 @@
-"""Texts in Latin letters: cut as byte-level tokenizers cut them, and a memory of the ids of pieces, both by arrays.
+"""Texts, cut as byte-level tokenizers cut them, and a memory of the ids of pieces, both by arrays.
 
 The rules of the pattern become rules about neighbours.  A piece starts where the kind of character changes, but not after
 a blank, which goes with what follows; the last of several white-space characters starts a piece if a text goes on behind
 it; an apostrophe that starts a piece takes the letters of a contraction with it, and the next piece starts behind them.
 
+That is so for Latin letters.  Whatever else a text holds, a piece starts where white space follows a Latin character, and what
+is on one side does not change the cuts on the other.  What lies between two such places and has a character beyond the Latin
+letters stays whole, and the tokenizer cuts it.
+
 Pieces of up to 15 bytes are two words of 64 bits with the length in the highest byte, and are looked up all at once in an
 open-addressed table; longer ones are few and looked up one by one.
 """
@@ -20,12 +24,14 @@ from sangloc.llm.bpe import LATIN
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The first character that is not among these Latin letters.
 BEYOND = 0x250
-OTHER, LETTER, NUMBER, SPACE = range(4)
-#: The kind of each character that has one or two bytes; those beyond are not asked for.
-KIND = np.zeros(2048, np.uint8)
+OTHER, LETTER, NUMBER, SPACE, UNKNOWN = range(5)
+#: The kind of each character that has one or two bytes; bytes that are none of these are unknown.
+KIND = np.full(2048, UNKNOWN, np.uint8)
+KIND[:BEYOND] = OTHER
 for _kind, _name in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
     _found = re.compile(f"[{LATIN[_name]}]").match
     KIND[[c for c in range(BEYOND) if _found(chr(c))]] = _kind
+BYTE_KIND = np.where(np.arange(256) < 128, KIND[:256], UNKNOWN).astype(np.uint8)
 #: Longest piece that is looked up as two words, and zeros behind the texts so that words can be read at any place.
 SHORT, PADDING = 15, 24
 #: Words whose lowest 0 to 8 bytes are set.
@@ -34,24 +40,14 @@ LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 SLOT_BITS, MOST_IDS = 21, 1 << 23
 
 
-def rows_beyond(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Whether each row has a character beyond the Latin letters."""
-    at = np.flatnonzero(flat >= 0xC9)
-    after = flat[np.minimum(at + 1, len(flat) - 1)]
-    at = at[(flat[at] > 0xC9) | (after >= 0x80 | BEYOND & 63)]
-    out = np.zeros(len(bounds) - 1, bool)
-    out[np.searchsorted(bounds, at, "right") - 1] = True
-    return out
-
-
 def piece_starts(padded: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Where the pieces of all rows start; `padded` are their UTF-8 bytes, Latin letters only, and PADDING zeros."""
+    """Where the pieces of all rows start; `padded` are their UTF-8 bytes and PADDING zeros."""
     flat = padded[:-PADDING]
     n = len(flat)
     if not n:
         return np.zeros(0, np.int64)
-    kind = KIND[flat]
-    lead = np.flatnonzero(flat[:-1] >= 0xC2)
+    kind = BYTE_KIND[flat]
+    lead = np.flatnonzero((flat[:-1] >= 0xC2) & (flat[:-1] < 0xE0))
     kind[lead] = kind[lead + 1] = KIND[(flat[lead] & 31).astype(np.int64) << 6 | flat[lead + 1] & 63]
     filled = bounds[:-1] < bounds[1:]
     rows, ends = bounds[:-1][filled], bounds[1:][filled]
@@ -77,6 +73,18 @@ def piece_starts(padded: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     quote, size = quote[taken], size[taken]
     start[quote + 1] = False
     start[quote + size] = True
+
+    unknown = np.flatnonzero(kind == UNKNOWN)
+    if len(unknown):
+        whole = np.zeros(n, bool)
+        whole[1:] = space[1:] & ~space[:-1] & (kind[:-1] != UNKNOWN)
+        whole[rows] = True
+        parts = np.append(np.flatnonzero(whole), n)
+        part = np.unique(np.searchsorted(parts, unknown, "right"))
+        edge = np.zeros(n + 1, np.int8)
+        edge[parts[part - 1]] += 1
+        edge[parts[part]] -= 1
+        start[:n] &= whole | (np.cumsum(edge[:n], dtype=np.int8) == 0)
     return np.flatnonzero(start[:n])
 
 
@@ -132,6 +140,12 @@ class Table:
         self.used += len(ids)
         return out
 
+    def shorten(self, passing: int) -> None:
+        """Drop as many ids at the end, which no piece in the table has, and the room that very long pieces took."""
+        self.used -= passing
+        if len(self.ids) > 4 * MOST_IDS:
+            self.ids = self.ids[: self.used].copy()
+
     def ids_of(self, value: np.ndarray) -> np.ndarray:
         """The ids of all these pieces, one after the other."""
         counts = value & 0xFFFFFFFF

@@ -18,10 +18,10 @@ document or source can become hot, and a task holds one block and one document.
 Ids of sequences and step groups follow from the number of the partition: the input has to come in a stable order, as a scan
 or a staged table does, so that a task that is run again gives the same rows.
 
-Texts in Latin letters are cut as the tokenizer's pattern cuts them (`latin_pieces`) and only pieces that are not known yet are
-given to it; a byte-level tokenizer never merges across these cuts.  A worker remembers pieces in two tables: a full one becomes
-the older one, whose pieces come back when they are used again.  All other texts, those that spell a special token, and
-those for any other kind of tokenizer are given to it whole.
+Texts are cut as the tokenizer's pattern cuts them (`latin_pieces`) and only pieces that are not known yet are given to it; a
+byte-level tokenizer never merges across these cuts.  Words with letters that are not Latin are pieces, too, which the tokenizer
+cuts further.  A worker remembers pieces in two tables: a full one becomes the older one, whose pieces come back when they are
+used again.  Texts that spell a special token, and those for any other kind of tokenizer, are given to it whole.
 
 Rows: one row per piece; each row of the input is a document of its own, repeated or null keys included.  A null
 or empty text is a document of the closing id alone.  Texts have no longest length.
@@ -175,7 +175,7 @@ class TextIds:
         """Whether the tokenizer gets each text as it is."""
         if not self.by_pieces:
             return np.ones(len(bounds) - 1, bool)
-        whole, data = latin_pieces.rows_beyond(flat, bounds), flat.tobytes()
+        whole, data = np.zeros(len(bounds) - 1, bool), flat.tobytes()
         for token in self.added:
             at = data.find(token)
             while at >= 0:
@@ -184,8 +184,8 @@ class TextIds:
                 at = data.find(token, int(bounds[row + 1]))
         return whole
 
-    def _learn(self, pieces: list[bytes], head: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        """Values of pieces that the table does not have; the words are theirs."""
+    def _learn(self, pieces: list[bytes], head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, int]:
+        """Values of pieces that the table does not have, and how many ids at its end are to go again; the words are theirs."""
         number: dict[bytes, int] = {}
         index = np.array([number.setdefault(p, len(number)) for p in pieces], np.int64)
         new, first = list(number), np.empty(len(number), np.int64)
@@ -199,6 +199,8 @@ class TextIds:
         for i in np.flatnonzero(~short).tolist():
             before[i] = self.older.longer.get(new[i], -1)
         again, asked = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
+        passing = sizes[asked] > LONGEST_KNOWN
+        asked, passing = np.concatenate([asked[~passing], asked[passing]]), int(passing.sum())
         out = np.empty(len(new), np.int64)
         out[again] = self.known.append(self.older.ids_of(before[again]), before[again] & 0xFFFFFFFF)
         found = self._ask([new[i].decode() for i in asked.tolist()])
@@ -208,7 +210,7 @@ class TextIds:
         self.known.put(head[short], tail[short], out[short])
         for i in np.flatnonzero(~short & (sizes <= LONGEST_KNOWN)).tolist():
             self.known.longer[new[i]] = int(out[i])
-        return out[index]
+        return out[index], int(counts[len(counts) - passing :].sum())
 
     def _cut(self, texts: pa.Array) -> list[bytes]:
         """Ids of texts that are cut into pieces."""
@@ -224,15 +226,15 @@ class TextIds:
             value = self.known.find(head, tail)
             longer = np.flatnonzero(end - begin > SHORT)
             value[longer] = [self.known.longer.get(data[a:b], -1) for a, b in zip(begin[longer].tolist(), end[longer].tolist())]
-            lost = np.flatnonzero(value < 0)
+            lost, passing = np.flatnonzero(value < 0), 0
             if len(lost):
                 pieces = [data[a:b] for a, b in zip(begin[lost].tolist(), end[lost].tolist())]
-                value[lost] = self._learn(pieces, head[lost], tail[lost])
+                value[lost], passing = self._learn(pieces, head[lost], tail[lost])
             ids.append(self.known.ids_of(value))
+            self.known.shorten(passing)
             counts.append(value & 0xFFFFFFFF)
             if self.known.is_full():
-                # A table that a text of very long pieces has blown up is not kept.
-                self.known, self.older = Table(), self.older if self.known.used > 2 * latin_pieces.MOST_IDS else self.known
+                self.known, self.older = Table(), self.known
         made = np.concatenate(ids).astype("<u4").tobytes()
         places = 4 * np.cumsum(np.concatenate(counts))[np.searchsorted(starts, bounds)]
         return [made[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist())]

@@ -139,7 +139,7 @@ def test_query_and_repeatability(spark, folder):
 
 
 LATIN_PARTS = [*" '\n\t\x85\xa0lervsaB1é²×!\x00\x1f", "  ", "\r\n", "'s", "'ll", "'re", "'ve", "'d", "'S", "É", "ɏ", "42", ".."]
-LONG_PARTS = ["The", " of", " " + "y" * 14, "x" * 15, "x" * 16, "qé" * 7, "q" * 70, "日本", "<|endoftext|>"]
+LONG_PARTS = ["The", " of", " " + "y" * 14, "x" * 15, "x" * 16, "qé" * 7, "q" * 70, "日本", "<|endoftext|>", "”", "\u3000", "ạ", "\u0301"]
 
 
 def encoder():
@@ -161,10 +161,19 @@ def test_cuts_are_those_of_the_pattern():
         assert [flat[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends)] == [p for r in part for p in plain(r)]
 
 
-def test_rows_beyond_latin_letters():
-    for code in (*range(1, 0x300), 0x7FF, 0x800, 0xFFFD, 0x1F600):
-        flat, bounds = text_bytes(pa.array(["", "x" + chr(code), None, "y", chr(code)]))
-        assert latin_pieces.rows_beyond(flat, bounds).tolist() == [False, code > 0x24F, False, False, code > 0x24F]
+def test_only_words_beyond_latin_letters_stay_whole():
+    rows = ["the “big” house isn't\u3000  far", "Việt  Nam's", "plain 日本", "", "\u2003 a", "it's"]
+    flat, bounds = text_bytes(pa.array(rows))
+    starts = latin_pieces.piece_starts(np.concatenate([flat, np.zeros(latin_pieces.PADDING, np.uint8)]), bounds)
+    found = [flat[a:b].tobytes().decode() for a, b in zip(starts.tolist(), np.append(starts[1:], len(flat)).tolist())]
+    assert found == ["the", " “big” house", " isn't\u3000  far", "Việt", " ", " Nam", "'s", "plain", " 日本", "\u2003 a", "it", "'s"]
+
+
+def test_ids_of_characters_beyond_latin_letters():
+    """Each of them among Latin neighbours, white space and contractions."""
+    codes = (*range(0x240, 0x300), 0x1680, 0x1EA1, *range(0x1FFE, 0x2030), 0x3000, 0x65E5, 0xFEFF, 0xFFFD, 0x1F600, 0x1D7D8)
+    texts = [a.replace("?", chr(c)) for c in codes for a in ("?", "x?y", "a ? b", "a  ?  b", "?'s it's", " ?? \n?12", "it'?s\n\n?", "!? \xa0?!")]
+    assert encoder().encode(pa.array(texts)) == list(map(plain_ids, texts))
 
 
 def test_full_tables_lose_no_ids(monkeypatch):
